@@ -4,6 +4,11 @@ from pyspark.sql import functions as F
 from faultledger.fixed_values import MISSING_TEXT, UNKNOWN, WHITESPACE
 
 
+# These expressions name their argument once. Spark merges nested projections
+# and pushes filters by copying expressions, so an argument that is named twice
+# is computed twice at every level.
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends; ``trim`` alone leaves tabs and NBSP."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -21,8 +26,8 @@ def join_levels(*levels: Column) -> Column:
 
 def clean_label(text: Column) -> Column:
     """A stripped label; missing, blank, or the missing-cell text gives ``Unknown``."""
-    stripped = strip(F.coalesce(text, F.lit(UNKNOWN)))
-    return F.when(stripped.isin(MISSING_TEXT, ""), F.lit(UNKNOWN)).otherwise(stripped)
+    no_label = rf"^(?:{MISSING_TEXT})?\z"
+    return F.regexp_replace(strip(F.coalesce(text, F.lit(UNKNOWN))), no_label, UNKNOWN)
 
 
 def joined_set(values: Column) -> Column:

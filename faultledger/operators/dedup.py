@@ -7,46 +7,48 @@ from faultledger.functions.money import cents
 from faultledger.schemas import KEY_COLUMNS, ROW_ORDER
 
 _CENTS = "_credit_cents"
+_HASH = "_key_hash"
+_KEY = (_HASH, *KEY_COLUMNS, _CENTS)
 _PICK = "_first"
 
 
-def _with_cents(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(_CENTS, cents(F.col("credit_requested_usd")))
+def with_key(rows: DataFrame) -> DataFrame:
+    """Add the credit in cents and a hash of the whole key.
 
+    The hash goes first among the keys of the sorts below: comparing it settles
+    nearly every pair of rows, where the texts would agree in long prefixes.
+    """
+    return rows.withColumn(_CENTS, cents(F.col("credit_requested_usd"))).withColumn(
+        _HASH, F.xxhash64(*KEY_COLUMNS, _CENTS)
+    )
 
-def _key_is_complete() -> Column:
+
+def has_whole_key() -> Column:
     return F.col("incident_date").isNotNull() & F.col("defect_category").isNotNull()
 
 
-def _first_of_complete(rows: DataFrame) -> DataFrame:
-    # The smallest struct is the first row in (file, position, credit, quantity)
-    # order, and the rest of the struct is the row itself. An aggregate is
-    # combined before the shuffle, so a key that holds a large part of all rows
-    # reaches the reducer as one row per task; a window would send every row.
+def first_per_incident(rows: DataFrame, whole_keys: bool = False) -> DataFrame:
+    """One row per business key.
+
+    The first row in the order of file, stated position, credit and quantity
+    wins, whatever the partitioning. Rows whose key has a null are all kept,
+    since a null equals nothing; ``whole_keys`` says that there are none, as
+    after cleaning, and spares the second pass that keeps them.
+    """
+    # The smallest struct is the first row in that order, and the rest of the
+    # struct is the row itself. An aggregate is combined before the shuffle, so
+    # a key that holds a large part of all rows reaches its reducer as one row
+    # per task.
     lead = [
         c
         for c in ("raw_source_file", ROW_ORDER.name, "credit_requested_usd", "qty_affected")
         if c in rows.columns
     ]
     rest = [c for c in rows.columns if c not in lead and c not in KEY_COLUMNS]
-    picked = (
-        _with_cents(rows)
-        .groupBy(*KEY_COLUMNS, _CENTS)
-        .agg(F.min(F.struct(*lead, *rest)).alias(_PICK))
-    )
-    columns = [c if c in KEY_COLUMNS else f"{_PICK}.{c}" for c in rows.columns]
-    return picked.select(*columns)
-
-
-def first_per_incident(rows: DataFrame) -> DataFrame:
-    """One row per business key.
-
-    The first row in the order of file, stated position, credit and quantity
-    wins, whatever the partitioning. Rows whose key has a null are all kept,
-    since a null equals nothing.
-    """
-    complete = _first_of_complete(rows.where(_key_is_complete()))
-    return complete.unionByName(rows.where(~_key_is_complete()))
+    keyed = rows if whole_keys else rows.where(has_whole_key())
+    picked = with_key(keyed).groupBy(*_KEY).agg(F.min(F.struct(*lead, *rest)).alias(_PICK))
+    first = picked.select(*[c if c in KEY_COLUMNS else f"{_PICK}.{c}" for c in rows.columns])
+    return first if whole_keys else first.unionByName(rows.where(~has_whole_key()))
 
 
 def not_in_history(batch: DataFrame, history: DataFrame, small_batch: bool) -> DataFrame:
@@ -57,9 +59,8 @@ def not_in_history(batch: DataFrame, history: DataFrame, small_batch: bool) -> D
     shuffled. Otherwise both sides are shuffled on the whole key, of which
     each side has every value once, so there is no hot key.
     """
-    on = [*KEY_COLUMNS, _CENTS]
-    batch = _with_cents(batch)
-    seen = _with_cents(history.where(_key_is_complete())).select(*on)
+    batch = with_key(batch)
+    seen = with_key(history).select(*_KEY)
     if small_batch:
-        seen = seen.join(F.broadcast(batch.select(*on)), on, "left_semi")
-    return batch.join(seen, on, "left_anti").drop(_CENTS)
+        seen = seen.join(F.broadcast(batch.select(*_KEY)), list(_KEY), "left_semi")
+    return batch.join(seen, list(_KEY), "left_anti").drop(_HASH, _CENTS)

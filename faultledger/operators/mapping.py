@@ -53,7 +53,7 @@ def to_unified(
         F.lit(contract.label).alias("source"),
         strip(as_text(lookup(frame, contract.plant))).alias("plant"),
         strip(as_text(lookup(frame, contract.customer))).alias("customer"),
-        parse_date(strip(day), contract.date_formats).alias("incident_date"),
+        parse_date(day, contract.date_formats).alias("incident_date"),
         _defect(frame, contract, strict_nulls).alias("defect_category"),
         to_money(lookup(frame, contract.credit)).alias("credit_requested_usd"),
         to_quantity(lookup(frame, contract.quantity)).alias("qty_affected"),

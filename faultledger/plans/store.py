@@ -17,7 +17,7 @@ from faultledger import schemas
 from faultledger.config import Settings
 from faultledger.functions.dates import month_label
 from faultledger.functions.money import risk_tier
-from faultledger.operators.dedup import first_per_incident, not_in_history
+from faultledger.operators.dedup import first_per_incident, has_whole_key, not_in_history
 from faultledger.schemas import FACT, KEY_COLUMNS, MONTH
 
 log = logging.getLogger(__name__)
@@ -37,6 +37,8 @@ class BatchProfile:
     rows: int
     key_bytes: int
     months: tuple[str, ...]
+    # No key has a null part.
+    whole_keys: bool
 
     @property
     def is_small(self) -> bool:
@@ -48,15 +50,22 @@ def profile(batch: DataFrame) -> BatchProfile:
     text_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in _TEXT_KEYS), F.lit(0))
     row = (
         batch.groupBy(F.trunc("incident_date", "month").alias("month"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(text_bytes + _KEY_OVERHEAD_BYTES).alias("bytes"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(text_bytes + _KEY_OVERHEAD_BYTES).alias("bytes"),
+            F.count_if(~has_whole_key()).alias("partial"),
+        )
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.coalesce(F.sum("bytes"), F.lit(0)).alias("key_bytes"),
             F.collect_list(month_label(F.col("month"))).alias("months"),
+            F.coalesce(F.sum("partial"), F.lit(0)).alias("partial"),
         )
         .first()
     )
-    return BatchProfile(row["rows"], row["key_bytes"], tuple(sorted(row["months"])))
+    return BatchProfile(
+        row["rows"], row["key_bytes"], tuple(sorted(row["months"])), row["partial"] == 0
+    )
 
 
 class IncidentStore:
@@ -131,7 +140,8 @@ class IncidentStore:
         """
         facts = facts or profile(batch)
         history = self.incidents().where(F.col(MONTH).isin(*facts.months))
-        return not_in_history(first_per_incident(batch), history, facts.is_small)
+        batch = first_per_incident(batch, facts.whole_keys)
+        return not_in_history(batch, history, facts.is_small)
 
     def insert_new(
         self,

@@ -102,7 +102,7 @@ def fx_by_plant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(first_per_incident(_cleaned(spark, sf_dir)))
+    return _shown(first_per_incident(_cleaned(spark, sf_dir), whole_keys=True))
 
 
 def upsert_second_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
