@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultledger.schemas import MONEY, RATE
+from faultledger.sources.local import small_frame
 
 # Beyond this many plants the rate table is joined without a broadcast hint.
 BROADCAST_RATES = 100_000
@@ -19,9 +20,7 @@ def convert_to_usd(
     """Multiply each credit by the rate of its plant; plants without a rate count as 1."""
     if not rates:
         return incidents
-    table = spark.createDataFrame(
-        [(plant, Decimal(str(rate))) for plant, rate in rates.items()], _RATES
-    )
+    table = small_frame(spark, [(p, Decimal(str(r))) for p, r in rates.items()], _RATES)
     if len(rates) <= BROADCAST_RATES:
         table = F.broadcast(table)
     rate = F.coalesce("rate", F.lit(1).cast(RATE))

@@ -16,6 +16,7 @@ from faultledger.operators.currency import convert_to_usd
 from faultledger.schemas import ROW_ORDER, UNIFIED
 from faultledger.sources.contracts import Contract, Field
 from faultledger.sources.extracts import Extract, quoted
+from faultledger.sources.local import small_frame
 
 log = logging.getLogger(__name__)
 
@@ -86,6 +87,6 @@ def normalize(
         except Exception as error:  # noqa: BLE001 - one source must not stop the others
             log.error("cannot map %s: %s", key, error)
     if not parts:
-        return spark.createDataFrame([], UNIFIED)
+        return small_frame(spark, [], UNIFIED)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return convert_to_usd(spark, stacked, fx_rates) if fx_rates else stacked

@@ -41,20 +41,26 @@ def heatmap(
 ) -> DataFrame:
     """Long form (row, defect, credit) over the top defects and the top values of ``row``.
 
-    The cells are summed once; the two rankings and the result all start from
-    that aggregate, whose shuffle Spark reuses.
+    The cells are summed once, and the two rankings and the result all start
+    from that aggregate. Spark reuses its shuffle only while the three read the
+    same rows, so nothing here may filter by one key: missing keys leave the
+    rankings after the limit, and the joins are null-safe, since a plain join
+    would first drop missing keys from the scan.
     """
-    cells = incidents.groupBy(row, "defect_category").agg(credit_sum())
+    defect = "defect_category"
+    cells = incidents.groupBy(row, defect).agg(credit_sum())
 
     def leaders(column: str, limit: int) -> DataFrame:
-        totals = cells.dropna(subset=[column]).groupBy(column)
-        return top(totals.agg(F.sum("credit_usd").alias("credit_usd")), limit, column).select(column)
+        totals = cells.groupBy(column).agg(F.sum("credit_usd").alias("credit_usd"))
+        named = top(totals, limit + 1, column).where(F.col(column).isNotNull())
+        # The limits bound both lists, so they can be broadcast.
+        return F.broadcast(top(named, limit, column).select(F.col(column).alias("leader")))
 
-    # Both lists are bounded by their limits, so they can be broadcast.
+    top_defects, top_rows = leaders(defect, _checked(n)), leaders(row, rows)
     return (
-        cells.join(F.broadcast(leaders("defect_category", _checked(n))), "defect_category", "left_semi")
-        .join(F.broadcast(leaders(row, rows)), row, "left_semi")
-        .select(row, "defect_category", as_double(F.col("credit_usd")).alias("credit_usd"))
+        cells.join(top_defects, F.col(defect).eqNullSafe(top_defects["leader"]))
+        .join(top_rows, F.col(row).eqNullSafe(top_rows["leader"]))
+        .select(row, defect, as_double(F.col("credit_usd")).alias("credit_usd"))
     )
 
 

@@ -19,6 +19,7 @@ from faultledger.functions.dates import month_label
 from faultledger.functions.money import risk_tier
 from faultledger.operators.dedup import first_per_incident, has_whole_key, not_in_history
 from faultledger.schemas import FACT, KEY_COLUMNS, MONTH
+from faultledger.sources.local import small_frame
 
 log = logging.getLogger(__name__)
 
@@ -87,7 +88,7 @@ class IncidentStore:
             ("pipeline_run_log", schemas.RUN_LOG, []),
             ("alerts", schemas.ALERTS, ["run_id"]),
         ):
-            empty = self.spark.createDataFrame([], schema)
+            empty = small_frame(self.spark, [], schema)
             empty.write.mode("ignore").partitionBy(*parts).parquet(self.path(table))
         self.seed_plants((settings or Settings()).plants)
         return self
@@ -127,7 +128,7 @@ class IncidentStore:
 
     def seed_plants(self, plants: Sequence[tuple[str, ...]]) -> None:
         """Add the plants whose name is not there yet."""
-        seed = self.spark.createDataFrame(list(plants), schemas.DIM_PLANT)
+        seed = small_frame(self.spark, plants, schemas.DIM_PLANT)
         new = seed.join(self.plants().select("plant_name"), "plant_name", "left_anti")
         if not new.isEmpty():
             new.coalesce(1).write.mode("append").parquet(self.path("dim_plant"))
@@ -214,7 +215,7 @@ class IncidentStore:
             ",".join(sources_loaded),
             error_message,
         )
-        self.spark.createDataFrame([row], schemas.RUN_LOG).coalesce(1).write.mode(
+        small_frame(self.spark, [row], schemas.RUN_LOG).coalesce(1).write.mode(
             "append"
         ).parquet(self.path("pipeline_run_log"))
 

@@ -4,7 +4,6 @@ import logging
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +84,7 @@ def read_extract(
 ) -> Extract:
     try:
         frame = scan(spark, path, csv_multi_line)
-    except (PySparkException, ValueError) as error:
+    except Exception as error:  # a bad file shows in many ways, all mean the same here
         raise ExtractError(f"{contract.key}: cannot read {path}: {error}") from error
     return Extract(prepare(frame, contract), path)
 

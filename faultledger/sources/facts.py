@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from faultledger.schemas import FACT
+from faultledger.sources.local import small_frame
 
 
 def read_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
@@ -25,4 +26,4 @@ def load_incidents(spark: SparkSession, fact_path: str, snapshot_path: str | Non
     snapshot = read_or_none(spark, snapshot_path) if snapshot_path else None
     if snapshot is not None:
         return snapshot
-    return fact if fact is not None else spark.createDataFrame([], FACT)
+    return fact if fact is not None else small_frame(spark, [], FACT)

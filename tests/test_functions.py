@@ -1,0 +1,104 @@
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from faultledger.fixed_values import WHITESPACE
+from faultledger.functions import dates, money, text
+
+
+def _apply(spark, expression, values, kind="string"):
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    rows = frame.select("i", expression(F.col("v")).alias("r")).orderBy("i").collect()
+    return [r["r"] for r in rows]
+
+
+def test_white_space_is_what_a_text_strip_removes():
+    assert set(WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \t\n\x1c\xa0\u2003\u3000ab-é"), max_size=6), min_size=30, max_size=60))
+def test_strip_equals_text_strip(spark, values):
+    assert _apply(spark, text.strip, values) == [v.strip() for v in values]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" -ab\t"), max_size=6), min_size=20, max_size=40))
+def test_join_levels_strips_spaces_and_dashes(spark, values):
+    got = _apply(spark, lambda v: text.join_levels(v, F.lit("x -")), values)
+    assert got == [f"{v} - x -".strip(" -") for v in values]
+
+
+def test_clean_label(spark):
+    values = [None, "", "   ", "nan", " nan ", "NaN", "None", "null", "nan - nan", " Acme\t", "nano", "nan\n"]
+    assert _apply(spark, text.clean_label, values) == [
+        "Unknown", "Unknown", "Unknown", "Unknown", "Unknown",
+        "NaN", "None", "null", "nan - nan", "Acme", "nano", "Unknown",
+    ]
+
+
+def test_money_rejects_what_is_no_plain_number(spark):
+    values = ["1500.00", " 1500 ", "1e3", "-5", "1,500", "$5", "", "1500d", "nan", "inf", None]
+    got = _apply(spark, money.to_money, values)
+    assert got[:4] == [Decimal(1500), Decimal(1500), Decimal(1000), Decimal(-5)]
+    assert got[4:] == [None] * 7
+
+
+def test_quantity_rejects_what_is_no_plain_number(spark):
+    values = ["200", " 7 ", "1e2", ".5", "5.", "-3", "1,500", "1500d", "1500f", "nan", "Infinity", "0x1p3", "", None]
+    got = _apply(spark, money.to_quantity, values)
+    assert got[:6] == [200.0, 7.0, 100.0, 0.5, 5.0, -3.0]
+    assert got[6:] == [None] * 8
+
+
+def test_parse_date(spark):
+    day = date(2025, 6, 5)
+    good = [
+        "2025-06-05", "  2025-06-05 ", "\xa02025-06-05", "2025-06-05 10:11:12", "2025-06-05 10:11",
+        "2025-06-05T10:11:12", "2025-06-05 10:11:12.5", "2025-6-5", "6/5/2025", "06/05/2025",
+        "6/5/2025 13:05", "6/5/2025 1:05 PM", "05-JUN-2025", "5-Jun-2025",
+    ]
+    assert _apply(spark, dates.parse_date, good) == [day] * len(good)
+    bad = ["junk", "", None, "2025-06-05 junk", "2025-13-01", "45813", "2025-02-30", "x2025-06-05", "12:30"]
+    assert _apply(spark, dates.parse_date, bad) == [None] * len(bad)
+
+
+def test_parse_date_with_declared_formats(spark):
+    got = _apply(spark, lambda v: dates.parse_date(v, ["dd.MM.yyyy"]), ["05.06.2025", "6/5/2025", "2025-06-05"])
+    assert got == [date(2025, 6, 5), None, date(2025, 6, 5)]
+
+
+def test_periods(spark):
+    days = ["2025-06-15", "2025-06-16", "2025-01-01", "2024-12-31"]
+
+    def show(label, start):
+        return _apply(spark, lambda v: label(start(v.cast("date"))), days)
+
+    assert show(dates.quarter_label, dates.quarter_start) == ["2025Q2", "2025Q2", "2025Q1", "2024Q4"]
+    assert show(dates.month_label, dates.month_start) == ["2025-06", "2025-06", "2025-01", "2024-12"]
+    assert show(dates.day_label, dates.week_start) == ["2025-06-09", "2025-06-16", "2024-12-30", "2024-12-30"]
+
+
+def test_cents_round_half_up(spark):
+    values = [Decimal(x) for x in ("2.675", "1.005", "0.135", "-2.675", "0.004999")]
+    got = _apply(spark, money.cents, values, "decimal(18,6)")
+    assert got == [Decimal(x) for x in ("2.68", "1.01", "0.14", "-2.68", "0.00")]
+
+
+@pytest.mark.parametrize(
+    "total,tier",
+    [("100000", "High"), ("99999.999999", "Medium"), ("30000", "Medium"), ("29999.99", "Low"), ("0", "Low")],
+)
+def test_risk_tier_limits_are_inclusive(spark, total, tier):
+    assert _apply(spark, money.risk_tier, [Decimal(total)], "decimal(18,6)") == [tier]
+
+
+def test_currency_text(spark):
+    values = [Decimal("1234567.891"), Decimal("0")]
+    assert _apply(spark, text.currency_text, values, "decimal(18,6)") == ["$1,234,568", "$0"]
+    two = _apply(spark, lambda v: text.currency_text(v, 2), values, "decimal(18,6)")
+    assert two == ["$1,234,567.89", "$0.00"]
