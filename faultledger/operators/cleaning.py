@@ -35,11 +35,11 @@ def validate(unified: DataFrame, first_year: int = FIRST_VALID_YEAR) -> DataFram
     )
 
 
-def validation_counts(unified: DataFrame, first_year: int = FIRST_VALID_YEAR) -> DataFrame:
-    """One row: how many rows each rule drops or changes."""
+def rule_counts(first_year: int = FIRST_VALID_YEAR) -> tuple[Column, ...]:
+    """Aggregates over unified rows: how many each rule drops or changes."""
     kept = has_valid_date(first_year)
     credit, quantity = F.col("credit_requested_usd"), F.col("qty_affected")
-    return unified.agg(
+    return (
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(~has_date()).alias("dropped_no_date"),
         F.count_if(has_date() & ~kept).alias("dropped_old_date"),
@@ -48,3 +48,8 @@ def validation_counts(unified: DataFrame, first_year: int = FIRST_VALID_YEAR) ->
         F.count_if(kept & quantity.isNull()).alias("filled_quantity"),
         F.count_if(kept).alias("kept_rows"),
     )
+
+
+def validation_counts(unified: DataFrame, first_year: int = FIRST_VALID_YEAR) -> DataFrame:
+    """The rule counts as a table of one row."""
+    return unified.agg(*rule_counts(first_year))

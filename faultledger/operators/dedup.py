@@ -51,16 +51,20 @@ def first_per_incident(rows: DataFrame, whole_keys: bool = False) -> DataFrame:
     return first if whole_keys else first.unionByName(rows.where(~has_whole_key()))
 
 
-def not_in_history(batch: DataFrame, history: DataFrame, small_batch: bool) -> DataFrame:
+def not_in_history(
+    batch: DataFrame, history: DataFrame, small_batch: DataFrame | None = None
+) -> DataFrame:
     """Rows of a deduplicated batch whose business key is not in the history.
 
-    With a small batch (its size must have been checked) its keys are sent to
-    the history instead, which is then filtered where it lies and never
-    shuffled. Otherwise both sides are shuffled on the whole key, of which
-    each side has every value once, so there is no hot key.
+    ``small_batch`` is the batch as it came, given only if its size was checked.
+    Its keys are then sent to the history, which is filtered where it lies and
+    never shuffled, and the matches, no more than the batch has, are sent back.
+    Otherwise both sides are shuffled on the whole key, of which each side has
+    every value once, so there is no hot key.
     """
-    batch = with_key(batch)
-    seen = with_key(history).select(*_KEY)
-    if small_batch:
-        seen = seen.join(F.broadcast(batch.select(*_KEY)), list(_KEY), "left_semi")
-    return batch.join(seen, list(_KEY), "left_anti").drop(_HASH, _CENTS)
+    on = list(_KEY)
+    seen = with_key(history).select(*on)
+    if small_batch is not None:
+        keys = F.broadcast(with_key(small_batch).select(*on))
+        seen = F.broadcast(seen.join(keys, on, "left_semi"))
+    return with_key(batch).join(seen, on, "left_anti").drop(_HASH, _CENTS)

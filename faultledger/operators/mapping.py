@@ -1,7 +1,7 @@
 """Map each extract to the unified schema and stack the sources."""
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from decimal import Decimal
 from functools import reduce
 
@@ -21,16 +21,16 @@ from faultledger.sources.local import small_frame
 log = logging.getLogger(__name__)
 
 
-def lookup(frame: DataFrame, field: Field) -> Column:
-    """The column of a field; its default only if no such header is in the frame."""
+def lookup(headers: Collection[str], field: Field) -> Column:
+    """The column of a field; its default only if no such header is there."""
     for header in field.headers:
-        if header in frame.columns:
+        if header in headers:
             return quoted(header)
     return F.lit(field.default).cast("string")
 
 
-def _defect(frame: DataFrame, contract: Contract, strict_nulls: bool) -> Column:
-    cells = [lookup(frame, level) for level in contract.defect]
+def _defect(headers: Collection[str], contract: Contract, strict_nulls: bool) -> Column:
+    cells = [lookup(headers, level) for level in contract.defect]
     if len(cells) == 1:
         return strip(as_text(cells[0]))
     if not strict_nulls:
@@ -45,19 +45,20 @@ def to_unified(
 ) -> DataFrame:
     """One projection per source; rows are dropped only where the contract says so."""
     frame = extract.frame
-    day = lookup(frame, contract.date)
+    headers = frozenset(frame.columns)
+    day = lookup(headers, contract.date)
     if contract.requires_date:
         frame = frame.where(day.isNotNull())
     file = F.lit(extract.file) if isinstance(extract.file, str) else extract.file
-    order = [quoted(h).try_cast("bigint") for h in contract.row_order if h in frame.columns]
+    order = [quoted(h).try_cast("bigint") for h in contract.row_order if h in headers]
     return frame.select(
         F.lit(contract.label).alias("source"),
-        strip(as_text(lookup(frame, contract.plant))).alias("plant"),
-        strip(as_text(lookup(frame, contract.customer))).alias("customer"),
+        strip(as_text(lookup(headers, contract.plant))).alias("plant"),
+        strip(as_text(lookup(headers, contract.customer))).alias("customer"),
         parse_date(day, contract.date_formats).alias("incident_date"),
-        _defect(frame, contract, strict_nulls).alias("defect_category"),
-        to_money(lookup(frame, contract.credit)).alias("credit_requested_usd"),
-        to_quantity(lookup(frame, contract.quantity)).alias("qty_affected"),
+        _defect(headers, contract, strict_nulls).alias("defect_category"),
+        to_money(lookup(headers, contract.credit)).alias("credit_requested_usd"),
+        to_quantity(lookup(headers, contract.quantity)).alias("qty_affected"),
         file.alias("raw_source_file"),
         F.lit(run_id).alias("pipeline_run_id"),
         *([F.array(*order).alias(ROW_ORDER.name)] if order else []),

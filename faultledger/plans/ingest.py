@@ -6,15 +6,14 @@ from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 from uuid import uuid4
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from faultledger.config import Settings
-from faultledger.operators.cleaning import validate, validation_counts
+from faultledger.operators.cleaning import rule_counts, validate
 from faultledger.operators.mapping import normalize
 from faultledger.plans.alerting import alert_rows
 from faultledger.plans.report import write_report
-from faultledger.plans.store import IncidentStore, profile
+from faultledger.plans.store import IncidentStore
 from faultledger.sources.detect import detect_source_files
 from faultledger.sources.extracts import Extract, read_extracts
 
@@ -25,7 +24,7 @@ log = logging.getLogger(__name__)
 class RunResult:
     run_id: str
     inserted: int
-    counts: Row
+    counts: Mapping[str, int]
     report: str = ""
     failures: Mapping[str, str] = field(default_factory=dict)
 
@@ -50,33 +49,25 @@ def ingest(
 ) -> RunResult | None:
     """Load a set of extracts into the store; None if no valid row is left.
 
-    The parsed rows are kept for the run, since the counts, the load and the
-    alerts all read them; an executor that is lost parses its part again.
+    The extracts are parsed once, into a staged batch; the counts of the rules
+    come from that pass, and the load and the alerts read the staged rows.
     """
     settings = settings or Settings()
     started_at = datetime.now(timezone.utc)
-    unified, cleaned = clean_batch(store.spark, extracts, run_id, settings)
-    unified.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = validation_counts(unified).first()
-        if counts["kept_rows"] == 0:
-            log.error("no valid rows after cleaning")
-            return None
-        facts = profile(cleaned)
-        # Chosen before the load, which makes the new rows old.
-        new = None
-        if settings.alert_on_new_rows_only:
-            new = alert_rows(store.new_incidents(cleaned, facts), settings.single_incident_usd)
-            store.write_alerts(new, run_id)
-        names = [k for k, path in detected.items() if path] if detected else list(extracts)
-        inserted = store.load(
-            cleaned, run_id, started_at, names, list(extracts), settings, as_of, facts
-        )
-        if new is None:
-            store.write_alerts(alert_rows(cleaned, settings.single_incident_usd), run_id)
-        return RunResult(run_id, inserted, counts)
-    finally:
-        unified.unpersist()
+    counted = Observation("rules")
+    unified = normalize(
+        store.spark, extracts, run_id, settings.contracts, settings.fx_rates, settings.strict_nulls
+    )
+    batch, facts = store.stage(validate(unified.observe(counted, *rule_counts())), run_id)
+    if facts.rows == 0:
+        log.error("no valid rows after cleaning")
+        return None
+    names = [k for k, path in detected.items() if path] if detected else list(extracts)
+    inserted = store.load(batch, run_id, started_at, names, list(extracts), settings, as_of, facts)
+    alert_on = store.rows_of_run(run_id, facts) if settings.alert_on_new_rows_only else batch
+    store.write_alerts(alert_rows(alert_on, settings.single_incident_usd), run_id)
+    store.unstage(batch, run_id)
+    return RunResult(run_id, inserted, counted.get)
 
 
 def run_pipeline(
@@ -114,7 +105,7 @@ def run_pipeline(
     return RunResult(
         run_id,
         result.inserted if result else 0,
-        result.counts if result else Row(),
+        result.counts if result else {},
         report,
         failures,
     )

@@ -6,11 +6,11 @@ overwrites one path, and a failed job leaves nothing half written.
 """
 
 import logging
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from faultledger import schemas
@@ -32,8 +32,8 @@ _TEXT_KEYS = [c for c in KEY_COLUMNS if c != "incident_date"]
 
 
 @dataclass(frozen=True)
-class BatchProfile:
-    """Facts about a batch that decide how it is loaded; all of bounded size."""
+class BatchFacts:
+    """What decides how a batch is loaded; all of bounded size."""
 
     rows: int
     key_bytes: int
@@ -45,28 +45,27 @@ class BatchProfile:
     def is_small(self) -> bool:
         return self.key_bytes <= BROADCAST_KEY_BYTES
 
-
-def profile(batch: DataFrame) -> BatchProfile:
-    """One pass over a batch. There are only as many months as the calendar has."""
-    text_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in _TEXT_KEYS), F.lit(0))
-    row = (
-        batch.groupBy(F.trunc("incident_date", "month").alias("month"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(text_bytes + _KEY_OVERHEAD_BYTES).alias("bytes"),
-            F.count_if(~has_whole_key()).alias("partial"),
-        )
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum("bytes"), F.lit(0)).alias("key_bytes"),
-            F.collect_list(month_label(F.col("month"))).alias("months"),
-            F.coalesce(F.sum("partial"), F.lit(0)).alias("partial"),
+    @staticmethod
+    def columns() -> tuple[Column, ...]:
+        """The aggregates; there are only as many months as the calendar has."""
+        text_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in _TEXT_KEYS), F.lit(0))
+        months = F.transform(F.collect_set(F.trunc("incident_date", "month")), month_label)
+        return (
+            F.count(F.lit(1)).alias("rows"),
+            F.sum((text_bytes + _KEY_OVERHEAD_BYTES).cast("bigint")).alias("key_bytes"),
+            F.array_join(months, ",").alias("months"),
+            F.count_if(~has_whole_key()).alias("partial_keys"),
         )
-        .first()
-    )
-    return BatchProfile(
-        row["rows"], row["key_bytes"], tuple(sorted(row["months"])), row["partial"] == 0
-    )
+
+    @staticmethod
+    def of(found: Mapping) -> "BatchFacts":
+        months = tuple(sorted(m for m in found["months"].split(",") if m))
+        return BatchFacts(found["rows"], found["key_bytes"] or 0, months, found["partial_keys"] == 0)
+
+
+def batch_facts(batch: DataFrame) -> BatchFacts:
+    """The facts of a batch, by one pass over it."""
+    return BatchFacts.of(batch.agg(*BatchFacts.columns()).first().asDict())
 
 
 class IncidentStore:
@@ -99,6 +98,11 @@ class IncidentStore:
     def incidents(self) -> DataFrame:
         return self._table("quality_incidents", FACT)
 
+    def rows_of_run(self, run_id: str, facts: BatchFacts) -> DataFrame:
+        """What a run with these facts has added."""
+        added = F.col(MONTH).isin(*facts.months) & (F.col("pipeline_run_id") == run_id)
+        return self.incidents().where(added)
+
     def plants(self) -> DataFrame:
         return self._table("dim_plant", schemas.DIM_PLANT)
 
@@ -133,22 +137,40 @@ class IncidentStore:
         if not new.isEmpty():
             new.coalesce(1).write.mode("append").parquet(self.path("dim_plant"))
 
-    def new_incidents(self, batch: DataFrame, facts: BatchProfile | None = None) -> DataFrame:
+    def stage(self, batch: DataFrame, run_id: str) -> tuple[DataFrame, BatchFacts]:
+        """Write a batch once and read it from there, with its facts.
+
+        A batch is read more than once, and a written one does not have to be
+        parsed again when an executor is lost. The facts are counted in the
+        stage that writes, where each partition reports once.
+        """
+        target = f"{self.path('staging')}/run_id={run_id}"
+        facts = Observation("facts")
+        batch.observe(facts, *BatchFacts.columns()).write.mode("overwrite").parquet(target)
+        staged = self.spark.read.schema(batch.schema).parquet(target)
+        return staged, BatchFacts.of(facts.get)
+
+    def unstage(self, batch: DataFrame, run_id: str) -> None:
+        """Replace a staged batch by an empty one."""
+        empty = small_frame(self.spark, [], batch.schema)
+        empty.write.mode("overwrite").parquet(f"{self.path('staging')}/run_id={run_id}")
+
+    def new_incidents(self, batch: DataFrame, facts: BatchFacts | None = None) -> DataFrame:
         """The rows of a cleaned batch that the fact table does not have yet.
 
         The incident date is part of the key, so only the months of the batch
         are read from the history.
         """
-        facts = facts or profile(batch)
+        facts = facts or batch_facts(batch)
         history = self.incidents().where(F.col(MONTH).isin(*facts.months))
-        batch = first_per_incident(batch, facts.whole_keys)
-        return not_in_history(batch, history, facts.is_small)
+        first = first_per_incident(batch, facts.whole_keys)
+        return not_in_history(first, history, batch if facts.is_small else None)
 
     def insert_new(
         self,
         batch: DataFrame,
         loaded_at: datetime | None = None,
-        facts: BatchProfile | None = None,
+        facts: BatchFacts | None = None,
     ) -> int:
         """Append the new rows of a cleaned batch and return how many there were.
 
@@ -167,7 +189,6 @@ class IncidentStore:
             # Few files per month, and a month that holds much is split over tasks.
             .hint("rebalance", MONTH)
         )
-        # Counted in the stage that writes, where each partition reports once.
         written = Observation("inserted")
         (
             new.observe(written, F.count(F.lit(1)).alias("rows"))
@@ -235,7 +256,7 @@ class IncidentStore:
         sources_loaded: Iterable[str] | None = None,
         settings: Settings | None = None,
         as_of: date | None = None,
-        facts: BatchProfile | None = None,
+        facts: BatchFacts | None = None,
     ) -> int:
         """Insert, re-tier, log. A failure is logged with the rows inserted so far."""
         status, message, total = "SUCCESS", "", 0

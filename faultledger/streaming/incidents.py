@@ -2,7 +2,6 @@
 
 from collections.abc import Iterable, Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +13,7 @@ from faultledger.operators.cleaning import validate
 from faultledger.operators.mapping import normalize
 from faultledger.operators.ranking import credit_sum, incident_count
 from faultledger.plans.alerting import alert_rows
-from faultledger.plans.store import IncidentStore, profile
+from faultledger.plans.store import IncidentStore
 from faultledger.sources.contracts import Contract
 from faultledger.sources.extracts import Extract, prepare
 
@@ -69,15 +68,12 @@ def load_batch(store: IncidentStore, settings: Settings, run_id: str):
 
     def load(batch: DataFrame, batch_id: int) -> None:
         batch_run = f"{run_id}-{batch_id}"
-        batch = batch.withColumn("pipeline_run_id", F.lit(batch_run))
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            facts = profile(batch)
-            if facts.rows:
-                store.write_alerts(alert_rows(batch, settings.single_incident_usd), batch_run)
-                store.insert_new(batch, facts=facts)
-        finally:
-            batch.unpersist()
+        arrived = batch.withColumn("pipeline_run_id", F.lit(batch_run))
+        staged, facts = store.stage(arrived, batch_run)
+        if facts.rows:
+            store.write_alerts(alert_rows(staged, settings.single_incident_usd), batch_run)
+            store.insert_new(staged, facts=facts)
+            store.unstage(staged, batch_run)
 
     return load
 

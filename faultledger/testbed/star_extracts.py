@@ -197,13 +197,13 @@ def header_columns(key: str):
 
 def extracts(spark: SparkSession, sf_dir: str, condition=None) -> dict[str, Extract]:
     """The five raw extracts, optionally only the rows that meet a condition."""
-    path = landing(spark, sf_dir)
+    landed = spark.read.parquet(landing(spark, sf_dir))
+    if condition is not None:
+        landed = landed.where(condition)
     found = {}
     for key, contract in SETTINGS.contracts.items():
-        raw = spark.read.parquet(f"{path}/extract={key}")
-        if condition is not None:
-            raw = raw.where(condition)
-        frame = raw.select(*header_columns(key), F.col("file").alias("_file"))
+        # The source is the partition of the folder, so only its files are read.
+        frame = landed.where(F.col("extract") == key).select(*header_columns(key), F.col("file").alias("_file"))
         found[key] = Extract(prepare(frame, contract), quoted("_file"))
     return found
 

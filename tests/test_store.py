@@ -10,7 +10,7 @@ from faultledger.fixed_values import PLANTS
 from faultledger.operators.dedup import first_per_incident, not_in_history, with_key
 from faultledger.plans import store as store_module
 from faultledger.plans.alerting import alert_rows
-from faultledger.plans.store import IncidentStore, profile
+from faultledger.plans.store import IncidentStore, batch_facts
 from faultledger.schemas import FACT, MONTH, ROW_ORDER, UNIFIED
 from faultledger.testbed import star_extracts as star
 from faultledger.testbed.catalog import _cleaned
@@ -117,7 +117,7 @@ def test_rows_with_a_null_in_the_key_never_collide(spark, store):
         UNIFIED,
     )
     assert first_per_incident(rows).count() == 5
-    assert not profile(rows).whole_keys
+    assert not batch_facts(rows).whole_keys
     assert [store.insert_new(rows) for _ in range(2)] == [5, 4]
 
 
@@ -140,7 +140,7 @@ def test_one_key_that_holds_most_rows(spark, incidents):
 def test_broadcast_and_shuffle_find_the_same_new_rows(spark, sf_dir):
     batch = first_per_incident(_cleaned(spark, sf_dir), whole_keys=True).cache()
     history = batch.where("crc32(customer) % 3 = 0").withColumn("qty_affected", F.lit(-1.0))
-    small, large = (not_in_history(batch, history, s) for s in (True, False))
+    small, large = not_in_history(batch, history, _cleaned(spark, sf_dir)), not_in_history(batch, history)
     assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
     assert small.count() == batch.count() - history.count()
     batch.unpersist()
@@ -148,7 +148,7 @@ def test_broadcast_and_shuffle_find_the_same_new_rows(spark, sf_dir):
 
 def test_a_batch_beyond_the_broadcast_bound_is_loaded_the_same(spark, store, sf_dir, monkeypatch):
     rows = _cleaned(spark, sf_dir)
-    facts = profile(rows)
+    facts = batch_facts(rows)
     assert facts.is_small and facts.whole_keys and facts.rows == rows.count()
     monkeypatch.setattr(store_module, "BROADCAST_KEY_BYTES", 0)
     assert not facts.is_small
@@ -167,10 +167,10 @@ def test_second_batch_adds_what_the_first_has_not(spark, store, sf_dir):
 
 def test_months_of_the_batch(incidents, store):
     rows = incidents(("s", "p", "c", "2025-06-10", "d", 1, 1), ("s", "p", "c", "2025-06-30", "d", 1, 1), ("s", "p", "c", "2024-01-01", "d", 1, 1))
-    assert profile(rows).months == ("2024-01", "2025-06")
+    assert batch_facts(rows).months == ("2024-01", "2025-06")
     store.insert_new(rows)
     assert sorted(r[0] for r in store.incidents().select(MONTH).distinct().collect()) == ["2024-01", "2025-06"]
-    empty = profile(rows.limit(0))
+    empty = batch_facts(rows.limit(0))
     assert (empty.rows, empty.key_bytes, empty.months) == (0, 0, ())
     assert store.insert_new(rows.limit(0)) == 0
 
