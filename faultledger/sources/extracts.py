@@ -26,19 +26,27 @@ class Extract:
     file: str | Column
 
 
+_NA_LIST = ", ".join(f"'{token}'" for token in NA_TOKENS)
+
+
+def _name(header: str) -> str:
+    return "`" + header.replace("`", "``") + "`"
+
+
 def quoted(header: str) -> Column:
     """A column by its exact header text, whatever characters it has."""
-    return F.col("`" + header.replace("`", "``") + "`")
+    return F.col(_name(header))
 
 
 def null_tokens(frame: DataFrame) -> DataFrame:
     """Every column as text, with the NA tokens as nulls."""
-
-    def cell(header: str) -> Column:
-        text = quoted(header).cast("string")
-        return F.when(~text.isin(*NA_TOKENS), text).alias(header)
-
-    return frame.select(*[cell(h) for h in frame.columns])
+    # As SQL text, since a call for each token of each column takes a second per run.
+    return frame.selectExpr(
+        *[
+            f"if(string({name}) in ({_NA_LIST}), null, string({name})) as {name}"
+            for name in map(_name, frame.columns)
+        ]
+    )
 
 
 def drop_noise_rows(frame: DataFrame, contract: Contract) -> DataFrame:

@@ -2,6 +2,7 @@
 
 An HTML document has to be read as one text, so a file is one task; the work
 is parallel over files. Large extracts should be landed as CSV or Parquet.
+Spanning cells are not spread, and only the entities listed here are decoded.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,18 +29,20 @@ _ROW_START = r"(?i)<tr\b[^>]*>"
 _ROW_END = r"(?is)</tr\s*>.*|</?t(?:head|body|foot)\b[^>]*>"
 _CELL_START = r"(?i)<t[dh]\b[^>]*>"
 _CELL_END = r"(?is)</t[dh]\s*>.*"
-# Separators of thousands in a number, which this format drops.
-_GROUPED_NUMBER = r"^\s*[+-]?\d+(,\d+)+(\.\d*)?\s*$"
+# A number with separators of thousands, which this format drops.
+_GROUPED_NUMBER = r"^[+-]?(?:\d+,)+\d*(?:\.\d*)?(?:[eE]-?\d+)?$"
 
 
 def _cell_text(cell: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(cell, _CELL_END, ""), r"(?s)<[^>]*>", "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    text = strip(F.regexp_replace(text, r"\s+", " "))
-    return F.when(text.rlike(_GROUPED_NUMBER), F.replace(text, F.lit(","), F.lit(""))).otherwise(
-        text
-    )
+    return strip(F.regexp_replace(text, r"[\r\n]+|\s{2,}", " "))
+
+
+def _ungrouped(text: Column) -> Column:
+    plain = F.replace(text, F.lit(","), F.lit(""))
+    return F.when(text.rlike(_GROUPED_NUMBER), plain).otherwise(text)
 
 
 def table_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -63,8 +66,10 @@ def table_rows(spark: SparkSession, path: str) -> DataFrame:
         (F.col("markup").rlike(r"(?i)<th\b") & ~F.col("markup").rlike(r"(?i)<td\b")).alias(
             "is_header"
         ),
+        # Two steps, so that the text of a cell is made once and then named thrice.
         F.transform(
-            F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), _cell_text
+            F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), _cell_text),
+            _ungrouped,
         ).alias("cells"),
     ).where(F.size("cells") > 0)
 

@@ -142,6 +142,16 @@ def test_html_table(spark, tmp_path):
     assert [r["Customer"] for r in extract.collect()] == ["Beta & Sons", None, "Q&lt;A"]
 
 
+@pytest.mark.parametrize(
+    "text,value",
+    [("1,500", "1500"), ("-1,234,567.89", "-1234567.89"), ("12,5", "125"), ("5,", "5"), ("1,5e3", "15e3"),
+     ("1,,5", "1,,5"), (",5", ",5"), ("a,b", "a,b"), ("$1,500", "$1,500"), ("1500", "1500")],
+)
+def test_html_numbers_lose_separators(spark, tmp_path, text, value):
+    path = _file(tmp_path, "x.xls", f"<table><tr><th>a</th></tr><tr><td> {text}\n</td></tr></table>")
+    assert read_html_table(spark, path).first()["a"] == value
+
+
 def test_html_table_without_header_row(spark, tmp_path):
     path = _file(tmp_path, "x.xls", "<table><tr><td>a</td><td>1</td></tr><tr><td>b</td></tr></table>")
     frame = read_html_table(spark, path)
