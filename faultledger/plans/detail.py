@@ -53,5 +53,16 @@ def display(incidents: DataFrame) -> DataFrame:
     return sorted_records(incidents).withColumnsRenamed(DETAIL_HEADERS)
 
 
+# Texts are written as they are, blanks at their ends included.
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def export_csv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").option("header", True).csv(path)
+    """A directory of CSV files, written by all tasks."""
+    frame.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)

@@ -15,6 +15,7 @@ from faultledger.functions.dates import quarter_label, quarter_start
 from faultledger.functions.money import as_double
 from faultledger.functions.text import currency_text, joined_set
 from faultledger.operators.ranking import CREDIT, by_credit, top
+from faultledger.plans.detail import CSV_OPTIONS
 from faultledger.schemas import MONTH
 
 _KEYS = ("source", "plant", "defect_category", "customer", "quarter")
@@ -132,5 +133,6 @@ def write_report(
     ]
     bundle = tables(rolled, run_id, generated_at, sources) | {"raw": raw_export(incidents)}
     for name, table in bundle.items():
-        table.write.mode("overwrite").option("header", True).format(fmt).save(f"{target}/{name}")
+        options = CSV_OPTIONS if fmt == "csv" else {}
+        table.write.mode("overwrite").options(**options).format(fmt).save(f"{target}/{name}")
     return target

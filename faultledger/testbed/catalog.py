@@ -15,10 +15,12 @@ from faultledger.functions.money import as_double
 from faultledger.operators.cleaning import validation_counts
 from faultledger.operators.dedup import first_per_incident
 from faultledger.operators.filters import detail_filter, facet_filter
+from faultledger.operators.mapping import normalize
 from faultledger.plans import alerting, detail, overview, report, root_cause, scorecard
 from faultledger.plans.ingest import clean_batch, ingest
 from faultledger.plans.store import IncidentStore
-from faultledger.sources.extracts import Extract, prepare, quoted
+from faultledger.sources.extracts import Extract, prepare, quoted, read_extracts
+from faultledger.sources.facts import load_incidents
 from faultledger.streaming import incidents as streaming
 from faultledger.testbed import star_extracts as star
 
@@ -131,6 +133,34 @@ def tier_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.customers().select("customer_name", "risk_tier")
 
 
+def landed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extracts as CSV, JSON and Parquet files, read and mapped by their headers."""
+    root, files = star.shared_dir(spark), {}
+    landed = spark.read.parquet(star.landing(spark, sf_dir))
+    for key, columns in star.HEADERS.items():
+        fmt = {"Radius": "csv", "OBI": "csv", "Vision_MAS": "parquet"}.get(key, "json")
+        files[key] = f"{root}/{key}.{fmt}"
+        named = [F.col(column).alias(header) for header, column in columns.items()]
+        (
+            landed.where(F.col("extract") == key)
+            .select(*named)
+            .write.format(fmt)
+            .options(**detail.CSV_OPTIONS if fmt == "csv" else {})
+            .save(files[key])
+        )
+    contracts = star.SETTINGS.contracts
+    found, _ = read_extracts(spark, files, contracts, csv_multi_line=False)
+    unified = normalize(spark, found, "run-1", contracts, star.SETTINGS.fx_rates)
+    return _shown(unified, *_ROW[:-1])
+
+
+def kpi_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table is empty, so the views read a snapshot."""
+    empty = star.new_store(spark).path("quality_incidents")
+    snapshot = star.store(spark, sf_dir).path("quality_incidents")
+    return overview.kpi(load_incidents(spark, empty, snapshot))
+
+
 # -- views whose result needs other types to be compared -------------------------
 
 
@@ -155,6 +185,14 @@ def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail_filter(chosen, min_credit=500)
 
 
+def detail_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported records, as read back from the CSV files."""
+    path = star.shared_dir(spark)
+    detail.export_csv(detail.records(_chosen(spark, sf_dir)), path)
+    back = spark.read.csv(path, header=True)
+    return _shown(back.withColumn("qty_affected", F.col("qty_affected").cast("double")), *back.columns)
+
+
 def detail_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail.summary(_chosen(spark, sf_dir))
 
@@ -293,6 +331,8 @@ QUERIES = {
     "dedup_first_wins": dedup_first_wins,
     "upsert_second_batch": upsert_second_batch,
     "load_history": load_history,
+    "landed_formats": landed_formats,
+    "kpi_from_snapshot": kpi_from_snapshot,
     "tier_90d": _view(scorecard.rolling_tiers, AS_OF, WINDOW_TIERS),
     "tier_latest": tier_latest,
     "kpi": _view(overview.kpi),
@@ -309,6 +349,7 @@ QUERIES = {
     "month_trend": _view(overview.month_trend),
     "month_source_filtered": month_source_filtered,
     "detail_filtered": detail_filtered,
+    "detail_export": detail_export,
     "detail_summary": detail_summary,
     "detail_customer_summary": detail_customer_summary,
     "pareto_topn": _view(root_cause.pareto),

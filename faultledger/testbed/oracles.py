@@ -206,6 +206,11 @@ from fx"""
 from (select 'first' run_id, count(*) total_rows from fact
   union all select 'again', cast(0 as bigint)) t"""
     ),
+    "landed_formats": _on_extracts(f"select {_ROW.replace(', file raw_source_file', '')} from fx"),
+    "kpi_from_snapshot": _on_facts(
+        f"select count(*) incidents, {_SUM}, count(distinct plant) plants, "
+        "count(distinct customer) customers from fact"
+    ),
     "tier_90d": _on_facts(
         f"select customer, cast(total as double) credit_usd, {_tier('total', 3000, 1000)} risk_tier "
         f"from ({_recent('2001-11-04')}) t"
@@ -251,6 +256,7 @@ from ({_recent('2001-08-04')}) o full join ({_recent('2001-11-04')}) n on o.cust
 where source in ('radius', 'obi') and incident_date between date '2000-03-01' and date '2001-06-30'
   and defect_category = 'SMALL' and credit >= 1000"""
     ),
+    "detail_export": _on_facts(f"select {_DETAIL}, qty qty_affected from fact where {_CHOSEN}"),
     "detail_summary": _on_facts(f"select {_SUMMARY} from fact where {_CHOSEN}"),
     "detail_customer_summary": _on_facts(f"select {_SUMMARY} from fact where customer = 'Unknown'"),
     "pareto_topn": _pareto(10),

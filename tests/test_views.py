@@ -98,6 +98,13 @@ def test_detail_display_and_export(spark, few, tmp_path):
     assert back.columns[0] == "incident_date" and back.count() == 5
 
 
+def test_export_keeps_texts_as_they_are(spark, tmp_path):
+    texts = [" padded ", 'say "hi", twice', "two\nlines", "back\\slash", "tab\t"]
+    detail.export_csv(spark.createDataFrame([(t,) for t in texts], "customer string"), str(tmp_path / "csv"))
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"', multiLine=True)
+    assert sorted(r[0] for r in back.collect()) == sorted(texts)
+
+
 def test_pareto(few):
     more = root_cause.pareto(few, 5)
     assert [r[:3] for r in _rows(more)] == [("d3", 1, 200.0), ("d2", 2, 150.0), ("d1", 2, 100.0)]
