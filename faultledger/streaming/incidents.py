@@ -95,7 +95,7 @@ def start_ingest(
 
 
 def weekly_totals(incidents: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Count and sum per week from Monday over a stream with an ``event_time``.
+    """Count and sum per week, from Monday in UTC, over a stream with an ``event_time``.
 
     The state is one row per week. Without a watermark every week is open, for
     complete output; with one, later rows are dropped and closed weeks come out

@@ -7,6 +7,7 @@ modulo expressions below are that dirt, they select no part of the tables.
 
 from dataclasses import replace
 from decimal import Decimal
+from tempfile import mkdtemp
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,10 +156,15 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder that the cluster names."""
+    """A new folder below the checkpoint folder that the cluster names.
+
+    Only a local session, whose one machine is the whole cluster, may do without.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = mkdtemp(prefix="run-")
     return f"{root.rstrip('/')}/faultledger/{uuid4().hex}"
 
 
