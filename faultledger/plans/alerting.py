@@ -101,7 +101,8 @@ def weekly_payload(incidents: DataFrame) -> DataFrame:
     """The one row of the weekly message; N/A stands for no top plant or customer."""
 
     def leader(name):
-        largest = F.min(F.when(_in_set(name) & F.col(name).isNotNull(), F.struct(-F.col("credit"), F.col(name))))
+        named = _in_set(name) & F.col(name).isNotNull()
+        largest = F.min(F.when(named, F.struct(-F.col("credit"), F.col(name))))
         return F.coalesce(largest[name], F.lit("N/A")).alias(f"top_{name}")
 
     return (

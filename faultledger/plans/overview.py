@@ -123,9 +123,8 @@ def facets(incidents: DataFrame) -> DataFrame:
     One grouping-sets aggregate, hence one scan for all of them.
     """
     names = ("source", "plant", "customer", "defect_category")
-    loaded = (
-        F.max("loaded_at") if "loaded_at" in incidents.columns else F.max(F.lit(None).cast("timestamp"))
-    )
+    has_load = "loaded_at" in incidents.columns
+    loaded = F.max(F.col("loaded_at") if has_load else F.lit(None).cast("timestamp"))
     sets = incidents.groupingSets([[n] for n in names] + [[]], *names).agg(
         F.grouping_id().alias("gid"),
         F.min("incident_date").cast("string").alias("first"),

@@ -41,7 +41,9 @@ def scorecard(incidents: DataFrame, settings: Settings | None = None) -> DataFra
     # In the grouping id, the bit of a column that is in the set is 0.
     of_defect, of_plant, of_source = (F.col("gid") == g for g in (0b0011, 0b0101, 0b0110))
     # Most incidents first, then the name.
-    lead = F.when(of_defect & F.col(defect).isNotNull(), F.struct(-F.col("n"), F.col(defect).alias("name")))
+    lead = F.when(
+        of_defect & F.col(defect).isNotNull(), F.struct(-F.col("n"), F.col(defect).alias("name"))
+    )
     # This aggregate holds texts and sets, so it sorts; the hash, first among its
     # keys, settles the order of nearly every two names without reading them.
     return (

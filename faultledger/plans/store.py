@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from faultledger import schemas
 from faultledger.config import Settings
 from faultledger.functions.dates import month_label
-from faultledger.functions.money import risk_tier
 from faultledger.operators.dedup import first_per_incident, has_whole_key, not_in_history
+from faultledger.plans.scorecard import rolling_tiers
 from faultledger.schemas import FACT, KEY_COLUMNS, MONTH
 from faultledger.sources.local import small_frame
 
@@ -60,7 +60,8 @@ class BatchFacts:
     @staticmethod
     def of(found: Mapping) -> "BatchFacts":
         months = tuple(sorted(m for m in found["months"].split(",") if m))
-        return BatchFacts(found["rows"], found["key_bytes"] or 0, months, found["partial_keys"] == 0)
+        whole_keys = found["partial_keys"] == 0
+        return BatchFacts(found["rows"], found["key_bytes"] or 0, months, whole_keys)
 
 
 def batch_facts(batch: DataFrame) -> BatchFacts:
@@ -205,8 +206,6 @@ class IncidentStore:
         settings: Settings | None = None,
         updated_at: datetime | None = None,
     ) -> None:
-        from faultledger.plans.scorecard import rolling_tiers
-
         tiers = rolling_tiers(self.incidents(), as_of, settings or Settings())
         tiers.select(
             F.col("customer").alias("customer_name"),

@@ -18,7 +18,9 @@ def read_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | Non
         return None
 
 
-def load_incidents(spark: SparkSession, fact_path: str, snapshot_path: str | None = None) -> DataFrame:
+def load_incidents(
+    spark: SparkSession, fact_path: str, snapshot_path: str | None = None
+) -> DataFrame:
     """The fact table; a Parquet snapshot where it is absent or has no rows."""
     fact = read_or_none(spark, fact_path, FACT)
     if fact is not None and not fact.isEmpty():

@@ -83,7 +83,9 @@ def read_html_table(spark: SparkSession, path: str) -> DataFrame:
     named = first["is_header"]
     names = first["cells"] if named else [str(i) for i in range(len(first["cells"]))]
     data = rows.where(F.col("row") > first["row"]) if named else rows
-    unique = [n if names.index(n) == i else f"{n}.{names[:i].count(n)}" for i, n in enumerate(names)]
+    # The second "a" becomes "a.1", and so on.
+    earlier = [names[:i].count(name) for i, name in enumerate(names)]
+    unique = [f"{name}.{n}" if n else name for name, n in zip(names, earlier)]
     return data.select(
         *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(unique)]
     )

@@ -31,9 +31,14 @@ _RELABELLED = {
 }
 SETTINGS = Settings(
     contracts={
-        key: replace(CONTRACTS[key], row_order=_ORDER, **names) for key, names in _RELABELLED.items()
+        key: replace(CONTRACTS[key], row_order=_ORDER, **names)
+        for key, names in _RELABELLED.items()
+    },
+    fx_rates={
+        "NATION_5": Decimal("0.05"),
+        "NATION_6": Decimal("0.05"),
+        "NATION_7": Decimal("0.74"),
     },
-    fx_rates={"NATION_5": Decimal("0.05"), "NATION_6": Decimal("0.05"), "NATION_7": Decimal("0.74")},
     # The largest credit of the fixture is about 10,500.
     single_incident_usd=9_000,
 )

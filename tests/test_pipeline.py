@@ -3,8 +3,9 @@ from datetime import date
 import pytest
 
 from faultledger.config import Settings
-from faultledger.plans.ingest import run_pipeline
+from faultledger.plans.ingest import ingest, run_pipeline
 from faultledger.plans.store import IncidentStore
+from faultledger.sources.extracts import Extract
 
 RADIUS = """Report#,Plant Name,Customer,ReportDate,Reason for Rejection,Value,Quantity
 R1,MCC Louisville,Acme Corp,2025-06-15,Color mismatch,60000.00,200
@@ -82,3 +83,9 @@ def test_no_files_no_readable_file_no_valid_row(spark, tmp_path):
     store = IncidentStore(spark, str(tmp_path / "store"))
     assert store.incidents().count() == store.runs().count() == 0
     assert run_pipeline(spark, str(empty), str(tmp_path / "store"), report_only=True).report == ""
+
+
+def test_no_source_that_can_be_mapped(spark, tmp_path):
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    assert ingest(store, {"Radius": Extract(None, "x"), "other": Extract(None, "y")}, "r") is None
+    assert store.runs().count() == 0
