@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultledger.llm import byte_bpe
+from faultledger.llm import byte_bpe, language_id, simhash
 from faultledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,31 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op9_byte_bpe": op9_byte_bpe}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_components(table(spark, sf_dir, "documents"), size=3, max_bits=3)
+    fingerprint = F.lpad(F.lower(F.hex("simhash")), 16, "0")
+    return groups.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+
+
+def held_out() -> Column:
+    """Rows whose language no model may learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> language_id.Model:
+    return language_id.fit(docs.where(~held_out()), key="doc_id")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return language_id.predict(texts, language_model(docs)).drop("text")
+
+
+QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_simhash": op10_simhash,
+}
 
 ORACLES: dict[str, str] = {}

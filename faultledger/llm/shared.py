@@ -57,10 +57,5 @@ def schema_with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in fields)])
 
 
-def hash_order(*columns: str | Column) -> Column:
-    """A fixed order of rows that has nothing to do with their values' order."""
-    return F.xxhash64(*columns)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
