@@ -11,10 +11,9 @@ whatever its length.
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +23,12 @@ from pyspark.sql import types as T
 
 from faultledger.llm.shared import schema_with, without
 
-#: Unicode white space, as ``\s`` of the pre-token patterns has it.
-WHITE = "\t-\r \x85\xa0  -     　"
 #: Bits of a lower word.
 WORD_BITS = 8
-#: Chunks and pre-tokens that a worker remembers (some 200 bytes each), and the longest that it does.
-CHUNK_ENTRIES = 250_000
-PIECE_ENTRIES = 700_000
-CACHE_LENGTH = 48
+WORD_MASK = (1 << WORD_BITS) - 1
+#: Pre-tokens in either memory of a worker (some 200 bytes each), and the longest that is kept.
+REMEMBERED = 400_000
+REMEMBERED_LENGTH = 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,67 +39,65 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token."""
-    whole = ranks.get(piece)
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     size = len(piece)
     after = list(range(1, size + 1))
     before = list(range(-1, size - 1))
-    current = [-1] * size
+    current = [get(piece[i : i + 2], -1) for i in range(size - 1)]
+    current.append(-1)
     buckets: dict[int, list[int]] = {}
-    lower: dict[int, int] = {}
+    lower = [0] * ((len(ranks) >> WORD_BITS) + 1)
     upper = 0
-    for i in range(size - 1):
-        rank = ranks.get(piece[i : i + 2], -1)
-        current[i] = rank
+    for i, rank in enumerate(current):
         if rank >= 0:
-            if rank in buckets:
-                buckets[rank].append(i)
+            bucket = buckets.get(rank)
+            if bucket is not None:
+                bucket.append(i)
             else:
                 buckets[rank] = [i]
                 word = rank >> WORD_BITS
-                lower[word] = lower.get(word, 0) | 1 << (rank & 255)
+                lower[word] |= 1 << (rank & WORD_MASK)
                 upper |= 1 << word
-    for bucket in buckets.values():
-        heapify(bucket)
     while upper:
         word = (upper & -upper).bit_length() - 1
         bits = lower[word]
-        rank = word << WORD_BITS | (bits & -bits).bit_length() - 1
+        first = bits & -bits
+        rank = (word << WORD_BITS) + first.bit_length() - 1
         bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
             del buckets[rank]
-            lower[word] = bits = bits & (bits - 1)
+            lower[word] = bits = bits ^ first
             if not bits:
-                upper &= upper - 1
+                upper ^= 1 << word
         if current[i] != rank:
             continue
         middle = after[i]
-        end = after[middle]
-        after[i] = end
+        end = after[i] = after[middle]
         current[middle] = -1
+        left = before[i]
         if end < size:
             before[end] = i
-            found = ranks.get(piece[i : after[end]], -1)
+            current[i] = get(piece[i : after[end]], -1)
         else:
-            found = -1
-        current[i] = found
-        left = before[i]
-        changed = ((i, found),)
+            current[i] = -1
         if left >= 0:
-            back = ranks.get(piece[left:end], -1)
-            current[left] = back
-            changed = ((left, back), (i, found))
-        for place, value in changed:
-            if value < 0:
+            current[left] = get(piece[left:end], -1)
+        for place in (left, i):
+            if place < 0 or (rank := current[place]) < 0:
                 continue
-            if value in buckets:
-                heappush(buckets[value], place)
+            bucket = buckets.get(rank)
+            if bucket is not None:
+                heappush(bucket, place)
             else:
-                buckets[value] = [place]
-                word = value >> WORD_BITS
-                lower[word] = lower.get(word, 0) | 1 << (value & 255)
+                buckets[rank] = [place]
+                word = rank >> WORD_BITS
+                lower[word] |= 1 << (rank & WORD_MASK)
                 upper |= 1 << word
     out = []
     i = 0
@@ -113,45 +108,34 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Turns texts into ids, as int32 bytes, and remembers what it has encoded.
+    """Turns texts into ids, as int32 bytes, and remembers the pre-tokens it has encoded.
 
-    The pattern's matches never reach over the end of a white-space run, but for
-    one leading space. So a text is first cut into chunks (an optional space and a
-    run of other characters, or white space). The ids of short chunks and of short
-    pre-tokens are remembered; either memory is emptied when it is full. Only the
-    ranks and the pattern are shipped; a worker keeps its memories between tasks.
+    Short pre-tokens are kept in a young and an old memory: a full young one becomes
+    the old one, so what occurs often stays and the size is bounded. Only the ranks
+    and the pattern are shipped; a worker keeps its memories between tasks.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, pattern
         self.pieces = regex.compile(pattern).findall
-        self.chunks = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self.of_chunk: dict[str, bytes] = {}
-        self.of_piece: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __reduce__(self) -> tuple:
         return Encoder, (self.ranks, self.pattern)
 
     def _piece(self, piece: str) -> bytes:
-        out = array("i", merge(piece.encode(), self.ranks)).tobytes()
-        if len(piece) <= CACHE_LENGTH:
-            if len(self.of_piece) >= PIECE_ENTRIES:
-                self.of_piece.clear()
-            self.of_piece[piece] = out
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        get = self.of_piece.get
-        out = b"".join([get(piece) or self._piece(piece) for piece in self.pieces(chunk)])
-        if len(chunk) <= CACHE_LENGTH:
-            if len(self.of_chunk) >= CHUNK_ENTRIES:
-                self.of_chunk.clear()
-            self.of_chunk[chunk] = out
+        out = self.old.get(piece) or array("i", merge(piece.encode(), self.ranks)).tobytes()
+        if len(piece) <= REMEMBERED_LENGTH:
+            if len(self.young) >= REMEMBERED:
+                self.old = self.young.copy()
+                self.young.clear()
+            self.young[piece] = out
         return out
 
     def __call__(self, text: str) -> bytes:
-        get = self.of_chunk.get
-        return b"".join([get(chunk) or self._chunk(chunk) for chunk in self.chunks(text)])
+        get = self.young.get
+        return b"".join([get(piece) or self._piece(piece) for piece in self.pieces(text)])
 
 
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:

@@ -43,12 +43,11 @@ def test_lower_rank_appears_later():
 
 
 def test_memories_are_bounded(ranks, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CHUNK_ENTRIES", 3)
-    monkeypatch.setattr(byte_bpe, "PIECE_ENTRIES", 2)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2)
     encode = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
     text = "the other words, and more of the other words" * 3
     assert memoryview(encode(text)).cast("i").tolist() == library.encode_ordinary(text)
-    assert len(encode.of_chunk) <= 3 and len(encode.of_piece) <= 2
+    assert len(encode.young) <= 2 and len(encode.old) <= 2
 
 
 def test_edge_rows(spark, ranks):
