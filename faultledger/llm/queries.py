@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultledger.llm import byte_bpe, language_id, simhash
+from faultledger.llm import byte_bpe, language_id, line_dedup, mixing, pii, simhash
 from faultledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,30 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+#: Share of a source's documents beyond which a line is boilerplate, and documents it must stand on.
+LINE_RATIO, LINE_PAGES = 0.1, 5
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents, with the source as the host."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = line_dedup.drop_lines(docs, host="source", ratio=LINE_RATIO, min_pages=LINE_PAGES, lines="n_lines", dropped="n_dropped")
+    return out.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the fixed patterns' spans; ``spans`` has those of the field too."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda span: span["base"])
+    of_kind = F.transform(base, lambda span: span["kind"])
+    counts = [(F.size(of_kind) - F.size(F.array_remove(of_kind, kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_components(table(spark, sf_dir, "documents"), size=3, max_bits=3)
     fingerprint = F.lpad(F.lower(F.hex("simhash")), 16, "0")
@@ -54,8 +78,67 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
+    "op4_mixing": op4_mixing,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": r"""
+with d as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) as h
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+r as (
+  select *, [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight
+  from s),
+f as (
+  select *, sum(source_size) over () - 3 * coalesce(sum(source_size) over before, 0) as rest,
+    sum(weight) over () - coalesce(sum(weight) over before, 0) as left_weight
+  from r window before as (order by source_size / weight, source is null, source rows between unbounded preceding and 1 preceding)),
+l as (
+  select rest, left_weight from f where rest * weight <= 3 * source_size * left_weight
+  order by source_size / weight, source is null, source limit 1),
+t as (
+  select f.source, f.source_size, case when f.rest * weight <= 3 * source_size * f.left_weight
+    then cast(l.rest * weight as double) / cast(l.left_weight as double) else cast(3 * source_size as double) end as target
+  from f cross join l),
+x as (
+  select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end as f_times from t),
+b as (select *, target - f_times * source_size as budget from x),
+g as (select source, h, sum(size) as words from d group by source, h),
+c as (select *, sum(words) over (partition by source order by h) as through from g),
+e as (
+  select c.source, min(c.h) as h from c join b on c.source is not distinct from b.source
+  where c.through > b.budget group by c.source),
+k as (
+  select e.source, e.h, c.through - b.budget < b.budget - (c.through - c.words) as nearer
+  from e join c on c.source is not distinct from e.source and c.h = e.h
+  join b on b.source is not distinct from e.source)
+select d.doc_id, d.size, b.source_size, b.target,
+  cast(d.size * (b.f_times + case when k.h is null or d.h < k.h or (d.h = k.h and k.nearer) then 1 else 0 end) as bigint) as taken
+from d join b on b.source is not distinct from d.source left join k on k.source is not distinct from d.source""",
+    "op6_line_dedup": f"""
+with d as (select doc_id, source, text, string_split(text, chr(10)) as every from documents),
+u as (
+  select source, unnest(list_distinct(list_filter(list_transform(every, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) as line
+  from d),
+c as (select source, line, count(*) as pages from u group by source, line),
+p as (select source, count(*) as total from d group by source),
+b as (
+  select c.source, list(c.line) as gone from c join p on c.source is not distinct from p.source
+  where c.pages >= {LINE_PAGES} and c.pages > p.total * {LINE_RATIO} group by c.source),
+k as (
+  select d.*, list_filter(d.every, lambda x: not list_contains(coalesce(b.gone, []), trim(x, ' ' || chr(9) || chr(13)))) as kept
+  from d left join b on b.source is not distinct from d.source),
+m as (
+  select *, len(list_filter(kept, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) > 0 and len(kept) < len(every) as changed
+  from k)
+select doc_id, case when changed then array_to_string(kept, chr(10)) else text end as text,
+  cast(coalesce(len(list_filter(every, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')), 0) as bigint) as n_lines,
+  cast(case when changed then len(every) - len(kept) else 0 end as bigint) as n_dropped
+from m""",
+}
