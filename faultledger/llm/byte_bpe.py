@@ -3,9 +3,9 @@
 A pre-token is a linked list of byte runs. Every adjacent pair that has a rank
 stands in the bucket of that rank, by its left position. A bitmap of two levels
 tells which buckets hold anything: find-first-set on the upper word and then on
-the lower one gives the next rank. Entries whose pair has changed since are
-skipped when they come up. The cost of a pre-token of n bytes is O(n log n)
-whatever its length.
+the lower one (256 ranks each) gives the next rank. Entries whose pair has changed
+since are skipped when they come up. The cost of a pre-token of n bytes is
+O(n log n) whatever its length.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ from pyspark.sql import types as T
 
 from faultledger.llm.shared import schema_with, without
 
-#: Bits of a lower word.
-WORD_BITS = 8
-WORD_MASK = (1 << WORD_BITS) - 1
 #: Pre-tokens in either memory of a worker (some 200 bytes each), and the longest that is kept.
 REMEMBERED = 400_000
 REMEMBERED_LENGTH = 48
@@ -37,8 +34,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
+def words_of(ranks: dict[bytes, int]) -> int:
+    """Lower words that a bitmap of these ranks has."""
+    return (max(ranks.values(), default=0) >> 8) + 1
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], words: int) -> list[int]:
+    """The ids of one pre-token; ``words`` is ``words_of(ranks)``."""
     get = ranks.get
     whole = get(piece)
     if whole is not None:
@@ -49,7 +51,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     current = [get(piece[i : i + 2], -1) for i in range(size - 1)]
     current.append(-1)
     buckets: dict[int, list[int]] = {}
-    lower = [0] * ((len(ranks) >> WORD_BITS) + 1)
+    lower = [0] * words
     upper = 0
     for i, rank in enumerate(current):
         if rank >= 0:
@@ -58,14 +60,14 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 bucket.append(i)
             else:
                 buckets[rank] = [i]
-                word = rank >> WORD_BITS
-                lower[word] |= 1 << (rank & WORD_MASK)
+                word = rank >> 8
+                lower[word] |= 1 << (rank & 255)
                 upper |= 1 << word
     while upper:
         word = (upper & -upper).bit_length() - 1
         bits = lower[word]
         first = bits & -bits
-        rank = (word << WORD_BITS) + first.bit_length() - 1
+        rank = (word << 8) + first.bit_length() - 1
         bucket = buckets[rank]
         if len(bucket) > 1:
             i = heappop(bucket)
@@ -80,25 +82,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         middle = after[i]
         end = after[i] = after[middle]
         current[middle] = -1
+        # the two pairs that this opens; written out twice, as a call each would cost a fifth of the time
         left = before[i]
+        if left >= 0:
+            current[left] = rank = get(piece[left:end], -1)
+            if rank >= 0:
+                bucket = buckets.get(rank)
+                if bucket is not None:
+                    heappush(bucket, left)
+                else:
+                    buckets[rank] = [left]
+                    word = rank >> 8
+                    lower[word] |= 1 << (rank & 255)
+                    upper |= 1 << word
         if end < size:
             before[end] = i
-            current[i] = get(piece[i : after[end]], -1)
+            current[i] = rank = get(piece[i : after[end]], -1)
+            if rank >= 0:
+                bucket = buckets.get(rank)
+                if bucket is not None:
+                    heappush(bucket, i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 8
+                    lower[word] |= 1 << (rank & 255)
+                    upper |= 1 << word
         else:
             current[i] = -1
-        if left >= 0:
-            current[left] = get(piece[left:end], -1)
-        for place in (left, i):
-            if place < 0 or (rank := current[place]) < 0:
-                continue
-            bucket = buckets.get(rank)
-            if bucket is not None:
-                heappush(bucket, place)
-            else:
-                buckets[rank] = [place]
-                word = rank >> WORD_BITS
-                lower[word] |= 1 << (rank & WORD_MASK)
-                upper |= 1 << word
     out = []
     i = 0
     while i < size:
@@ -116,7 +126,7 @@ class Encoder:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern = ranks, pattern
+        self.ranks, self.pattern, self.words = ranks, pattern, words_of(ranks)
         self.pieces = regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -125,7 +135,7 @@ class Encoder:
         return Encoder, (self.ranks, self.pattern)
 
     def _piece(self, piece: str) -> bytes:
-        out = self.old.get(piece) or array("i", merge(piece.encode(), self.ranks)).tobytes()
+        out = self.old.get(piece) or array("i", merge(piece.encode(), self.ranks, self.words)).tobytes()
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self.young) >= REMEMBERED:
                 self.old = self.young.copy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultledger.llm import byte_bpe, language_id, line_dedup, mixing, pii, simhash
+from faultledger.llm import byte_bpe, language_id, line_dedup, mixing, pii, simhash, substring_dedup
 from faultledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the fixed patterns' spans; ``spans`` has those of the field too."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
@@ -141,4 +147,20 @@ select doc_id, case when changed then array_to_string(kept, chr(10)) else text e
   cast(coalesce(len(list_filter(every, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')), 0) as bigint) as n_lines,
   cast(case when changed then len(every) - len(kept) else 0 end as bigint) as n_dropped
 from m""",
+    "op7_substring_dedup": r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents),
+x as (
+  select doc_id, i, array_to_string(words[i:i + 49], ' ') as said
+  from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w)),
+f as (select said, min(doc_id) as owner from x group by said),
+g as (
+  select distinct doc_id, unnest(range(i, i + 50)) as place
+  from x join f using (said) where owner < doc_id),
+p as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from w),
+k as (
+  select p.doc_id, string_agg(word, ' ' order by place) as kept, count(*) as n_kept
+  from p anti join g using (doc_id, place) group by p.doc_id)
+select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n_kept, 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (doc_id)""",
 }

@@ -33,13 +33,18 @@ def test_random_strings(ranks, library):
 
 def test_long_pre_token(ranks, library):
     text = "abcaab" * 5000
-    assert byte_bpe.merge(text.encode(), ranks) == library.encode_ordinary(text)
+    assert byte_bpe.merge(text.encode(), ranks, byte_bpe.words_of(ranks)) == library.encode_ordinary(text)
 
 
 def test_lower_rank_appears_later():
     # "abc" ranks below "ab": the rank that a merge opens comes before the rest of the bucket.
     ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4, b"abcab": 5}
-    assert byte_bpe.merge(b"abcabc", ranks) == [3, 3]
+    assert byte_bpe.merge(b"abcabc", ranks, 1) == [3, 3]
+
+
+def test_ranks_with_gaps():
+    ranks = {b"a": 0, b"b": 70_000, b"ab": 900_000}
+    assert byte_bpe.merge(b"abab", ranks, byte_bpe.words_of(ranks)) == [900_000, 900_000]
 
 
 def test_memories_are_bounded(ranks, library, monkeypatch):
