@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultledger.llm import byte_bpe, language_id, line_dedup, mixing, pii, simhash, substring_dedup
+from faultledger.llm import ann, byte_bpe, exact_topk, language_id, line_dedup, mixing, pii, simhash, substring_dedup
 from faultledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -82,8 +90,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
     "op4_mixing": op4_mixing,
+    "op5_exact_topk": op5_exact_topk,
     "op6_line_dedup": op6_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_pii": op8_pii,
@@ -127,6 +137,16 @@ k as (
 select d.doc_id, d.size, b.source_size, b.target,
   cast(d.size * (b.f_times + case when k.h is null or d.h < k.h or (d.h = k.h and k.nearer) then 1 else 0 end) as bigint) as taken
 from d join b on b.source is not distinct from d.source left join k on k.source is not distinct from d.source""",
+    "op5_exact_topk": r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, x.vec_id, cast(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v x on q.vec_id <> x.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
     "op6_line_dedup": f"""
 with d as (select doc_id, source, text, string_split(text, chr(10)) as every from documents),
 u as (

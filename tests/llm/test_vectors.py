@@ -1,0 +1,104 @@
+"""Exact and approximate vector search against brute force."""
+
+import math
+
+import numpy as np
+import pytest
+from oracle import assert_same
+
+from faultledger.llm import ann, exact_topk, queries
+from faultledger.llm import vector_blocks as blocks
+
+FIELDS = "vec_id long, embedding array<double>, id string, side int"
+
+
+def plain(rows, every, k, change=lambda v: v):
+    seen = {(i, tuple(v)) for i, v in rows if i is not None and v is not None}
+    vectors = [(i, change(np.array(v))) for i, v in seen]
+    out = []
+    for q, v in vectors:
+        if q % every == 0:
+            scored = sorted((-float((w * v).sum()), i) for i, w in vectors if i != q)[:k]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [float(x) for x in v], "x", 1) for i, v in rows], FIELDS)
+
+
+def test_exact_query_against_sql(spark, sf_dir):
+    assert_same(queries.op5_exact_topk(spark, sf_dir), queries.ORACLES["op5_exact_topk"], sf_dir)
+
+
+@pytest.mark.parametrize("size", [5, 2048])
+def test_exact_with_small_blocks_hot_vectors_and_ties(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks, "ROWS", size)
+    monkeypatch.setattr(blocks, "QUERIES", 3)
+    draw = np.random.default_rng(3)
+    rows = [(i, (draw.normal(size=5) * draw.choice([0.1, 1, 3])).tolist()) for i in range(80)]
+    rows += [(i, [0.5, 0.25, 0, 0, 1]) for i in range(80, 130)] + [(130, [0.0] * 5), rows[0], rows[1]]
+    got = sorted(tuple(r) for r in exact_topk.exact_top_k(table(spark, rows), every=10, k=7).collect())
+    assert got == plain(rows, 10, 7, lambda v: np.floor(1024 * v))
+
+
+def test_exact_edge_rows(spark):
+    bad = [(0, None), (100, []), (200, [1.0, math.nan]), (300, [1.0, math.inf]), (None, [1.0, 1.0]), (400, [1.0, 2.0, 3.0])]
+    good = [(500, [1.0, 0.5]), (501, [-1.0, 2.0])]
+    got = [tuple(r) for r in exact_topk.exact_top_k(table(spark, bad + good)).collect()]
+    assert got == [(500, 1, 501, -1024 * 1024 + 512 * 2048)]
+    with_null = spark.createDataFrame([(0, [1.0, None]), (100, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert exact_topk.exact_top_k(with_null).count() == 0
+    assert exact_topk.exact_top_k(with_null.limit(0)).count() == 0
+    assert exact_topk.dots(np.array([[2.0**30, 1.0]]), np.array([2.0**30, 1.0])).tolist() == [float(2**60 + 1)]
+
+
+def test_bounds_hold():
+    draw = np.random.default_rng(5)
+    vectors = np.floor(draw.normal(size=(400, 6)) * 100)
+    pivots = exact_topk.PivotTable(vectors, float((vectors**2).sum(axis=1).max()), 5)
+    cells, sides = pivots.cells(vectors)
+    for q, side in zip(vectors[:40], pivots.query_sides(vectors[:40]), strict=True):
+        assert (pivots.upper(np.abs(sides - side).max(axis=1), q @ q) >= vectors @ q).all()
+    # the table does rule rows out
+    assert len(np.unique(cells)) > 1
+    assert (pivots.upper(np.abs(sides - side).max(axis=1), q @ q) < np.sort(vectors @ q)[-5]).any()
+
+
+def test_chi_square():
+    assert ann.chi_square(15.507, 8) == pytest.approx(0.95, abs=1e-4)
+    assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+
+
+def test_tree_splits_evenly():
+    points = np.random.default_rng(1).normal(size=(1000, 4))
+    tree = ann.Tree(points, 8)
+    assert sorted(set(tree.leaf(points))) == list(range(8))
+    assert np.bincount(tree.leaf(points)).max() <= 126
+    assert set(ann.Tree(np.ones((50, 2)), 8).leaf(np.ones((9, 2)))) == {0}
+
+
+@pytest.mark.parametrize("size", [64, 2048])
+def test_recall(spark, sf_dir, monkeypatch, size):
+    monkeypatch.setattr(blocks, "ROWS", size)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = plain(rows, 20, 20)
+    got = queries.op1_ann(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    scores = {(q, i): s for q, _, i, s in plain(rows, 20, len(rows))}
+    assert all(r.score == pytest.approx(scores[r.query_id, r.vec_id], abs=1e-12) for r in got)
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert len(found & {(q, i) for q, _, i, _ in want}) >= 0.93 * len(want)
+
+
+def test_ann_hot_vector_ties_and_edge_rows(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 16)
+    hot = [0.3, 0.1, 0.2, 0.7]
+    rows = [(i, hot) for i in range(100)] + [(100, [0.0] * 4), (120, None), (140, [1.0, 2.0]), (160, [math.nan] * 4)] + [(i, [0.1, 0.0, 0.0, i / 1000]) for i in range(161, 181)] + [(0, hot)]
+    got = {}
+    for r in ann.nearest(table(spark, rows), every=20, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {0, 20, 40, 60, 80, 180}
+    assert got[40] == list(range(20)) and got[0] == list(range(1, 21))
+    assert ann.nearest(table(spark, rows).limit(0)).count() == 0
+    assert ann.nearest(table(spark, [(0, [1.0, 0.0]), (20, [0.0, 1.0])])).count() == 2
