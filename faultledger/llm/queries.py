@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultledger.llm import ann, byte_bpe, exact_topk, language_id, line_dedup, mixing, pii, simhash, substring_dedup
+from faultledger.llm import ann, byte_bpe, exact_topk, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup
 from faultledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
@@ -92,6 +97,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
+    "op3_html_text": op3_html_text,
     "op4_mixing": op4_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op6_line_dedup": op6_line_dedup,

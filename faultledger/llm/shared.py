@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    Only a local session, whose one machine is the whole cluster, may do without
-    ``spark.checkpoint.dir``.
+    Only a local session, whose one machine is the whole cluster, may do without.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return mkdtemp(prefix="run-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = mkdtemp(prefix="run-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
