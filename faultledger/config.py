@@ -26,6 +26,7 @@ class Settings:
     alert_on_new_rows_only: bool = False
     # Also clean a missing part of a two-part category (kept as text by default).
     strict_nulls: bool = False
-    # Quoted line breaks need whole-file CSV tasks; switch off for extracts
-    # known to have none, so that one large file is split over many tasks.
-    csv_multi_line: bool = True
+    # Whether CSV extracts have quoted line breaks, which make a file one task.
+    # By default each file is looked through; a stream, which cannot, takes them
+    # as possible.
+    csv_multi_line: bool | None = None

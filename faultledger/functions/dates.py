@@ -5,29 +5,54 @@ from pyspark.sql import functions as F
 
 from faultledger.functions.text import strip
 
-# Tried in order after plain ISO dates.
-DATE_FORMATS = (
-    "yyyy-M-d[ H:m[:s[.SSSSSS]]]",
-    "yyyy-M-d'T'H:m[:s[.SSSSSS]]",
-    "M/d/yyyy[ H:m[:s]]",
-    "M/d/yyyy h:m[:s] a",
-    "d-MMM-yyyy[ H:m[:s]]",
-)
-
+_TIME = r"(?:\s+\d{1,2}:\d{1,2}(?::\d{1,2})?)?"
+# Format -> the shape of the texts that it can fit. Texts of another shape never
+# reach the formatter, which is slow to fail. Of the formats that share a shape
+# the first that fits counts, so the order decides between month and day.
+SHAPES = {
+    "yyyy-M-d[ H:m[:s[.SSSSSS]]]": r"^\d{4}-\d{1,2}-\d{1,2}(?:\s|$)",
+    "yyyy-M-d'T'H:m[:s[.SSSSSS]]": r"^\d{4}-\d{1,2}-\d{1,2}T",
+    "yyyy/M/d[ H:m[:s]]": r"^\d{4}/\d{1,2}/\d{1,2}" + _TIME + "$",
+    "yyyyMMdd": r"^\d{8}$",
+    "M/d/yyyy[ H:m[:s]]": r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME + "$",
+    "M/d/yyyy h:m[:s] a": r"^\d{1,2}/\d{1,2}/\d{4}.*[AaPp][Mm]$",
+    "d/M/yyyy[ H:m[:s]]": r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME + "$",
+    "M/d/yy[ H:m[:s]]": r"^\d{1,2}/\d{1,2}/\d\d" + _TIME + "$",
+    "d/M/yy[ H:m[:s]]": r"^\d{1,2}/\d{1,2}/\d\d" + _TIME + "$",
+    "d-MMM-yyyy[ H:m[:s]]": r"^\d{1,2}-[A-Za-z]{3}-\d{4}",
+    "d-MMM-yy": r"^\d{1,2}-[A-Za-z]{3}-\d\d$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{3,} \d{1,2}, \d{4}$",
+}
+# Tried in order after plain ISO dates; a month first where both readings fit.
+DATE_FORMATS = tuple(SHAPES)
+# The same with the day first, for sources that write dates so.
+DAY_FIRST_FORMATS = tuple(sorted(SHAPES, key=lambda f: f.startswith("M/d/")))
 
 _ISO_DATE = r"(?U)^[\s\x1c-\x1f]*(\d{4}-\d\d-\d\d)[\s\x1c-\x1f]*\z"
+# A time's zone or offset: the day is the one that is written, whatever the zone.
+_ZONE = r"(?<=\d:\d\d|\d\.\d{1,9})\s*(?:Z|UTC|[+-]\d\d:?\d\d)$"
+_LAST_YEAR_OF_TWO_DIGITS = 2068
+
+
+def _formatted(text: Column, date_format: str) -> Column:
+    day = F.try_to_timestamp(text, F.lit(date_format)).cast("date")
+    if "yy" in date_format and "yyyy" not in date_format:
+        # two digits from 69 on are of the last century
+        day = F.when(F.year(day) > _LAST_YEAR_OF_TWO_DIGITS, F.add_months(day, -1200)).otherwise(day)
+    shape = SHAPES.get(date_format)
+    return F.when(text.rlike(shape), day) if shape else day
 
 
 def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """The date of a text, or null when no declared format fits.
 
-    Plain ISO dates take a cast, which is far cheaper than a formatter; the
-    formats are evaluated only for the texts that are something else and have
-    a digit at all, since a formatter is slow to fail.
+    Plain ISO dates take a cast, which is far cheaper than a formatter; a format
+    is evaluated only for texts of its shape.
     """
     iso = F.regexp_extract(text, _ISO_DATE, 1).try_cast("date")
-    stripped = strip(text)
-    others = [F.try_to_timestamp(stripped, F.lit(f)).cast("date") for f in formats]
+    stripped = F.regexp_replace(strip(text), _ZONE, "")
+    others = [_formatted(stripped, f) for f in formats]
     return F.coalesce(iso, F.when(text.rlike("[0-9]"), F.coalesce(*others)))
 
 

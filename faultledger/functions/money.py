@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,19 @@ from faultledger.schemas import MONEY
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+# The largest amount that the type holds. Larger ones become this, so that they
+# stay the largest claims and are counted on their own.
+LARGEST = Decimal(10) ** (MONEY.precision - MONEY.scale) - Decimal(1).scaleb(-MONEY.scale)
+
+
+def largest(negative: Column) -> Column:
+    return F.when(negative, F.lit(-LARGEST)).otherwise(F.lit(LARGEST)).cast(MONEY)
+
+
 def to_money(text: Column) -> Column:
-    """Exact amount, null when the text is not a number."""
-    return text.try_cast(MONEY)
+    """Exact amount, null when the text is not a number, +-``LARGEST`` beyond that."""
+    too_large = F.when(text.rlike(_NUMBER), largest(text.rlike(r"^\s*-")))
+    return F.coalesce(text.try_cast(MONEY), too_large)
 
 
 def to_quantity(text: Column) -> Column:

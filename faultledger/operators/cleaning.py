@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultledger.fixed_values import FIRST_VALID_YEAR
+from faultledger.functions.money import LARGEST
 from faultledger.functions.text import clean_label
 from faultledger.schemas import MONEY
 
@@ -45,6 +46,7 @@ def rule_counts(first_year: int = FIRST_VALID_YEAR) -> tuple[Column, ...]:
         F.count_if(has_date() & ~kept).alias("dropped_old_date"),
         F.count_if(kept & (credit < 0)).alias("clipped_credit"),
         F.count_if(kept & credit.isNull()).alias("filled_credit"),
+        F.count_if(kept & (F.abs(credit) >= LARGEST)).alias("oversized_credit"),
         F.count_if(kept & quantity.isNull()).alias("filled_quantity"),
         F.count_if(kept).alias("kept_rows"),
     )

@@ -30,7 +30,7 @@ def has_whole_key() -> Column:
 def first_per_incident(rows: DataFrame, whole_keys: bool = False) -> DataFrame:
     """One row per business key.
 
-    The first row in the order of file, stated position, credit and quantity
+    The first row in the order of file, position in it, credit and quantity
     wins, whatever the partitioning. Rows whose key has a null are all kept,
     since a null equals nothing; ``whole_keys`` says that there are none, as
     after cleaning, and spares the second pass that keeps them.
@@ -66,5 +66,6 @@ def not_in_history(
     seen = with_key(history).select(*on)
     if small_batch is not None:
         keys = F.broadcast(with_key(small_batch).select(*on))
-        seen = F.broadcast(seen.join(keys, on, "left_semi"))
+        # a store that two engines wrote to may hold a key more than once
+        seen = F.broadcast(seen.join(keys, on, "left_semi").distinct())
     return with_key(batch).join(seen, on, "left_anti").drop(_HASH, _CENTS)

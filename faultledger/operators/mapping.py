@@ -15,7 +15,7 @@ from faultledger.functions.text import as_text, join_levels, strip
 from faultledger.operators.currency import convert_to_usd
 from faultledger.schemas import ROW_ORDER, UNIFIED
 from faultledger.sources.contracts import Contract, Field
-from faultledger.sources.extracts import Extract, quoted
+from faultledger.sources.extracts import POSITION, Extract, quoted
 from faultledger.sources.local import small_frame
 
 log = logging.getLogger(__name__)
@@ -51,6 +51,10 @@ def to_unified(
         frame = frame.where(day.isNotNull())
     file = F.lit(extract.file) if isinstance(extract.file, str) else extract.file
     order = [quoted(h).try_cast("bigint") for h in contract.row_order if h in headers]
+    if order:
+        position = [F.struct(F.lit("").alias("part"), F.array(*order).alias("at"))]
+    else:
+        position = [F.col(POSITION)] if POSITION in headers else []
     return frame.select(
         F.lit(contract.label).alias("source"),
         strip(as_text(lookup(headers, contract.plant))).alias("plant"),
@@ -61,7 +65,7 @@ def to_unified(
         to_quantity(lookup(headers, contract.quantity)).alias("qty_affected"),
         file.alias("raw_source_file"),
         F.lit(run_id).alias("pipeline_run_id"),
-        *([F.array(*order).alias(ROW_ORDER.name)] if order else []),
+        *[column.cast(ROW_ORDER.dataType).alias(ROW_ORDER.name) for column in position],
     )
 
 

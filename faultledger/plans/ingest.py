@@ -2,8 +2,9 @@
 
 import logging
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timezone
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,7 +14,7 @@ from faultledger.operators.cleaning import rule_counts, validate
 from faultledger.operators.mapping import normalize
 from faultledger.plans.alerting import alert_rows
 from faultledger.plans.report import write_report
-from faultledger.plans.store import IncidentStore
+from faultledger.plans.store import BatchFacts, IncidentStore
 from faultledger.sources.detect import detect_source_files
 from faultledger.sources.extracts import Extract, read_extracts
 
@@ -26,7 +27,9 @@ class RunResult:
     inserted: int
     counts: Mapping[str, int]
     report: str = ""
+    # Sources that could not be read, with the reason; the others were loaded.
     failures: Mapping[str, str] = field(default_factory=dict)
+    status: str = "SUCCESS"
 
 
 def clean_batch(
@@ -39,6 +42,48 @@ def clean_batch(
     return unified, validate(unified)
 
 
+@dataclass(frozen=True)
+class _Staged:
+    batch: DataFrame
+    facts: BatchFacts
+    counts: Mapping[str, int]
+    folder: str
+
+
+def _stage(
+    store: IncidentStore, extracts: Mapping[str, Extract], run_id: str, settings: Settings, folder: str
+) -> _Staged:
+    counted = Observation("rules")
+    unified = normalize(
+        store.spark, extracts, run_id, settings.contracts, settings.fx_rates, settings.strict_nulls
+    )
+    batch, facts = store.stage(validate(unified.observe(counted, *rule_counts())), folder)
+    return _Staged(batch, facts, counted.get, folder)
+
+
+def _stage_sources(
+    store: IncidentStore, extracts: Mapping[str, Extract], run_id: str, settings: Settings
+) -> tuple[list[_Staged], dict[str, str]]:
+    """All sources in one job; if that fails each by itself, and those that fail again are left out."""
+    try:
+        return [_stage(store, extracts, run_id, settings, run_id)], {}
+    except Exception as error:  # noqa: BLE001 - a page or row of one source can break in many ways
+        log.error("cannot stage all sources at once: %s", error)
+        store.unstage(run_id)
+        if len(extracts) == 1:
+            return [], {key: str(error) for key in extracts}
+    staged, failures = [], {}
+    for key, extract in extracts.items():
+        folder = f"{run_id}-{key}"
+        try:
+            staged.append(_stage(store, {key: extract}, run_id, settings, folder))
+        except Exception as error:  # noqa: BLE001
+            log.error("cannot read source %s: %s", key, error)
+            failures[key] = str(error)
+            store.unstage(folder)
+    return staged, failures
+
+
 def ingest(
     store: IncidentStore,
     extracts: Mapping[str, Extract],
@@ -50,24 +95,35 @@ def ingest(
     """Load a set of extracts into the store; None if no valid row is left.
 
     The extracts are parsed once, into a staged batch; the counts of the rules
-    come from that pass, and the load and the alerts read the staged rows.
+    come from that pass, and the load and the alerts read the staged rows. A
+    source that breaks while it is read is left out and named in the run log.
     """
     settings = settings or Settings()
     started_at = datetime.now(timezone.utc)
-    counted = Observation("rules")
-    unified = normalize(
-        store.spark, extracts, run_id, settings.contracts, settings.fx_rates, settings.strict_nulls
-    )
-    batch, facts = store.stage(validate(unified.observe(counted, *rule_counts())), run_id)
+    names = [k for k, path in detected.items() if path] if detected else list(extracts)
+    staged, failures = _stage_sources(store, extracts, run_id, settings)
+    note = "; ".join(f"{key}: {reason.splitlines()[0][:300]}" for key, reason in failures.items())
+    if not staged:
+        store.log_run(run_id, started_at, datetime.now(timezone.utc), "FAILED", 0, names, [], note)
+        return RunResult(run_id, 0, {}, failures=failures, status="FAILED")
+    batch = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (s.batch for s in staged))
+    facts = reduce(lambda a, b: a + b, (s.facts for s in staged))
+    counts = {name: sum(s.counts[name] for s in staged) for name in staged[0].counts}
     if facts.rows == 0:
         log.error("no valid rows after cleaning")
+        for one in staged:
+            store.unstage(one.folder)
         return None
-    names = [k for k, path in detected.items() if path] if detected else list(extracts)
-    inserted = store.load(batch, run_id, started_at, names, list(extracts), settings, as_of, facts)
+    loaded = [key for key in extracts if key not in failures]
+    inserted, failed = store.try_load(
+        batch, run_id, started_at, names, loaded, settings, as_of, facts, note
+    )
     alert_on = store.rows_of_run(run_id, facts) if settings.alert_on_new_rows_only else batch
     store.write_alerts(alert_rows(alert_on, settings.single_incident_usd), run_id)
-    store.unstage(batch, run_id)
-    return RunResult(run_id, inserted, counted.get)
+    for one in staged:
+        store.unstage(one.folder)
+    status = "FAILED" if failed else "SUCCESS"
+    return RunResult(run_id, inserted, counts, failures=failures, status=status)
 
 
 def run_pipeline(
@@ -98,8 +154,8 @@ def run_pipeline(
             log.error("no extract could be read")
             return None
         result = ingest(store, extracts, run_id, settings, detected, as_of)
-        if result is None:
-            return None
+        if result is None or result.status == "FAILED" and not result.counts:
+            return result and replace(result, failures={**failures, **result.failures})
     now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M")
     report = write_report(store.incidents(), store.path("report"), run_id, now, report_format)
     return RunResult(
@@ -107,5 +163,6 @@ def run_pipeline(
         result.inserted if result else 0,
         result.counts if result else {},
         report,
-        failures,
+        {**failures, **(result.failures if result else {})},
+        result.status if result else "SUCCESS",
     )

@@ -2,14 +2,18 @@
 
 All tables are append-only Parquet. "Replace by key" is an append, and the
 current state is a view that takes the latest row per key, so no job reads and
-overwrites one path, and a failed job leaves nothing half written.
+overwrites one path. Where a committer renames atomically, a failed job leaves
+nothing half written; on an object store use a committer made for it.
 """
 
 import logging
-from collections.abc import Iterable, Mapping, Sequence
+import time
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,16 @@ BROADCAST_KEY_BYTES = 64 * 1024 * 1024
 # Per key: the date, the amount and the row itself, on top of the texts.
 _KEY_OVERHEAD_BYTES = 128
 
+# How long a load waits for another one on the same store, and after how long the
+# mark of a load that has died no longer counts.
+LEASE_WAIT_SECONDS = 600
+LEASE_STALE_SECONDS = 6 * 3600
+
+
+class StoreBusy(RuntimeError):
+    """Another load has held the store for longer than this one would wait."""
+
+
 _TEXT_KEYS = [c for c in KEY_COLUMNS if c != "incident_date"]
 
 
@@ -63,6 +77,14 @@ class BatchFacts:
         whole_keys = found["partial_keys"] == 0
         return BatchFacts(found["rows"], found["key_bytes"] or 0, months, whole_keys)
 
+    def __add__(self, other: "BatchFacts") -> "BatchFacts":
+        return BatchFacts(
+            self.rows + other.rows,
+            self.key_bytes + other.key_bytes,
+            tuple(sorted({*self.months, *other.months})),
+            self.whole_keys and other.whole_keys,
+        )
+
 
 def batch_facts(batch: DataFrame) -> BatchFacts:
     """The facts of a batch, by one pass over it."""
@@ -131,6 +153,39 @@ class IncidentStore:
 
     # -- writes ------------------------------------------------------------
 
+    def _file(self, name: str):
+        """(file system, path) of something below the root."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    @contextmanager
+    def lease(self) -> Iterator[None]:
+        """One load at a time: what is new is decided on a history that stands still."""
+        system, mark = self._file("_lease")
+        until = time.monotonic() + LEASE_WAIT_SECONDS
+        while not self._marked(system, mark):
+            if time.monotonic() > until:
+                raise StoreBusy(f"{self.root} is being loaded")
+            time.sleep(0.2)
+        try:
+            yield
+        finally:
+            system.delete(mark, False)
+
+    @staticmethod
+    def _marked(system, mark) -> bool:
+        try:
+            if system.createNewFile(mark):
+                return True
+            age = time.time() - system.getFileStatus(mark).getModificationTime() / 1000
+            if age > LEASE_STALE_SECONDS:
+                system.delete(mark, False)
+        except Py4JJavaError as error:
+            # made or removed by another one in between
+            if "Exist" not in str(error) and "FileNotFound" not in str(error):
+                raise
+        return False
+
     def seed_plants(self, plants: Sequence[tuple[str, ...]]) -> None:
         """Add the plants whose name is not there yet."""
         seed = small_frame(self.spark, plants, schemas.DIM_PLANT)
@@ -151,10 +206,10 @@ class IncidentStore:
         staged = self.spark.read.schema(batch.schema).parquet(target)
         return staged, BatchFacts.of(facts.get)
 
-    def unstage(self, batch: DataFrame, run_id: str) -> None:
-        """Replace a staged batch by an empty one."""
-        empty = small_frame(self.spark, [], batch.schema)
-        empty.write.mode("overwrite").parquet(f"{self.path('staging')}/run_id={run_id}")
+    def unstage(self, run_id: str) -> None:
+        """Remove a staged batch."""
+        system, folder = self._file(f"staging/run_id={run_id}")
+        system.delete(folder, True)
 
     def new_incidents(self, batch: DataFrame, facts: BatchFacts | None = None) -> DataFrame:
         """The rows of a cleaned batch that the fact table does not have yet.
@@ -175,9 +230,13 @@ class IncidentStore:
     ) -> int:
         """Append the new rows of a cleaned batch and return how many there were.
 
-        Running it again, also after a failure, adds nothing twice.
+        Running it again, also after a failure, adds nothing twice, nor do two
+        loads at once: the second waits.
         """
-        loaded_at = loaded_at or datetime.now(timezone.utc)
+        with self.lease():
+            return self._insert_new(batch, loaded_at or datetime.now(timezone.utc), facts)
+
+    def _insert_new(self, batch: DataFrame, loaded_at: datetime, facts: BatchFacts | None) -> int:
         new = (
             self.new_incidents(batch, facts)
             .withColumns(
@@ -257,7 +316,27 @@ class IncidentStore:
         as_of: date | None = None,
         facts: BatchFacts | None = None,
     ) -> int:
-        """Insert, re-tier, log. A failure is logged with the rows inserted so far."""
+        """``try_load``, and how many rows it inserted."""
+        return self.try_load(
+            batch, run_id, started_at, sources_detected, sources_loaded, settings, as_of, facts
+        )[0]
+
+    def try_load(
+        self,
+        batch: DataFrame,
+        run_id: str,
+        started_at: datetime,
+        sources_detected: Iterable[str],
+        sources_loaded: Iterable[str] | None = None,
+        settings: Settings | None = None,
+        as_of: date | None = None,
+        facts: BatchFacts | None = None,
+        note: str = "",
+    ) -> tuple[int, str]:
+        """Insert, re-tier, log; the rows inserted so far and the failure, if there was one.
+
+        ``note`` goes into the log of a run that succeeds.
+        """
         status, message, total = "SUCCESS", "", 0
         try:
             total = self.insert_new(batch, facts=facts)
@@ -273,6 +352,6 @@ class IncidentStore:
             total,
             sources_detected,
             sources_loaded if sources_loaded is not None else sources_detected,
-            message,
+            message or note,
         )
-        return total
+        return total, message

@@ -2,8 +2,8 @@
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 6)
-# A rate keeps nine places, so credit * rate still fits in 38 digits.
+MONEY = T.DecimalType(28, 6)
+# A rate keeps nine places; credit * rate then has 32 digits before the point and 6 after it.
 RATE = T.DecimalType(18, 9)
 
 UNIFIED = T.StructType(
@@ -20,8 +20,13 @@ UNIFIED = T.StructType(
     ]
 )
 
-# Position of a row within its extract, where the extract states one.
-ROW_ORDER = T.StructField("row_order", T.ArrayType(T.LongType()))
+# Position of a row within its extract: the part file, and where it stands there.
+ROW_ORDER = T.StructField(
+    "row_order",
+    T.StructType(
+        [T.StructField("part", T.StringType()), T.StructField("at", T.ArrayType(T.LongType()))]
+    ),
+)
 
 # The fact table is partitioned by month, so that date filters, the rolling
 # risk window and the duplicate check read only the months they need.

@@ -37,7 +37,7 @@ class Contract:
     row_id: str | None = None
     # Drop rows without a date while mapping, not only while cleaning.
     requires_date: bool = False
-    # Headers that give the position of a row in its extract, if there are any.
+    # Headers that state the position of a row; by default it is where the row stands in the file.
     row_order: tuple[str, ...] = ()
     date_formats: tuple[str, ...] = DATE_FORMATS
     tag: str | None = None

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultledger.sources.extracts import exact
+
 log = logging.getLogger(__name__)
 
 
@@ -26,13 +28,26 @@ def name_regex(pattern: str) -> str:
     return f"(?s)^{out}$"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as file listings give it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString().rstrip("/")
+
+
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Path, name and modification time of the files in a directory; contents are not read."""
+    """Path, name and modification time of the entries of a directory; contents are not read.
+
+    A folder of part files is one entry, as new as its newest file.
+    """
+    root = f"{qualified(spark, directory)}/"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(exact(directory))
+    name = F.substring_index(F.substring("path", len(root) + 1, 2**31 - 1), "/", 1)
     return (
-        spark.read.format("binaryFile")
-        .load(directory)
-        .select("path", "modificationTime")
-        .withColumn("name", F.element_at(F.split("path", "/"), -1))
+        found.select(name.alias("name"), "modificationTime")
+        .groupBy("name")
+        .agg(F.max("modificationTime").alias("modificationTime"))
+        .withColumn("path", F.concat(F.lit(root), "name"))
     )
 
 

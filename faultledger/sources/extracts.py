@@ -1,11 +1,17 @@
-"""Read an extract, all columns as text, one ``spark.read`` per source."""
+"""Read an extract, all columns as text, one ``spark.read`` per source.
+
+An extract is a file or a folder of part files. Every row carries its position, so
+that "the first row of the file" means the same under any splitting.
+"""
 
 import logging
-from collections.abc import Mapping
+import re
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultledger.fixed_values import NA_TOKENS
 from faultledger.sources.contracts import Contract
@@ -29,6 +35,11 @@ class Extract:
 _NA_LIST = ", ".join(f"'{token}'" for token in NA_TOKENS)
 
 
+# Column with the position of a row, as ``schemas.ROW_ORDER`` has it.
+POSITION = "_position"
+_BEYOND = "_beyond_the_header"
+
+
 def _name(header: str) -> str:
     return "`" + header.replace("`", "``") + "`"
 
@@ -43,8 +54,10 @@ def null_tokens(frame: DataFrame) -> DataFrame:
     # As SQL text, since a call for each token of each column takes a second per run.
     return frame.selectExpr(
         *[
-            f"if(string({name}) in ({_NA_LIST}), null, string({name})) as {name}"
-            for name in map(_name, frame.columns)
+            f"if(string({quoted_name}) in ({_NA_LIST}), null, string({quoted_name})) as {quoted_name}"
+            if name != POSITION
+            else name
+            for name, quoted_name in ((c, _name(c)) for c in frame.columns)
         ]
     )
 
@@ -65,33 +78,92 @@ def prepare(frame: DataFrame, contract: Contract) -> DataFrame:
     return tagged(drop_noise_rows(null_tokens(frame), contract), contract)
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """UTF-8 with or without a byte order mark, header row, doubled quotes.
+def exact(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def position(*at: Column) -> Column:
+    """Position of a row of a file scan; computed once per row, wherever rows go afterwards."""
+    return F.struct(F.col("_metadata.file_path").alias("part"), F.array(*at).alias("at")).alias(POSITION)
+
+
+def line_position() -> tuple[Column, Column]:
+    """Of a text format: the start of the file's split, then the order within the split."""
+    return F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
 
-    With ``multi_line`` a file is one task, which quoted line breaks need.
+
+def unique_names(headers: Collection[str | None], wanted: Collection[str] = ()) -> list[str]:
+    """Column names of a header row: the second "a" becomes "a.1", an empty cell "Unnamed: 2".
+
+    Names that are equal up to case can't stand side by side in a frame; of these
+    the one that is ``wanted`` keeps its name, else the first.
     """
-    return spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
+    names: list[str] = []
+    for at, header in enumerate(headers):
+        name, n = header or f"Unnamed: {at}", 0
+        while (f"{name}.{n}" if n else name) in names:
+            n += 1
+        names.append(f"{name}.{n}" if n else name)
+    taken = {name.lower(): name for name in reversed(names)} | {n.lower(): n for n in names if n in wanted}
+    return [name if taken[name.lower()] == name else f"{name} ({at})" for at, name in enumerate(names)]
+
+
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a line ends within quotes, by a parallel pass over the lines."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(exact(path)).where(odd % 2 == 1).isEmpty()
 
 
-def scan(spark: SparkSession, path: str, csv_multi_line: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, multi_line: bool | None = None, wanted: Collection[str] = ()
+) -> DataFrame:
+    """UTF-8 with or without a byte order mark, header row, doubled quotes.
+
+    Quoted line breaks make a file one task; unless ``multi_line`` says whether
+    there are any, the file is looked through. A row with more cells than the header
+    fails when it is read: its cells can't be told apart.
+    """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
+    reader = spark.read.options(multiLine=multi_line, quote='"', escape='"')
+    first = reader.csv(exact(path), header=False).first()
+    if first is None:
+        raise ValueError(f"no header row in {path}")
+    names = unique_names([str(cell) if cell is not None else None for cell in first], wanted)
+    fields = [T.StructField(name, T.StringType()) for name in [*names, _BEYOND]]
+    rows = reader.csv(exact(path), header=True, schema=T.StructType(fields))
+    message = f"a row of {path} has more cells than its header"
+    fits = F.assert_true(quoted(_BEYOND).isNull(), F.lit(message)).isNull()
+    return rows.where(fits).select(*map(quoted, names), position(*line_position()))
+
+
+def scan(
+    spark: SparkSession,
+    path: str,
+    csv_multi_line: bool | None = None,
+    wanted: Collection[str] = (),
+) -> DataFrame:
     """Read by the suffix of the path."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "csv":
-        return read_csv(spark, path, csv_multi_line)
+        return read_csv(spark, path, csv_multi_line, wanted)
     if suffix in ("xls", "html", "htm"):
         return read_html_table(spark, path)
     if suffix == "json":
-        return spark.read.option("primitivesAsString", True).json(path)
+        rows = spark.read.option("primitivesAsString", True).json(exact(path))
+        return rows.select("*", position(*line_position()))
     if suffix == "parquet":
-        return spark.read.parquet(path)
+        rows = spark.read.parquet(exact(path))
+        return rows.select("*", position(F.col("_metadata.row_index")))
     raise ValueError(f"unsupported file type: {suffix}")
 
 
 def read_extract(
-    spark: SparkSession, path: str, contract: Contract, csv_multi_line: bool = True
+    spark: SparkSession, path: str, contract: Contract, csv_multi_line: bool | None = None
 ) -> Extract:
     try:
-        frame = scan(spark, path, csv_multi_line)
+        frame = scan(spark, path, csv_multi_line, contract.headers())
     except Exception as error:  # a bad file shows in many ways, all mean the same here
         raise ExtractError(f"{contract.key}: cannot read {path}: {error}") from error
     return Extract(prepare(frame, contract), path)
@@ -101,7 +173,7 @@ def read_extracts(
     spark: SparkSession,
     files: Mapping[str, str | None],
     contracts: Mapping[str, Contract],
-    csv_multi_line: bool = True,
+    csv_multi_line: bool | None = None,
 ) -> tuple[dict[str, Extract], dict[str, str]]:
     """(extracts, failures): one bad source does not stop the others."""
     extracts, failures = {}, {}

@@ -1,43 +1,120 @@
 """First table of an HTML export (a spreadsheet file that is HTML inside).
 
-An HTML document has to be read as one text, so a file is one task; the work
-is parallel over files. Large extracts should be landed as CSV or Parquet.
-Spanning cells are not spread, and only the entities listed here are decoded.
+An HTML document has to be read as one text, so a file is one task; the work is
+parallel over files, and large extracts should be landed as CSV or Parquet. Tables
+within cells, spanning cells and character references need a parser, which is the
+one step of the engine that runs in Python.
 """
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultledger.functions.text import strip
 
-# The named entities that exports contain, and what they stand for.
-# The ampersand comes last, so that "&amp;lt;" gives "&lt;".
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&#36;", "$"),
-    ("&nbsp;", "\xa0"),
-    ("&#160;", "\xa0"),
-    ("&amp;", "&"),
-)
-_NOT_SHOWN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_FIRST_TABLE = r"(?is)<table\b[^>]*>(.*?)(?:</table\s*>|\z)"
-_ROW_START = r"(?i)<tr\b[^>]*>"
-_ROW_END = r"(?is)</tr\s*>.*|</?t(?:head|body|foot)\b[^>]*>"
-_CELL_START = r"(?i)<t[dh]\b[^>]*>"
-_CELL_END = r"(?is)</t[dh]\s*>.*"
 # A number with separators of thousands, which this format drops.
 _GROUPED_NUMBER = r"^[+-]?(?:\d+,)+\d*(?:\.\d*)?(?:[eE]-?\d+)?$"
+# Widest span that is spread; the limit that HTML itself sets.
+_WIDEST = 1000
+_SCHEMA = "file string, row bigint, is_header boolean, cells array<string>"
 
 
-def _cell_text(cell: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(cell, _CELL_END, ""), r"(?s)<[^>]*>", "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(F.regexp_replace(text, r"[\r\n]+|\s{2,}", " "))
+class _Tables(HTMLParser):
+    """The rows of all tables that are not in a cell: (is_header, [(text, columns, rows)])."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables, self.depth, self.hidden = [], 0, 0
+        self.row = self.cell = None
+        self.in_head = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.hidden += 1
+        elif tag == "table":
+            self.depth += 1
+            if self.depth == 1:
+                self.tables.append([])
+        elif self.depth == 1:
+            if tag in ("tr", "thead", "tbody", "tfoot"):
+                self._end_row()
+                self.in_head = tag == "thead" or (tag == "tr" and self.in_head)
+                if tag == "tr":
+                    self.row = []
+            elif tag in ("td", "th"):
+                self._end_cell()
+                if self.row is None:
+                    self.row = []
+                spans = dict(attrs)
+                self.cell = [tag, [], _span(spans.get("colspan")), _span(spans.get("rowspan"))]
+        elif self.depth > 1 and self.cell and tag in ("td", "th"):
+            self.cell[1].append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.hidden = max(self.hidden - 1, 0)
+        elif tag == "table" and self.depth:
+            if self.depth == 1:
+                self._end_row()
+                self.in_head = False
+            self.depth -= 1
+        elif self.depth == 1:
+            if tag in ("tr", "thead", "tbody", "tfoot"):
+                self._end_row()
+                self.in_head = self.in_head and tag == "tr"
+            elif tag in ("td", "th"):
+                self._end_cell()
+
+    def handle_data(self, data):
+        if self.cell and not self.hidden:
+            self.cell[1].append(data)
+
+    def _end_cell(self):
+        if self.cell:
+            tag, parts, columns, rows = self.cell
+            self.row.append((tag, "".join(parts), columns, rows))
+            self.cell = None
+
+    def _end_row(self):
+        self._end_cell()
+        if self.row:
+            all_headings = all(cell[0] == "th" for cell in self.row)
+            self.tables[-1].append((self.in_head or all_headings, self.row))
+        self.row = None
+
+
+def _span(text: str | None) -> int:
+    return min(max(int(text), 1), _WIDEST) if text and text.strip().isdigit() else 1
+
+
+def parse_first_table(html: str) -> list[tuple[bool, list[str]]]:
+    """(is_header, cells) of the first table with a row; spanning cells stand in every place they cover."""
+    parser = _Tables()
+    parser.feed(html)
+    parser.close()
+    parser._end_row() if parser.tables else None
+    table = next((t for t in parser.tables if t), [])
+    out, open_below = [], {}
+    for is_header, row in table:
+        cells = []
+
+        def fill():
+            while open_below.get(len(cells), ("", 0))[1]:
+                text, left = open_below[len(cells)]
+                open_below[len(cells)] = (text, left - 1)
+                cells.append(text)
+
+        for _, text, columns, rows in row:
+            fill()
+            for _ in range(columns):
+                open_below[len(cells)] = (text, rows - 1)
+                cells.append(text)
+        fill()
+        out.append((is_header, cells))
+    return out
 
 
 def _ungrouped(text: Column) -> Column:
@@ -45,47 +122,52 @@ def _ungrouped(text: Column) -> Column:
     return F.when(text.rlike(_GROUPED_NUMBER), plain).otherwise(text)
 
 
+def _one_line(text: Column) -> Column:
+    return strip(F.regexp_replace(text, r"[\r\n]+|\s{2,}", " "))
+
+
 def table_rows(spark: SparkSession, path: str) -> DataFrame:
     """(file, row, is_header, cells): the rows of the first table of each file."""
-    pages = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("html")
-    )
-    body = F.regexp_extract(F.regexp_replace("html", _NOT_SHOWN, ""), _FIRST_TABLE, 1)
-    pieces = F.split(body, _ROW_START)
-    rows = pages.select(
-        "file", F.posexplode(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
-    ).select(
-        "file",
-        F.col("pos").alias("row"),
-        F.regexp_replace("col", _ROW_END, "").alias("markup"),
-    )
-    cells = F.split("markup", _CELL_START)
-    return rows.select(
-        "file",
-        "row",
-        (F.col("markup").rlike(r"(?i)<th\b") & ~F.col("markup").rlike(r"(?i)<td\b")).alias(
-            "is_header"
-        ),
-        # Two steps, so that the text of a cell is made once and then named thrice.
-        F.transform(
-            F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), _cell_text),
-            _ungrouped,
-        ).alias("cells"),
-    ).where(F.size("cells") > 0)
+    pages = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, html in zip(*(column.to_pylist() for column in batch.columns)):
+                rows = parse_first_table(html)
+                yield pa.record_batch(
+                    [
+                        pa.array([file] * len(rows), pa.string()),
+                        pa.array(range(len(rows)), pa.int64()),
+                        pa.array([is_header for is_header, _ in rows], pa.bool_()),
+                        pa.array([cells for _, cells in rows], pa.list_(pa.string())),
+                    ],
+                    names=["file", "row", "is_header", "cells"],
+                )
+
+    # Two steps, so that the text of a cell is made once and then named thrice.
+    texts = F.transform(F.transform("cells", _one_line), _ungrouped)
+    return pages.mapInArrow(run, _SCHEMA).withColumn("cells", texts)
 
 
 def read_html_table(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, named by the header row, or 0, 1, ... when there is none."""
-    rows = table_rows(spark, path)
-    first = rows.orderBy("file", "row").first()
+    """All columns as text, named by the header row, or 0, 1, ... when there is none.
+
+    Of several header rows at the top the last names the columns.
+    """
+    # imported here, as the readers of all formats import this one
+    from faultledger.sources.extracts import POSITION, exact, unique_names
+
+    rows = table_rows(spark, exact(path))
+    top = rows.groupBy("file").agg(
+        F.min(F.when(~F.col("is_header"), F.col("row"))).alias("data"), F.count(F.lit(1)).alias("n")
+    )
+    first = top.orderBy("file").first()
     if first is None:
         raise ValueError(f"no table in {path}")
-    named = first["is_header"]
-    names = first["cells"] if named else [str(i) for i in range(len(first["cells"]))]
-    data = rows.where(F.col("row") > first["row"]) if named else rows
-    # The second "a" becomes "a.1", and so on.
-    earlier = [names[:i].count(name) for i, name in enumerate(names)]
-    unique = [f"{name}.{n}" if n else name for name, n in zip(names, earlier)]
-    return data.select(
-        *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(unique)]
-    )
+    start = first["data"] if first["data"] is not None else first["n"]
+    sample = rows.where((F.col("file") == first["file"]) & (F.col("row") == max(start - 1, 0))).first()
+    width = range(len(sample["cells"]))
+    names = unique_names(sample["cells"]) if start else [str(i) for i in width]
+    data = rows.join(F.broadcast(top.select("file", "data")), "file").where(F.col("row") >= F.col("data"))
+    position = F.struct(F.col("file").alias("part"), F.array("row").alias("at")).alias(POSITION)
+    return data.select(*[F.get("cells", F.lit(i)).alias(name) for i, name in zip(width, names)], position)

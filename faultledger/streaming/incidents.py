@@ -1,6 +1,8 @@
 """Extracts and incidents as they arrive."""
 
-from collections.abc import Iterable, Mapping
+import json
+from collections.abc import Callable, Iterable, Mapping
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from faultledger.operators.mapping import normalize
 from faultledger.operators.ranking import credit_sum, incident_count
 from faultledger.plans.alerting import alert_rows
 from faultledger.plans.store import IncidentStore
+from faultledger.schemas import FACT, ROW_ORDER
 from faultledger.sources.contracts import Contract
-from faultledger.sources.extracts import Extract, prepare
+from faultledger.sources.extracts import Extract, exact, position, prepare
 
 
 def read_extract_stream(
@@ -26,12 +29,14 @@ def read_extract_stream(
     fmt: str = "csv",
     name_pattern: str | None = None,
     max_files_per_trigger: int | None = None,
+    multi_line: bool | None = None,
 ) -> Extract:
     """New files of one source, all columns as text.
 
     A stream needs its columns declared; ``headers`` are those the files have,
     by default all that the contract knows. A file is read once, by its path,
-    so each drop needs a new name.
+    so each drop needs a new name. Quoted line breaks are taken as possible unless
+    ``multi_line`` (``Settings.csv_multi_line``) says that there are none.
     """
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headers or contract.headers()])
     reader = spark.readStream.schema(schema)
@@ -39,13 +44,16 @@ def read_extract_stream(
         # enforceSchema=False makes a file with other headers an error, where
         # Spark would otherwise read its columns by position.
         reader = reader.options(
-            header=True, multiLine=True, quote='"', escape='"', enforceSchema=False
+            header=True, multiLine=multi_line is not False, quote='"', escape='"', enforceSchema=False
         )
     if name_pattern:
         reader = reader.option("pathGlobFilter", name_pattern)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    frame = reader.format(fmt).load(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    file = F.col("_metadata.file_path").alias("_file")
+    # the order within a split is added where the batch arrives
+    place = position(F.col("_metadata.file_block_start"))
+    frame = reader.format(fmt).load(path).select("*", file, place)
     return Extract(prepare(frame, contract), F.col("_file"))
 
 
@@ -59,21 +67,49 @@ def incident_stream(
     return validate(unified)
 
 
-def load_batch(store: IncidentStore, settings: Settings, run_id: str):
-    """The function that loads one micro-batch.
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of a streaming query, which lives in its checkpoint and is in no other."""
+    return json.loads(spark.read.text(f"{exact(checkpoint)}/metadata").first()["value"])["id"]
 
-    A batch that is replayed after a failure inserts nothing twice, since the
-    rows are then in the history, and it replaces its own alerts.
+
+def load_batch(
+    store: IncidentStore,
+    settings: Settings,
+    run_id: str,
+    checkpoint: str | None = None,
+    as_of: date | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """The function that runs one micro-batch: load, re-tier, log and alert, as a batch run does.
+
+    A run is named by ``run_id``, the query's id and the number of the batch. A batch
+    that is replayed after a failure inserts nothing twice, since the rows are then
+    in the history, and it replaces its own alerts, never those of another query.
     """
+    name: list[str] = []
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        batch_run = f"{run_id}-{batch_id}"
+        if not name:
+            name.append(f"{run_id}-{query_id(store.spark, checkpoint)}" if checkpoint else run_id)
+        batch_run = f"{name[0]}-{batch_id}"
+        started_at = datetime.now(timezone.utc)
         arrived = batch.withColumn("pipeline_run_id", F.lit(batch_run))
+        if ROW_ORDER.name in batch.columns:
+            at = F.concat(f"{ROW_ORDER.name}.at", F.array(F.monotonically_increasing_id()))
+            placed = F.struct(F.col(f"{ROW_ORDER.name}.part").alias("part"), at.alias("at"))
+            arrived = arrived.withColumn(ROW_ORDER.name, placed)
         staged, facts = store.stage(arrived, batch_run)
         if facts.rows:
-            store.write_alerts(alert_rows(staged, settings.single_incident_usd), batch_run)
-            store.insert_new(staged, facts=facts)
-            store.unstage(staged, batch_run)
+            sources = [r["source"] for r in staged.select("source").distinct().collect()]
+            # the labels of the contracts, however many rows there are
+            failed = store.try_load(
+                staged, batch_run, started_at, sorted(sources), settings=settings, as_of=as_of, facts=facts
+            )[1]
+            if failed:
+                raise RuntimeError(f"batch {batch_run} failed: {failed}")
+            new_only = settings.alert_on_new_rows_only
+            alert_on = store.rows_of_run(batch_run, facts) if new_only else staged
+            store.write_alerts(alert_rows(alert_on, settings.single_incident_usd), batch_run)
+        store.unstage(batch_run)
 
     return load
 
@@ -84,16 +120,24 @@ def start_ingest(
     checkpoint: str,
     run_id: str,
     settings: Settings | None = None,
+    as_of: date | None = None,
 ) -> StreamingQuery:
     """Load what has arrived since the last start, then stop."""
+    load = load_batch(store, settings or Settings(), run_id, checkpoint, as_of)
     return (
-        incidents.writeStream.foreachBatch(load_batch(store, settings or Settings(), run_id))
+        incidents.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def new_incidents(store: IncidentStore) -> DataFrame:
+    """The rows that loads add to the fact table, as a stream with an ``event_time``: each incident once."""
+    rows = store.spark.readStream.schema(FACT).parquet(store.path("quality_incidents"))
+    return rows.withColumn("event_time", F.col("incident_date").cast("timestamp"))
+
+
 def weekly_totals(incidents: DataFrame, watermark: str | None = None) -> DataFrame:
     """Count and sum per week, from Monday in UTC, over a stream with an ``event_time``.
 

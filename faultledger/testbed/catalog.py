@@ -5,19 +5,21 @@ that one run of the engine has written from them. Amounts are shown as doubles
 and dates as text, so that two engines can be compared.
 """
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultledger.config import Settings
-from faultledger.functions.money import as_double
+from faultledger.functions.dates import parse_date
+from faultledger.functions.money import as_double, risk_tier
 from faultledger.operators.cleaning import validation_counts
 from faultledger.operators.dedup import first_per_incident
 from faultledger.operators.filters import detail_filter, facet_filter
 from faultledger.operators.mapping import normalize
 from faultledger.plans import alerting, detail, overview, report, root_cause, scorecard
-from faultledger.plans.ingest import clean_batch, ingest
+from faultledger.plans.ingest import clean_batch, ingest, run_pipeline
 from faultledger.plans.store import IncidentStore
 from faultledger.sources.extracts import Extract, prepare, quoted, read_extracts
 from faultledger.sources.facts import load_incidents
@@ -149,11 +151,120 @@ def landed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
             .save(files[key])
         )
     contracts = star.SETTINGS.contracts
-    found, _ = read_extracts(spark, files, contracts, csv_multi_line=False)
+    found, _ = read_extracts(spark, files, contracts)
     unified = normalize(spark, found, "run-1", contracts, star.SETTINGS.fx_rates)
     return _shown(unified, *_ROW[:-1])
 
 
+# -- amounts, dates and files that the plain extracts do not have -----------------
+
+# The credits of the lines times this are beyond a trillion.
+LARGE = 1_000_000_000
+LARGE_ALERT_USD = 5_000_000_000_000
+
+
+def large_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very large credits through conversion, cleaning, alerts and tiers, per customer."""
+
+    def scaled(landed: DataFrame) -> DataFrame:
+        large = (F.col("credit").try_cast("decimal(14,2)") * F.lit(LARGE)).cast("string")
+        return landed.withColumn("credit", F.coalesce(large, "credit"))
+
+    rows = clean_batch(spark, star.extracts(spark, sf_dir, change=scaled), "run-1", star.SETTINGS)[1]
+    total = F.sum("credit_requested_usd")
+    return rows.groupBy("customer").agg(
+        F.count(F.lit(1)).alias("incidents"),
+        as_double(total).alias("credit_usd"),
+        as_double(F.max("credit_requested_usd")).alias("largest_usd"),
+        F.count_if(F.col("credit_requested_usd") >= LARGE_ALERT_USD).alias("alerts"),
+        risk_tier(total, 100 * LARGE * 1_000, 30 * LARGE * 1_000).alias("risk_tier"),
+    )
+
+
+# Forms in which exports write a day; the order key picks one for each line.
+DATE_FORMS = (
+    "yyyy-MM-dd",
+    "M/d/yy",
+    "yyyy/MM/dd",
+    "dd-MMM-yy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "yyyyMMdd",
+    "yyyy-MM-dd'T'10:00:00'Z'",
+    "yyyy-MM-dd'T'23:30:00.5'-05:00'",
+    "M/d/yyyy h:mm a",
+    "d-MMM-yyyy",
+)
+
+
+def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ship dates of all lines, written in many forms and parsed."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    day, form = F.col("l_shipdate").cast("date"), F.pmod("l_orderkey", F.lit(len(DATE_FORMS)))
+    text = F.coalesce(*[F.when(form == i, F.date_format(day, f)) for i, f in enumerate(DATE_FORMS)])
+    written = lines.select("l_orderkey", "l_linenumber", text.alias("text"))
+    return written.select("l_orderkey", "l_linenumber", parse_date(F.col("text")).cast("string").alias("day"))
+
+
+def _cells(key: str) -> list[Column]:
+    return [F.col(column).alias(header) for header, column in star.HEADERS[key].items()]
+
+
+def _write_html(rows: DataFrame, key: str, path: str) -> None:
+    """A folder of HTML tables; their names are in the order of the rows."""
+
+    def cell(header: str) -> Column:
+        text = F.coalesce(F.col(f"`{header}`"), F.lit(""))
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;")):
+            text = F.replace(text, F.lit(char), F.lit(name))
+        return F.concat(F.lit("<td>"), text, F.lit("</td>"))
+
+    headers = list(star.HEADERS[key])
+    part = F.concat("file", F.lit("-"), F.lpad(F.floor(F.col("order_key") / 4096).cast("string"), 12, "0"))
+    line = F.concat(F.lit("<tr>"), *map(cell, headers), F.lit("</tr>"))
+    first = "".join(f"<td><b>{h}</b></td>" for h in headers)
+    (
+        rows.select(*_cells(key), "file", "order_key", "line_no")
+        .select(part.alias("part"), F.struct("order_key", "line_no", line.alias("line")).alias("row"))
+        .groupBy("part")
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["line"]), "\n").alias("rows"))
+        .select("part", F.concat(F.lit(f"<html><table></table><table><thead><tr>{first}</tr></thead>"), "rows", F.lit("</table>")))
+        .write.partitionBy("part")
+        .text(path)
+    )
+
+
+def run_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run over a folder: five extracts in four formats, and an older one of each source beside it.
+
+    The contracts state no order of rows, so the first row of an extract is the first in its files.
+    """
+    folder, root = star.shared_dir(spark), star.shared_dir(spark)
+    names = {
+        "Radius": "Radius [1] MDA.csv",
+        "Fusion": "Fusion Quality.json",
+        "Vision_OAK": "Vision OAK.parquet",
+        "Vision_MAS": "Vision MAS.csv",
+        "OBI": "Feedback_Report_01QUALC009.xls",
+    }
+    contracts = {k: replace(c, row_order=()) for k, c in star.SETTINGS.contracts.items()}
+    landed = spark.read.parquet(star.landing(spark, sf_dir))
+    for key, name in names.items():
+        header = contracts[key].customer.headers[0]
+        old = spark.range(1).select(F.lit("from an older file").alias(header))
+        fmt = name.rsplit(".", 1)[1]
+        options = detail.CSV_OPTIONS if fmt == "csv" else {}
+        old.write.format("text" if fmt == "xls" else fmt).options(**options).save(f"{folder}/old {name}")
+        rows = landed.where(F.col("extract") == key)
+        if fmt == "xls":
+            _write_html(rows, key, f"{folder}/{name}")
+        else:
+            ordered = rows.orderBy("file", "order_key", "line_no").select(*_cells(key))
+            ordered.write.format(fmt).options(**options).save(f"{folder}/{name}")
+    run_pipeline(spark, folder, root, replace(star.SETTINGS, contracts=contracts), run_id="run-1", as_of=AS_OF)
+    return _shown(IncidentStore(spark, root).incidents(), *_ROW[:-1])
+
+
 def kpi_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table is empty, so the views read a snapshot."""
     empty = star.new_store(spark).path("quality_incidents")
@@ -270,9 +381,42 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _run_incident_stream(spark: SparkSession, sf_dir: str, store: IncidentStore) -> None:
+def stream_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiers that the stream leaves behind."""
+    store = star.new_store(spark)
+    settings = replace(
+        star.SETTINGS,
+        high_risk_usd=WINDOW_TIERS.high_risk_usd,
+        medium_risk_usd=WINDOW_TIERS.medium_risk_usd,
+    )
+    _run_incident_stream(spark, sf_dir, store, settings, AS_OF)
+    return store.customers().select("customer_name", "risk_tier")
+
+
+def stream_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the micro-batches have logged, summed up."""
+    store = star.new_store(spark)
+    _run_incident_stream(spark, sf_dir, store)
+    return store.runs().groupBy("status").agg(F.sum("total_rows").alias("total_rows"))
+
+
+def stream_weekly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly totals over the stream of new incidents: each of them counts once."""
+    out = star.shared_dir(spark)
+    rows = streaming.new_incidents(star.store(spark, sf_dir))
+    totals = _as_weeks(streaming.weekly_totals(rows))
+    streaming.land_complete(totals, f"{out}/weeks", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/weeks")
+
+
+def _run_incident_stream(
+    spark: SparkSession,
+    sf_dir: str,
+    store: IncidentStore,
+    settings: Settings = star.SETTINGS,
+    as_of: date | None = None,
+) -> None:
     path = star.landing(spark, sf_dir)
-    settings = star.SETTINGS
     found = {}
     for key, contract in settings.contracts.items():
         folder = f"{path}/extract={key}"
@@ -281,7 +425,7 @@ def _run_incident_stream(spark: SparkSession, sf_dir: str, store: IncidentStore)
         found[key] = Extract(prepare(frame, contract), quoted("_file"))
     arriving = streaming.incident_stream(spark, found, "stream", settings)
     streaming.start_ingest(
-        arriving, store, store.path("checkpoint"), "stream", settings
+        arriving, store, store.path("checkpoint"), "stream", settings, as_of
     ).awaitTermination()
 
 
@@ -332,6 +476,9 @@ QUERIES = {
     "upsert_second_batch": upsert_second_batch,
     "load_history": load_history,
     "landed_formats": landed_formats,
+    "large_amounts": large_amounts,
+    "date_forms": date_forms,
+    "run_from_files": run_from_files,
     "kpi_from_snapshot": kpi_from_snapshot,
     "tier_90d": _view(scorecard.rolling_tiers, AS_OF, WINDOW_TIERS),
     "tier_latest": tier_latest,
@@ -372,6 +519,9 @@ QUERIES = {
     "report_totals": report_totals,
     "stream_incidents": stream_incidents,
     "stream_alerts": stream_alerts,
+    "stream_tiers": stream_tiers,
+    "stream_run_log": stream_run_log,
+    "stream_weekly_facts": stream_weekly_facts,
     "stream_weekly": stream_weekly,
     "stream_weekly_closed": stream_weekly_closed,
 }

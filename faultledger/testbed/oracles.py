@@ -83,6 +83,18 @@ _QUARTER = "concat(cast(year(incident_date) as string), 'Q', cast(quarter(incide
 _WEEK = "strftime(date_trunc('week', incident_date), '%Y-%m-%d')"
 
 
+# The extracts with the plain credits times a billion.
+_LARGE = _EXTRACTS.replace("decimal(18,6)", "decimal(28,6)").replace(
+    "try_cast(credit as",
+    "try_cast(coalesce(cast(try_cast(credit as decimal(14,2)) * 1000000000 as string), credit) as",
+)
+# HTML cells lose the separators of thousands.
+_FROM_FILES = _EXTRACTS.replace(
+    "concat(coalesce(t, 'nan'), ' - ', b),\n    credit, qty",
+    "concat(coalesce(t, 'nan'), ' - ', b),\n    replace(credit, ',', ''), qty",
+)
+
+
 def _on_extracts(sql: str, *more: str) -> str:
     return "with " + ",".join([_EXTRACTS, *more]) + "\n" + sql
 
@@ -188,6 +200,7 @@ ORACLES = {
   count(*) filter (where year(incident_date) < 2000) dropped_old_date,
   count(*) filter (where year(incident_date) >= 2000 and credit < 0) clipped_credit,
   count(*) filter (where year(incident_date) >= 2000 and credit is null) filled_credit,
+  cast(0 as bigint) oversized_credit,
   count(*) filter (where year(incident_date) >= 2000 and qty is null) filled_quantity,
   count(*) filter (where year(incident_date) >= 2000) kept_rows
 from fx"""
@@ -207,6 +220,13 @@ from (select 'first' run_id, count(*) total_rows from fact
   union all select 'again', cast(0 as bigint)) t"""
     ),
     "landed_formats": _on_extracts(f"select {_ROW.replace(', file raw_source_file', '')} from fx"),
+    "large_amounts": f"""with {_LARGE}
+select customer, count(*) incidents, cast(sum(credit) as double) credit_usd,
+  cast(max(credit) as double) largest_usd, count(*) filter (where credit >= 5000000000000) alerts,
+  {_tier("sum(credit)", 100_000_000_000_000, 30_000_000_000_000)} risk_tier
+from inc group by customer""",
+    "date_forms": "select l_orderkey, l_linenumber, cast(cast(l_shipdate as date) as string) \"day\" from lineitem",
+    "run_from_files": f"with {_FROM_FILES},{_FACT}\nselect {_ROW.replace(', file raw_source_file', '')} from fact",
     "kpi_from_snapshot": _on_facts(
         f"select count(*) incidents, {_SUM}, count(distinct plant) plants, "
         "count(distinct customer) customers from fact"
@@ -330,6 +350,13 @@ group by risk_tier"""
         "select cast(credit as double) credit_requested_usd, plant, customer, defect_category, "
         "cast(incident_date as string) incident_date from inc where credit >= 9000"
     ),
+    "stream_tiers": _on_facts(
+        f"select customer customer_name, {_tier('total', 3000, 1000)} risk_tier from ({_recent('2001-11-04')}) t"
+    ),
+    "stream_run_log": _on_facts("select 'SUCCESS' status, count(*) total_rows from fact"),
+    "stream_weekly_facts": _on_facts(
+        f"select {_WEEK} week_start, count(*) incidents, {_SUM} from fact group by 1"
+    ),
     "stream_weekly": """select strftime(date_trunc('week', ts), '%Y-%m-%d') week_start, count(*) incidents,
   cast(sum(cast("value" as decimal(18,6))) as double) credit_usd from events group by 1""",
     "stream_weekly_closed": """select strftime(date_trunc('week', ts), '%Y-%m-%d') week_start,

@@ -206,9 +206,11 @@ def header_columns(key: str):
     return [*named, *_ORDER]
 
 
-def extracts(spark: SparkSession, sf_dir: str, condition=None) -> dict[str, Extract]:
-    """The five raw extracts, optionally only the rows that meet a condition."""
+def extracts(spark: SparkSession, sf_dir: str, condition=None, change=None) -> dict[str, Extract]:
+    """The five raw extracts, optionally only the rows that meet a condition, or with changed cells."""
     landed = spark.read.parquet(landing(spark, sf_dir))
+    if change is not None:
+        landed = change(landed)
     if condition is not None:
         landed = landed.where(condition)
     found = {}

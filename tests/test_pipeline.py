@@ -89,3 +89,74 @@ def test_no_source_that_can_be_mapped(spark, tmp_path):
     store = IncidentStore(spark, str(tmp_path / "store")).create()
     assert ingest(store, {"Radius": Extract(None, "x"), "other": Extract(None, "y")}, "r") is None
     assert store.runs().count() == 0
+
+
+def test_a_source_that_breaks_while_it_is_read(spark, data_dir, tmp_path):
+    """The cells of a row with too many of them can't be told apart; the other sources go on."""
+    (data_dir / "Vision OAK.parquet").unlink()
+    with open(data_dir / "Log Radius MDA.csv", "a") as file:
+        file.write("R5,Plant, with a comma,Acme,2025-06-18,Color,70000,1\n")
+    result = _run(spark, data_dir, tmp_path, run_id="run-1")
+    assert result.inserted == 2 and list(result.failures) == ["Radius"] and result.status == "SUCCESS"
+    assert result.counts["kept_rows"] == 2
+    log = IncidentStore(spark, str(tmp_path / "store")).runs().first()
+    assert (log["status"], log["sources_loaded"]) == ("SUCCESS", "Fusion,OBI")
+    assert "more cells than its header" in log["error_message"]
+
+
+def test_a_run_in_which_every_source_breaks_is_logged(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "Fusion Quality.csv").write_text("Customer,Create Date\nAcme,2025-06-01,x\n")
+    result = _run(spark, folder, tmp_path, run_id="run-1")
+    store = IncidentStore(spark, str(tmp_path / "store"))
+    assert result.status == "FAILED" and result.inserted == 0 and list(result.failures) == ["Fusion"]
+    assert store.runs().first()["status"] == "FAILED" and store.incidents().count() == 0
+    assert not list((tmp_path / "store").glob("staging/*")), "nothing staged stays"
+
+
+def test_the_first_row_of_the_file_wins(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    head = "Customer,Create Date,Defect Type Sub Cat,Total Credit Requested,Total Labels Rejected\n"
+    (folder / "Fusion Quality.csv").write_text(head + "A,2025-06-01,Color,5,200\nA,2025-06-01,Color,5,100\n")
+    _run(spark, folder, tmp_path)
+    assert IncidentStore(spark, str(tmp_path / "store")).incidents().first()["qty_affected"] == 200
+
+
+def test_amounts_beyond_the_type_stay_the_largest(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    head = "Report#,Plant Name,Customer,ReportDate,Reason for Rejection,Value,Quantity\n"
+    rows = "R1,P,A,2025-06-01,c,1e12,1\nR2,MCC Montreal,B,2025-06-01,c,1e30,1\nR3,P,C,2025-06-01,c,inf,1\n"
+    (folder / "Radius MDA.csv").write_text(head + rows)
+    result = _run(spark, folder, tmp_path)
+    assert (result.counts["oversized_credit"], result.counts["filled_credit"]) == (1, 1)
+    store = IncidentStore(spark, str(tmp_path / "store"))
+    credits = {r["customer"]: r["credit_requested_usd"] for r in store.incidents().collect()}
+    assert credits["A"] == 10**12 and credits["B"] > 10**21 and credits["C"] == 0
+    assert {r["customer"] for r in store.alerts().collect()} == {"A", "B"}
+    assert {r["customer_name"]: r["risk_tier"] for r in store.customers().collect()} == {"A": "High", "B": "High", "C": "Low"}
+
+
+def test_two_loads_at_once_add_each_incident_once(spark, tmp_path, incidents):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    rows = incidents(*[("s", "p", f"c{i}", "2025-06-10", "d", i, 1) for i in range(20)])
+    with ThreadPoolExecutor(3) as pool:
+        added = list(pool.map(lambda _: IncidentStore(spark, store.root).insert_new(rows), range(3)))
+    assert sorted(added) == [0, 0, 20] and store.incidents().count() == 20
+
+
+def test_a_dead_lease_is_taken_over_and_a_live_one_is_not(spark, tmp_path, monkeypatch, incidents):
+    from faultledger.plans import store as stores
+
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    (tmp_path / "store" / "_lease").touch()
+    monkeypatch.setattr(stores, "LEASE_WAIT_SECONDS", 0.5)
+    rows = incidents(("s", "p", "c", "2025-06-10", "d", 1, 1))
+    with pytest.raises(stores.StoreBusy):
+        store.insert_new(rows)
+    monkeypatch.setattr(stores, "LEASE_STALE_SECONDS", -1)
+    assert store.insert_new(rows) == 1

@@ -7,7 +7,14 @@ from faultledger.fixed_values import NA_TOKENS, SOURCE_PATTERNS
 from faultledger.schemas import FACT
 from faultledger.sources.contracts import CONTRACTS, FUSION, OBI, RADIUS, vision
 from faultledger.sources.detect import detect_source_files, find_latest_file, name_regex
-from faultledger.sources.extracts import ExtractError, read_csv, read_extract, read_extracts
+from faultledger.sources.extracts import (
+    POSITION,
+    ExtractError,
+    read_csv,
+    read_extract,
+    read_extracts,
+    unique_names,
+)
 from faultledger.sources.facts import load_incidents
 from faultledger.sources.html_table import read_html_table
 
@@ -76,14 +83,14 @@ def test_a_detected_file_with_blanks_in_its_name_can_be_read(spark, tmp_path):
 def test_csv_byte_order_mark_and_quotes(spark, tmp_path, multi_line):
     body = '\ufeffPlant Name,Customer\n"Acme, Inc","say ""hi"""\n'
     path = _file(tmp_path, "x.csv", body)
-    frame = read_csv(spark, path, multi_line)
+    frame = read_csv(spark, path, multi_line).drop(POSITION)
     assert frame.columns == ["Plant Name", "Customer"]
     assert [tuple(r) for r in frame.collect()] == [("Acme, Inc", 'say "hi"')]
 
 
 def test_csv_quoted_line_break(spark, tmp_path):
     path = _file(tmp_path, "x.csv", 'a,b\n"one\ntwo",3\n')
-    assert [tuple(r) for r in read_csv(spark, path).collect()] == [("one\ntwo", "3")]
+    assert [tuple(r) for r in read_csv(spark, path).drop(POSITION).collect()] == [("one\ntwo", "3")]
 
 
 def test_na_tokens_become_nulls(spark, tmp_path):
@@ -104,7 +111,7 @@ def test_noise_rows_are_dropped_only_if_the_id_column_exists(spark, tmp_path):
 def test_json_and_parquet_extracts_are_text(spark, tmp_path):
     json = _file(tmp_path, "x.json", '{"Customer": "Acme", "Total Credit Requested": 12.5}\n{"Customer": "B"}\n')
     frame = read_extract(spark, json, FUSION).frame
-    assert {f.dataType.simpleString() for f in frame.schema} == {"string"}
+    assert {f.dataType.simpleString() for f in frame.drop(POSITION).schema} == {"string"}
     assert {r["Total Credit Requested"] for r in frame.collect()} == {"12.5", None}
     folder = str(tmp_path / "x.parquet")
     spark.sql("select 'Acme' Customer, date'2025-06-05' `Create Date`, 12.5d `Total Credit Requested`").write.parquet(folder)
@@ -131,7 +138,7 @@ HTML = """<html><head><style>td {color: red}</style></head><body>
 
 def test_html_table(spark, tmp_path):
     path = _file(tmp_path, "x.xls", HTML)
-    frame = read_html_table(spark, path)
+    frame = read_html_table(spark, path).drop(POSITION)
     assert frame.columns == ["Plant Name", "Customer", "Feedback Total Credit Requested"]
     assert [tuple(r) for r in frame.collect()] == [
         ("Niles Plant", "Beta & Sons", "1500"),
@@ -154,14 +161,78 @@ def test_html_numbers_lose_separators(spark, tmp_path, text, value):
 
 def test_html_table_without_header_row(spark, tmp_path):
     path = _file(tmp_path, "x.xls", "<table><tr><td>a</td><td>1</td></tr><tr><td>b</td></tr></table>")
-    frame = read_html_table(spark, path)
+    frame = read_html_table(spark, path).drop(POSITION)
     assert frame.columns == ["0", "1"]
     assert [tuple(r) for r in frame.collect()] == [("a", "1"), ("b", None)]
 
 
 def test_html_table_with_equal_headers(spark, tmp_path):
     path = _file(tmp_path, "x.xls", "<table><tr><th>a</th><th>a</th></tr><tr><td>1</td><td>2</td></tr></table>")
-    assert read_html_table(spark, path).columns == ["a", "a.1"]
+    assert read_html_table(spark, path).drop(POSITION).columns == ["a", "a.1"]
+
+
+DIRTY = """<p>x</p><table><tr></tr></table>
+<table><thead><tr><td colspan=2>Where</td><td>How many</td></tr><tr><td>Plant Name</td><td>Customer</td><td>Qty in Question</td></tr></thead>
+<tr><td rowspan="2">Caf&eacute; &#233; &#xE9;</td><td>A<table><tr><td>in</td></tr></table></td><td>1</td></tr>
+<tr><td>B</td><td>2</td></tr>
+<tr><td colspan="2">both</td><td>3</td></tr>
+<tr><td>C</td><td>D</td><td>4,000</td></tr></table><table><tr><td>no</td></tr></table>"""
+
+
+def test_html_spans_references_nested_tables_and_headings_of_plain_cells(spark, tmp_path):
+    frame = read_html_table(spark, _file(tmp_path, "x.xls", DIRTY))
+    assert frame.columns[:3] == ["Plant Name", "Customer", "Qty in Question"]
+    assert [tuple(r)[:3] for r in frame.collect()] == [
+        ("Café é é", "A in", "1"),
+        ("Café é é", "B", "2"),
+        ("both", "both", "3"),
+        ("C", "D", "4000"),
+    ]
+
+
+def test_headers_that_occur_twice(spark, tmp_path):
+    assert unique_names(["a", "a", None, "A", "a"], ["A"]) == ["a (0)", "a.1", "Unnamed: 2", "A", "a.2"]
+    path = _file(tmp_path, "x.csv", "Customer,Customer,plant,Plant\nfirst,second,p,P\n")
+    row = read_extract(spark, path, vision("oak")).frame.first()
+    assert (row["Customer"], row["Customer.1"], row["Plant"]) == ("first", "second", "P")
+
+
+def test_rows_longer_than_the_header_fail(spark, tmp_path):
+    path = _file(tmp_path, "x.csv", "a,b\n1,2\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells than its header"):
+        read_csv(spark, path).collect()
+    short = _file(tmp_path, "y.csv", "a,b\n1\n1,2\n")
+    assert [tuple(r)[:2] for r in read_csv(spark, short).collect()] == [("1", None), ("1", "2")]
+
+
+def test_pattern_characters_in_a_name(spark, tmp_path):
+    _file(tmp_path, "Radius [1] {MDA} x.csv", "Report#,Customer\nR1,Acme\n")
+    _file(tmp_path, "Radius 1 MDA.txt", "Report#,Customer\nR1,Acme\n")
+    path = find_latest_file(spark, str(tmp_path), "*Radius*MDA*.csv")
+    assert read_extract(spark, path, RADIUS).frame.count() == 1
+
+
+def test_a_folder_of_part_files_is_one_extract(spark, tmp_path):
+    _file(tmp_path, "old Radius MDA.csv", "Report#,Customer\nR0,Old\n", mtime=1_000)
+    rows = spark.range(100).selectExpr("concat('R', id) as `Report#`", "'Acme' as Customer")
+    rows.repartition(4).write.csv(str(tmp_path / "new Radius MDA.csv"), header=True)
+    path = find_latest_file(spark, str(tmp_path), "*Radius*MDA*.csv")
+    assert path.endswith("new Radius MDA.csv")
+    assert read_extract(spark, path, RADIUS).frame.count() == 100
+
+
+def test_a_large_csv_is_split_unless_it_has_quoted_breaks(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        body = "a,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(5000))
+        plain = read_csv(spark, _file(tmp_path, "x.csv", body))
+        assert plain.rdd.getNumPartitions() > 2
+        rows = [r.a for r in plain.orderBy(f"{POSITION}.at").collect()]
+        assert rows == [str(i) for i in range(5000)], "positions are those of the file under any splitting"
+        broken = read_csv(spark, _file(tmp_path, "y.csv", body + '5,"p\nq"\n'))
+        assert broken.rdd.getNumPartitions() == 1 and broken.count() == 5001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_one_bad_source_does_not_stop_the_others(spark, tmp_path):

@@ -101,9 +101,9 @@ def test_key_ignores_quantity_file_and_sub_cent_credit(store, incidents):
 def test_first_row_in_the_batch_wins(spark):
     day = date(2025, 6, 10)
     rows = [
-        ("s", "p", "c", day, "d", Decimal("10.002"), 1.0, "f1", "r", [2, 1]),
-        ("s", "p", "c", day, "d", Decimal("10.001"), 9.0, "f1", "r", [1, 9]),
-        ("s", "p", "c", day, "d", Decimal("10.000"), 0.0, "f2", "r", [0, 0]),
+        ("s", "p", "c", day, "d", Decimal("10.002"), 1.0, "f1", "r", ("", [2, 1])),
+        ("s", "p", "c", day, "d", Decimal("10.001"), 9.0, "f1", "r", ("", [1, 9])),
+        ("s", "p", "c", day, "d", Decimal("10.000"), 0.0, "f2", "r", ("", [0, 0])),
     ]
     frame = spark.createDataFrame(rows, T.StructType([*UNIFIED.fields, ROW_ORDER]))
     got = first_per_incident(frame).collect()

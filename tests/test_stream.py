@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime
 from decimal import Decimal
 
@@ -28,10 +29,10 @@ def drop(spark, tmp_path):
         def file(self, name, *rows, header=HEADER):
             (folder / name).write_text(header + "".join(f"{r}\n" for r in rows))
 
-        def load(self, checkpoint="checkpoint", **kwargs):
+        def load(self, checkpoint="checkpoint", settings=SETTINGS, **kwargs):
             extract = streaming.read_extract_stream(spark, str(folder), FUSION, name_pattern="*.csv", **kwargs)
-            rows = streaming.incident_stream(spark, {"Fusion": extract}, "s", SETTINGS)
-            query = streaming.start_ingest(rows, store, str(tmp_path / checkpoint), "s", SETTINGS)
+            rows = streaming.incident_stream(spark, {"Fusion": extract}, "s", settings)
+            query = streaming.start_ingest(rows, store, str(tmp_path / checkpoint), "s", settings)
             query.awaitTermination()
             return store.incidents().count()
 
@@ -55,7 +56,46 @@ def test_only_new_files_are_loaded_and_nothing_twice(drop):
 def test_alerts_at_arrival(drop):
     drop.file("1.csv", "Acme,2025-06-10,Sticking,50,1", "Beta,2025-06-11,Color,150,1")
     drop.load()
-    assert [(r["customer"], r["run_id"]) for r in drop.alerts().collect()] == [("Beta", "s-0")]
+    (alert,) = drop.alerts().collect()
+    assert alert["customer"] == "Beta" and alert["run_id"].startswith("s-") and alert["run_id"].endswith("-0")
+    # A second query of the same name starts at batch 0 too; the first one's alerts stay.
+    drop.file("2.csv", "Gamma,2025-06-12,Color,300,1")
+    drop.load("other")
+    assert sorted(r["customer"] for r in drop.alerts().collect()) == ["Beta", "Beta", "Gamma"]
+
+
+def test_a_stream_tiers_and_logs_like_a_run(drop):
+    drop.file("1.csv", "Acme,2025-06-10,Sticking,50,1", "Beta,2025-06-11,Color,150,1")
+    drop.load()
+    assert sorted(r["customer_name"] for r in drop.store.customers().collect()) in ([], ["Acme", "Beta"])
+    (run,) = drop.store.runs().collect()
+    assert (run["status"], run["total_rows"], run["sources_loaded"]) == ("SUCCESS", 2, FUSION.label)
+
+
+def test_alerts_on_new_rows_only(drop):
+    settings = replace(SETTINGS, alert_on_new_rows_only=True)
+    drop.file("1.csv", "Beta,2025-06-11,Color,150,1")
+    drop.load(settings=settings)
+    drop.file("2.csv", "Beta,2025-06-11,Color,150,9", "Gamma,2025-06-12,Color,300,1")
+    drop.load(settings=settings)
+    assert sorted(r["customer"] for r in drop.alerts().collect()) == ["Beta", "Gamma"]
+
+
+def test_the_first_row_of_a_streamed_file_wins(drop):
+    drop.file("1.csv", "Acme,2025-06-10,Sticking,50,200", "Acme,2025-06-10,Sticking,50,100")
+    drop.load()
+    assert drop.incidents().first()["qty_affected"] == 200
+
+
+def test_weekly_totals_of_the_incident_stream_are_those_of_the_facts(drop, spark, tmp_path):
+    drop.file("1.csv", "Acme,2025-06-10,Sticking,50,1", "Beta,2025-06-11,Color,150,1", "Beta,2025-06-20,Color,10,1")
+    drop.load()
+    drop.file("2.csv", "Acme,2025-06-10,Sticking,50,7", "Beta,2025-06-21,Color,20,1")
+    drop.load()
+    totals = streaming.weekly_totals(streaming.new_incidents(drop.store))
+    streaming.land_complete(totals, str(tmp_path / "weeks"), str(tmp_path / "w")).awaitTermination()
+    got = {(str(r["week_start"].date()), r["incidents"], r["credit_usd"]) for r in spark.read.parquet(str(tmp_path / "weeks")).collect()}
+    assert got == {("2025-06-09", 2, 200.0), ("2025-06-16", 2, 30.0)}
 
 
 def test_a_batch_may_be_split(drop):
