@@ -32,6 +32,8 @@ from faultledger.llm.shared import checkpoint, free_name, quoted, schema_with, w
 #: Fingerprints of a posting that one row holds.
 BLOCK = 1024
 SEED = 42
+#: Links among distinct fingerprints (16 bytes each) that one task labels.
+EDGES_OF_A_TASK = 200_000
 
 
 def fingerprint_of(text: str | None, size: int) -> int:
@@ -150,23 +152,33 @@ def links(prints: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable, for all nodes that ``edges`` (src, dst) name.
 
-    Labels fall to the least of the neighbours' labels, then twice to the label of
-    their label, until none changes; a chain of n nodes takes about log n rounds.
+    Labels fall to the least of the neighbours' labels, then to the label of their
+    label, until none changes; a chain of n nodes takes about log n rounds. Up to
+    ``EDGES_OF_A_TASK`` edges a round is one task without shuffles, beyond that its
+    joins are shuffled; the steps are the same.
     """
-    both = checkpoint(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = checkpoint(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("label")))
+    edges = checkpoint(edges.select("src", "dst"))
+    few = edges.count() <= EDGES_OF_A_TASK
+
+    def gathered(frame: DataFrame) -> DataFrame:
+        return frame.coalesce(1) if few else frame
+
+    both = gathered(checkpoint(gathered(edges.union(edges.select("dst", "src"))).distinct()))
+    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near"))
+    labels = checkpoint(labels.select("node", F.least("node", "near").alias("label")))
     while True:
+        labels = gathered(labels)
         near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         # the label of a node takes the least that any of its followers has seen
         seen = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         hooked = seen.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("pulled"))
         stepped = seen.join(hooked, "node", "left").select("node", "old", F.least("label", F.coalesce("pulled", "label")).alias("label"))
-        stepped = checkpoint(stepped)
+        stepped = gathered(checkpoint(stepped))
         jump = stepped.select(F.col("node").alias("label"), F.col("label").alias("next"))
         again = checkpoint(stepped.join(jump, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")))
-        if again.where("label <> old").isEmpty():
-            return again.select("node", "label")
         labels = again.select("node", "label")
+        if again.where("label <> old").isEmpty():
+            return labels
 
 
 def simhash_groups(prints: DataFrame, doc_id: str = "doc_id", fp: str = "simhash", max_bits: int = 3) -> DataFrame:

@@ -87,7 +87,9 @@ def test_links_connect_what_brute_force_connects(spark, block):
     assert edges.where((F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) > 3)).isEmpty()
 
 
-def test_long_chain(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_long_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "EDGES_OF_A_TASK", few)
     chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r.label for r in simhash.components(chain).collect()} == {0}
 
