@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from faultledger.llm.shared import schema_with, without
 
 #: Pre-tokens in either memory of a worker (some 200 bytes each), and the longest that is kept.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 REMEMBERED_LENGTH = 48
 
 
@@ -127,6 +127,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern, self.words = ranks, pattern, words_of(ranks)
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -148,17 +149,20 @@ class Encoder:
         return b"".join([get(piece) or self._piece(piece) for piece in self.pieces(text)])
 
 
-def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids", decoded: str | None = None
+) -> DataFrame:
     """Add the ids of every whole ``text`` as an array of int, without special tokens.
 
-    A null or empty text has no ids. All other columns stay; one that is called
-    ``out`` is replaced. Each row stands alone, so repeated rows stay repeated. The
-    ranks must hold every single byte that occurs, else the task fails with a
-    KeyError. No shuffle: ranks (a vocabulary file, under 1 MB) are broadcast.
+    A null or empty text has no ids. ``decoded`` names a column for the bytes that
+    these ids stand for, made in the same pass. All other columns stay; those with
+    the names of new ones are replaced. Each row stands alone, so repeated rows stay
+    repeated. The ranks must hold every single byte that occurs, else the task fails
+    with a KeyError. No shuffle: ranks (a vocabulary file, under 1 MB) are broadcast.
     """
-    docs = without(docs, out)
+    docs = without(docs, out, decoded or out)
     spread = docs.sparkSession.sparkContext.broadcast(Encoder(ranks, pattern))
-    schema = schema_with(docs, (out, T.ArrayType(T.IntegerType(), False)))
+    schema = schema_with(docs, (out, T.ArrayType(T.IntegerType(), False)), *([(decoded, T.BinaryType())] if decoded else []))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +170,19 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
         for batch in batches:
             found = [encode(value or "") for value in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype("<i4")
-            ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
-            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), ids)], names=schema.names)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            more = [_bytes_of(ids, encode.tokens)] if decoded else []
+            yield pa.record_batch([*batch.columns, ids, *more], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _bytes_of(ids: pa.ListArray, tokens: dict[int, bytes]) -> pa.Array:
+    """The bytes of each row of ids; null for null."""
+    rows = (row.values.to_numpy().tolist() if row.is_valid else None for row in ids)
+    return pa.array([None if row is None else b"".join(map(tokens.__getitem__, row)) for row in rows], pa.binary())
+
+
 def bpe_decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that ``ids`` stand for. Null ids give null, no ids give no bytes.
 
@@ -183,14 +194,8 @@ def bpe_decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids",
     at = docs.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in spread.value.items()}.__getitem__
+        tokens = {rank: token for token, rank in spread.value.items()}
         for batch in batches:
-            column = batch.column(at)
-            texts = [None if row is None else b"".join(map(tokens, row.values.to_numpy().tolist())) for row in map(_valid, column)]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
+            yield pa.record_batch([*batch.columns, _bytes_of(batch.column(at), tokens)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
-
-
-def _valid(row: pa.ListScalar) -> pa.ListScalar | None:
-    return row if row.is_valid else None

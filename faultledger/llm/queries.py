@@ -17,14 +17,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def bpe_round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path(vocabulary))
-    ids = byte_bpe.bpe_encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    digests = ids.select(
+    ids = byte_bpe.bpe_encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return ids.select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
-        "token_ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return byte_bpe.bpe_decode(digests, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
