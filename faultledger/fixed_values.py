@@ -108,19 +108,6 @@ ALERT_COLUMNS = (
     "status",
 )
 
-# Names of the report tables.
-REPORT_TABLES = {
-    "summary": "Summary",
-    "by_source": "By Source",
-    "quarter_pivot": "Quarterly Breakdown",
-    "by_plant": "By Plant",
-    "by_defect": "By Defect Category",
-    "by_customer": "By Customer",
-    "source_span": "Time Periods",
-    "customer_plant": "Customer x Plant",
-    "plant_defect": "Plant x Defect",
-    "raw": "Raw Data",
-}
 
 # First rows of the plant table (plant, region, country, system, currency).
 PLANTS = (

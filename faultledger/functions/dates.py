@@ -17,10 +17,7 @@ SHAPES = {
     "M/d/yyyy[ H:m[:s]]": r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME + "$",
     "M/d/yyyy h:m[:s] a": r"^\d{1,2}/\d{1,2}/\d{4}.*[AaPp][Mm]$",
     "d/M/yyyy[ H:m[:s]]": r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME + "$",
-    "M/d/yy[ H:m[:s]]": r"^\d{1,2}/\d{1,2}/\d\d" + _TIME + "$",
-    "d/M/yy[ H:m[:s]]": r"^\d{1,2}/\d{1,2}/\d\d" + _TIME + "$",
     "d-MMM-yyyy[ H:m[:s]]": r"^\d{1,2}-[A-Za-z]{3}-\d{4}",
-    "d-MMM-yy": r"^\d{1,2}-[A-Za-z]{3}-\d\d$",
     "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
     "MMMM d, yyyy": r"^[A-Za-z]{3,} \d{1,2}, \d{4}$",
 }
@@ -32,14 +29,13 @@ DAY_FIRST_FORMATS = tuple(sorted(SHAPES, key=lambda f: f.startswith("M/d/")))
 _ISO_DATE = r"(?U)^[\s\x1c-\x1f]*(\d{4}-\d\d-\d\d)[\s\x1c-\x1f]*\z"
 # A time's zone or offset: the day is the one that is written, whatever the zone.
 _ZONE = r"(?<=\d:\d\d|\d\.\d{1,9})\s*(?:Z|UTC|[+-]\d\d:?\d\d)$"
-_LAST_YEAR_OF_TWO_DIGITS = 2068
+# Years of two digits at the end of a day: from 69 on they are of the last century.
+_SHORT = r"^(\d{1,2}[/-](?:\d{1,2}|[A-Za-z]{3})[/-])"
+_CENTURIES = ((_SHORT + r"(69|[7-9]\d)(?!\d)", "$119$2"), (_SHORT + r"(\d\d)(?!\d)", "$120$2"))
 
 
 def _formatted(text: Column, date_format: str) -> Column:
     day = F.try_to_timestamp(text, F.lit(date_format)).cast("date")
-    if "yy" in date_format and "yyyy" not in date_format:
-        # two digits from 69 on are of the last century
-        day = F.when(F.year(day) > _LAST_YEAR_OF_TWO_DIGITS, F.add_months(day, -1200)).otherwise(day)
     shape = SHAPES.get(date_format)
     return F.when(text.rlike(shape), day) if shape else day
 
@@ -52,6 +48,8 @@ def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """
     iso = F.regexp_extract(text, _ISO_DATE, 1).try_cast("date")
     stripped = F.regexp_replace(strip(text), _ZONE, "")
+    for short, whole in _CENTURIES:
+        stripped = F.regexp_replace(stripped, short, whole)
     others = [_formatted(stripped, f) for f in formats]
     return F.coalesce(iso, F.when(text.rlike("[0-9]"), F.coalesce(*others)))
 

@@ -40,6 +40,26 @@ def _defect(headers: Collection[str], contract: Contract, strict_nulls: bool) ->
     return F.when(joined == "", F.lit(MISSING_TEXT)).otherwise(joined)
 
 
+def _position(frame: DataFrame, headers: Collection[str], contract: Contract) -> Column | None:
+    """Where a row stands in its extract: as it states, else where the scan found it.
+
+    The order within a split comes last, from the scan's own order. It also keeps
+    the filters of the cleaning above this projection, which would otherwise be
+    pushed below it together with a copy of the date parsing. A stream can't have
+    it; its batches add it when they arrive.
+    """
+    stated = [quoted(h).try_cast("bigint") for h in contract.row_order if h in headers]
+    if stated:
+        part, at = F.lit(""), F.array(*stated)
+    elif POSITION in headers:
+        part, at = F.col(f"{POSITION}.part"), F.col(f"{POSITION}.at")
+    else:
+        return None
+    if not frame.isStreaming:
+        at = F.concat(at, F.array(F.monotonically_increasing_id()))
+    return F.struct(part.alias("part"), at.alias("at"))
+
+
 def to_unified(
     extract: Extract, contract: Contract, run_id: str, strict_nulls: bool = False
 ) -> DataFrame:
@@ -50,11 +70,7 @@ def to_unified(
     if contract.requires_date:
         frame = frame.where(day.isNotNull())
     file = F.lit(extract.file) if isinstance(extract.file, str) else extract.file
-    order = [quoted(h).try_cast("bigint") for h in contract.row_order if h in headers]
-    if order:
-        position = [F.struct(F.lit("").alias("part"), F.array(*order).alias("at"))]
-    else:
-        position = [F.col(POSITION)] if POSITION in headers else []
+    position = _position(frame, headers, contract)
     return frame.select(
         F.lit(contract.label).alias("source"),
         strip(as_text(lookup(headers, contract.plant))).alias("plant"),
@@ -65,7 +81,7 @@ def to_unified(
         to_quantity(lookup(headers, contract.quantity)).alias("qty_affected"),
         file.alias("raw_source_file"),
         F.lit(run_id).alias("pipeline_run_id"),
-        *[column.cast(ROW_ORDER.dataType).alias(ROW_ORDER.name) for column in position],
+        *([position.cast(ROW_ORDER.dataType).alias(ROW_ORDER.name)] if position is not None else []),
     )
 
 

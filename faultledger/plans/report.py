@@ -123,9 +123,11 @@ def write_report(
     if incidents.isEmpty():
         return ""
     target = f"{out_dir.rstrip('/')}/run_id={run_id}"
-    rolled_path = f"{target}/rollup"
+    spark = incidents.sparkSession
+    # written once for the nine small tables, beside the bundle, and removed after them
+    rolled_path = f"{out_dir.rstrip('/')}/_rollup/run_id={run_id}"
     rollup(incidents).write.mode("overwrite").parquet(rolled_path)
-    rolled = incidents.sparkSession.read.parquet(rolled_path)
+    rolled = spark.read.parquet(rolled_path)
     sources = [
         r["source"]
         for r in rolled.where(_is_set("source")).select("source").orderBy("source").collect()
@@ -135,4 +137,6 @@ def write_report(
     for name, table in bundle.items():
         options = CSV_OPTIONS if fmt == "csv" else {}
         table.write.mode("overwrite").options(**options).format(fmt).save(f"{target}/{name}")
+    scratch = spark._jvm.org.apache.hadoop.fs.Path(rolled_path)
+    scratch.getFileSystem(spark._jsc.hadoopConfiguration()).delete(scratch, True)
     return target

@@ -83,14 +83,13 @@ def exact(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def position(*at: Column) -> Column:
-    """Position of a row of a file scan; computed once per row, wherever rows go afterwards."""
-    return F.struct(F.col("_metadata.file_path").alias("part"), F.array(*at).alias("at")).alias(POSITION)
+def position(at: Column) -> Column:
+    """Position of a row of a file scan, but for the order within a split, which the mapping adds."""
+    return F.struct(F.col("_metadata.file_path").alias("part"), F.array(at).alias("at")).alias(POSITION)
 
 
-def line_position() -> tuple[Column, Column]:
-    """Of a text format: the start of the file's split, then the order within the split."""
-    return F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+def split_start() -> Column:
+    return F.col("_metadata.file_block_start")
 
 
 def unique_names(headers: Collection[str | None], wanted: Collection[str] = ()) -> list[str]:
@@ -135,7 +134,7 @@ def read_csv(
     rows = reader.csv(exact(path), header=True, schema=T.StructType(fields))
     message = f"a row of {path} has more cells than its header"
     fits = F.assert_true(quoted(_BEYOND).isNull(), F.lit(message)).isNull()
-    return rows.where(fits).select(*map(quoted, names), position(*line_position()))
+    return rows.where(fits).select(*map(quoted, names), position(split_start()))
 
 
 def scan(
@@ -152,7 +151,7 @@ def scan(
         return read_html_table(spark, path)
     if suffix == "json":
         rows = spark.read.option("primitivesAsString", True).json(exact(path))
-        return rows.select("*", position(*line_position()))
+        return rows.select("*", position(split_start()))
     if suffix == "parquet":
         rows = spark.read.parquet(exact(path))
         return rows.select("*", position(F.col("_metadata.row_index")))

@@ -18,7 +18,7 @@ from faultledger.plans.alerting import alert_rows
 from faultledger.plans.store import IncidentStore
 from faultledger.schemas import FACT, ROW_ORDER
 from faultledger.sources.contracts import Contract
-from faultledger.sources.extracts import Extract, exact, position, prepare
+from faultledger.sources.extracts import Extract, exact, position, prepare, split_start
 
 
 def read_extract_stream(
@@ -52,7 +52,7 @@ def read_extract_stream(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     file = F.col("_metadata.file_path").alias("_file")
     # the order within a split is added where the batch arrives
-    place = position(F.col("_metadata.file_block_start"))
+    place = position(split_start())
     frame = reader.format(fmt).load(path).select("*", file, place)
     return Extract(prepare(frame, contract), F.col("_file"))
 

@@ -362,6 +362,31 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
+def report_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's tables that are not rankings, as written, in one long table."""
+    store = star.store(spark, sf_dir)
+    bundle = report.write_report(store.incidents(), star.shared_dir(spark), "run-1", "now")
+
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{bundle}/{name}")
+
+    def part(frame: DataFrame, name: str, item: Column, value: Column) -> DataFrame:
+        return frame.select(F.lit(name).alias("report_table"), item.alias("item"), value.cast("double").alias("value"))
+
+    summary, quarters = table("summary"), table("quarter_pivot")
+    parts = [part(summary, "summary", F.concat_ws("|", "run_id", "credit_usd", "sources"), F.col("incidents"))]
+    parts += [part(summary, "summary", F.lit(name), F.col(name)) for name in ("plants", "customers")]
+    parts += [part(quarters, "quarter_pivot", F.concat_ws("|", "quarter", F.lit(s)), F.col(s)) for s in quarters.columns[1:]]
+    spans = table("source_span")
+    parts.append(part(spans, "source_span", F.concat_ws("|", *spans.columns), F.lit(0)))
+    raw = table("raw").groupBy("source", "incident_date").agg(F.sum("credit_requested_usd").alias("total"))
+    parts.append(part(raw, "raw", F.concat_ws("|", "source", "incident_date"), as_double(F.col("total"))))
+    whole = parts[0]
+    for one in parts[1:]:
+        whole = whole.unionByName(one)
+    return whole
+
+
 # -- streams -----------------------------------------------------------------------
 
 
@@ -517,6 +542,7 @@ QUERIES = {
     "weekly_payload": _view(alerting.weekly_payload),
     "facets": facets,
     "report_totals": report_totals,
+    "report_rest": report_rest,
     "stream_incidents": stream_incidents,
     "stream_alerts": stream_alerts,
     "stream_tiers": stream_tiers,

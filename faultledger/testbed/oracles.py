@@ -345,6 +345,20 @@ group by risk_tier"""
             ]
         )
     ),
+    "report_rest": _on_facts(
+        f"""select 'summary' report_table, concat('run-1|$', format('{{:,.2f}}', cast(sum(credit) as double)), '|',
+    string_agg(distinct source, ', ' order by source)) item, cast(count(*) as double) "value" from fact
+union all select 'summary', 'plants', count(distinct plant) from fact
+union all select 'summary', 'customers', count(distinct customer) from fact
+union all select 'quarter_pivot', concat(q.name, '|', s.source), coalesce(t.credit_usd, 0)
+  from (select distinct {_QUARTER} as name from fact) q cross join (select distinct source from fact) s
+  left join (select {_QUARTER} as name, source, {_SUM} from fact group by 1, 2) t
+    on t.name = q.name and t.source = s.source
+union all select 'source_span', concat(source, '|', min(incident_date), '|', max(incident_date)), 0
+  from fact group by source
+union all select 'raw', concat(source, '|', incident_date), cast(sum(credit) as double)
+  from fact group by source, incident_date"""
+    ),
     "stream_incidents": _on_facts(f"select {_ROW} from fact"),
     "stream_alerts": _on_extracts(
         "select cast(credit as double) credit_requested_usd, plant, customer, defect_category, "

@@ -102,3 +102,20 @@ def test_currency_text(spark):
     assert _apply(spark, text.currency_text, values, "decimal(18,6)") == ["$1,234,568", "$0"]
     two = _apply(spark, lambda v: text.currency_text(v, 2), values, "decimal(18,6)")
     assert two == ["$1,234,567.89", "$0.00"]
+
+
+@pytest.mark.parametrize(
+    "text,day",
+    [("6/15/25", "2025-06-15"), ("6/15/75 10:30", "1975-06-15"), ("15-Jun-25", "2025-06-15"), ("2025/06/15", "2025-06-15"),
+     ("Jun 15, 2025", "2025-06-15"), ("June 15, 2025", "2025-06-15"), ("20250615", "2025-06-15"), ("15/06/2025", "2025-06-15"),
+     ("2025-06-15T10:00:00Z", "2025-06-15"), ("2025-06-15 23:59:59.5-05:00", "2025-06-15"), ("1/2/2025", "2025-01-02"),
+     ("99999999", None), ("12", None)],
+)
+def test_forms_of_a_date(spark, text, day):
+    got = spark.createDataFrame([(text,)], "t string").select(dates.parse_date(F.col("t")).cast("string")).first()[0]
+    assert got == day
+
+
+def test_day_first(spark):
+    got = spark.sql("select '1/2/25' t").select(dates.parse_date(F.col("t"), dates.DAY_FIRST_FORMATS).cast("string"))
+    assert got.first()[0] == "2025-02-01"

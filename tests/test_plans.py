@@ -7,6 +7,7 @@ from datetime import date
 
 import pytest
 
+from faultledger.functions.dates import DATE_FORMATS
 from faultledger.operators.dedup import first_per_incident, not_in_history
 from faultledger.operators.filters import detail_filter, facet_filter
 from faultledger.plans import alerting, overview, root_cause, scorecard
@@ -106,3 +107,9 @@ def test_each_source_reads_its_own_files(spark, sf_dir):
     assert "Python" not in text and "hashpartitioning" not in text and "LocalTableScan" in text
     for key in star.HEADERS:
         assert re.search(rf"PartitionFilters: \[.*extract#\d+ = {key}\)", text)
+
+
+def test_dates_are_parsed_once(spark, sf_dir):
+    frame = _cleaned(spark, sf_dir)
+    optimized = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("gettimestamp(") == len(DATE_FORMATS) * len(star.HEADERS)

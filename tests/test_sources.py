@@ -1,14 +1,17 @@
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultledger.fixed_values import NA_TOKENS, SOURCE_PATTERNS
+from faultledger.operators.mapping import to_unified
 from faultledger.schemas import FACT
-from faultledger.sources.contracts import CONTRACTS, FUSION, OBI, RADIUS, vision
+from faultledger.sources.contracts import CONTRACTS, FUSION, OBI, RADIUS, Field, vision
 from faultledger.sources.detect import detect_source_files, find_latest_file, name_regex
 from faultledger.sources.extracts import (
     POSITION,
+    Extract,
     ExtractError,
     read_csv,
     read_extract,
@@ -225,10 +228,12 @@ def test_a_large_csv_is_split_unless_it_has_quoted_breaks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
     try:
         body = "a,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(5000))
-        plain = read_csv(spark, _file(tmp_path, "x.csv", body))
+        path = _file(tmp_path, "x.csv", body)
+        plain = read_csv(spark, path)
         assert plain.rdd.getNumPartitions() > 2
-        rows = [r.a for r in plain.orderBy(f"{POSITION}.at").collect()]
-        assert rows == [str(i) for i in range(5000)], "positions are those of the file under any splitting"
+        contract = replace(FUSION, customer=Field(("a",)))
+        rows = to_unified(Extract(plain, path), contract, "r").orderBy("row_order").collect()
+        assert [r["customer"] for r in rows] == [str(i) for i in range(5000)], "the file's order under any splitting"
         broken = read_csv(spark, _file(tmp_path, "y.csv", body + '5,"p\nq"\n'))
         assert broken.rdd.getNumPartitions() == 1 and broken.count() == 5001
     finally:
