@@ -2,8 +2,9 @@
 
 A text is a sequence of words. Of the word k-grams in each window of ``length``
 words, winnowing takes the one with the least hash as the window's anchor, so equal
-windows have equal anchors wherever they stand. Neighbouring windows with one anchor
-form a span: the anchor extended to both sides as far as it decides.
+windows have equal anchors wherever they stand. Neighbouring windows with equal
+anchors form a span: the anchor extended to both sides as far as it decides (in a
+text that repeats itself, over all the repetitions).
 
 * Seed: anchors that occur in two documents or more; the others' windows are unique.
 * Extend: occurrences of an anchor whose whole spans are equal match over the whole
@@ -116,13 +117,14 @@ class Slab:
         keys = (hashes & ~PLACES) | (PLACES - grams.astype(np.uint64))
         least = _sliding_least(keys, length - GRAM + 1)[at]
         anchor = (PLACES - (least & PLACES)).astype(np.int64)
-        new = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(text) != 0)])
+        said = hashes[anchor]
+        new = np.concatenate([[True], (said[1:] != said[:-1]) | (np.diff(text) != 0)])
         heads = np.flatnonzero(new)
         counts = np.diff(np.append(heads, len(at)))
-        starts, anchors = at[heads], anchor[heads]
+        starts = at[heads]
         inside = self.stretches(starts, starts + counts + length - 1)
-        place = ((anchors - starts) * 64 + counts).astype(np.uint64)
-        return text[heads], hashes[anchors].view(np.int64), scrambled(inside + place).view(np.int64), starts - self.first[text[heads]], counts
+        whole = scrambled(inside + counts.astype(np.uint64))
+        return text[heads], said[heads].view(np.int64), whole.view(np.int64), starts - self.first[text[heads]], counts
 
 
 def _slabs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -184,8 +186,9 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     """doc, body, cuts: starts and ends (in words) of what stands in an earlier document too."""
     texts = docs.select("doc", "body", "text")
     found = spans(texts, length)
-    seeds = found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    seeded = checkpoint(found.join(seeds.select("anchor"), "anchor", "left_semi"))
+    # checkpointed, so that the joins below have an exchange on both sides and hot keys can be split
+    seeds = checkpoint(found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"))
+    seeded = checkpoint(found.join(seeds, "anchor", "left_semi"))
     kinds = checkpoint(seeded.groupBy("anchor", "span").agg(F.min("doc").alias("owner")))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     kinds = kinds.join(several, "anchor", "left").select("anchor", "span", "owner", F.col("kinds").isNotNull().alias("open"))
@@ -194,6 +197,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     asked = met.where("doc = owner").groupBy("doc", "body").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))
     windows = checkpoint(_window_hashes(texts.join(asked, ["doc", "body"]).select("doc", "body", "text", "asked"), length))
     owners = windows.groupBy("anchor", "window").agg(F.min("doc").alias("owner"), F.max("doc").alias("high")).where("owner < high")
+    owners = checkpoint(owners.drop("high"))
     single = windows.join(owners, ["anchor", "window"]).where("doc > owner").select("doc", "body", "first", (F.col("first") + length).alias("end"))
     return whole.unionByName(single).groupBy("doc", "body").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
 

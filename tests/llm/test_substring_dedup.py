@@ -74,6 +74,12 @@ def test_equal_windows_have_equal_anchors():
     assert least.tolist() == [3, 3, 1, 1]
 
 
+def test_a_text_that_repeats_itself_is_one_span():
+    slab = sd.Slab([b"lorem ipsum " * 5000], sd.Powers())
+    text, anchor, span, first, windows = slab.spans(50)
+    assert len(text) == 1 and windows.tolist() == [10_000 - 49]
+
+
 def test_empty_table_and_very_long_text(spark):
     docs = spark.createDataFrame([(1, "lorem ipsum " * 60_000), (2, "lorem ipsum " * 30)], "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sd.drop_repeats(docs).collect()}
