@@ -88,16 +88,22 @@ class Model:
         return [self.languages[o] for o in self.owner[best]], score, score < self.floor[best]
 
 
-def cluster(vectors: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """Centroids of spherical k-means, started from the farthest points in turn; at most ``k``."""
-    centroids = unit(vectors.mean(axis=0, keepdims=True))
-    while len(centroids) < min(k, len(vectors)):
-        far = (vectors @ centroids.T).max(axis=1)
-        centroids = np.vstack([centroids, vectors[far.argmin()]])
+def cluster(vectors: np.ndarray, k: int, rounds: int = 20, least: float = 0.02) -> np.ndarray:
+    """Centroids of spherical k-means; at most ``k``, each of ``least`` of the rows and of two at least.
+
+    The first centroids are rows at even steps of the distance from the mean. A
+    cluster of a few odd rows is dissolved: its centroid would be an outlier, and its
+    radius would say nothing.
+    """
+    nearness = np.argsort(vectors @ unit(vectors.mean(axis=0, keepdims=True))[0], kind="stable")
+    centroids = vectors[np.unique(nearness[((np.arange(k) + 0.5) * len(vectors) / k).astype(int)])]
     for _ in range(rounds):
         owner = (vectors @ centroids.T).argmax(axis=1)
-        means = [vectors[owner == c].mean(axis=0) for c in range(len(centroids)) if (owner == c).any()]
-        moved = unit(np.array(means))
+        sizes = np.bincount(owner, minlength=len(centroids))
+        large = np.flatnonzero(sizes >= max(2, least * len(vectors)))
+        if not len(large):
+            large = sizes.argmax(keepdims=True)
+        moved = unit(np.array([vectors[owner == c].mean(axis=0) for c in large]))
         if moved.shape == centroids.shape and np.allclose(moved, centroids, atol=1e-6):
             break
         centroids = moved
@@ -112,7 +118,7 @@ def fit(
     per_language: int = 500,
     max_languages: int = 200,
     clusters: int = 4,
-    slack: float = 0.5,
+    slack: float = 0.25,
 ) -> Model:
     """Fit on about ``per_language`` rows of each language, those with the smallest hash of ``key`` and text.
 
