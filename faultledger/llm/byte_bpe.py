@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from faultledger.llm.shared import schema_with, without
 
 #: Pre-tokens in either memory of a worker (some 200 bytes each), and the longest that is kept.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 REMEMBERED_LENGTH = 48
+ROWS_AT_ONCE = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,7 +168,7 @@ def bpe_encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = spread.value
-        for batch in batches:
+        for batch in _slices(batches):
             found = [encode(value or "") for value in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype("<i4")
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
@@ -177,6 +178,13 @@ def bpe_encode(
     return docs.mapInArrow(run, schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short runs of rows, since texts, ids and bytes of a run are in memory at once."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(first, ROWS_AT_ONCE)
+
+
 def _bytes_of(ids: pa.ListArray, tokens: dict[int, bytes]) -> pa.Array:
     """The bytes of each row of ids; null for null."""
     rows = (row.values.to_numpy().tolist() if row.is_valid else None for row in ids)
@@ -195,7 +203,7 @@ def bpe_decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in spread.value.items()}
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.record_batch([*batch.columns, _bytes_of(batch.column(at), tokens)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
