@@ -48,7 +48,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Share of a source's documents beyond which a line is boilerplate, and documents it must stand on.
-LINE_RATIO, LINE_PAGES = 0.1, 5
+#: A site is laid out by tens of templates and sections, each with its own header and footer, so a
+#: line of one of them stands on few of the site's pages; on one in a hundred it is no chance.
+LINE_RATIO, LINE_PAGES = 0.01, 5
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

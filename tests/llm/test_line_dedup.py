@@ -32,3 +32,18 @@ def test_edge_rows(spark):
     assert got[20] == [("own 0", 2, 1)]
     assert got[30][0][0] == "long line " * 50_000
     assert line_dedup.drop_lines(docs.limit(0)).count() == 0
+
+
+def test_edge_lines_of_a_few_hundredths_of_a_source_go(spark, tmp_path):
+    def text(i):
+        header = ["section news"] if i % 25 == 0 else []
+        footer = ["printed by the press"] if i % 50 == 1 else []
+        chance = ["so it goes"] if i % 100 == 2 else []
+        return "\n".join([*header, f"first {i}", *chance, f"last {i}", *footer])
+
+    rows = [(i, text(i), "en", "a", 0) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got[0] == ("first 0\nlast 0", 1) and got[1] == ("first 1\nlast 1", 1)
+    assert got[2] == ("first 2\nso it goes\nlast 2", 0), "four pages are chance"
+    assert sum(dropped for _, dropped in got.values()) == 16 + 8
