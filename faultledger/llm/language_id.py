@@ -5,7 +5,8 @@ scaled to length one. The model is fitted on a bounded sample of labelled rows:
 sample's trigram statistics give the IDF, and the vectors of each language are
 clustered into a few centroids by spherical k-means. Prediction is the language of
 the centroid with the largest cosine. A text further from that centroid than the
-centroid's own radius allows is rejected.
+centroid's own radius allows is rejected; a text of few trigrams is far from every
+centroid by chance alone, so its cosine is held against the one to be expected.
 """
 
 from __future__ import annotations
@@ -71,21 +72,36 @@ class Model:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray
-    #: Position in ``languages``, and smallest cosine that is not rejected, of each centroid.
+    #: Of each centroid: position in ``languages``, variance of its trigrams, and the
+    #: smallest share of the expected cosine that is not rejected.
     owner: np.ndarray
+    spread: np.ndarray
     floor: np.ndarray
 
-    def vectors(self, texts: list[bytes]) -> np.ndarray:
-        return unit(term_counts(texts) * self.idf)
+    def expected(self, sizes: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Cosines of texts of so many trigrams drawn from the centroids ``near``."""
+        return 1 / np.sqrt(1 + self.spread[near] / np.maximum(sizes, 1))
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, cosines in 0..1, and whether each text is too far from its centroid."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cosines = self.vectors(texts) @ self.centroids.T
+        counts = term_counts(texts)
+        sizes = counts.sum(axis=1)
+        cosines = unit(counts * self.idf) @ self.centroids.T
         best = cosines.argmax(axis=1)
         score = cosines[np.arange(len(texts)), best].astype(np.float64).clip(0, 1)
-        return [self.languages[o] for o in self.owner[best]], score, score < self.floor[best]
+        # a count of n scatters by a share of 1 / sqrt(n)
+        floor = self.floor[best] * self.expected(sizes, best) * (1 - 1 / np.sqrt(np.maximum(sizes, 1)))
+        return [self.languages[o] for o in self.owner[best]], score, (score < floor) | (score == 0)
+
+
+def spread(centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Of each centroid, the squared length that one drawn trigram adds by chance, as a share of the squared mean."""
+    parts = np.maximum(centroids / idf, 0).astype(np.float64)
+    parts /= np.maximum(parts.sum(axis=1, keepdims=True), 1e-12)
+    mean = ((parts * idf) ** 2).sum(axis=1)
+    return (parts * (1 - parts) * idf**2).sum(axis=1) / np.maximum(mean, 1e-12)
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = 20, least: float = 0.02) -> np.ndarray:
@@ -118,7 +134,8 @@ def fit(
     per_language: int = 500,
     max_languages: int = 200,
     clusters: int = 4,
-    slack: float = 0.25,
+    quantile: float = 0.05,
+    slack: float = 0.35,
 ) -> Model:
     """Fit on about ``per_language`` rows of each language, those with the smallest hash of ``key`` and text.
 
@@ -127,8 +144,9 @@ def fit(
     languages than that raise an error. Null texts, null languages and texts
     without a letter are left out, repeated rows count once; no row at all gives a
     model that answers ``und``. Only counts over 4,096 buckets leave the executors,
-    never texts. ``slack`` is the share of the smallest cosine of a centroid's own
-    rows at which rejection starts.
+    never texts. Rejection starts at the share ``slack`` of the ``quantile`` of a
+    centroid's own rows, whose cosines are taken as shares of the expected ones; up
+    to so many odd rows do not move it.
     """
     turn = F.xxhash64(quoted(key), quoted(text)) if key else F.xxhash64(quoted(text))
     rows = labelled.select(quoted(lang).alias("lang"), quoted(text).alias("text"), turn.alias("turn"))
@@ -137,7 +155,7 @@ def fit(
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not sizes:
-        return Model([], np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model([], np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(0), np.zeros(0))
     chosen = F.lit(False)
     for row in sizes:
         last = min(int((2 * per_language / row.n - 1) * 2**63), 2**63 - 1) if row.n > per_language else 2**63 - 1
@@ -167,12 +185,14 @@ def fit(
         mine = cluster(vectors[[row.lang == language for row in found]], clusters)
         centroids.append(mine)
         owner += [number] * len(mine)
-    model = Model(languages, idf, np.vstack(centroids), np.array(owner), np.zeros(len(owner)))
+    every = np.vstack(centroids)
+    model = Model(languages, idf, every, np.array(owner), spread(every, idf), np.full(len(owner), slack))
     cosines = vectors @ model.centroids.T
     best = cosines.argmax(axis=1)
+    share = cosines.max(axis=1) / model.expected(counts.sum(axis=1), best)
     for c in range(len(owner)):
-        own = cosines[best == c, c]
-        model.floor[c] = slack * own.min() if len(own) else 0
+        own = share[best == c]
+        model.floor[c] = slack * min(np.quantile(own, quantile), 1) if len(own) else slack
     return model
 
 

@@ -68,3 +68,39 @@ def test_edge_rows(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
     empty = language_id.fit(train.where(F.lit(False)))
     assert [r.lang_pred for r in language_id.predict(docs, empty).collect()] == ["und"] * 7
+
+
+ITALIAN = "La nostra casa si trova vicino al mare e ogni mattina andiamo a fare una passeggiata sulla spiaggia con il cane prima di tornare per la colazione"
+HUNGARIAN = "A mi házunk a tenger közelében van és minden reggel sétálni megyünk a kutyával a parton mielőtt hazatérünk reggelizni a gyerekeinkkel"
+
+
+def test_foreign_text_is_rejected_and_clean_text_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(5)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 400)) for _ in range(50)]
+    with open(language_id.__file__) as file:
+        code = [part for part in file.read().split("\n\n\n") if len(part) > 300]
+    foreign = [text.encode() for text in [ITALIAN, HUNGARIAN, *letters, *code]]
+    clean = [r.text for r in docs.where(queries.held_out() & language_id.has_letter(F.col("text"))).collect()]
+    short = [" ".join(text.split()[:6]).encode() for text in clean]
+    model = queries.language_model(docs)
+    assert model.predict(foreign)[2].mean() >= 0.9
+    assert model.predict([text.encode() for text in clean])[2].mean() <= 0.01
+    assert model.predict(short)[2].mean() <= 0.01
+
+
+def test_an_unlearned_language_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.where("lang <> 'de'"), key="doc_id")
+    german = [r.text.encode() for r in docs.where("lang = 'de'").collect() if r.text]
+    assert model.predict(german)[2].mean() >= 0.9
+
+
+def test_odd_labelled_rows_do_not_move_the_radius(spark):
+    words = ["the", "cat", "and", "dog", "sat", "on", "mat", "by", "door", "with", "bone"]
+    rng = np.random.default_rng(6)
+    rows = [(" ".join(rng.choice(words, 30)), "en") for _ in range(200)]
+    odd = [("qqxz jjkw", "en"), ("zzvv wwyy", "en")]
+    schema = "text string, lang string"
+    alone, mixed = (language_id.fit(spark.createDataFrame(r, schema), clusters=1) for r in (rows, rows + odd))
+    assert mixed.floor[0] > 0.9 * alone.floor[0] > 0
