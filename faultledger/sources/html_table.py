@@ -150,24 +150,32 @@ def table_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_html_table(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, named by the header row, or 0, 1, ... when there is none.
+    """All columns as text, named by the header row, or 0, 1, ... up to the widest row when there is none.
 
-    Of several header rows at the top the last names the columns.
+    Of several header rows at the top the last names the columns. A row with text
+    beyond the header fails when it is read: its cells can't be told apart.
     """
     # imported here, as the readers of all formats import this one
     from faultledger.sources.extracts import POSITION, exact, unique_names
 
     rows = table_rows(spark, exact(path))
     top = rows.groupBy("file").agg(
-        F.min(F.when(~F.col("is_header"), F.col("row"))).alias("data"), F.count(F.lit(1)).alias("n")
+        F.min(F.when(~F.col("is_header"), F.col("row"))).alias("data"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.size("cells")).alias("widest"),
     )
     first = top.orderBy("file").first()
     if first is None:
         raise ValueError(f"no table in {path}")
     start = first["data"] if first["data"] is not None else first["n"]
-    sample = rows.where((F.col("file") == first["file"]) & (F.col("row") == max(start - 1, 0))).first()
-    width = range(len(sample["cells"]))
-    names = unique_names(sample["cells"]) if start else [str(i) for i in width]
+    if start:
+        sample = rows.where((F.col("file") == first["file"]) & (F.col("row") == start - 1)).first()
+        names = unique_names(sample["cells"])
+    else:
+        names = [str(i) for i in range(top.agg(F.max("widest")).first()[0])]
+    surplus = F.slice("cells", len(names) + 1, F.greatest(F.size("cells") - len(names), F.lit(0)))
+    message = f"a row of {path} has more cells than its header"
+    fits = F.assert_true(~F.exists(surplus, lambda cell: cell != ""), F.lit(message)).isNull()
     data = rows.join(F.broadcast(top.select("file", "data")), "file").where(F.col("row") >= F.col("data"))
     position = F.struct(F.col("file").alias("part"), F.array("row").alias("at")).alias(POSITION)
-    return data.select(*[F.get("cells", F.lit(i)).alias(name) for i, name in zip(width, names)], position)
+    return data.where(fits).select(*[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)], position)

@@ -193,6 +193,22 @@ def test_html_spans_references_nested_tables_and_headings_of_plain_cells(spark,
     ]
 
 
+def test_html_rows_longer_than_the_header_fail(spark, tmp_path):
+    table = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td>{}</tr><tr><td>3</td></tr></table>"
+    path = _file(tmp_path, "x.xls", table.format("<td></td><td>3</td>"))
+    with pytest.raises(Exception, match="more cells than its header"):
+        read_html_table(spark, path).collect()
+    blank = _file(tmp_path, "y.xls", table.format("<td> </td>"))
+    assert [tuple(r)[:2] for r in read_html_table(spark, blank).collect()] == [("1", "2"), ("3", None)]
+
+
+def test_html_table_without_header_is_as_wide_as_its_widest_row(spark, tmp_path):
+    path = _file(tmp_path, "x.xls", "<table><tr><td>a</td></tr><tr><td>b</td><td>1</td><td>2</td></tr></table>")
+    frame = read_html_table(spark, path).drop(POSITION)
+    assert frame.columns == ["0", "1", "2"]
+    assert [tuple(r) for r in frame.collect()] == [("a", None, None), ("b", "1", "2")]
+
+
 def test_headers_that_occur_twice(spark, tmp_path):
     assert unique_names(["a", "a", None, "A", "a"], ["A"]) == ["a (0)", "a.1", "Unnamed: 2", "A", "a.2"]
     path = _file(tmp_path, "x.csv", "Customer,Customer,plant,Plant\nfirst,second,p,P\n")
