@@ -17,19 +17,20 @@ from faultledger.functions.text import strip
 
 # A number with separators of thousands, which this format drops.
 _GROUPED_NUMBER = r"^[+-]?(?:\d+,)+\d*(?:\.\d*)?(?:[eE]-?\d+)?$"
-# Widest span that is spread; the limit that HTML itself sets.
+# Widest colspan that is spread; the limit that HTML itself sets. A rowspan ends with the table.
 _WIDEST = 1000
 _SCHEMA = "file string, row bigint, is_header boolean, cells array<string>"
 
 
 class _Tables(HTMLParser):
-    """The rows of all tables that are not in a cell: (is_header, [(text, columns, rows)])."""
+    """The rows of all tables that are not in a cell: (is_header, group, [(tag, text, columns, rows)])."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tables, self.depth, self.hidden = [], 0, 0
         self.row = self.cell = None
         self.in_head = False
+        self.group = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
@@ -44,12 +45,14 @@ class _Tables(HTMLParser):
                 self.in_head = tag == "thead" or (tag == "tr" and self.in_head)
                 if tag == "tr":
                     self.row = []
+                else:
+                    self.group += 1
             elif tag in ("td", "th"):
                 self._end_cell()
                 if self.row is None:
                     self.row = []
                 spans = dict(attrs)
-                self.cell = [tag, [], _span(spans.get("colspan")), _span(spans.get("rowspan"))]
+                self.cell = [tag, [], min(max(_span(spans.get("colspan")), 1), _WIDEST), _span(spans.get("rowspan"))]
         elif self.depth > 1 and self.cell and tag in ("td", "th"):
             self.cell[1].append(" ")
 
@@ -65,6 +68,7 @@ class _Tables(HTMLParser):
             if tag in ("tr", "thead", "tbody", "tfoot"):
                 self._end_row()
                 self.in_head = self.in_head and tag == "tr"
+                self.group += tag != "tr"
             elif tag in ("td", "th"):
                 self._end_cell()
 
@@ -82,35 +86,40 @@ class _Tables(HTMLParser):
         self._end_cell()
         if self.row:
             all_headings = all(cell[0] == "th" for cell in self.row)
-            self.tables[-1].append((self.in_head or all_headings, self.row))
+            self.tables[-1].append((self.in_head or all_headings, self.group, self.row))
         self.row = None
 
 
 def _span(text: str | None) -> int:
-    return min(max(int(text), 1), _WIDEST) if text and text.strip().isdigit() else 1
+    return int(text) if text and text.strip().isdigit() else 1
 
 
 def parse_first_table(html: str) -> list[tuple[bool, list[str]]]:
-    """(is_header, cells) of the first table with a row; spanning cells stand in every place they cover."""
+    """(is_header, cells) of the first table with a row; spanning cells stand in every place they cover.
+
+    A rowspan of zero covers the rest of its row group.
+    """
     parser = _Tables()
     parser.feed(html)
     parser.close()
     parser._end_row() if parser.tables else None
     table = next((t for t in parser.tables if t), [])
     out, open_below = [], {}
-    for is_header, row in table:
+    for is_header, group, row in table:
         cells = []
 
         def fill():
-            while open_below.get(len(cells), ("", 0))[1]:
-                text, left = open_below[len(cells)]
-                open_below[len(cells)] = (text, left - 1)
+            while len(cells) in open_below:
+                text, left, only = open_below[len(cells)]
+                if not left or only not in (None, group):
+                    return
+                open_below[len(cells)] = (text, left - 1, only)
                 cells.append(text)
 
         for _, text, columns, rows in row:
             fill()
             for _ in range(columns):
-                open_below[len(cells)] = (text, rows - 1)
+                open_below[len(cells)] = (text, rows - 1, None) if rows else (text, len(table), group)
                 cells.append(text)
         fill()
         out.append((is_header, cells))

@@ -19,7 +19,7 @@ from faultledger.sources.extracts import (
     unique_names,
 )
 from faultledger.sources.facts import load_incidents
-from faultledger.sources.html_table import read_html_table
+from faultledger.sources.html_table import parse_first_table, read_html_table
 
 
 def _file(folder, name, content="a\n1\n", mtime=None):
@@ -193,6 +193,17 @@ def test_html_spans_references_nested_tables_and_headings_of_plain_cells(spark,
     ]
 
 
+def test_html_rowspan_covers_all_its_rows():
+    rows = "".join(f"<tr><td>{i}</td></tr>" for i in range(1, 2500))
+    table = "<table><tr><th>plant</th><th>n</th></tr><tr><td rowspan={}>A</td><td>0</td></tr>" + rows + "{}</table>"
+    long = parse_first_table(table.format(2500, "<tr><td>B</td><td>9</td></tr>"))
+    assert long[1:] == [(False, ["A", str(i)]) for i in range(2500)] + [(False, ["B", "9"])]
+    group = parse_first_table(table.format(0, "<tfoot><tr><td>all</td><td>9</td></tr></tfoot>"))
+    assert group[1:] == [(False, ["A", str(i)]) for i in range(2500)] + [(False, ["all", "9"])]
+    wide = parse_first_table("<table><tr><td colspan=5000>x</td></tr></table>")
+    assert len(wide[0][1]) == 1000
+
+
 def test_html_rows_longer_than_the_header_fail(spark, tmp_path):
     table = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td>{}</tr><tr><td>3</td></tr></table>"
     path = _file(tmp_path, "x.xls", table.format("<td></td><td>3</td>"))
