@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultledger.llm import ann, byte_bpe, exact_topk, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup
+from faultledger.llm import ann, byte_bpe, exact_topk, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup, url_filter
 from faultledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(texts, language_model(docs)).drop("text")
 
 
+#: Entries (host, path) of the URL filter, fixed by the query.
+BLOCKED = [("net", "/"), ("example.com", "/de/")]
+ALLOWED = [("example.net", "/en/"), ("org", "/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, BLOCKED, ALLOWED).drop("url")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
@@ -106,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "op12_url_filter": op12_url_filter,
 }
 
 ORACLES: dict[str, str] = {
@@ -190,4 +201,20 @@ k as (
 select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n_kept, 0) as bigint) as n_removed,
   sha256(coalesce(kept, '')) as kept_sha256
 from w left join k using (doc_id)""",
+    "op12_url_filter": r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from u),
+p as (
+  select page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') as path
+  from h),
+r as (
+  select *, case
+    when ends_with('.' || host, '.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+    when ends_with('.' || host, '.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+    when ends_with('.' || host, '.org') and starts_with(path, '/fr/') then 'org/fr/'
+    when ends_with('.' || host, '.net') and starts_with(path, '/') then 'net/' end as rule
+  from p)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict
+from r""",
 }
