@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultledger.llm import ann, byte_bpe, exact_topk, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup, url_filter
+from faultledger.llm import ann, byte_bpe, exact_topk, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup, url_filter, whitening
 from faultledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,34 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, BLOCKED, ALLOWED).drop("url")
 
 
+def grid(vector: str, scale: int = 64, offset: int = 1_000_000) -> Column:
+    """floor(scale * c) + offset of every component; null for a component that no long can hold, or that is not finite."""
+    place = lambda c: F.floor(c * scale) + offset
+    return F.transform(vector, lambda c: F.when(F.abs(c.cast("double")) < 2.0**53, place(c.cast("double"))))
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector and component; vectors with an entry of 2**53 or more can't be put on the grid and are left out."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", grid("embedding").alias("x"))
+    rows = whitening.usable(vectors, "x")
+    model = whitening.fit(rows, "x", components=32)
+    names = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
+    if model is None:
+        return spark.createDataFrame([], names)
+    error = whitening.identity_error(rows, "x", model)
+    out = whitening.whiten(rows, "x", model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*(F.lit(float(share)) for share in model.explained)).cast("array<double>")
+    return out.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
@@ -116,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
     "op12_url_filter": op12_url_filter,
 }
 
