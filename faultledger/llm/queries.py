@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultledger.llm import ann, byte_bpe, exact_topk, html_text, language_id, line_dedup, mixing, pii, simhash, substring_dedup, url_filter, whitening
+from faultledger.llm import ann, byte_bpe, exact_topk, html_text, language_id, line_dedup, mixing, pii, prefix_trie, simhash, substring_dedup, url_filter, whitening
 from faultledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +133,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with turns of the one whose id is the next multiple of 5 towards 0."""
+    conv = F.col("conv_id")
+    lead = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), donor=conv - conv % 5, lead=lead)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
@@ -146,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
     "op12_url_filter": op12_url_filter,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -246,4 +254,37 @@ r as (
   from p)
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict
 from r""",
+    "op13_prefix_trie": r"""
+with said as (
+  select conv_id as c, turn, coalesce(role, '') as r, coalesce(text, '') as x
+  from conversations where conv_id is not null),
+ids as (select r, x, row_number() over () as id, strlen(x) as bytes from (select distinct r, x from said)),
+own as (
+  select c, list(id order by turn nulls first, sha256(strlen(r) || ':' || r || x)) as s
+  from said join ids using (r, x) group by c),
+crc_table as (
+  select list(list_reduce(list_concat([i], range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as t
+  from range(256) g(i)),
+leads as (
+  select c, s, xor(list_reduce(
+    list_concat([4294967295], list_transform(string_split(cast(c as varchar), ''), lambda a: cast(ascii(a) as bigint))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 as h
+  from own, crc_table),
+built as (
+  select l.c, list_concat(coalesce(d.s[1:h], []), l.s[h + 1:]) as s
+  from leads l left join own d on d.c = l.c - l.c % 5),
+paths as (select c, s[1:d] as p, d from (select c, s, unnest(range(0, len(s) + 1)) as d from built)),
+nodes as (
+  select p, min(c) as conv_id, max(d) as depth, count(*) as n, coalesce(max(i.bytes), 0) as bytes
+  from paths left join ids i on i.id = p[d] group by p),
+kids as (select p[1:depth - 1] as p, count(*) as n_children from nodes where depth > 0 group by 1),
+up as (
+  select p[1:k] as p, leaf, saved
+  from (select nodes.p, unnest(range(0, depth + 1)) as k, (n_children is null)::bigint as leaf, (n - 1) * bytes as saved from nodes left join kids using (p))),
+sums as (select p, sum(leaf) as n_leaves, sum(saved) as saved_tokens from up group by p),
+ends as (select s as p, string_agg(cast(c as varchar), ',' order by c) as ends from built group by s)
+select n.conv_id, n.depth, q.conv_id as parent_conv_id, n.n as n_convs, coalesce(n_children, 0) as n_children,
+  cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from nodes n left join kids using (p) join sums using (p) left join ends using (p)
+left join nodes q on n.depth > 0 and q.p = n.p[1:n.depth - 1]""",
 }

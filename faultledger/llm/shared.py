@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tempfile import mkdtemp
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder.
+
+    A checkpointed frame keeps what the optimizer knows of its columns, which grows
+    from round to round in a loop; a table that is read again knows nothing.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Mark ``df`` for broadcast if it was counted and has at most ``rows`` narrow rows.
 

@@ -1,0 +1,105 @@
+"""The prefix trie against SQL and against a dictionary of all beginnings."""
+
+import random
+from collections import defaultdict
+from hashlib import sha256
+from zlib import crc32
+
+import pytest
+from oracle import assert_same
+from pyspark.sql import functions as F
+
+from faultledger.llm import prefix_trie, queries
+
+FIELDS = "n_leaves string, text string, turn long, conv_id long, Part int, role string"
+
+
+def plain(rows, donor=lambda c: c, lead=lambda c: 0):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own[conv].append((turn is not None, turn or 0, digest, role, text))
+    own = {c: [(t[3], t[4]) for t in sorted(turns)] for c, turns in own.items()}
+    built = {c: tuple(own.get(donor(c), [])[: lead(c)] + turns[lead(c) :]) if donor(c) != c else tuple(turns) for c, turns in own.items()}
+    members = defaultdict(list)
+    for conv in sorted(built):
+        for depth in range(len(built[conv]) + 1):
+            members[built[conv][:depth]].append(conv)
+    kids = defaultdict(int)
+    for p in members:
+        kids[p[:-1]] += bool(p)
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for p, inside in members.items():
+        own_saved = (len(inside) - 1) * len(p[-1][1].encode()) if p else 0
+        for k in range(len(p) + 1):
+            leaves[p[:k]] += not kids[p]
+            saved[p[:k]] += own_saved
+    return sorted(
+        (m[0], len(p), members[p[:-1]][0] if p else -1, len(m), kids[p], leaves[p], saved[p], sha256(",".join(str(c) for c in m if built[c] == p).encode()).hexdigest())
+        for p, m in members.items()
+    )
+
+
+def run(spark, rows, parts=3, donor=None, lead=None, **options):
+    frame = spark.createDataFrame([("x", text, turn, conv, 1, role) for conv, turn, role, text in rows], FIELDS).repartition(parts)
+    out = prefix_trie.prefix_trie(frame, donor, lead, **options).collect()
+    return sorted((r[0], r[1], -1 if r[2] is None else r[2], *r[3:]) for r in out)
+
+
+def test_query_against_sql(spark, sf_dir):
+    rows = assert_same(queries.op13_prefix_trie(spark, sf_dir), queries.ORACLES["op13_prefix_trie"], sf_dir)
+    assert len(rows) > 20
+
+
+def talks(seed, convs, turns, texts):
+    draw = random.Random(seed)
+    return [(c, t, draw.choice(["u", "a", None]), draw.choice(texts)) for c in range(convs) for t in range(draw.randint(1, turns))]
+
+
+@pytest.mark.parametrize("weight", [1, 50, 5000])
+def test_against_all_beginnings(spark, weight):
+    rows = talks(1, 60, 9, ["x", "é€", "", None, "yy"])
+    # copies of one conversation, a hot first turn, one long conversation, ties and null turns
+    rows += [(c, t, "u", "copy" * t) for c in range(100, 130) for t in range(4)]
+    rows += [(c, 0, "u", "first") for c in range(200, 230)] + [(c, 1, "u", f"{c}") for c in range(200, 230)]
+    rows += [(300, t, "u", f"long {t % 7}") for t in range(300)] + [(301, t, "u", f"long {t % 7}") for t in range(250)]
+    rows += [(400, None, "u", "b"), (400, None, "u", "a"), (400, 3, "u", "c"), (400, 3, "u", "c"), (-7, 0, "u", "x"), (None, 0, "u", "x")]
+    got = run(spark, rows, task_weight=weight)
+    assert got == plain(rows)
+
+
+def test_donors_and_turnless_conversations(spark):
+    rows = talks(2, 80, 12, ["x", "y", "zz"]) + [(c, 0, "u", "one") for c in range(201, 205)]
+    rows = [row for row in rows if row[0] not in (10, 15)]
+    rows += [(7, t, "u", f"far {t}") for t in range(100, 5000)]
+    conv = F.col("conv_id")
+    lead = F.crc32(conv.cast("string").cast("binary")) % 9
+    got = run(spark, rows, 2, conv - conv % 5, lead, task_weight=50)
+    assert got == plain(rows, lambda c: c - c % 5, lambda c: crc32(str(c).encode()) % 9)
+    assert any(r[1] == 0 and r[7] != sha256(b"").hexdigest() for r in got)
+
+
+def test_long_chain_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "LINK", 3)
+    rows = [(c, 0, "u", "same") for c in range(50)]
+    assert run(spark, rows) == plain(rows)
+
+
+def test_empty(spark):
+    assert run(spark, [(None, 1, "u", "x")]) == []
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "comb"])
+def test_decompose(shape):
+    draw = random.Random(3)
+    pick = {"path": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: draw.randint(-1, i - 1), "comb": lambda i: i - 1 if i % 2 else max(i - 2, 0)}[shape]
+    parents = [-1] + [pick(i) for i in range(1, 700)]
+    weights = [(draw.randint(0, 9), 1) for _ in parents]
+    want = [list(w) for w in weights]
+    for node in reversed(range(1, 700)):
+        if parents[node] >= 0:
+            want[parents[node]] = [a + b for a, b in zip(want[parents[node]], want[node], strict=True)]
+    assert prefix_trie.decompose(parents, weights) == want
+    assert prefix_trie.decompose([], []) == []
