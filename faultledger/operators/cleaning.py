@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from faultledger.fixed_values import FIRST_VALID_YEAR
 from faultledger.functions.money import LARGEST
 from faultledger.functions.text import clean_label
-from faultledger.schemas import MONEY
+from faultledger.schemas import MONEY, REJECT
 
 _LABELS = ("source", "plant", "customer", "defect_category")
 
@@ -20,14 +20,20 @@ def has_valid_date(first_year: int = FIRST_VALID_YEAR) -> Column:
     return F.col("incident_date") >= F.make_date(F.lit(first_year), F.lit(1), F.lit(1))
 
 
+def is_rejected(rows: DataFrame) -> Column:
+    """Whether a row was marked by its reader as one that does not fit."""
+    line = REJECT[1].name
+    return F.col(line).isNotNull() if line in rows.columns else F.lit(False)
+
+
 def validate(unified: DataFrame, first_year: int = FIRST_VALID_YEAR) -> DataFrame:
     """Keep dated rows, clip credits at zero, fill numbers with 0 and labels with ``Unknown``.
 
-    Quantities are not clipped.
+    Quantities are not clipped. Rows marked by their reader stay as well, marked.
     """
     zero = F.lit(0).cast(MONEY)
     credit = F.greatest(F.coalesce("credit_requested_usd", zero), zero)
-    return unified.where(has_valid_date(first_year)).withColumns(
+    return unified.where(has_valid_date(first_year) | is_rejected(unified)).withColumns(
         {
             "credit_requested_usd": credit.cast(MONEY),
             "qty_affected": F.coalesce("qty_affected", F.lit(0.0)),

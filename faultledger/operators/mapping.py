@@ -13,9 +13,9 @@ from faultledger.functions.dates import parse_date
 from faultledger.functions.money import to_money, to_quantity
 from faultledger.functions.text import as_text, join_levels, strip
 from faultledger.operators.currency import convert_to_usd
-from faultledger.schemas import ROW_ORDER, UNIFIED
+from faultledger.schemas import REJECT, ROW_ORDER, UNIFIED
 from faultledger.sources.contracts import Contract, Field
-from faultledger.sources.extracts import POSITION, Extract, quoted
+from faultledger.sources.extracts import POSITION, REJECT_LINE, REJECT_REASON, Extract, quoted, rejected
 from faultledger.sources.local import small_frame
 
 log = logging.getLogger(__name__)
@@ -63,25 +63,40 @@ def _position(frame: DataFrame, headers: Collection[str], contract: Contract) ->
 def to_unified(
     extract: Extract, contract: Contract, run_id: str, strict_nulls: bool = False
 ) -> DataFrame:
-    """One projection per source; rows are dropped only where the contract says so."""
-    frame = extract.frame
+    """One projection per source and header; rows are dropped only where the contract says so.
+
+    Rows that do not fit come along, without a date, with the reason and their line.
+    """
+    parts = [_to_unified(frame, extract.file, contract, run_id, strict_nulls) for frame in extract.frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _to_unified(
+    frame: DataFrame, file: str | Column, contract: Contract, run_id: str, strict_nulls: bool
+) -> DataFrame:
     headers = frozenset(frame.columns)
     day = lookup(headers, contract.date)
     if contract.requires_date:
-        frame = frame.where(day.isNotNull())
-    file = F.lit(extract.file) if isinstance(extract.file, str) else extract.file
+        frame = frame.where(day.isNotNull() | rejected(frame))
+    incident_date = parse_date(day, contract.date_formats)
+    marks = []
+    if REJECT_LINE in headers:
+        incident_date = F.when(~rejected(frame), incident_date)
+        marks = [F.col(c).alias(field.name) for c, field in zip((REJECT_REASON, REJECT_LINE), REJECT, strict=True)]
+    file = F.lit(file) if isinstance(file, str) else file
     position = _position(frame, headers, contract)
     return frame.select(
         F.lit(contract.label).alias("source"),
         strip(as_text(lookup(headers, contract.plant))).alias("plant"),
         strip(as_text(lookup(headers, contract.customer))).alias("customer"),
-        parse_date(day, contract.date_formats).alias("incident_date"),
+        incident_date.alias("incident_date"),
         _defect(headers, contract, strict_nulls).alias("defect_category"),
         to_money(lookup(headers, contract.credit)).alias("credit_requested_usd"),
         to_quantity(lookup(headers, contract.quantity)).alias("qty_affected"),
         file.alias("raw_source_file"),
         F.lit(run_id).alias("pipeline_run_id"),
         *([position.cast(ROW_ORDER.dataType).alias(ROW_ORDER.name)] if position is not None else []),
+        *marks,
     )
 
 
@@ -92,9 +107,12 @@ def normalize(
     contracts: Mapping[str, Contract],
     fx_rates: Mapping[str, Decimal] | None = None,
     strict_nulls: bool = False,
+    keep_rejected: bool = False,
 ) -> DataFrame:
     """All sources in one frame, with credits in US dollars.
 
+    Rows that do not fit are left out, or with ``keep_rejected`` marked in two columns more.
+
     Sources without a contract, and sources that cannot be mapped, are left out
     with a message in the log.
     """
@@ -110,4 +128,7 @@ def normalize(
     if not parts:
         return small_frame(spark, [], UNIFIED)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    reason, line = (field.name for field in REJECT)
+    if line in stacked.columns and not keep_rejected:
+        stacked = stacked.where(F.col(line).isNull()).drop(reason, line)
     return convert_to_usd(spark, stacked, fx_rates) if fx_rates else stacked

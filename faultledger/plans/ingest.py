@@ -8,6 +8,7 @@ from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from faultledger.config import Settings
 from faultledger.operators.cleaning import rule_counts, validate
@@ -15,6 +16,7 @@ from faultledger.operators.mapping import normalize
 from faultledger.plans.alerting import alert_rows
 from faultledger.plans.report import write_report
 from faultledger.plans.store import BatchFacts, IncidentStore
+from faultledger.schemas import REJECT
 from faultledger.sources.detect import detect_source_files
 from faultledger.sources.extracts import Extract, read_extracts
 
@@ -55,10 +57,14 @@ def _stage(
 ) -> _Staged:
     counted = Observation("rules")
     unified = normalize(
-        store.spark, extracts, run_id, settings.contracts, settings.fx_rates, settings.strict_nulls
+        store.spark, extracts, run_id, settings.contracts, settings.fx_rates, settings.strict_nulls, True
     )
     batch, facts = store.stage(validate(unified.observe(counted, *rule_counts())), folder)
-    return _Staged(batch, facts, counted.get, folder)
+    # rows that do not fit have no date; they are counted by themselves
+    counts = dict(counted.get)
+    for name in ("total_rows", "dropped_no_date"):
+        counts[name] -= facts.rejected
+    return _Staged(batch, facts, {**counts, "rejected_rows": facts.rejected}, folder)
 
 
 def _stage_sources(
@@ -95,7 +101,8 @@ def ingest(
     """Load a set of extracts into the store; None if no valid row is left.
 
     The extracts are parsed once, into a staged batch; the counts of the rules
-    come from that pass, and the load and the alerts read the staged rows. A
+    come from that pass, and the load and the alerts read the staged rows. Rows
+    that do not fit their header go to the table of rejects, the others are loaded. A
     source that breaks while it is read is left out and named in the run log.
     """
     settings = settings or Settings()
@@ -109,6 +116,12 @@ def ingest(
     batch = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (s.batch for s in staged))
     facts = reduce(lambda a, b: a + b, (s.facts for s in staged))
     counts = {name: sum(s.counts[name] for s in staged) for name in staged[0].counts}
+    marks = [f.name for f in REJECT if f.name in batch.columns]
+    if marks:
+        if facts.rejected:
+            log.warning("%s rows do not fit and are set aside", facts.rejected)
+            store.write_rejects(batch, run_id)
+        batch = batch.where(F.col(marks[-1]).isNull()).drop(*marks)
     if facts.rows == 0:
         log.error("no valid rows after cleaning")
         for one in staged:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from faultledger import schemas
 from faultledger.config import Settings
 from faultledger.functions.dates import month_label
+from faultledger.operators.cleaning import is_rejected
 from faultledger.operators.dedup import first_per_incident, has_whole_key, not_in_history
 from faultledger.plans.scorecard import rolling_tiers
 from faultledger.schemas import FACT, KEY_COLUMNS, MONTH
@@ -54,28 +55,32 @@ class BatchFacts:
     months: tuple[str, ...]
     # No key has a null part.
     whole_keys: bool
+    # Rows beside them that do not fit.
+    rejected: int = 0
 
     @property
     def is_small(self) -> bool:
         return self.key_bytes <= BROADCAST_KEY_BYTES
 
     @staticmethod
-    def columns() -> tuple[Column, ...]:
-        """The aggregates; there are only as many months as the calendar has."""
+    def columns(counts: Column | None = None) -> tuple[Column, ...]:
+        """The aggregates over the rows that count; there are only as many months as the calendar has."""
+        counts = F.lit(True) if counts is None else counts
         text_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in _TEXT_KEYS), F.lit(0))
-        months = F.transform(F.collect_set(F.trunc("incident_date", "month")), month_label)
+        months = F.transform(F.collect_set(F.when(counts, F.trunc("incident_date", "month"))), month_label)
         return (
-            F.count(F.lit(1)).alias("rows"),
-            F.sum((text_bytes + _KEY_OVERHEAD_BYTES).cast("bigint")).alias("key_bytes"),
+            F.count_if(counts).alias("rows"),
+            F.sum(F.when(counts, (text_bytes + _KEY_OVERHEAD_BYTES).cast("bigint"))).alias("key_bytes"),
             F.array_join(months, ",").alias("months"),
-            F.count_if(~has_whole_key()).alias("partial_keys"),
+            F.count_if(counts & ~has_whole_key()).alias("partial_keys"),
+            F.count_if(~counts).alias("rejected"),
         )
 
     @staticmethod
     def of(found: Mapping) -> "BatchFacts":
         months = tuple(sorted(m for m in found["months"].split(",") if m))
         whole_keys = found["partial_keys"] == 0
-        return BatchFacts(found["rows"], found["key_bytes"] or 0, months, whole_keys)
+        return BatchFacts(found["rows"], found["key_bytes"] or 0, months, whole_keys, found["rejected"])
 
     def __add__(self, other: "BatchFacts") -> "BatchFacts":
         return BatchFacts(
@@ -83,6 +88,7 @@ class BatchFacts:
             self.key_bytes + other.key_bytes,
             tuple(sorted({*self.months, *other.months})),
             self.whole_keys and other.whole_keys,
+            self.rejected + other.rejected,
         )
 
 
@@ -109,6 +115,7 @@ class IncidentStore:
             ("dim_customer", schemas.DIM_CUSTOMER, []),
             ("pipeline_run_log", schemas.RUN_LOG, []),
             ("alerts", schemas.ALERTS, ["run_id"]),
+            ("rejects", schemas.REJECTS, ["run_id"]),
         ):
             empty = small_frame(self.spark, [], schema)
             empty.write.mode("ignore").partitionBy(*parts).parquet(self.path(table))
@@ -132,6 +139,10 @@ class IncidentStore:
     def alerts(self) -> DataFrame:
         return self._table("alerts", schemas.ALERTS)
 
+    def rejects(self) -> DataFrame:
+        """The rows of extracts that did not fit, by run."""
+        return self._table("rejects", schemas.REJECTS)
+
     def customers(self) -> DataFrame:
         """The latest tier of each customer; a customer without news keeps the old tier."""
         return (
@@ -198,11 +209,12 @@ class IncidentStore:
 
         A batch is read more than once, and a written one does not have to be
         parsed again when an executor is lost. The facts are counted in the
-        stage that writes, where each partition reports once.
+        stage that writes, where each partition reports once. Rows that do not
+        fit are staged beside the others, and are told apart by their marks.
         """
         target = f"{self.path('staging')}/run_id={run_id}"
         facts = Observation("facts")
-        batch.observe(facts, *BatchFacts.columns()).write.mode("overwrite").parquet(target)
+        batch.observe(facts, *BatchFacts.columns(~is_rejected(batch))).write.mode("overwrite").parquet(target)
         staged = self.spark.read.schema(batch.schema).parquet(target)
         return staged, BatchFacts.of(facts.get)
 
@@ -298,6 +310,22 @@ class IncidentStore:
             "append"
         ).parquet(self.path("pipeline_run_log"))
 
+    def write_rejects(self, staged: DataFrame, run_id: str) -> None:
+        """The marked rows of a staged batch; a repeated run replaces its own.
+
+        Files of the batch without such a row are left out by the statistics of their column.
+        """
+        reason, line = (field.name for field in schemas.REJECT)
+        place = F.col(schemas.ROW_ORDER.name) if schemas.ROW_ORDER.name in staged.columns else F.lit(None)
+        found = staged.where(F.col(line).isNotNull()).select(
+            "source",
+            "raw_source_file",
+            place.cast(schemas.ROW_ORDER.dataType).alias("row_order"),
+            F.col(reason).alias("reason"),
+            F.col(line).alias("line"),
+        )
+        found.write.mode("overwrite").parquet(f"{self.path('rejects')}/run_id={run_id}")
+
     def write_alerts(self, alerts: DataFrame, run_id: str) -> None:
         """One directory per run, so that a repeated run replaces its own alerts."""
         names = [c for c in schemas.ALERTS.names if c != "run_id"]

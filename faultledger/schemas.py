@@ -28,6 +28,22 @@ ROW_ORDER = T.StructField(
     ),
 )
 
+# Marks of a staged row that does not fit: the reason, and the row as it stands in its file.
+REJECT = (
+    T.StructField("reject_reason", T.StringType()),
+    T.StructField("reject_line", T.StringType()),
+)
+REJECTS = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("raw_source_file", T.StringType()),
+        T.StructField("row_order", ROW_ORDER.dataType),
+        T.StructField("reason", T.StringType()),
+        T.StructField("line", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
+
 # The fact table is partitioned by month, so that date filters, the rolling
 # risk window and the duplicate check read only the months they need.
 MONTH = "incident_month"

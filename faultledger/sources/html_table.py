@@ -6,11 +6,14 @@ within cells, spanning cells and character references need a parser, which is th
 one step of the engine that runs in Python.
 """
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from faultledger.functions.text import strip
@@ -91,7 +94,8 @@ class _Tables(HTMLParser):
 
 
 def _span(text: str | None) -> int:
-    return int(text) if text and text.strip().isdigit() else 1
+    # other digits than these are digits to Python, but no number in HTML
+    return int(text) if text and re.fullmatch(r"\s*[0-9]+\s*", text) else 1
 
 
 def parse_first_table(html: str) -> list[tuple[bool, list[str]]]:
@@ -135,9 +139,9 @@ def _one_line(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[\r\n]+|\s{2,}", " "))
 
 
-def table_rows(spark: SparkSession, path: str) -> DataFrame:
+def table_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file, row, is_header, cells): the rows of the first table of each file."""
-    pages = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
+    pages = spark.read.text(paths, wholetext=True).select("_metadata.file_path", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,33 +162,49 @@ def table_rows(spark: SparkSession, path: str) -> DataFrame:
     return pages.mapInArrow(run, _SCHEMA).withColumn("cells", texts)
 
 
-def read_html_table(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, named by the header row, or 0, 1, ... up to the widest row when there is none.
+def html_frames(spark: SparkSession, path: str) -> tuple[DataFrame, ...]:
+    """All columns as text; a frame for the files of each header, which names the columns.
 
-    Of several header rows at the top the last names the columns. A row with text
-    beyond the header fails when it is read: its cells can't be told apart.
+    Of several header rows at the top the last is the header; a file without any has
+    the columns 0, 1, ... up to its widest row. A row with text beyond the header
+    fails when it is read: its cells can't be told apart.
     """
     # imported here, as the readers of all formats import this one
-    from faultledger.sources.extracts import POSITION, exact, unique_names
+    from faultledger.sources.extracts import exact
 
     rows = table_rows(spark, exact(path))
     top = rows.groupBy("file").agg(
-        F.min(F.when(~F.col("is_header"), F.col("row"))).alias("data"),
-        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.min(F.when(~F.col("is_header"), F.col("row"))), F.count(F.lit(1))).alias("data"),
         F.max(F.size("cells")).alias("widest"),
     )
-    first = top.orderBy("file").first()
-    if first is None:
+    headings = rows.where("is_header").select("file", F.col("row").alias("at"), F.col("cells").alias("names"))
+    found = top.join(headings, (top["file"] == headings["file"]) & (F.col("at") == F.col("data") - 1), "left")
+    heads = found.groupBy("names", F.when(F.col("names").isNull(), F.col("widest")).alias("width")).agg(
+        F.sort_array(F.collect_list(top["file"])).alias("files")
+    )
+    # one row per header; Spark's listing of the folder has the names of the files too
+    known = sorted(heads.collect(), key=lambda r: r["files"][0])
+    if not known:
         raise ValueError(f"no table in {path}")
-    start = first["data"] if first["data"] is not None else first["n"]
-    if start:
-        sample = rows.where((F.col("file") == first["file"]) & (F.col("row") == start - 1)).first()
-        names = unique_names(sample["cells"])
-    else:
-        names = [str(i) for i in range(top.agg(F.max("widest")).first()[0])]
+    if len(known) == 1:
+        return (_named(rows, top, path, known[0]),)
+    return tuple(
+        _named(table_rows(spark, [exact(unquote(file)) for file in one["files"]]), top, path, one) for one in known
+    )
+
+
+def _named(rows: DataFrame, top: DataFrame, path: str, head: Row) -> DataFrame:
+    from faultledger.sources.extracts import POSITION, unique_names
+
+    names = unique_names(head["names"]) if head["names"] is not None else [str(i) for i in range(head["width"])]
     surplus = F.slice("cells", len(names) + 1, F.greatest(F.size("cells") - len(names), F.lit(0)))
     message = f"a row of {path} has more cells than its header"
     fits = F.assert_true(~F.exists(surplus, lambda cell: cell != ""), F.lit(message)).isNull()
     data = rows.join(F.broadcast(top.select("file", "data")), "file").where(F.col("row") >= F.col("data"))
     position = F.struct(F.col("file").alias("part"), F.array("row").alias("at")).alias(POSITION)
     return data.where(fits).select(*[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)], position)
+
+
+def read_html_table(spark: SparkSession, path: str) -> DataFrame:
+    """``html_frames`` as one frame, by name."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), html_frames(spark, path))

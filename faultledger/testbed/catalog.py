@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from faultledger.config import Settings
 from faultledger.functions.dates import parse_date
 from faultledger.functions.money import as_double, risk_tier
-from faultledger.operators.cleaning import validation_counts
+from faultledger.operators.cleaning import validate, validation_counts
 from faultledger.operators.dedup import first_per_incident
 from faultledger.operators.filters import detail_filter, facet_filter
 from faultledger.operators.mapping import normalize
@@ -210,26 +210,26 @@ def _cells(key: str) -> list[Column]:
     return [F.col(column).alias(header) for header, column in star.HEADERS[key].items()]
 
 
-def _write_html(rows: DataFrame, key: str, path: str) -> None:
+def _write_html(rows: DataFrame, key: str, path: str, headers: list[str] | None = None) -> None:
     """A folder of HTML tables; their names are in the order of the rows."""
 
     def cell(header: str) -> Column:
-        text = F.coalesce(F.col(f"`{header}`"), F.lit(""))
+        text = F.coalesce(F.col(star.HEADERS[key].get(header, "file")), F.lit(""))
         for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;")):
             text = F.replace(text, F.lit(char), F.lit(name))
         return F.concat(F.lit("<td>"), text, F.lit("</td>"))
 
-    headers = list(star.HEADERS[key])
+    headers = headers or list(star.HEADERS[key])
     part = F.concat("file", F.lit("-"), F.lpad(F.floor(F.col("order_key") / 4096).cast("string"), 12, "0"))
     line = F.concat(F.lit("<tr>"), *map(cell, headers), F.lit("</tr>"))
     first = "".join(f"<td><b>{h}</b></td>" for h in headers)
     (
-        rows.select(*_cells(key), "file", "order_key", "line_no")
-        .select(part.alias("part"), F.struct("order_key", "line_no", line.alias("line")).alias("row"))
+        rows.select(part.alias("part"), F.struct("order_key", "line_no", line.alias("line")).alias("row"))
         .groupBy("part")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["line"]), "\n").alias("rows"))
         .select("part", F.concat(F.lit(f"<html><table></table><table><thead><tr>{first}</tr></thead>"), "rows", F.lit("</table>")))
-        .write.partitionBy("part")
+        .write.mode("append")
+        .partitionBy("part")
         .text(path)
     )
 
@@ -265,6 +265,61 @@ def run_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(IncidentStore(spark, root).incidents(), *_ROW[:-1])
 
 
+# Headers of the part files of an extract: as they are, from the right with one that no contract knows, without plants.
+def _part_headers(key: str, part: int) -> list[str]:
+    headers = list(star.HEADERS[key])
+    if part == 1:
+        return ["Remark", *reversed(headers)]
+    return [h for h in headers if part == 0 or key != "Vision_OAK" or h != "Plant"]
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts of part files whose headers differ, in four formats: mapped by the names that each part has."""
+    root, files = star.shared_dir(spark), {}
+    landed = spark.read.parquet(star.landing(spark, sf_dir))
+    for key in star.HEADERS:
+        fmt = {"Fusion": "json", "Vision_MAS": "parquet", "OBI": "xls"}.get(key, "csv")
+        files[key] = f"{root}/{key}.{fmt}"
+        for part in range(3):
+            rows = landed.where((F.col("extract") == key) & (F.pmod("order_key", F.lit(3)) == part))
+            headers = _part_headers(key, part)
+            if fmt == "xls":
+                _write_html(rows, key, files[key], headers)
+                continue
+            named = [F.lit("none").alias(h) if h == "Remark" else F.col(star.HEADERS[key][h]).alias(h) for h in headers]
+            options = detail.CSV_OPTIONS if fmt == "csv" else {}
+            rows.select(*named).write.mode("append").format(fmt).options(**options).save(files[key])
+    contracts = star.SETTINGS.contracts
+    found, _ = read_extracts(spark, files, contracts)
+    return _shown(validate(normalize(spark, found, "run-1", contracts, star.SETTINGS.fx_rates)), *_ROW[:-1])
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over extracts with rows that do not fit: per source what is loaded, and what is set aside and why."""
+    folder, root = star.shared_dir(spark), star.shared_dir(spark)
+    landed = spark.read.parquet(star.landing(spark, sf_dir)).withColumn("bad", F.pmod("order_key", F.lit(11)) == 3)
+    cells = [*_cells("Radius"), "order_key", "line_no"]
+    line = F.to_csv(F.struct(*cells), {"escape": '"'})
+    radius = landed.where(F.col("extract") == "Radius")
+    part = F.lpad(F.floor(F.col("order_key") / 4096).cast("string"), 12, "0")
+    head = ",".join([*star.HEADERS["Radius"], "order_key", "line_no"])
+    lines = radius.select(part.alias("part"), F.concat(line, F.when(F.col("bad"), ',,"lost"').otherwise("")).alias("line"))
+    text = F.array_join(F.collect_list("line"), "\n")
+    written = lines.groupBy("part").agg(F.concat(F.lit(f"{head}\n"), text).alias("value"))
+    written.write.partitionBy("part").text(f"{folder}/Radius MDA.csv")
+    record = F.to_json(F.struct(*_cells("Fusion"), "order_key", "line_no"))
+    fusion = landed.where(F.col("extract") == "Fusion")
+    broken = F.when(F.col("bad"), F.concat(F.lit("{"), record)).otherwise(record)
+    fusion.select(broken.alias("value")).write.text(f"{folder}/Fusion Quality.json")
+    run_pipeline(spark, folder, root, star.SETTINGS, run_id="run-1", as_of=AS_OF)
+    store = IncidentStore(spark, root)
+    loaded = store.incidents().groupBy("source").agg(
+        F.lit("loaded").alias("outcome"), F.count(F.lit(1)).alias("n"), as_double(F.sum("credit_requested_usd")).alias("credit_usd")
+    )
+    aside = store.rejects().groupBy("source", F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return loaded.unionByName(aside, allowMissingColumns=True)
+
+
 def kpi_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table is empty, so the views read a snapshot."""
     empty = star.new_store(spark).path("quality_incidents")
@@ -504,6 +559,8 @@ QUERIES = {
     "large_amounts": large_amounts,
     "date_forms": date_forms,
     "run_from_files": run_from_files,
+    "part_files": part_files,
+    "rejected_rows": rejected_rows,
     "kpi_from_snapshot": kpi_from_snapshot,
     "tier_90d": _view(scorecard.rolling_tiers, AS_OF, WINDOW_TIERS),
     "tier_latest": tier_latest,

@@ -5,7 +5,8 @@ import pytest
 from faultledger.config import Settings
 from faultledger.plans.ingest import ingest, run_pipeline
 from faultledger.plans.store import IncidentStore
-from faultledger.sources.extracts import Extract
+from faultledger.sources.contracts import CONTRACTS
+from faultledger.sources.extracts import NOT_JSON, TOO_WIDE, Extract
 
 RADIUS = """Report#,Plant Name,Customer,ReportDate,Reason for Rejection,Value,Quantity
 R1,MCC Louisville,Acme Corp,2025-06-15,Color mismatch,60000.00,200
@@ -94,23 +95,22 @@ def test_no_source_that_can_be_mapped(spark, tmp_path):
 def test_a_source_that_breaks_while_it_is_read(spark, data_dir, tmp_path):
     """The cells of a row with too many of them can't be told apart; the other sources go on."""
     (data_dir / "Vision OAK.parquet").unlink()
-    with open(data_dir / "Log Radius MDA.csv", "a") as file:
-        file.write("R5,Plant, with a comma,Acme,2025-06-18,Color,70000,1\n")
+    longer = "<tr>" + "<td>1</td>" * 8 + "</tr></table>"
+    (data_dir / "Feedback_Report_01QUALC009.xls").write_text(OBI_HTML.replace("</table>", longer))
     result = _run(spark, data_dir, tmp_path, run_id="run-1")
-    assert result.inserted == 2 and list(result.failures) == ["Radius"] and result.status == "SUCCESS"
-    assert result.counts["kept_rows"] == 2
+    assert result.inserted == 3 and list(result.failures) == ["OBI"] and result.status == "SUCCESS"
     log = IncidentStore(spark, str(tmp_path / "store")).runs().first()
-    assert (log["status"], log["sources_loaded"]) == ("SUCCESS", "Fusion,OBI")
+    assert (log["status"], log["sources_loaded"]) == ("SUCCESS", "Radius,Fusion")
     assert "more cells than its header" in log["error_message"]
 
 
 def test_a_run_in_which_every_source_breaks_is_logged(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "Fusion Quality.csv").write_text("Customer,Create Date\nAcme,2025-06-01,x\n")
+    (folder / "Feedback_Report_01QUALC009.xls").write_text("<table><tr><th>Customer</th></tr><tr><td>Acme</td><td>x</td></tr></table>")
     result = _run(spark, folder, tmp_path, run_id="run-1")
     store = IncidentStore(spark, str(tmp_path / "store"))
-    assert result.status == "FAILED" and result.inserted == 0 and list(result.failures) == ["Fusion"]
+    assert result.status == "FAILED" and result.inserted == 0 and list(result.failures) == ["OBI"]
     assert store.runs().first()["status"] == "FAILED" and store.incidents().count() == 0
     assert not list((tmp_path / "store").glob("staging/*")), "nothing staged stays"
 
@@ -160,3 +160,31 @@ def test_a_dead_lease_is_taken_over_and_a_live_one_is_not(spark, tmp_path, monke
         store.insert_new(rows)
     monkeypatch.setattr(stores, "LEASE_STALE_SECONDS", -1)
     assert store.insert_new(rows) == 1
+
+
+def test_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
+    drop = tmp_path / "in"
+    drop.mkdir()
+    head = "Report#,Plant Name,Customer,ReportDate,Reason for Rejection,Value,Quantity\n"
+    good = "R1,Oslo,Acme,2025-06-05,Print,10,1\n"
+    (drop / "x Radius y MDA.csv").write_text(head + good + "R2,Oslo,Acme,2025-06-05,Print,1,500,1\n,Total,,,,,,9\n" + good)
+    (drop / "x Fusion Quality.json").write_text('{"Customer": "B", "Create Date": "2025-06-01", "Total Credit Requested": 5}\n{"Customer"\n')
+    for run in ("one", "two"):
+        result = run_pipeline(spark, str(drop), str(tmp_path / "store"), run_id=run)
+        assert result.counts["rejected_rows"] == 3 and result.counts["total_rows"] == 3
+        assert result.counts["dropped_no_date"] == 0 and result.failures == {}
+    store = IncidentStore(spark, str(tmp_path / "store"))
+    assert store.incidents().count() == 2
+    rows = store.rejects().where("run_id = 'two'").orderBy("source", "row_order").collect()
+    assert [(r["source"], r["reason"], r["line"]) for r in rows] == [
+        (CONTRACTS["Fusion"].label, NOT_JSON, '{"Customer"'),
+        (CONTRACTS["Radius"].label, TOO_WIDE, "R2,Oslo,Acme,2025-06-05,Print,1,500,1"),
+        (CONTRACTS["Radius"].label, TOO_WIDE, ",Total,,,,,,9"),
+    ]
+    assert rows[1]["raw_source_file"].endswith("MDA.csv") and rows[1]["row_order"]["part"].endswith("MDA.csv")
+    assert store.rejects().count() == 6
+    # nothing but rejects: they are kept, and nothing is loaded
+    (drop / "x Fusion Quality.json").unlink()
+    (drop / "x Radius y MDA.csv").write_text(head + "R2,Oslo,Acme,2025-06-05,Print,1,500,1\n")
+    assert run_pipeline(spark, str(drop), str(tmp_path / "other"), run_id="bad") is None
+    assert IncidentStore(spark, str(tmp_path / "other")).rejects().count() == 1

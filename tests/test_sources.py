@@ -10,12 +10,18 @@ from faultledger.schemas import FACT
 from faultledger.sources.contracts import CONTRACTS, FUSION, OBI, RADIUS, Field, vision
 from faultledger.sources.detect import detect_source_files, find_latest_file, name_regex
 from faultledger.sources.extracts import (
+    NOT_JSON,
     POSITION,
+    REJECT_LINE,
+    REJECT_REASON,
+    TOO_WIDE,
     Extract,
     ExtractError,
+    csv_frames,
     read_csv,
     read_extract,
     read_extracts,
+    rejected,
     unique_names,
 )
 from faultledger.sources.facts import load_incidents
@@ -227,14 +233,97 @@ def test_headers_that_occur_twice(spark, tmp_path):
     assert (row["Customer"], row["Customer.1"], row["Plant"]) == ("first", "second", "P")
 
 
-def test_rows_longer_than_the_header_fail(spark, tmp_path):
-    path = _file(tmp_path, "x.csv", "a,b\n1,2\n1,2,3\n")
-    with pytest.raises(Exception, match="more cells than its header"):
-        read_csv(spark, path).collect()
+def test_rows_longer_than_the_header_are_marked_with_their_line(spark, tmp_path):
+    body = 'a,b\n1,2\n1,2,3\n1,2,,LOST\n5,6,,\n"7","8,9",""\n,"x ""y"", z",,"q"\n,,\n7\n'
+    path = _file(tmp_path, "x.csv", body)
+    (frame,) = csv_frames(spark, path)
+    rejects = [tuple(r) for r in frame.where(rejected(frame)).select(REJECT_REASON, REJECT_LINE).collect()]
+    assert rejects == [(TOO_WIDE, line) for line in ("1,2,3", "1,2,,LOST", ',"x ""y"", z",,"q"')]
+    # whatever columns a query reads
+    assert frame.where(rejected(frame)).count() == 3
+    assert [tuple(r) for r in frame.where(~rejected(frame)).select("b").collect()] == [("2",), ("6",), ("8,9",), (None,), (None,)]
+    assert [tuple(r)[:2] for r in read_csv(spark, path).collect()] == [("1", "2"), ("5", "6"), ("7", "8,9"), (None, None), ("7", None)]
     short = _file(tmp_path, "y.csv", "a,b\n1\n1,2\n")
     assert [tuple(r)[:2] for r in read_csv(spark, short).collect()] == [("1", None), ("1", "2")]
 
 
+def test_long_cells_and_breaks_in_a_line_that_does_not_fit(spark, tmp_path):
+    long = "p" * 100_000 + '""' + "\n" + "q,"
+    path = _file(tmp_path, "x.csv", f'a,b\n1,"{long}"\n1,"{long}",3\n')
+    (frame,) = csv_frames(spark, path)
+    assert [r[REJECT_LINE] for r in frame.where(rejected(frame)).collect()] == [f'1,"{long}",3']
+    assert [r["b"] for r in read_csv(spark, path).collect()] == [long.replace('""', '"')]
+
+
+def test_json_lines_that_are_no_record_are_marked(spark, tmp_path):
+    path = _file(tmp_path, "x.json", '{"Customer": "Acme"}\n{"Customer": "B", \n{"Customer": "C", "Create Date": "2025-01-01"}\n')
+    frame = read_extract(spark, path, FUSION).frame
+    assert [tuple(r) for r in frame.where(rejected(frame)).select(REJECT_REASON, REJECT_LINE).collect()] == [(NOT_JSON, '{"Customer": "B", ')]
+    assert [r["Customer"] for r in frame.where(~rejected(frame)).collect()] == ["Acme", "C"]
+
+
+def _parts(tmp_path, name, *bodies):
+    folder = tmp_path / name
+    folder.mkdir()
+    for n, body in enumerate(bodies):
+        _file(folder, f"part {n}.{name.rsplit('.', 1)[1]}", body)
+    return str(folder)
+
+
+def test_csv_parts_are_read_by_their_own_headers(spark, tmp_path):
+    path = _parts(
+        tmp_path, "x.csv", "Customer,Credit\nacme,1\n", "\n\nCredit,Customer\n7,bolt\n", "Customer,Credit\nbeta,2\n",
+        "\ufeffNote,Credit,customer \nn,3,gamma\n", "", "Customer\ndelta\n",
+    )
+    assert len(csv_frames(spark, path)) == 4
+    rows = read_csv(spark, path)
+    assert {(r["Customer"], r["Credit"], r["Note"], r["customer "]) for r in rows.collect()} == {
+        ("acme", "1", None, None), ("beta", "2", None, None), ("bolt", "7", None, None), (None, "3", "n", "gamma"), ("delta", None, None, None),
+    }
+    places = [r[POSITION]["part"].rsplit("/", 1)[1] for r in rows.orderBy(POSITION).collect()]
+    assert places == sorted(places) and len(places) == 5
+    assert len(csv_frames(spark, _parts(tmp_path, "y.csv", "a,b\n1,2\n", "a,b\n3,4\n"))) == 1
+
+
+def test_a_header_that_goes_on_after_its_first_line(spark, tmp_path):
+    path = _parts(tmp_path, "x.csv", '"a\nb",c\n1,2\n', '"a\nB",d\n3,4\n', '"a\nb",c\n5,6\n')
+    frames = csv_frames(spark, path)
+    assert sorted(tuple(frame.columns[:2]) for frame in frames) == [("a\nB", "d"), ("a\nb", "c"), ("a\nb", "c")]
+
+
+def test_defaults_apply_to_the_parts_that_lack_a_column(spark, tmp_path):
+    path = _parts(tmp_path, "x.csv", "Plant,Customer Name\n,acme\nOslo,acme\n", "Customer Name\nacme\n")
+    contract = vision("oak")
+    rows = to_unified(read_extract(spark, path, contract), contract, "r").orderBy("row_order").collect()
+    assert [r["plant"] for r in rows] == ["nan", "Oslo", contract.plant.default]
+
+
+def test_html_parts_are_read_by_their_own_headers(spark, tmp_path):
+    def page(head, *rows):
+        cells = ["".join(f"<td>{cell}</td>" for cell in row) for row in rows]
+        return f"<table><tr>{''.join(f'<th>{h}</th>' for h in head)}</tr>" + "".join(f"<tr>{c}</tr>" for c in cells) + "</table>"
+
+    path = _parts(tmp_path, "x.xls", page("ab", "12"), page("ba", "34"), page("ab", "56"), page("cab", "789"), "no table")
+    rows = read_html_table(spark, path)
+    assert {(r["a"], r["b"], r["c"]) for r in rows.collect()} == {("1", "2", None), ("4", "3", None), ("5", "6", None), ("8", "9", "7")}
+    same = read_html_table(spark, _parts(tmp_path, "y.xls", page("ab", "12"), page("ab", "34")))
+    assert sorted(tuple(r)[:2] for r in same.collect()) == [("1", "2"), ("3", "4")]
+
+
+def test_parquet_parts_are_read_by_name(spark, tmp_path):
+    folder = str(tmp_path / "x.parquet")
+    spark.sql("select 'Acme' Customer, 1 Credit").write.parquet(folder)
+    spark.sql("select 'n' Note, 2 Credit, 'Bolt' Customer").write.mode("append").parquet(folder)
+    frame = read_extract(spark, folder, FUSION).frame
+    assert {(r["Customer"], r["Credit"], r["Note"]) for r in frame.collect()} == {("Acme", "1", None), ("Bolt", "2", "n")}
+
+
+@pytest.mark.parametrize("span,rows", [("²", 1), (" 2 ", 2), ("-2", 1), ("2.5", 1)])
+def test_spans_are_plain_numbers(span, rows):
+    html = f"<table><tr><td rowspan='{span}'>x</td><td>1</td></tr><tr><td>y</td><td>z</td></tr></table>"
+    assert parse_first_table(html)[1][1] == (["x", "y", "z"] if rows == 2 else ["y", "z"])
+
+
 def test_pattern_characters_in_a_name(spark, tmp_path):
     _file(tmp_path, "Radius [1] {MDA} x.csv", "Report#,Customer\nR1,Acme\n")
     _file(tmp_path, "Radius 1 MDA.txt", "Report#,Customer\nR1,Acme\n")
