@@ -8,7 +8,6 @@ from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
 
 from faultledger.config import Settings
 from faultledger.operators.cleaning import rule_counts, validate
@@ -16,7 +15,6 @@ from faultledger.operators.mapping import normalize
 from faultledger.plans.alerting import alert_rows
 from faultledger.plans.report import write_report
 from faultledger.plans.store import BatchFacts, IncidentStore
-from faultledger.schemas import REJECT
 from faultledger.sources.detect import detect_source_files
 from faultledger.sources.extracts import Extract, read_extracts
 
@@ -116,12 +114,7 @@ def ingest(
     batch = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (s.batch for s in staged))
     facts = reduce(lambda a, b: a + b, (s.facts for s in staged))
     counts = {name: sum(s.counts[name] for s in staged) for name in staged[0].counts}
-    marks = [f.name for f in REJECT if f.name in batch.columns]
-    if marks:
-        if facts.rejected:
-            log.warning("%s rows do not fit and are set aside", facts.rejected)
-            store.write_rejects(batch, run_id)
-        batch = batch.where(F.col(marks[-1]).isNull()).drop(*marks)
+    batch = store.set_aside(batch, facts, run_id)
     if facts.rows == 0:
         log.error("no valid rows after cleaning")
         for one in staged:

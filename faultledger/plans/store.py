@@ -116,6 +116,7 @@ class IncidentStore:
             ("pipeline_run_log", schemas.RUN_LOG, []),
             ("alerts", schemas.ALERTS, ["run_id"]),
             ("rejects", schemas.REJECTS, ["run_id"]),
+            ("arrivals", schemas.ARRIVALS, []),
         ):
             empty = small_frame(self.spark, [], schema)
             empty.write.mode("ignore").partitionBy(*parts).parquet(self.path(table))
@@ -143,6 +144,10 @@ class IncidentStore:
         """The rows of extracts that did not fit, by run."""
         return self._table("rejects", schemas.REJECTS)
 
+    def arrivals(self) -> DataFrame:
+        """The states of watched extracts that were read."""
+        return self._table("arrivals", schemas.ARRIVALS)
+
     def customers(self) -> DataFrame:
         """The latest tier of each customer; a customer without news keeps the old tier."""
         return (
@@ -310,6 +315,21 @@ class IncidentStore:
             "append"
         ).parquet(self.path("pipeline_run_log"))
 
+    def write_arrivals(self, rows: Sequence[tuple]) -> None:
+        small_frame(self.spark, rows, schemas.ARRIVALS).coalesce(1).write.mode("append").parquet(
+            self.path("arrivals")
+        )
+
+    def set_aside(self, staged: DataFrame, facts: BatchFacts, run_id: str) -> DataFrame:
+        """The rows of a staged batch that fit; the others go to the table of rejects."""
+        marks = [field.name for field in schemas.REJECT]
+        if marks[-1] not in staged.columns:
+            return staged
+        if facts.rejected:
+            log.warning("%s rows do not fit and are set aside", facts.rejected)
+            self.write_rejects(staged, run_id)
+        return staged.where(F.col(marks[-1]).isNull()).drop(*marks)
+
     def write_rejects(self, staged: DataFrame, run_id: str) -> None:
         """The marked rows of a staged batch; a repeated run replaces its own.
 

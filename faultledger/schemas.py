@@ -44,6 +44,17 @@ REJECTS = T.StructType(
     ]
 )
 
+# Entries of a watched folder, in the states in which they were read.
+ARRIVALS = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modified", T.LongType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("failure", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
+
 # The fact table is partitioned by month, so that date filters, the rolling
 # risk window and the duplicate check read only the months they need.
 MONTH = "incident_month"

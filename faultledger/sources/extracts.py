@@ -52,7 +52,7 @@ POSITION = "_position"
 # Why a row does not fit, and the row as it stands in its file; null for rows that do.
 REJECT_REASON, REJECT_LINE = "_reject_reason", "_reject_line"
 _OWN = (POSITION, REJECT_REASON, REJECT_LINE)
-_CORRUPT = "_corrupt_line"
+CORRUPT = "_corrupt_line"
 TOO_WIDE, NOT_JSON = "more cells than the header", "not a JSON record"
 # How many 64-bit hashes there are.
 _HASHES = Decimal(2**64)
@@ -222,23 +222,23 @@ def _csv_reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
 
 
 def _csv_frame(reader: DataFrameReader, files: list[str], names: list[str]) -> DataFrame:
-    fields = [T.StructField(name, T.StringType()) for name in [*names, _CORRUPT]]
-    rows = reader.options(columnNameOfCorruptRecord=_CORRUPT, mode="PERMISSIVE").csv(
+    fields = [T.StructField(name, T.StringType()) for name in [*names, CORRUPT]]
+    rows = reader.options(columnNameOfCorruptRecord=CORRUPT, mode="PERMISSIVE").csv(
         [exact(file) for file in files], header=True, schema=T.StructType(fields)
     )
-    return marked(rows.select("*", position(split_start())), TOO_WIDE, _beyond(names)).drop(_CORRUPT)
+    return marked(rows.select("*", position(split_start())), TOO_WIDE, beyond(names)).drop(CORRUPT)
 
 
-def _beyond(names: list[str]) -> Column:
+def beyond(names: list[str]) -> Column:
     """The line of a record that has text after its cells with ``names``; Spark gives the lines of shorter ones too."""
-    rest = F.regexp_replace(F.concat(F.lit(","), _CORRUPT), f"^(?:{_CELL}){{0,{len(names)}}}+", "")
-    return F.when(_with_all(names) & rest.rlike(r'[^,\s"]'), F.col(_CORRUPT))
+    rest = F.regexp_replace(F.concat(F.lit(","), CORRUPT), f"^(?:{_CELL}){{0,{len(names)}}}+", "")
+    return F.when(_with_all(names) & rest.rlike(r'[^,\s"]'), F.col(CORRUPT))
 
 
 def _with_all(names: Collection[str]) -> Column:
     """Whether a record is marked by Spark, asked so that it is parsed whole, whatever columns a query reads."""
-    any_cell = F.coalesce(*(quoted(name).cast("string") for name in names), F.col(_CORRUPT))
-    return F.col(_CORRUPT).isNotNull() & any_cell.isNotNull()
+    any_cell = F.coalesce(*(quoted(name).cast("string") for name in names), F.col(CORRUPT))
+    return F.col(CORRUPT).isNotNull() & any_cell.isNotNull()
 
 
 def stacked(frames: Collection[DataFrame]) -> DataFrame:
@@ -256,12 +256,12 @@ def read_csv(
 
 def json_frame(spark: SparkSession, path: str) -> DataFrame:
     """Records by name, whatever names a file has; lines that are no record are marked."""
-    rows = spark.read.options(primitivesAsString=True, columnNameOfCorruptRecord=_CORRUPT).json(exact(path))
+    rows = spark.read.options(primitivesAsString=True, columnNameOfCorruptRecord=CORRUPT).json(exact(path))
     placed = rows.select("*", position(split_start()))
-    if _CORRUPT not in rows.columns:
+    if CORRUPT not in rows.columns:
         return placed
-    names = [name for name in rows.columns if name != _CORRUPT]
-    return marked(placed, NOT_JSON, F.when(_with_all(names), F.col(_CORRUPT))).drop(_CORRUPT)
+    names = [name for name in rows.columns if name != CORRUPT]
+    return marked(placed, NOT_JSON, F.when(_with_all(names), F.col(CORRUPT))).drop(CORRUPT)
 
 
 def scan(

@@ -18,7 +18,17 @@ from faultledger.plans.alerting import alert_rows
 from faultledger.plans.store import IncidentStore
 from faultledger.schemas import FACT, ROW_ORDER
 from faultledger.sources.contracts import Contract
-from faultledger.sources.extracts import Extract, exact, position, prepare, split_start
+from faultledger.sources.extracts import (
+    CORRUPT,
+    TOO_WIDE,
+    Extract,
+    beyond,
+    exact,
+    marked,
+    position,
+    prepare,
+    split_start,
+)
 
 
 def read_extract_stream(
@@ -38,14 +48,16 @@ def read_extract_stream(
     so each drop needs a new name. Quoted line breaks are taken as possible unless
     ``multi_line`` (``Settings.csv_multi_line``) says that there are none.
     """
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in headers or contract.headers()])
+    names = list(headers or contract.headers())
+    marks = [CORRUPT] if fmt == "csv" else []
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in [*names, *marks]])
     reader = spark.readStream.schema(schema)
     if fmt == "csv":
         # enforceSchema=False makes a file with other headers an error, where
         # Spark would otherwise read its columns by position.
         reader = reader.options(
             header=True, multiLine=multi_line is not False, quote='"', escape='"', enforceSchema=False
-        )
+        ).option("columnNameOfCorruptRecord", CORRUPT)
     if name_pattern:
         reader = reader.option("pathGlobFilter", name_pattern)
     if max_files_per_trigger:
@@ -54,6 +66,8 @@ def read_extract_stream(
     # the order within a split is added where the batch arrives
     place = position(split_start())
     frame = reader.format(fmt).load(path).select("*", file, place)
+    if marks:
+        frame = marked(frame, TOO_WIDE, beyond(names)).drop(CORRUPT)
     return Extract(prepare(frame, contract), F.col("_file"))
 
 
@@ -62,7 +76,7 @@ def incident_stream(
 ) -> DataFrame:
     """Cleaned incidents of all sources as one stream, by the same steps as a batch."""
     unified = normalize(
-        spark, extracts, run_id, settings.contracts, settings.fx_rates, settings.strict_nulls
+        spark, extracts, run_id, settings.contracts, settings.fx_rates, settings.strict_nulls, True
     )
     return validate(unified)
 
@@ -98,6 +112,7 @@ def load_batch(
             placed = F.struct(F.col(f"{ROW_ORDER.name}.part").alias("part"), at.alias("at"))
             arrived = arrived.withColumn(ROW_ORDER.name, placed)
         staged, facts = store.stage(arrived, batch_run)
+        staged = store.set_aside(staged, facts, batch_run)
         if facts.rows:
             sources = [r["source"] for r in staged.select("source").distinct().collect()]
             # the labels of the contracts, however many rows there are

@@ -23,6 +23,7 @@ from faultledger.plans.ingest import clean_batch, ingest, run_pipeline
 from faultledger.plans.store import IncidentStore
 from faultledger.sources.extracts import Extract, prepare, quoted, read_extracts
 from faultledger.sources.facts import load_incidents
+from faultledger.streaming import changes
 from faultledger.streaming import incidents as streaming
 from faultledger.testbed import star_extracts as star
 
@@ -480,6 +481,30 @@ def stream_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.runs().groupBy("status").agg(F.sum("total_rows").alias("total_rows"))
 
 
+def stream_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts in a watched folder: first the orders with an even key, then the same files written again with all.
+
+    Returned is what the second trigger has added.
+    """
+    folder, store = star.shared_dir(spark), star.new_store(spark)
+    landed = spark.read.parquet(star.landing(spark, sf_dir))
+    names = {
+        "Radius": "Radius MDA.csv",
+        "Fusion": "Fusion Quality.json",
+        "Vision_OAK": "Vision OAK.parquet",
+        "Vision_MAS": "Vision MAS.csv",
+        "OBI": "Feedback_Report_01QUALC009.csv",
+    }
+    for rows in (landed.where(F.col("order_key") % 2 == 0), landed):
+        for key, name in names.items():
+            fmt = name.rsplit(".", 1)[1]
+            cells = rows.where(F.col("extract") == key).select(*star.header_columns(key))
+            options = detail.CSV_OPTIONS if fmt == "csv" else {}
+            cells.write.mode("overwrite").format(fmt).options(**options).save(f"{folder}/{name}")
+        changes.start_watch(store, folder, store.path("checkpoint"), "watch", star.SETTINGS).awaitTermination()
+    return _shown(store.incidents().where(F.col("pipeline_run_id").endswith("-1")), *_ROW[:-1])
+
+
 def stream_weekly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly totals over the stream of new incidents: each of them counts once."""
     out = star.shared_dir(spark)
@@ -604,6 +629,7 @@ QUERIES = {
     "stream_alerts": stream_alerts,
     "stream_tiers": stream_tiers,
     "stream_run_log": stream_run_log,
+    "stream_rewritten": stream_rewritten,
     "stream_weekly_facts": stream_weekly_facts,
     "stream_weekly": stream_weekly,
     "stream_weekly_closed": stream_weekly_closed,

@@ -98,6 +98,11 @@ _PARTS = _FROM_FILES.replace(
     "select 'vision_a', coalesce(plant, 'nan')",
     "select 'vision_a', case when ok % 3 = 2 then 'OAK CREEK PLANT' else coalesce(plant, 'nan') end",
 )
+# What all orders add to those with an even key.
+_SECOND = """from fact f where not exists (
+  select 1 from inc i where i.ok % 2 = 0 and i.source = f.source and i.plant = f.plant
+    and i.customer = f.customer and i.incident_date = f.incident_date
+    and i.defect_category = f.defect_category and round(i.credit, 2) = round(f.credit, 2))"""
 
 
 def _on_extracts(sql: str, *more: str) -> str:
@@ -212,12 +217,8 @@ from fx"""
     ),
     "fx_by_plant": _on_extracts(f"select plant, count(*) incidents, {_SUM} from fx group by plant"),
     "dedup_first_wins": _on_facts(f"select {_ROW} from fact"),
-    "upsert_second_batch": _on_facts(
-        f"""select {_ROW} from fact f where not exists (
-  select 1 from inc i where i.ok % 2 = 0 and i.source = f.source and i.plant = f.plant
-    and i.customer = f.customer and i.incident_date = f.incident_date
-    and i.defect_category = f.defect_category and round(i.credit, 2) = round(f.credit, 2))"""
-    ),
+    "upsert_second_batch": _on_facts(f"select {_ROW} {_SECOND}"),
+    "stream_rewritten": _on_facts(f"select {_ROW.replace(', file raw_source_file', '')} {_SECOND}"),
     "load_history": _on_facts(
         """select run_id, 'SUCCESS' status, total_rows,
   'Radius,Fusion,Vision_OAK,Vision_MAS,OBI' sources_loaded

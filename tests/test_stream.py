@@ -1,3 +1,4 @@
+import os
 from dataclasses import replace
 from datetime import datetime
 from decimal import Decimal
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from faultledger.config import Settings
 from faultledger.plans.store import IncidentStore
 from faultledger.sources.contracts import CONTRACTS, FUSION
+from faultledger.streaming import changes
 from faultledger.streaming import incidents as streaming
 
 SETTINGS = Settings(single_incident_usd=100)
@@ -165,3 +167,47 @@ def test_weekly_totals(spark, tmp_path):
     streaming.land_closed(streaming.weekly_totals(stream, "1 day"), closed, closed + "_c").awaitTermination()
     assert _weeks(spark, out) == [("2025-06-09", 2, 11.0), ("2025-06-16", 2, 5.0), ("2025-06-30", 1, 1.0)]
     assert _weeks(spark, closed) == [("2025-06-09", 1, 1.0), ("2025-06-16", 2, 5.0)]
+
+
+def test_rows_that_do_not_fit_are_set_aside_in_a_stream(drop):
+    drop.file("1.csv", "Acme,2025-06-10,Sticking,50,1", "Beta,2025-06-11,Color,1,500,1,x", "Beta,2025-06-12")
+    assert drop.load() == 2
+    (row,) = drop.store.rejects().collect()
+    assert (row["source"], row["line"]) == (FUSION.label, "Beta,2025-06-11,Color,1,500,1,x")
+
+
+def test_an_extract_rewritten_in_place_is_read_again(spark, tmp_path):
+    folder = tmp_path / "watched in"
+    folder.mkdir()
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    first = folder / "a Fusion Quality.csv"
+
+    def write(path, *rows, at):
+        path.write_text(HEADER + "".join(f"{r}\n" for r in rows))
+        os.utime(path, (at, at))
+
+    def watch():
+        changes.start_watch(store, str(folder), str(tmp_path / "checkpoint"), "w", SETTINGS).awaitTermination()
+        return store.incidents().count()
+
+    assert watch() == 0
+    write(first, "Acme,2025-06-10,Sticking,50,1", at=1000)
+    (folder / "_b Fusion Quality.csv").write_text(HEADER + "Hidden,2025-06-10,Sticking,50,1\n")
+    (folder / "no extract.csv").write_text("x\n")
+    (folder / "x Vision OAK.parquet").write_text("this is not a parquet file")
+    assert watch() == 1
+    assert watch() == 1
+    # the rows that are known, one that is new; and another file of the same source with other headers
+    write(first, "Acme,2025-06-10,Sticking,50,9", "Beta,2025-06-11,Color,150,1", at=2000)
+    (folder / "c Fusion Quality.csv").write_text("Create Date,Customer\n2025-06-12,Gamma\n")
+    assert watch() == 3
+    runs = store.runs().orderBy("started_at").collect()
+    assert [r["total_rows"] for r in runs] == [1, 2]
+    assert store.incidents().where("customer = 'Acme'").first()["qty_affected"] == 1
+    assert store.incidents().where("customer = 'Beta'").first()["raw_source_file"].endswith("Quality.csv")
+    states = store.arrivals().collect()
+    assert len(states) == 4 and [r["failure"] != "" for r in states].count(True) == 1
+    # a batch that is replayed finds all of it arrived
+    load = changes.load_changes(store, SETTINGS, "again")
+    load(spark.createDataFrame(changes.entries(f"file:{folder}"), "path string, modified bigint, size bigint"), 7)
+    assert store.incidents().count() == 3 and store.runs().count() == 2
