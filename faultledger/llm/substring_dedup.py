@@ -16,8 +16,12 @@ text that repeats itself, over all the repetitions).
 
 Documents are never paired. Copies meet in the first step with one row per span, and
 are combined before the shuffle; the number of rows is linear in the number of words
-whatever the groups are. Spans and windows are compared by 64-bit hashes within an
-anchor of 64 more bits.
+whatever the groups are.
+
+A word is hashed by a sum of mixed (letter, place) pairs, an anchor by a polynomial over
+its few words, spans and windows by XXH3 over the hashes of their words. So no two of
+the three share a structure: what is taken as equal has an equal anchor by one function
+and an equal span or window by another one, 64 bits each.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +41,8 @@ from faultledger.llm.shared import checkpoint, free_name, quoted, schema_with, w
 GRAM = 8
 #: Bytes of text that are hashed at once.
 SLAB = 1_000_000
+#: Parts of the kinds of one anchor, which may have very many.
+SALTS = 16
 #: An unknown id comes after all others.
 LAST = 2**63 - 1
 
@@ -83,6 +90,17 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(keys) - width + 1], out[width - reach :][: len(keys) - width + 1])
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash per word: its letters, each mixed with its place in the word, added up and mixed with their number."""
+    sizes = ends - starts
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    letters = data[np.repeat(starts, sizes) + within]
+    mixed = scrambled((within.astype(np.uint64) << np.uint64(8)) + letters + np.uint64(BASE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    last = np.cumsum(sizes)
+    return np.ascontiguousarray(scrambled(sums[last] - sums[last - sizes] + sizes.astype(np.uint64)))
+
+
 class Slab:
     """Some texts as one sequence of words with running hashes."""
 
@@ -90,14 +108,20 @@ class Slab:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         edge = np.diff(np.concatenate([[True], BLANK[data]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        letters = powers.prefix(data.astype(np.uint64) + np.uint64(1))
+        self.words = _word_hashes(data, starts, ends)
         self.powers = powers
-        self.sums = powers.prefix(powers.between(letters, starts, ends))
+        self.sums = powers.prefix(self.words)
         #: First word of each text, and the end.
         self.first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
 
+    def grams(self, starts: np.ndarray) -> np.ndarray:
+        return self.powers.between(self.sums, starts, starts + GRAM)
+
     def stretches(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.powers.between(self.sums, starts, ends)
+        """Hashes of the words from starts to ends, of any length."""
+        said, digest = memoryview(self.words).cast("B"), xxhash.xxh3_64_intdigest
+        places = zip((8 * starts).tolist(), (8 * ends).tolist(), strict=True)
+        return np.fromiter((digest(said[a:b]) for a, b in places), np.uint64, len(starts))
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows, and the text each is in."""
@@ -112,7 +136,7 @@ class Slab:
         if not len(at):
             return tuple(np.zeros(0, np.int64) for _ in range(5))
         grams = np.arange(len(self.sums) - GRAM)
-        hashes = self.stretches(grams, grams + GRAM)
+        hashes = self.grams(grams)
         # of equal hashes the last counts
         keys = (hashes & ~PLACES) | (PLACES - grams.astype(np.uint64))
         least = _sliding_least(keys, length - GRAM + 1)[at]
@@ -191,7 +215,10 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     seeded = checkpoint(found.join(seeds, "anchor", "left_semi"))
     kinds = checkpoint(seeded.groupBy("anchor", "span").agg(F.min("doc").alias("owner")))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    kinds = kinds.join(several, "anchor", "left").select("anchor", "span", "owner", F.col("kinds").isNotNull().alias("open"))
+    # one of several anchors may have a large part of all kinds, so its kinds are dealt by their spans too
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = kinds.withColumn("salt", F.pmod("span", F.lit(SALTS)).cast("int"))
+    kinds = salted.join(several, ["anchor", "salt"], "left").select("anchor", "span", "owner", F.col("kinds").isNotNull().alias("open"))
     met = checkpoint(seeded.join(kinds, ["anchor", "span"]).where("doc > owner or open"))
     whole = met.where("doc > owner").select("doc", "body", "first", (F.col("first") + F.col("windows") + length - 1).alias("end"))
     asked = met.where("doc = owner").groupBy("doc", "body").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))

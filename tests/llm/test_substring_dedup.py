@@ -85,3 +85,20 @@ def test_empty_table_and_very_long_text(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sd.drop_repeats(docs).collect()}
     assert got[1][:2] == (120_000, 0) and got[2] == (60, 60, "")
     assert sd.drop_repeats(docs.limit(0)).count() == 0
+
+
+def _alternating(n, a, b):
+    """The sequence in which each half is the other one with a and b exchanged: polynomial hashes modulo 2**64 can't tell it from its reverse."""
+    return [a if bin(i).count("1") % 2 == 0 else b for i in range(n)]
+
+
+def test_words_and_texts_that_cancel_in_polynomial_hashes(spark):
+    one, other = "".join(_alternating(2048, "a", "b")), "".join(_alternating(2048, "b", "a"))
+    same = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*same, one])), (2, " ".join([*same, other]))]
+    assert [r[2] for r in result(spark, rows, 50)] == [0, 0]
+    rows += [(3, " ".join(_alternating(2048, "x", "y"))), (4, " ".join(_alternating(2048, "y", "x")))]
+    assert result(spark, rows, 50) == plain(rows, 50)
+    texts = [" ".join([f"s{i}" for i in range(30)] + _alternating(2048, p, q) + [f"e{i}" for i in range(30)]) for p, q in ("uv", "vu")]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    assert result(spark, rows, 1500) == plain(rows, 1500)
