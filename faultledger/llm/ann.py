@@ -3,10 +3,12 @@
 Points are projected on a few Gaussian directions. Such a projection is stable: the
 squared projected distance of two points, divided by their squared distance, has a
 chi-square distribution with as many degrees as there are directions. A kd-tree over
-the projections gives the projected neighbours of a query in growing distance; each
-is verified on the original vectors. The search stops when, by that distribution, a
-point as near as the k-th found would have shown up in the projection with
-probability ``sure``.
+the projections gives the projected neighbours of a query, leaf by leaf in growing
+distance; they are verified on the original vectors. The search stops when, by that
+distribution, a point as near as the k-th found would have shown up in the projection
+with probability ``sure``. Subtrees of some thousand rows are the blocks that queries
+meet; the k-th score of a query's own block goes with it to the others, and within a
+block every leaf is verified for the queries at once whose test does not hold yet.
 
 Nearness is the inner product. With M the largest squared length, a row x gets the
 coordinate sqrt(M - x.x) and a query q gets 0; the nearest point then has the largest
@@ -25,11 +27,11 @@ from faultledger.llm import vector_blocks as blocks
 from faultledger.llm.shared import checkpoint
 
 #: Directions (even, for the closed form of the distribution).
-DIRECTIONS = 8
+DIRECTIONS = 16
 #: Rows that the tree's cuts are made of; all rows are indexed.
 SAMPLE = 20_000
-#: Rows first verified in a block; twice as many each time.
-STEP = 64
+#: Leaves of a block, and blocks' rows as a multiple of those of other indexes.
+LEAVES, LARGER = 16, 4
 SLACK = 1e-9
 
 
@@ -78,8 +80,10 @@ class Projections:
         self.k, self.longest = k, longest
         self.directions = np.random.default_rng(seed).normal(size=(sampled.shape[1] + 1, DIRECTIONS))
         self.reach = chi_square_quantile(sure, DIRECTIONS)
-        leaves = min(rows // blocks.ROWS + 1, blocks.CELLS, len(sampled) // 16 + 1)
-        self.tree = Tree(self.project(sampled), leaves)
+        self.rows = LARGER * blocks.ROWS
+        cells = min(rows // self.rows + 1, blocks.CELLS)
+        self.tree = Tree(self.project(sampled), min(cells * LEAVES, len(sampled) // 16 + 1))
+        self.shift = max(self.tree.depth - (cells - 1).bit_length(), 0)
 
     def project(self, vectors: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.longest - (vectors**2).sum(axis=1), 0))
@@ -87,7 +91,7 @@ class Projections:
 
     def cells(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sides = self.project(vectors)
-        return self.tree.leaf(sides), sides
+        return self.tree.leaf(sides) >> self.shift, sides
 
     def query_sides(self, queries: np.ndarray) -> np.ndarray:
         return queries @ self.directions[:-1]
@@ -97,30 +101,55 @@ class Projections:
         whole = length + self.longest
         return np.maximum(whole - 2 * bound, 0) * self.reach + SLACK * whole
 
+    def gaps(self, sides: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Squared projected distances of queries from boxes."""
+        return sum(np.maximum(np.maximum(sides[:, None, i] - high[None, :, i], low[None, :, i] - sides[:, None, i]), 0) ** 2 for i in range(sides.shape[1]))
+
     def sees(self, queries, sides, bounds, low, high):
-        gaps = np.maximum(np.maximum(sides[:, None] - high[None], low[None] - sides[:, None]), 0)
-        return (gaps**2).sum(axis=2) <= self.radius((queries**2).sum(axis=1), bounds)[:, None]
-
-    def search(self, vectors, sides, ids, query, side, query_id, bound):
-        length = float(query @ query)
-        apart = ((sides - side) ** 2).sum(axis=1)
-        order = np.flatnonzero((apart <= self.radius(length, bound)) & (ids != query_id))
-        order = order[np.argsort(apart[order], kind="stable")]
-        scores, at, step = np.zeros(0), 0, STEP
-        while at < len(order) and apart[order[at]] <= self.radius(length, bound):
-            scores = np.concatenate([scores, vectors[order[at : at + step]] @ query])
-            bound = max(bound, blocks.kth(scores, self.k))
-            at, step = at + step, 2 * step
-        near = np.flatnonzero(scores >= bound - SLACK * (length + self.longest))
-        seen = order[near]
+        return self.gaps(sides, low, high) <= self.radius((queries**2).sum(axis=1), bounds)[:, None]
+
+    def search_block(self, vectors, sides, ids, queries, query_sides, query_ids, bounds):
+        """ids and scores of each query's best rows of a block, at least as good as its bound."""
+        leaf = self.tree.leaf(sides)
+        order = np.argsort(leaf, kind="stable")
+        heads = np.flatnonzero(np.diff(leaf[order], prepend=-1))
+        parts = np.split(order, heads[1:])
+        low, high = (np.array([f(sides[part], axis=0) for part in parts]) for f in (np.min, np.max))
+        gaps = self.gaps(query_sides, low, high)
+        lengths = (queries**2).sum(axis=1)
+        bounds, best = bounds.astype(np.float64).copy(), np.full((len(queries), self.k), -np.inf)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in np.argsort(gaps.mean(axis=0), kind="stable") if len(queries) else ():
+            limit = self.radius(lengths, bounds)
+            asked = np.flatnonzero(gaps[:, at] <= limit)
+            if not len(asked):
+                continue
+            part = parts[at]
+            apart = (query_sides[asked] ** 2).sum(axis=1)[:, None] + (sides[part] ** 2).sum(axis=1)[None] - 2 * query_sides[asked] @ sides[part].T
+            scores = queries[asked] @ vectors[part].T
+            # rounding of the distances is within the slack of the radius
+            scores[(apart > limit[asked, None] + SLACK * np.abs(apart)) | (query_ids[asked, None] == ids[part][None])] = -np.inf
+            slack = SLACK * (lengths[asked] + self.longest)
+            which, row = np.nonzero(scores >= np.maximum(bounds[asked] - slack, np.finfo(float).min)[:, None])
+            kept.append((asked[which], part[row], scores[which, row]))
+            both = np.hstack([best[asked], scores])
+            best[asked] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+            bounds[asked] = np.maximum(bounds[asked], best[asked].min(axis=1))
+        who, row, score = (np.concatenate(parts) if parts else np.zeros(0, np.int64) for parts in (zip(*kept, strict=True) if kept else ((), (), ())))
+        near = score >= bounds[who] - SLACK * (lengths[who] + self.longest) if len(who) else np.zeros(0, bool)
+        who, row = who[near], row[near]
         # summed in one order whatever the block, so equal vectors have equal scores
-        final = (vectors[seen] * query).sum(axis=1)
-        top = blocks.largest(final, ids[seen], self.k)
-        return ids[seen[top]], final[top]
+        final = (vectors[row] * queries[who]).sum(axis=1) if len(who) else np.zeros(0)
+        out = []
+        for query in range(len(queries)):
+            mine = np.flatnonzero(who == query)
+            top = mine[blocks.largest(final[mine], ids[row[mine]], self.k)]
+            out.append((ids[row[top]], final[top]))
+        return out
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", sure: float = 0.95, seed: int = 7
+    vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", sure: float = 0.85, seed: int = 7
 ) -> DataFrame:
     """query_id, rank, vec_id, score: ``k`` rows of about the largest inner product with each query.
 

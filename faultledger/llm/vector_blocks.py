@@ -45,7 +45,11 @@ class Index(Protocol):
         """Which cells each query must visit, from the boxes of the cells' sides."""
 
     def search(self, vectors: np.ndarray, sides: np.ndarray, ids: np.ndarray, query: np.ndarray, side: np.ndarray, query_id: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the best rows of a block."""
+        """ids and scores of the best rows of a block.
+
+        An index may have ``search_block`` besides, which answers a block of queries
+        at once, and ``rows``, the rows of its blocks.
+        """
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str, nonzero: bool) -> DataFrame:
@@ -105,7 +109,7 @@ def top_k(rows: DataFrame, index: Index, every: int, dim: int, side: int) -> Dat
             yield pa.record_batch([*batch.columns, _lists(sides), pa.array(cells.astype(np.int32))], names=["id", "vec", "side", "cell"])
 
     placed = rows.mapInArrow(place, "id bigint, vec array<double>, side array<double>, cell int")
-    stored = checkpoint(_blocked(placed, ROWS, ("vec", "side")))
+    stored = checkpoint(_blocked(placed, getattr(index, "rows", ROWS), ("vec", "side")))
 
     def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +131,7 @@ def top_k(rows: DataFrame, index: Index, every: int, dim: int, side: int) -> Dat
                 vec, sides = _matrix(batch.column(1), row, dim), _matrix(batch.column(2), row, side)
                 asked = np.flatnonzero(ids % every == 0)
                 own = index.query_sides(vec[asked])
-                found = [index.search(vec, sides, ids, vec[at], own[n], ids[at], -np.inf) for n, at in enumerate(asked)]
+                found = _search(index, vec, sides, ids, vec[asked], own, ids[asked], np.full(len(asked), -np.inf))
                 bounds = np.array([kth(one[1], index.k) for one in found], np.float64)
                 sees = index.sees(vec[asked], own, bounds, low, high)
                 yield pa.record_batch(
@@ -153,8 +157,12 @@ def top_k(rows: DataFrame, index: Index, every: int, dim: int, side: int) -> Dat
             for row in range(batch.num_rows):
                 q_ids, ids = (batch.column(c)[row].values.to_numpy() for c in (0, 4))
                 vec, sides = _matrix(batch.column(5), row, dim), _matrix(batch.column(6), row, side)
-                asked = zip(_matrix(batch.column(1), row, dim), _matrix(batch.column(2), row, side), q_ids.tolist(), _matrix(batch.column(3), row, 1)[:, 0], strict=True)
-                found = [index.search(vec, sides, ids, *one) if not _holds(ids, vec, one) else (ids[:0], np.zeros(0)) for one in asked]
+                q_vec, q_side, bounds = _matrix(batch.column(1), row, dim), _matrix(batch.column(2), row, side), _matrix(batch.column(3), row, 1)[:, 0]
+                new = np.array([not _holds(ids, vec, q, i) for q, i in zip(q_vec, q_ids, strict=True)], bool)
+                q_ids = q_ids[new]
+                found = _search(index, vec, sides, ids, q_vec[new], q_side[new], q_ids, bounds[new])
+                if not found:
+                    continue
                 who = np.repeat(q_ids, [len(one[0]) for one in found])
                 yield pa.record_batch([pa.array(who), *(pa.array(np.concatenate([one[i] for one in found])) for i in (0, 1))], names=["query_id", "vec_id", "score"])
 
@@ -164,9 +172,17 @@ def top_k(rows: DataFrame, index: Index, every: int, dim: int, side: int) -> Dat
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= index.k).select("query_id", "rank", "vec_id", "score")
 
 
-def _holds(ids: np.ndarray, vectors: np.ndarray, asked: tuple) -> bool:
+def _search(index: Index, vectors, sides, ids, queries, query_sides, query_ids, bounds) -> list[tuple[np.ndarray, np.ndarray]]:
+    """ids and scores for every query of a block."""
+    if hasattr(index, "search_block"):
+        return index.search_block(vectors, sides, ids, queries, query_sides, query_ids, bounds)
+    asked = zip(queries, query_sides, query_ids.tolist(), bounds, strict=True)
+    return [index.search(vectors, sides, ids, *one) for one in asked]
+
+
+def _holds(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, query_id: int) -> bool:
     """Whether this is the block that the query stands in, which it has searched already."""
-    return bool((vectors[ids == asked[2]] == asked[0]).all(axis=1).any())
+    return bool((vectors[ids == query_id] == query).all(axis=1).any())
 
 
 def kth(scores: np.ndarray, k: int) -> float:
