@@ -11,18 +11,20 @@ import time
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultledger import schemas
 from faultledger.config import Settings
 from faultledger.functions.dates import month_label
 from faultledger.operators.cleaning import is_rejected
 from faultledger.operators.dedup import first_per_incident, has_whole_key, not_in_history
-from faultledger.plans.scorecard import rolling_tiers
+from faultledger.functions.money import risk_tier
+from faultledger.operators.filters import in_dates
 from faultledger.schemas import FACT, KEY_COLUMNS, MONTH
 from faultledger.sources.local import small_frame
 
@@ -39,6 +41,14 @@ LEASE_WAIT_SECONDS = 600
 LEASE_STALE_SECONDS = 6 * 3600
 
 
+_MARK = T.StructType([T.StructField("month", T.StringType())])
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _micros(at: datetime) -> int:
+    return (at.astimezone(timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+
+
 class StoreBusy(RuntimeError):
     """Another load has held the store for longer than this one would wait."""
 
@@ -115,11 +125,16 @@ class IncidentStore:
             ("dim_customer", schemas.DIM_CUSTOMER, []),
             ("pipeline_run_log", schemas.RUN_LOG, []),
             ("alerts", schemas.ALERTS, ["run_id"]),
+            ("tier_runs", schemas.TIER_RUNS, []),
             ("rejects", schemas.REJECTS, ["run_id"]),
             ("arrivals", schemas.ARRIVALS, []),
         ):
             empty = small_frame(self.spark, [], schema)
             empty.write.mode("ignore").partitionBy(*parts).parquet(self.path(table))
+        system, days = self._file("customer_days")
+        if not system.exists(days):
+            # also the loads of a store that is older than this table
+            self._write_days(self.incidents(), 0)
         self.seed_plants((settings or Settings()).plants)
         return self
 
@@ -148,6 +163,10 @@ class IncidentStore:
         """The states of watched extracts that were read."""
         return self._table("arrivals", schemas.ARRIVALS)
 
+    def customer_days(self) -> DataFrame:
+        """Credit per customer, day and load: partial sums of the fact table."""
+        return self._table("customer_days", schemas.CUSTOMER_DAYS)
+
     def customers(self) -> DataFrame:
         """The latest tier of each customer; a customer without news keeps the old tier."""
         return (
@@ -157,6 +176,10 @@ class IncidentStore:
             .select("customer_name", "latest.risk_tier", "latest.updated_at")
         )
 
+    def tier_history(self) -> DataFrame:
+        """Every tier that a run has written."""
+        return self._table("dim_customer", schemas.DIM_CUSTOMER)
+
     def runs(self) -> DataFrame:
         """The latest log row of each run."""
         rest = [c for c in schemas.RUN_LOG.names if c not in ("run_id", "finished_at")]
@@ -254,6 +277,7 @@ class IncidentStore:
             return self._insert_new(batch, loaded_at or datetime.now(timezone.utc), facts)
 
     def _insert_new(self, batch: DataFrame, loaded_at: datetime, facts: BatchFacts | None) -> int:
+        facts = facts or batch_facts(batch)
         new = (
             self.new_incidents(batch, facts)
             .withColumns(
@@ -266,6 +290,9 @@ class IncidentStore:
             # Few files per month, and a month that holds much is split over tasks.
             .hint("rebalance", MONTH)
         )
+        loaded = _micros(loaded_at)
+        self._add_pending_days()
+        self._mark_pending(loaded, facts.months)
         written = Observation("inserted")
         (
             new.observe(written, F.count(F.lit(1)).alias("rows"))
@@ -273,8 +300,35 @@ class IncidentStore:
             .partitionBy(MONTH)
             .parquet(self.path("quality_incidents"))
         )
+        self._add_pending_days()
         return written.get["rows"]
 
+    # -- tiers -------------------------------------------------------------
+
+    def _mark_pending(self, loaded: int, months: Sequence[str]) -> None:
+        """A mark that a load is about to add rows to some months; it goes when their sums are written."""
+        mark = small_frame(self.spark, [(month,) for month in months], _MARK).coalesce(1)
+        mark.write.mode("overwrite").parquet(self.path(f"pending_days/loaded={loaded}"))
+
+    def _add_pending_days(self) -> None:
+        """Write the sums per customer and day of the loads that are marked, also of one that has died."""
+        system, marks = self._file("pending_days")
+        if not system.exists(marks):
+            return
+        for status in system.listStatus(marks):
+            loaded = int(status.getPath().getName().rsplit("=", 1)[1])
+            mark = self.spark.read.schema(_MARK).parquet(self.path(f"pending_days/loaded={loaded}"))
+            months = [row["month"] for row in mark.collect()]
+            at = F.col("loaded_at") == F.timestamp_micros(F.lit(loaded))
+            self._write_days(self.incidents().where(F.col(MONTH).isin(*months) & at), loaded)
+            system.delete(status.getPath(), True)
+
+    def _write_days(self, rows: DataFrame, loaded: int) -> None:
+        days = rows.dropna(subset=["customer"]).groupBy("customer", "incident_date")
+        sums = days.agg(F.sum("credit_requested_usd").cast("decimal(38,6)").alias("credit_usd"))
+        numbered = sums.withColumn("load", F.lit(time.time_ns()))
+        numbered.write.mode("overwrite").parquet(f"{self.path('customer_days')}/loaded={loaded}")
+
     def update_risk_tiers(
         self,
         as_of: date,
@@ -282,13 +336,39 @@ class IncidentStore:
         settings: Settings | None = None,
         updated_at: datetime | None = None,
     ) -> None:
-        tiers = rolling_tiers(self.incidents(), as_of, settings or Settings())
+        """Append the tiers that may have changed since the last time.
+
+        These are of customers with days that a load has added since, or that have
+        come into the window or left it. The sums come from the days of customers, so
+        neither the history is read nor is a customer without news written again.
+        With other limits than the last time all customers count. A customer without
+        incidents in the window keeps the old tier.
+        """
+        settings = settings or Settings()
+        days = self.customer_days()
+        through = days.agg(F.max("load")).first()[0] or 0
+        days = days.where(F.col("load") <= through)
+        start = as_of - timedelta(days=settings.risk_window_days)
+        limits = (settings.high_risk_usd, settings.medium_risk_usd)
+        last = self._table("tier_runs", schemas.TIER_RUNS).orderBy(F.desc("at")).first()
+        recent = in_dates(days, start, None)
+        if last is not None and (last["high_risk_usd"], last["medium_risk_usd"]) == limits:
+            first, end = sorted((last["window_start"], start))
+            day = F.col("incident_date")
+            moved = (day >= F.lit(first)) & (day < F.lit(end))
+            news = days.where(moved | (F.col("load") > last["through_load"])).select("customer").distinct()
+            recent = recent.join(news, "customer", "left_semi")
+        tiers = recent.groupBy("customer").agg(F.sum("credit_usd").alias("total"))
         tiers.select(
             F.col("customer").alias("customer_name"),
-            "risk_tier",
+            risk_tier(F.col("total"), *limits).alias("risk_tier"),
             F.lit(updated_at or datetime.now(timezone.utc)).alias("updated_at"),
             F.lit(run_id).alias("run_id"),
         ).write.mode("append").parquet(self.path("dim_customer"))
+        done = (start, *limits, through, time.time_ns(), run_id)
+        small_frame(self.spark, [done], schemas.TIER_RUNS).coalesce(1).write.mode("append").parquet(
+            self.path("tier_runs")
+        )
 
     def log_run(
         self,

@@ -82,6 +82,29 @@ DIM_CUSTOMER = T.StructType(
     ]
 )
 
+# What each load has added per customer and day; ``load`` orders the loads.
+CUSTOMER_DAYS = T.StructType(
+    [
+        T.StructField("customer", T.StringType()),
+        T.StructField("incident_date", T.DateType()),
+        T.StructField("credit_usd", T.DecimalType(38, 6)),
+        T.StructField("load", T.LongType()),
+        T.StructField("loaded", T.LongType()),
+    ]
+)
+
+# Up to which load, and for which window and limits, the tiers are made.
+TIER_RUNS = T.StructType(
+    [
+        T.StructField("window_start", T.DateType()),
+        T.StructField("high_risk_usd", T.LongType()),
+        T.StructField("medium_risk_usd", T.LongType()),
+        T.StructField("through_load", T.LongType()),
+        T.StructField("at", T.LongType()),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
+
 RUN_LOG = T.StructType(
     [
         T.StructField("run_id", T.StringType()),

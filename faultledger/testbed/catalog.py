@@ -136,6 +136,14 @@ def tier_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.customers().select("customer_name", "risk_tier")
 
 
+def tier_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with an even key, then everything: each run writes the tiers of customers with news only."""
+    store = star.new_store(spark)
+    for run_id, condition in (("batch-1", F.col("order_key") % 2 == 0), ("batch-2", None)):
+        ingest(store, star.extracts(spark, sf_dir, condition), run_id, star.SETTINGS, as_of=AS_OF)
+    return store.tier_history().groupBy("run_id").agg(F.count(F.lit(1)).alias("customers"))
+
+
 def landed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extracts as CSV, JSON and Parquet files, read and mapped by their headers."""
     root, files = star.shared_dir(spark), {}
@@ -589,6 +597,7 @@ QUERIES = {
     "kpi_from_snapshot": kpi_from_snapshot,
     "tier_90d": _view(scorecard.rolling_tiers, AS_OF, WINDOW_TIERS),
     "tier_latest": tier_latest,
+    "tier_news": tier_news,
     "kpi": _view(overview.kpi),
     "summary_row": _view(alerting.summary_row, "run-1"),
     "by_source": _view(overview.by_source),

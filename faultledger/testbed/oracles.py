@@ -252,6 +252,13 @@ from dirty where (rf = 'R' or (rf = 'A' and ls = 'F')) and ok % 11 = 3 group by
         f"""select coalesce(n.customer, o.customer) customer_name,
   {_tier("coalesce(n.total, o.total)", 3000, 1000)} risk_tier
 from ({_recent('2001-08-04')}) o full join ({_recent('2001-11-04')}) n on o.customer = n.customer"""
+    ),
+    "tier_news": _on_facts(
+        f"""select 'batch-1' run_id, count(distinct customer) customers from inc
+where ok % 2 = 0 and incident_date >= date '2001-11-04' - interval 90 day
+union all
+select 'batch-2', count(distinct customer) {_SECOND} and f.customer in
+  (select customer from inc where incident_date >= date '2001-11-04' - interval 90 day)"""
     ),
     "kpi": _on_facts(
         f"select count(*) incidents, {_SUM}, count(distinct plant) plants, "

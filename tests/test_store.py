@@ -10,6 +10,7 @@ from faultledger.fixed_values import PLANTS
 from faultledger.operators.dedup import first_per_incident, not_in_history, with_key
 from faultledger.plans import store as store_module
 from faultledger.plans.alerting import alert_rows
+from faultledger.plans.scorecard import rolling_tiers
 from faultledger.plans.store import IncidentStore, batch_facts
 from faultledger.schemas import FACT, MONTH, ROW_ORDER, UNIFIED
 from faultledger.testbed import star_extracts as star
@@ -199,6 +200,64 @@ def test_a_customer_without_news_keeps_the_tier(store, incidents):
     assert {r["customer_name"]: r["risk_tier"] for r in store.customers().collect()} == {"old": "High", "new": "Low"}
 
 
+def _full_tiers(store, as_of):
+    rows = rolling_tiers(store.incidents(), as_of).collect()
+    return {r["customer"]: r["risk_tier"] for r in rows}
+
+
+def test_only_customers_with_news_are_tiered_again(spark, store, incidents):
+    def rows(*customers, day="2025-06-10", credit=40_000):
+        return incidents(*[("s", "p", c, day, "d", credit, 1) for c in customers])
+
+    def tier(as_of, run_id, **kwargs):
+        store.update_risk_tiers(as_of, run_id, **kwargs)
+        return sorted(r["customer_name"] for r in store.tier_history().where(F.col("run_id") == run_id).collect())
+
+    many = [f"c{i}" for i in range(30)]
+    store.insert_new(rows(*many))
+    store.insert_new(rows("old", day="2025-04-05"))
+    assert tier(date(2025, 7, 1), "r1") == sorted([*many, "old"])
+    # nothing new, then one customer touched twice, by two loads of one time stamp
+    assert tier(date(2025, 7, 1), "r2") == []
+    store.insert_new(rows("c1", day="2025-06-11", credit=70_000), NOW)
+    store.insert_new(rows("c2", day="2025-06-11", credit=10), NOW)
+    assert tier(date(2025, 7, 1), "r3") == ["c1", "c2"]
+    # days that leave the window: of a customer with others in it, and of one without
+    store.insert_new(rows("old", day="2025-07-02", credit=5))
+    assert tier(date(2025, 7, 1), "r4") == ["old"]
+    assert tier(date(2025, 7, 20), "r5") == ["old"]
+    want = _full_tiers(store, date(2025, 7, 20))
+    assert {r["customer_name"]: r["risk_tier"] for r in store.customers().collect()} == want
+    assert (want["c1"], want["old"]) == ("High", "Low")
+    # a window that moves back, and other limits
+    assert tier(date(2025, 7, 1), "r6") == ["old"]
+    assert len(tier(date(2025, 7, 1), "r7", settings=Settings(high_risk_usd=1))) == 31
+    days = store.customer_days().groupBy("customer").agg(F.sum("credit_usd").alias("t"))
+    facts = store.incidents().groupBy("customer").agg(F.sum("credit_requested_usd").alias("t"))
+    assert sorted(days.collect()) == sorted(facts.collect())
+
+
+def test_the_sums_of_a_load_that_died_are_made_up_for(store, incidents, monkeypatch):
+    def die(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_write_days", die)
+        with pytest.raises(RuntimeError):
+            store._mark_pending(5, ["2025-06"])
+            store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 40_000, 1)), NOW)
+    with monkeypatch.context() as broken:
+        write = store._write_days
+        # the rows are there, their sums are not
+        broken.setattr(store, "_write_days", lambda rows, loaded: write(rows, loaded) if loaded == 5 else die())
+        with pytest.raises(RuntimeError):
+            store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 40_000, 1)), NOW)
+    assert store.incidents().count() == 1 and store.customer_days().count() == 0
+    store.insert_new(incidents(("s", "p", "b", "2025-06-11", "d", 5, 1)))
+    store.update_risk_tiers(date(2025, 7, 1), "r")
+    assert {r["customer_name"]: r["risk_tier"] for r in store.customers().collect()} == {"a": "Medium", "b": "Low"}
+
+
 def test_alerts_of_a_repeated_run_are_replaced(store, incidents):
     rows = incidents(("s", "p", "c", "2025-06-10", "d", 50_000, 1), ("s", "p", "c", "2025-06-11", "d", 49_999, 1))
     for run_id in ("r1", "r1", "r2"):
