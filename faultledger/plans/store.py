@@ -8,10 +8,12 @@ nothing half written; on an object store use a committer made for it.
 
 import logging
 import time
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
+from threading import Event, Thread
+from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -35,10 +37,11 @@ BROADCAST_KEY_BYTES = 64 * 1024 * 1024
 # Per key: the date, the amount and the row itself, on top of the texts.
 _KEY_OVERHEAD_BYTES = 128
 
-# How long a load waits for another one on the same store, and after how long the
-# mark of a load that has died no longer counts.
+# How long a load waits for another one on the same store, how often that one renews
+# its mark, and after how long without that it counts as dead.
 LEASE_WAIT_SECONDS = 600
-LEASE_STALE_SECONDS = 6 * 3600
+LEASE_RENEW_SECONDS = 30
+LEASE_STALE_SECONDS = 900
 
 
 _MARK = T.StructType([T.StructField("month", T.StringType())])
@@ -198,26 +201,71 @@ class IncidentStore:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     @contextmanager
-    def lease(self) -> Iterator[None]:
-        """One load at a time: what is new is decided on a history that stands still."""
+    def lease(self) -> Iterator[Callable[[], None]]:
+        """One load at a time: what is new is decided on a history that stands still.
+
+        The mark names its owner, who renews it all the while; one that was not
+        renewed for long is of a load that has died. The function that is given
+        raises if the store was taken over meanwhile, as from a load that stood still.
+        """
         system, mark = self._file("_lease")
+        own = uuid4().hex
         until = time.monotonic() + LEASE_WAIT_SECONDS
-        while not self._marked(system, mark):
+        while not self._marked(system, mark, own):
             if time.monotonic() > until:
                 raise StoreBusy(f"{self.root} is being loaded")
             time.sleep(0.2)
+        done = Event()
+
+        def renew() -> None:
+            while not done.wait(LEASE_RENEW_SECONDS):
+                if self._owner(system, mark) != own:
+                    return
+                self._write_mark(system, mark, own, True)
+
+        def check() -> None:
+            if self._owner(system, mark) != own:
+                raise StoreBusy(f"another load has taken over {self.root}")
+
+        renewing = Thread(target=renew, daemon=True)
+        renewing.start()
         try:
-            yield
+            yield check
         finally:
-            system.delete(mark, False)
+            done.set()
+            renewing.join()
+            if self._owner(system, mark) == own:
+                system.delete(mark, False)
 
     @staticmethod
-    def _marked(system, mark) -> bool:
+    def _write_mark(system, mark, owner: str, again: bool) -> None:
+        out = system.create(mark, again)
+        out.write(bytearray(owner.encode()))
+        out.close()
+
+    def _owner(self, system, mark) -> str | None:
+        """Who has written the mark; None where there is none, or where it is being written."""
         try:
-            if system.createNewFile(mark):
-                return True
+            data = system.open(mark)
+            try:
+                return self.spark._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
+            finally:
+                data.close()
+        except Py4JJavaError as error:
+            if "FileNotFound" in str(error) or "ChecksumException" in str(error):
+                return None
+            raise
+
+    def _marked(self, system, mark, own: str) -> bool:
+        try:
+            if not system.exists(mark):
+                self._write_mark(system, mark, own, False)
+                # where creating a file is not atomic, the last writer has it
+                return self._owner(system, mark) == own
+            before = self._owner(system, mark)
             age = time.time() - system.getFileStatus(mark).getModificationTime() / 1000
-            if age > LEASE_STALE_SECONDS:
+            if age > LEASE_STALE_SECONDS and self._owner(system, mark) == before:
+                log.warning("%s was held by a load that has died", self.root)
                 system.delete(mark, False)
         except Py4JJavaError as error:
             # made or removed by another one in between
@@ -273,10 +321,12 @@ class IncidentStore:
         Running it again, also after a failure, adds nothing twice, nor do two
         loads at once: the second waits.
         """
-        with self.lease():
-            return self._insert_new(batch, loaded_at or datetime.now(timezone.utc), facts)
+        with self.lease() as still_ours:
+            return self._insert_new(batch, loaded_at or datetime.now(timezone.utc), facts, still_ours)
 
-    def _insert_new(self, batch: DataFrame, loaded_at: datetime, facts: BatchFacts | None) -> int:
+    def _insert_new(
+        self, batch: DataFrame, loaded_at: datetime, facts: BatchFacts | None, still_ours: Callable[[], None]
+    ) -> int:
         facts = facts or batch_facts(batch)
         new = (
             self.new_incidents(batch, facts)
@@ -293,6 +343,7 @@ class IncidentStore:
         loaded = _micros(loaded_at)
         self._add_pending_days()
         self._mark_pending(loaded, facts.months)
+        still_ours()
         written = Observation("inserted")
         (
             new.observe(written, F.count(F.lit(1)).alias("rows"))

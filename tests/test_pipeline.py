@@ -160,6 +160,45 @@ def test_a_dead_lease_is_taken_over_and_a_live_one_is_not(spark, tmp_path, monke
         store.insert_new(rows)
     monkeypatch.setattr(stores, "LEASE_STALE_SECONDS", -1)
     assert store.insert_new(rows) == 1
+    assert not (tmp_path / "store" / "_lease").exists()
+
+
+def test_a_load_that_stood_still_adds_nothing_after_it_was_taken_over(spark, tmp_path, monkeypatch, incidents):
+    from faultledger.plans import store as stores
+
+    stalled, other = (IncidentStore(spark, str(tmp_path / "store")).create() for _ in range(2))
+    rows = incidents(("s", "p", "c", "2025-06-10", "d", 1, 1))
+    monkeypatch.setattr(stores, "LEASE_STALE_SECONDS", -1)
+    decide = stalled.new_incidents
+
+    def slow(*args):
+        new = decide(*args)
+        # meanwhile another load finds the mark too old, takes over and finishes
+        assert other.insert_new(rows) == 1
+        return new
+
+    monkeypatch.setattr(stalled, "new_incidents", slow)
+    with pytest.raises(stores.StoreBusy):
+        stalled.insert_new(rows)
+    assert other.incidents().count() == 1
+
+
+def test_a_lease_is_renewed_while_it_is_held(spark, tmp_path, monkeypatch):
+    from faultledger.plans import store as stores
+
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    monkeypatch.setattr(stores, "LEASE_RENEW_SECONDS", 0.2)
+    monkeypatch.setattr(stores, "LEASE_STALE_SECONDS", 2)
+    monkeypatch.setattr(stores, "LEASE_WAIT_SECONDS", 4)
+    with store.lease() as still_ours:
+        with pytest.raises(stores.StoreBusy), IncidentStore(spark, store.root).lease():
+            pass
+        still_ours()
+    with store.lease():
+        # the end of a load takes away its own mark only
+        (tmp_path / "store" / "._lease.crc").unlink()
+        (tmp_path / "store" / "_lease").write_text("someone else")
+    assert (tmp_path / "store" / "_lease").read_text() == "someone else"
 
 
 def test_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
