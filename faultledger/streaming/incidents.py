@@ -201,3 +201,28 @@ def land_closed(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def land_changes(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the weeks whose totals have changed, as a version of their own per trigger.
+
+    So a late row corrects its week, and weeks without news are not written again. A
+    trigger that is replayed replaces its own version.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return (
+        totals.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_weeks(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each week that ``land_changes`` has written."""
+    versions = spark.read.parquet(path)
+    rest = [c for c in versions.columns if c not in ("week_start", "version")]
+    newest = F.max_by(F.struct(*rest), "version").alias("newest")
+    return versions.groupBy("week_start").agg(newest).select("week_start", "newest.*")

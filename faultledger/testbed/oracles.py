@@ -200,6 +200,9 @@ def _report_part(name: str, item: str, keys: str, n: int | None = None) -> str:
     )
 
 
+_EVENT_WEEKS = """select strftime(date_trunc('week', ts), '%Y-%m-%d') week_start, count(*) incidents,
+  cast(sum(cast("value" as decimal(18,6))) as double) credit_usd from events group by 1"""
+
 ORACLES = {
     "raw_by_source": _on_extracts("select source, count(*) incidents from uni group by source"),
     "normalized": _on_extracts(f"select {_ROW} from fx"),
@@ -391,8 +394,8 @@ union all select 'raw', concat(source, '|', incident_date), cast(sum(credit) as
     "stream_weekly_facts": _on_facts(
         f"select {_WEEK} week_start, count(*) incidents, {_SUM} from fact group by 1"
     ),
-    "stream_weekly": """select strftime(date_trunc('week', ts), '%Y-%m-%d') week_start, count(*) incidents,
-  cast(sum(cast("value" as decimal(18,6))) as double) credit_usd from events group by 1""",
+    "stream_weekly": _EVENT_WEEKS,
+    "stream_weekly_late": _EVENT_WEEKS,
     "stream_weekly_closed": """select strftime(date_trunc('week', ts), '%Y-%m-%d') week_start,
   count(*) incidents, cast(sum(cast("value" as decimal(18,6))) as double) credit_usd
 from events group by 1

@@ -211,3 +211,20 @@ def test_an_extract_rewritten_in_place_is_read_again(spark, tmp_path):
     load = changes.load_changes(store, SETTINGS, "again")
     load(spark.createDataFrame(changes.entries(f"file:{folder}"), "path string, modified bigint, size bigint"), 7)
     assert store.incidents().count() == 3 and store.runs().count() == 2
+
+
+def test_a_late_row_corrects_its_week_alone(spark, tmp_path):
+    def drop(*rows):
+        schema = "event_time timestamp, credit_requested_usd decimal(18,6)"
+        frame = spark.createDataFrame([(datetime.fromisoformat(d), Decimal(c)) for d, c in rows], schema)
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        totals = streaming.weekly_totals(stream)
+        streaming.land_changes(totals, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        weeks = streaming.latest_weeks(spark, str(tmp_path / "out")).orderBy("week_start").collect()
+        return [(str(r["week_start"])[:10], r["incidents"], r["credit_usd"]) for r in weeks]
+
+    assert drop(("2025-06-02", "1"), ("2025-06-10", "2"), ("2025-06-17", "4")) == [("2025-06-02", 1, 1.0), ("2025-06-09", 1, 2.0), ("2025-06-16", 1, 4.0)]
+    assert drop(("2025-06-03", "8")) == [("2025-06-02", 2, 9.0), ("2025-06-09", 1, 2.0), ("2025-06-16", 1, 4.0)]
+    versions = spark.read.parquet(str(tmp_path / "out")).groupBy("version").count().orderBy("version").collect()
+    assert [r["count"] for r in versions] == [3, 1]
