@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 from faultledger.llm import vector_blocks as blocks
 from faultledger.llm.shared import checkpoint
 
-#: Rows of which the pivots are chosen, and how many.
+#: Rows of which the pivots are chosen, how many, and how many of the first make cells.
 SAMPLE = 2000
-PIVOTS = 16
+PIVOTS = 128
+CELL_PIVOTS = 16
+#: Doubles hold every whole number below this.
+WHOLE = 2.0**53
 #: Slack of the bounds for rounding, relative to the lengths.
 SLACK = 1e-9
 
 
 def integers(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of every component, as doubles that hold whole numbers."""
-    return F.transform(vector, lambda x: F.floor(x * scale).cast("double"))
+    """floor(scale * x) of every component, as doubles that hold whole numbers, of any size."""
+    return F.transform(vector, lambda x: F.when(F.abs(x * scale) < WHOLE, F.floor(x * scale).cast("double")).otherwise(x * scale))
 
 
 def choose_pivots(points: np.ndarray, n: int) -> np.ndarray:
@@ -41,17 +44,17 @@ def choose_pivots(points: np.ndarray, n: int) -> np.ndarray:
     return points[chosen]
 
 
-def dots(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products; in Python's whole numbers where doubles can't hold them."""
-    if not len(vectors) or np.abs(vectors).max() * np.abs(query).max() * len(query) < 2**53:
-        return vectors @ query
+def dots(vectors: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products of whole numbers that doubles may not hold."""
     own = [int(b) for b in query.tolist()]
-    return np.array([float(sum(int(a) * b for a, b in zip(row, own, strict=True))) for row in vectors.tolist()])
+    return [sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in vectors.tolist()]
 
 
 class PivotTable:
     def __init__(self, sampled: np.ndarray, longest: float, k: int) -> None:
         self.k, self.longest = k, longest
+        # no score, and no sum on the way to one, is larger than the largest squared length
+        self.wide = not longest < WHOLE
         self.pivots = choose_pivots(self.lifted(sampled), PIVOTS)
 
     def lifted(self, vectors: np.ndarray) -> np.ndarray:
@@ -63,15 +66,16 @@ class PivotTable:
 
     def cells(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         table = self.distances(self.lifted(vectors))
-        return table.argmin(axis=1), table
+        return table[:, :CELL_PIVOTS].argmin(axis=1), table
 
     def query_sides(self, queries: np.ndarray) -> np.ndarray:
         return self.distances(np.hstack([queries, np.zeros((len(queries), 1))]))
 
     def upper(self, lower: np.ndarray, length: np.ndarray | float) -> np.ndarray:
-        """Upper bounds of scores, from lower bounds of distances and the query's q.q."""
+        """Upper bounds of scores, from lower bounds of distances and the query's q.q; infinite where doubles overflow."""
         slack = SLACK * (length + self.longest)
-        return (length + self.longest - np.maximum(lower - np.sqrt(slack), 0) ** 2) / 2 + slack
+        limits = (length + self.longest - np.maximum(lower - np.sqrt(slack), 0) ** 2) / 2 + slack
+        return np.where(np.isfinite(limits), limits, np.inf)
 
     def sees(self, queries, sides, bounds, low, high):
         gaps = np.maximum(np.maximum(sides[:, None] - high[None], low[None] - sides[:, None]), 0).max(axis=2)
@@ -81,12 +85,23 @@ class PivotTable:
         limits = self.upper(np.abs(sides - side).max(axis=1), float(query @ query))
         order = np.flatnonzero((limits >= bound) & (ids != query_id))
         order = order[np.argsort(-limits[order], kind="stable")]
-        scores, at, step = np.zeros(0), 0, 8 * self.k
+        scores, exact, at, step = np.zeros(0), [], 0, 8 * self.k
         while at < len(order) and limits[order[at]] >= bound:
-            scores = np.concatenate([scores, dots(vectors[order[at : at + step]], query)])
+            near = vectors[order[at : at + step]]
+            if self.wide:
+                exact += dots(near, query)
+                scores = blocks.doubles(exact)
+            else:
+                scores = np.concatenate([scores, near @ query])
             bound = max(bound, blocks.kth(scores, self.k))
             at, step = at + step, 2 * step
         seen = order[: len(scores)]
+        if self.wide:
+            found = sorted(zip((-score for score in exact), ids[seen].tolist(), strict=True))[: self.k]
+            best = [-score for score, _ in found]
+            # equal doubles may be of different scores, so the bound's own are kept
+            kept = blocks.doubles(best) >= bound
+            return np.array([one[1] for one in found], np.int64)[kept], [score for score, keep in zip(best, kept, strict=True) if keep]
         top = blocks.largest(scores, ids[seen], self.k)
         top = top[scores[top] >= bound]
         return ids[seen[top]], scores[top]
@@ -99,15 +114,19 @@ def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str =
     floor(scale * x). All rows but those with the query's id are candidates, and all
     are returned if there are fewer than ``k``. Null ids and vectors, vectors with
     null or non-finite components and vectors of another length than most take no
-    part; a zero vector does. Repeated rows count once. Other columns are ignored.
-    An empty table gives an empty result. Scores are exact below 2**53.
+    part; a zero vector does, and one with a component whose product with ``scale`` is no
+    finite double doesn't. Repeated rows count once. Other columns are ignored. An empty
+    table gives an empty result. Scores are exact and compared exactly, whatever their
+    size; ``exact`` has their digits, and ``score`` is null where no long holds them.
     """
     usable = blocks.usable(vectors, vec_id, vector, nonzero=False)
-    rows = checkpoint(usable.select("id", integers(F.col("vec"), scale).alias("vec")))
+    whole = usable.select("id", integers(F.col("vec"), scale).alias("vec"))
+    rows = checkpoint(whole.where(F.forall("vec", lambda x: F.abs(x) < float("inf"))))
     longest = rows.agg(F.max(blocks.square()).alias("m")).first()["m"]
     if longest is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long, exact string")
     sampled = blocks.sample(rows, SAMPLE)
     table = PivotTable(sampled, longest, k)
     found = blocks.top_k(rows, table, every, sampled.shape[1], len(table.pivots))
-    return found.withColumn("score", F.col("score").cast("bigint"))
+    exact = F.col("score.digits") if table.wide else F.col("score").cast("bigint").cast("string")
+    return found.select("query_id", "rank", "vec_id", exact.try_cast("bigint").alias("score"), exact.alias("exact"))

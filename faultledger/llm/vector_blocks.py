@@ -28,13 +28,28 @@ QUERIES = 256
 CELLS = 1024
 
 
-FOUND = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+#: A score that a double may not hold: its digits, and a text that sorts like it.
+WIDE = pa.struct([("order", pa.string()), ("digits", pa.string())])
+
+
+def _wide(scores: list[int]) -> list[dict[str, str]]:
+    """Scores as texts: after the sign the number of digits and the digits, which count down below zero."""
+    out = []
+    for score in scores:
+        digits = str(abs(score))
+        order = f"{len(digits):04d}{digits}"
+        if score < 0:
+            order = "".join(chr(ord("0") + 9 - int(d)) for d in order)
+        out.append({"order": ("0" if score < 0 else "1") + order, "digits": str(score)})
+    return out
 
 
 class Index(Protocol):
     """What a search must know; scores are inner products, bounds are scores to reach."""
 
     k: int
+    #: Whether scores are Python's whole numbers, beyond what doubles hold; absent is no.
+    wide: bool
 
     def cells(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells and sides of rows."""
@@ -101,7 +116,16 @@ def _lists(matrix: np.ndarray) -> pa.ListArray:
 
 
 def top_k(rows: DataFrame, index: Index, every: int, dim: int, side: int) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows (id, vec) whose id is divisible by ``every``."""
+    """query_id, rank, vec_id, score for the rows (id, vec) whose id is divisible by ``every``.
+
+    ``score`` is a double, or ``WIDE`` if the index has wide scores.
+    """
+    wide = getattr(index, "wide", False)
+    score_type = "struct<order:string,digits:string>" if wide else "double"
+    listed = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", WIDE if wide else pa.float64())]))
+
+    def told(scores) -> list:
+        return _wide(scores) if wide else list(scores)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,18 +156,18 @@ def top_k(rows: DataFrame, index: Index, every: int, dim: int, side: int) -> Dat
                 asked = np.flatnonzero(ids % every == 0)
                 own = index.query_sides(vec[asked])
                 found = _search(index, vec, sides, ids, vec[asked], own, ids[asked], np.full(len(asked), -np.inf))
-                bounds = np.array([kth(one[1], index.k) for one in found], np.float64)
+                bounds = np.array([kth(doubles(one[1]), index.k) for one in found], np.float64)
                 sees = index.sees(vec[asked], own, bounds, low, high)
                 yield pa.record_batch(
                     [
                         *(pa.array(ids[asked]), _lists(vec[asked]), _lists(own), _lists(bounds[:, None])),
                         pa.array([numbers[one].tolist() for one in sees], pa.list_(pa.int32())),
-                        pa.array([[{"vec_id": i, "score": x} for i, x in zip(*one, strict=True)] for one in found], FOUND),
+                        pa.array([[{"vec_id": i, "score": x} for i, x in zip(one[0], told(one[1]), strict=True)] for one in found], listed),
                     ],
                     names=["id", "vec", "side", "bound", "cells", "found"],
                 )
 
-    schema = "id bigint, vec array<double>, side array<double>, bound array<double>, cells array<int>, found array<struct<vec_id:bigint,score:double>>"
+    schema = f"id bigint, vec array<double>, side array<double>, bound array<double>, cells array<int>, found array<struct<vec_id:bigint,score:{score_type}>>"
     started = checkpoint(stored.select("ids", "vec", "side").mapInArrow(start, schema))
     asked = started.select(F.explode("cells").alias("cell"), "id", "vec", "side", "bound")
     packed = _blocked(asked, QUERIES, ("vec", "side", "bound"))
@@ -164,11 +188,13 @@ def top_k(rows: DataFrame, index: Index, every: int, dim: int, side: int) -> Dat
                 if not found:
                     continue
                 who = np.repeat(q_ids, [len(one[0]) for one in found])
-                yield pa.record_batch([pa.array(who), *(pa.array(np.concatenate([one[i] for one in found])) for i in (0, 1))], names=["query_id", "vec_id", "score"])
+                scores = [score for one in found for score in told(one[1])]
+                columns = [pa.array(who), pa.array(np.concatenate([one[0] for one in found])), pa.array(scores, WIDE if wide else pa.float64())]
+                yield pa.record_batch(columns, names=["query_id", "vec_id", "score"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     own = started.select(F.col("id").alias("query_id"), F.inline("found"))
-    found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double").unionByName(own)
+    found = met.mapInArrow(search, f"query_id bigint, vec_id bigint, score {score_type}").unionByName(own)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= index.k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -180,6 +206,14 @@ def _search(index: Index, vectors, sides, ids, queries, query_sides, query_ids,
     return [index.search(vectors, sides, ids, *one) for one in asked]
 
 
+def doubles(scores) -> np.ndarray:
+    """Scores as the doubles next to them; beyond all doubles an infinity."""
+    if isinstance(scores, np.ndarray):
+        return scores
+    largest = int(np.finfo(np.float64).max)
+    return np.array([float(s) if abs(s) <= largest else float("inf") * (1 if s > 0 else -1) for s in scores], np.float64)
+
+
 def _holds(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, query_id: int) -> bool:
     """Whether this is the block that the query stands in, which it has searched already."""
     return bool((vectors[ids == query_id] == query).all(axis=1).any())

@@ -38,7 +38,7 @@ def test_exact_with_small_blocks_hot_vectors_and_ties(spark, monkeypatch, size):
     draw = np.random.default_rng(3)
     rows = [(i, (draw.normal(size=5) * draw.choice([0.1, 1, 3])).tolist()) for i in range(80)]
     rows += [(i, [0.5, 0.25, 0, 0, 1]) for i in range(80, 130)] + [(130, [0.0] * 5), rows[0], rows[1]]
-    got = sorted(tuple(r) for r in exact_topk.exact_top_k(table(spark, rows), every=10, k=7).collect())
+    got = sorted(tuple(r) for r in exact_topk.exact_top_k(table(spark, rows), every=10, k=7).drop("exact").collect())
     assert got == plain(rows, 10, 7, lambda v: np.floor(1024 * v))
 
 
@@ -46,11 +46,38 @@ def test_exact_edge_rows(spark):
     bad = [(0, None), (100, []), (200, [1.0, math.nan]), (300, [1.0, math.inf]), (None, [1.0, 1.0]), (400, [1.0, 2.0, 3.0])]
     good = [(500, [1.0, 0.5]), (501, [-1.0, 2.0])]
     got = [tuple(r) for r in exact_topk.exact_top_k(table(spark, bad + good)).collect()]
-    assert got == [(500, 1, 501, -1024 * 1024 + 512 * 2048)]
+    assert got == [(500, 1, 501, -1024 * 1024 + 512 * 2048, str(-1024 * 1024 + 512 * 2048))]
     with_null = spark.createDataFrame([(0, [1.0, None]), (100, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert exact_topk.exact_top_k(with_null).count() == 0
     assert exact_topk.exact_top_k(with_null.limit(0)).count() == 0
-    assert exact_topk.dots(np.array([[2.0**30, 1.0]]), np.array([2.0**30, 1.0])).tolist() == [float(2**60 + 1)]
+    assert exact_topk.dots(np.array([[2.0**30, 1.0]]), np.array([2.0**30, 1.0])) == [2**60 + 1]
+
+
+def whole(x):
+    return math.floor(1024 * x)
+
+
+@pytest.mark.parametrize("size", [5, 2048])
+@pytest.mark.parametrize("power", [30, 60, 200, 700])
+def test_scores_beyond_doubles(spark, monkeypatch, size, power):
+    monkeypatch.setattr(blocks, "ROWS", size)
+    draw = np.random.default_rng(power)
+    rows = [(i, [2.0 ** (power - 10), float(draw.integers(1, 4)) / 1024, float(draw.normal()) * 2.0 ** (power - 12)]) for i in range(40)]
+    rows += [(i, [2.0 ** (power - 10), (i % 3) / 1024, -(2.0 ** (power - 11))]) for i in range(40, 60)] + [(60, [-x for x in rows[0][1]]), (61, [1e306, 0.0, 0.0])]
+    got = sorted(tuple(r) for r in exact_topk.exact_top_k(table(spark, rows), every=10, k=6).collect())
+    vectors = [(i, [whole(x) for x in v]) for i, v in rows if i != 61]
+    want = []
+    for q, v in vectors:
+        if q % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors if i != q)[:6]
+            want += [(q, rank + 1, i, -s if -(2**63) <= -s < 2**63 else None, str(-s)) for rank, (s, i) in enumerate(scored)]
+    assert got == sorted(want, key=lambda r: r[:2])
+
+
+def test_wide_scores_sort_like_their_numbers():
+    scores = [-(10**40), -(10**40) + 1, -12, -9, -1, 0, 5, 10, 99, 10**40, 10**40 + 1]
+    orders = [one["order"] for one in blocks._wide(scores)]
+    assert orders == sorted(orders)
 
 
 def test_bounds_hold():
