@@ -6,6 +6,11 @@ being content; that is its capacity to the source or to the sink. Neighbouring b
 and blocks of one parent are joined by edges that get weaker with their distance in
 the DOM. The minimum cut, found by max-flow, separates content from boilerplate: a
 short line between paragraphs stays with them, an advert among them does not.
+
+What an element's names say holds for all that is below it, unless it is a wrapper: one
+with most of a page's text below it, and no other text that could be the page's content.
+Reader comments are also told by their form, whatever they are called: pieces of one
+kind that follow the text, each with a dated or numbered line and then sentences.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ BLOCKS = {
     "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "head", "title",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: A paragraph that stands outside of these is not closed from within them.
+HOLD_PARAGRAPHS = {"td", "th", "article", "section", "div", "li", "table", "blockquote", "form", "button"}
 #: A start tag closes these if they are open, up to the element that holds them.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -53,11 +60,15 @@ HINTS = {
     "side": "sidebar aside widget related recommended recommendations popular trending teaser teasers more rail blogroll archive archives",
     "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense dfp",
     "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall toast disclaimer",
-    "talk": "comment comments commentlist reply replies respond disqus discussion",
+    "talk": "comment comments commentlist reply replies respond responses reactions feedback disqus discussion guestbook kommentar kommentare comentarios commentaires commenti",
     "edge": "header masthead footer foot copyright colophon legal",
     "share": "share sharing social follow tags tag byline meta author login search rating print",
     "body": "article content post entry story text main body prose",
 }
+#: A name of several words that starts so tells of a state or a subject, not what the element is.
+STATES = {"has", "with", "no", "not", "without", "is", "category", "format", "type", "status"}
+SUBJECTS = {"tag", "category"}
+LISTS = {"list", "cloud", "links"}
 HINT_OF = {word: name for name, words in HINTS.items() for word in words.split()}
 TAG_OF = {"nav": "menu", "menu": "menu", "aside": "side", "footer": "edge", "header": "edge", "form": "form", "fieldset": "form", "label": "form", "article": "article", "main": "article", "dialog": "notice"}
 ROLE_OF = {"navigation": "menu", "complementary": "side", "contentinfo": "edge", "banner": "edge", "search": "form", "dialog": "notice", "alert": "notice", "main": "article", "article": "article"}
@@ -184,27 +195,35 @@ LABELLED = """
 
 def signs_of(tag: str, attributes: str) -> frozenset[str]:
     """What an element's tag and its class, id, role and hiding attributes tell."""
+    if tag in ("html", "body"):
+        return frozenset()
     out = {TAG_OF[tag]} if tag in TAG_OF else set()
     if attributes:
         out |= _told(attributes)
-    if tag in ("html", "body"):
-        return frozenset()
     if tag in ("article", "main"):
         out -= {"menu", "side", "edge", "share", "body"}
     return frozenset(out)
 
 
+def _named(name: str) -> set[str]:
+    """What one class or id tells."""
+    words = [word.lower() for word in re.findall("[A-Z]?[a-z]+|[A-Z]+", name)]
+    if len(words) > 1 and words[0] in SUBJECTS and words[-1] not in LISTS:
+        return set()
+    out = {"hidden"} if "hidden" in words and words[0] not in ("no", "not") else set()
+    if len(words) > 1 and words[0] in STATES:
+        return out
+    return out | {HINT_OF[word] for word in words if word in HINT_OF}
+
+
 @lru_cache(maxsize=4096)
 def _told(attributes: str) -> frozenset[str]:
     out = set()
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape("".join(values))
         if name in ("class", "id"):
-            for word in re.findall("[A-Z]?[a-z]+|[A-Z]+", value):
-                if word.lower() in HINT_OF:
-                    out.add(HINT_OF[word.lower()])
-                elif word.lower() == "hidden":
-                    out.add("hidden")
+            for one in value.split():
+                out |= _named(one)
         elif name == "role":
             out |= {ROLE_OF[r] for r in value.lower().split() if r in ROLE_OF}
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -219,7 +238,10 @@ class Element:
     tag: str
     parent: int
     depth: int
+    #: What it tells itself, and with all that it stands in.
+    own: frozenset[str]
     signs: frozenset[str]
+    attributes: str = ""
 
 
 @dataclass(slots=True)
@@ -232,9 +254,12 @@ class Block:
 
 def read_blocks(html: str) -> tuple[list[Element], list[Block]]:
     """Elements and blocks of a page, in page order; markup that is wrong is mended as browsers do, roughly."""
-    elements = [Element("", -1, 0, frozenset())]
+    elements = [Element("", -1, 0, frozenset(), frozenset())]
     blocks = [Block(0)]
     stack = [0]
+    # depths in the stack of the open elements, by tag, and of the open blocks
+    opened: dict[str, list[int]] = {}
+    open_blocks: list[int] = [0]
     silent = links = 0
     at, size = 0, len(html)
 
@@ -242,11 +267,21 @@ def read_blocks(html: str) -> tuple[list[Element], list[Block]]:
         nonlocal silent, links
         while len(stack) > depth:
             tag = elements[stack.pop()].tag
+            opened[tag].pop()
             silent -= tag in SILENT
             links -= tag == "a"
             if tag in BLOCKS:
+                open_blocks.pop()
                 broken()
 
+    def innermost(tags: set[str]) -> int:
+        return max((opened[tag][-1] for tag in tags if opened.get(tag)), default=0)
+
+    def imply(tags: set[str], limit: int) -> None:
+        """Close the elements of ``tags`` that are open above a depth."""
+        while (depth := innermost(tags)) > limit:
+            close(depth)
+
     def broken() -> None:
         if blocks[-1].parts:
             blocks.append(Block(stack[-1]))
@@ -258,7 +293,8 @@ def read_blocks(html: str) -> tuple[list[Element], list[Block]]:
             if not blocks[-1].parts:
                 if text.isspace():
                     return
-                blocks[-1].element = stack[-1] if elements[stack[-1]].tag in BLOCKS else _holder(elements, stack)
+                # signs of inline elements are not those of a block
+                blocks[-1].element = stack[open_blocks[-1]]
             blocks[-1].parts.append(text)
             if links:
                 blocks[-1].linked += len(text.split())
@@ -280,29 +316,31 @@ def read_blocks(html: str) -> tuple[list[Element], list[Block]]:
             if tag == "br":
                 say(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if elements[stack[depth]].tag == tag:
-                    close(depth)
-                    break
-            else:
-                if tag == "p":
-                    broken()
+            if opened.get(tag):
+                close(opened[tag][-1])
+            elif tag == "p":
+                broken()
             continue
         if tag == "br":
             say(" ")
             continue
         if tag in BLOCKS and tag not in ("html", "body", "head"):
-            _imply(elements, stack, {"p"}, {"td", "th", "article", "section", "div", "li", "table", "blockquote", "form", "button"}, close)
+            imply({"p"}, innermost(HOLD_PARAGRAPHS))
         if tag in CLOSES:
-            _imply(elements, stack, *CLOSES[tag], close)
+            tags, limits = CLOSES[tag]
+            imply(tags, innermost(limits))
         if tag in BLOCKS:
             broken()
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "math", "path", "g", "use"):
             continue
         if tag == "a" and links:
-            _imply(elements, stack, {"a"}, BLOCKS, close)
+            imply({"a"}, open_blocks[-1])
         above = elements[stack[-1]]
-        elements.append(Element(tag, stack[-1], above.depth + 1, above.signs | signs_of(tag, attributes) if tag in BLOCKS or attributes or tag in TAG_OF else above.signs))
+        own = signs_of(tag, attributes)
+        elements.append(Element(tag, stack[-1], above.depth + 1, own, above.signs | own if own else above.signs, attributes))
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
         stack.append(len(elements) - 1)
         silent += tag in SILENT
         links += tag == "a"
@@ -319,24 +357,124 @@ def read_blocks(html: str) -> tuple[list[Element], list[Block]]:
     return elements, out
 
 
-def _holder(elements: list[Element], stack: list[int]) -> int:
-    """The innermost open block element; signs of inline elements are on the block's first text."""
-    for at in reversed(stack):
-        if elements[at].tag in BLOCKS:
-            return at
-    return stack[0]
+SENTENCE = (".", "!", "?", "…", ".”", ".\"", "。", ":")
+#: Signs of what is no content.
+BOILERPLATE = frozenset(SIGNS) - {"body", "article"}
+#: Words of a paragraph, and how many of them a wrapper without an article holds.
+PARAGRAPH, PARAGRAPHS = 15, 3
+#: Share of the paragraphs' words that may stand free outside a wrapper.
+OUTSIDE = 0.2
+#: Words of a line that names who has written a comment, and when.
+BYLINE = 12
+
+
+def _below(elements: list[Element], at: dict[int, int]) -> list[int]:
+    """For each element the sum of ``at`` over it and all below it."""
+    out = [at.get(i, 0) for i in range(len(elements))]
+    for i in range(len(elements) - 1, 0, -1):
+        out[elements[i].parent] += out[i]
+    return out
 
 
-def _imply(elements: list[Element], stack: list[int], tags: set[str], limits: set[str], close) -> None:
-    """Close the outermost run of ``tags`` above the nearest of ``limits``."""
-    for depth in range(len(stack) - 1, 0, -1):
-        tag = elements[stack[depth]].tag
-        if tag in tags:
-            close(depth)
-            _imply(elements, stack, tags, limits, close)
-            return
-        if tag in limits:
-            return
+def _inherit(elements: list[Element]) -> None:
+    for one in elements[1:]:
+        above = elements[one.parent].signs
+        one.signs = above | one.own if one.own else above
+
+
+def _paragraphs(blocks: list[Block]) -> list[tuple[Block, int]]:
+    """The blocks of many words that are mostly no links, with their words."""
+    counted = ((block, block.text.count(" ") + 1) for block in blocks)
+    return [(block, words) for block, words in counted if words >= PARAGRAPH and 2 * block.linked < words]
+
+
+def pass_wrappers(elements: list[Element], blocks: list[Block]) -> None:
+    """Take their names from wrappers.
+
+    A wrapper holds over half the words of the page's paragraphs, and those that
+    stand free, in nothing that tells of boilerplate, are at most a fifth as many
+    (none, if its name tells of comments). It holds an article or three
+    paragraphs. Tags other than those of forms, and what hides an element, stand.
+    """
+    long = _paragraphs(blocks)
+    total = sum(words for _, words in long)
+    words_at: dict[int, int] = {}
+    count_at: dict[int, int] = {}
+    for block, words in long:
+        words_at[block.element] = words_at.get(block.element, 0) + words
+        count_at[block.element] = count_at.get(block.element, 0) + 1
+    words_in, count_in = _below(elements, words_at), _below(elements, count_at)
+    articles_in = _below(elements, {i: 1 for i, one in enumerate(elements) if one.tag in ("article", "main")})
+    free = sum(words for block, words in long if not elements[block.element].signs & BOILERPLATE)
+    changed = False
+    for i, one in enumerate(elements):
+        said = one.own & BOILERPLATE - {"hidden"}
+        fixed = {TAG_OF[one.tag]} if TAG_OF.get(one.tag, "form") != "form" else set()
+        if not said - fixed or 2 * words_in[i] <= total or not (articles_in[i] or count_in[i] >= PARAGRAPHS):
+            continue
+        if free <= (0 if "talk" in said else OUTSIDE * words_in[i]):
+            one.own -= said - fixed
+            changed = True
+    if changed:
+        _inherit(elements)
+
+
+def _kind(element: Element) -> tuple[str, str]:
+    """Tag and class, without its digits, of an element that may be one of several of a kind."""
+    names = [a or b or c for name, a, b, c in ATTRIBUTE.findall(element.attributes) if name.lower() == "class"]
+    return element.tag, re.sub(r"\d+", "", " ".join(names))
+
+
+def mark_remarks(elements: list[Element], blocks: list[Block]) -> None:
+    """Give the sign of comments to repeated pieces that are built like comments.
+
+    Two or more children of one element, of one tag and class, each start with a
+    short line that holds a digit, and no heading, and go on with a sentence; all of
+    that kind do, and a free paragraph stands before them. If nothing else below
+    their parent is a paragraph, the parent has the sign.
+    """
+    first_free = next((i for i, block in enumerate(blocks) if block.text.count(" ") + 1 >= PARAGRAPH and not elements[block.element].signs & BOILERPLATE), None)
+    if first_free is None:
+        return
+    # the innermost element with a class, or list item, above each block
+    holder = [0] * len(elements)
+    for i, one in enumerate(elements[1:], 1):
+        holder[i] = i if one.tag in BLOCKS and one.tag != "p" and one.tag not in HEADINGS and (one.tag in ("li", "article") or "class" in one.attributes) else holder[one.parent]
+    pieces: dict[int, list[int]] = {}
+    for i, block in enumerate(blocks):
+        if holder[block.element]:
+            pieces.setdefault(holder[block.element], []).append(i)
+    groups: dict[tuple[int, tuple[str, str]], list[int]] = {}
+    for piece in pieces:
+        groups.setdefault((elements[piece].parent, _kind(elements[piece])), []).append(piece)
+    paragraphs_in: list[int] | None = None
+    changed = False
+    for (parent, _), same in groups.items():
+        if len(same) < 2 or pieces[same[0]][0] <= first_free or not all(_is_remark([(elements[blocks[i].element].tag, blocks[i].text) for i in pieces[one][:2]]) for one in same):
+            continue
+        if paragraphs_in is None:
+            at: dict[int, int] = {}
+            for block, _ in _paragraphs(blocks):
+                at[block.element] = at.get(block.element, 0) + 1
+            paragraphs_in = _below(elements, at)
+        said = sum(paragraphs_in[one] for one in same)
+        marked = same
+        # the list of the comments, and what holds nothing but that and its heading
+        while parent and paragraphs_in[parent] == said and elements[parent].tag not in ("html", "body"):
+            marked, parent = [parent], elements[parent].parent
+        for one in marked:
+            elements[one].own |= {"talk"}
+        changed = True
+    if changed:
+        _inherit(elements)
+
+
+def _is_remark(start: list[tuple[str, str]]) -> bool:
+    if len(start) < 2:
+        return False
+    (tag, line), (_, said) = start
+    is_line = tag not in HEADINGS and line.count(" ") < BYLINE and not line.endswith(SENTENCE) and any(c.isdecimal() for c in line)
+    return is_line and said.endswith(SENTENCE)
 
 
 def features(signs: frozenset[str], tag: str, words: int, linked: float, ends: bool) -> np.ndarray:
@@ -472,19 +610,21 @@ def source_side(gains: list[int], edges: list[tuple[int, int, int]]) -> list[boo
                     break
 
 
-SENTENCE = (".", "!", "?", "…", ".”", ".\"", "。", ":")
-
-
 def main_text(html: str, weights: np.ndarray) -> str:
     elements, blocks = read_blocks(html)
     if not blocks:
         return ""
-    rows = []
+    pass_wrappers(elements, blocks)
+    mark_remarks(elements, blocks)
+    gains = []
+    known: dict[tuple, int] = {}
     for block in blocks:
         words = block.text.count(" ") + 1
         element = elements[block.element]
-        rows.append(features(element.signs, element.tag, words, min(block.linked / words, 1), block.text.endswith(SENTENCE)))
-    gains = np.rint(UNIT * (np.array(rows) @ weights)).astype(np.int64).tolist()
+        told = (element.signs, element.tag, min(words, 100), min(block.linked / words, 1), block.text.endswith(SENTENCE))
+        if told not in known:
+            known[told] = round(UNIT * float(features(*told) @ weights))
+        gains.append(known[told])
     keep = source_side(gains, smooth_edges(elements, blocks))
     return " ".join(block.text for block, kept in zip(blocks, keep, strict=True) if kept)
 

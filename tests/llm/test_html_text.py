@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from itertools import product
 
 import pytest
@@ -73,6 +74,48 @@ CASES = {
 }
 
 
+ARTICLE = "".join(f"<p>{PARAGRAPH}</p>" for _ in range(6))
+WRAPPERS = {
+    "a state of the layout": "<div class='content has-sidebar'>{}</div>",
+    "subjects of a post": "<article class='post tag-news category-ads'>{}</article>",
+    "a layout with a side": "<div class='layout sidebar-right'><article>{}</article></div>",
+    "a word of lists": "<div class='more-news'>{}</div>",
+    "a form around the page": "<form id='aspnetForm'><article>{}</article></form>",
+    "a form without an article": "<form id='aspnetForm'><div>{}</div></form>",
+    "a banner around it": "<div class='page-header-banner'><div class='footer-space'>{}</div></div>",
+    "comments are open": "<div class='comments-open'>{}</div>",
+}
+
+
+@pytest.mark.parametrize("around", WRAPPERS.values(), ids=WRAPPERS)
+@pytest.mark.parametrize("rest", [False, True])
+def test_names_of_wrappers(around, rest):
+    page = around.format(ARTICLE)
+    if rest:
+        page = f"<ul class=menu><li><a href=a>Home</a></ul>{page}<div class=sidebar><h3>Popular</h3><p>{PARAGRAPH}</p></div><footer><p>{PARAGRAPH}</p></footer>"
+    assert html_text.main_text(page, html_text.train()) == " ".join([PARAGRAPH] * 6)
+
+
+def test_a_long_side_is_no_wrapper():
+    for name in ("sidebar", "comments", "related", "newsletter"):
+        page = f"<div><h1>The mill</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div class={name}>{ARTICLE}</div>"
+        assert html_text.main_text(page, html_text.train()) == f"The mill {PARAGRAPH} {PARAGRAPH}", name
+
+
+@pytest.mark.parametrize("name", ["feedback", "kommentare", "xyz", ""])
+def test_comments_of_any_name(name):
+    remark = f"<li class=one><div>Anna, 3 May</div><p>{PARAGRAPH} I liked it.</p></li><li class=one><div>Ben, 4 May</div><p>So did I.</p></li>"
+    page = f"<article><h1>The mill</h1>{ARTICLE}</article><section class='{name}'><h3>What you say</h3><ul>{remark}</ul></section>"
+    assert html_text.main_text(page, html_text.train()) == " ".join(["The mill", *[PARAGRAPH] * 6])
+
+
+def test_repeated_parts_of_a_text_stay():
+    parts = "".join(f"<div class=part><h2>Part {i}</h2><p>{PARAGRAPH}</p></div>" for i in range(3))
+    said = "".join(f"<div class=line><p>Anna</p><p>{PARAGRAPH}</p></div>" for i in range(3))
+    page = f"<article><p>{PARAGRAPH}</p>{parts}{said}</article>"
+    assert html_text.main_text(page, html_text.train()).count(PARAGRAPH) == 7
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_made_up_pages(name):
     page, want = CASES[name]
@@ -96,6 +139,13 @@ def test_hostile_pages_take_linear_time():
         html_text.main_text(page, html_text.train())
 
 
+@pytest.mark.parametrize("piece", ["<b>x</i>", "<b>x<hr>", "<p><div><b>x<hr>", "<b><a href=x>y", "<li><b>x</li></p>", "<b>x</b></i></u><hr>", "<div class=x><p>x 1<p>x."])
+def test_a_million_characters_of_bad_markup(piece):
+    started = time.monotonic()
+    html_text.main_text(piece * (1_000_000 // len(piece)), html_text.train())
+    assert time.monotonic() - started < 20
+
+
 def test_edge_rows(spark):
     long = f"<article><p>{PARAGRAPH * 2000}</p></article>"
     rows = [(1, "u", None, "t"), (2, "u", "", "t"), (3, None, CASES["plain article"][0], None), (3, None, CASES["plain article"][0], None), (None, "u", long, "t")]
