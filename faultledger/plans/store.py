@@ -2,7 +2,8 @@
 
 All tables are append-only Parquet. "Replace by key" is an append, and the
 current state is a view that takes the latest row per key, so no job reads and
-overwrites one path. Where a committer renames atomically, a failed job leaves
+overwrites one path. ``compact`` writes the current state of such a table into a
+new generation, a folder that is published by one rename. Where a committer renames atomically, a failed job leaves
 nothing half written; on an object store use a committer made for it.
 """
 
@@ -56,6 +57,10 @@ class StoreBusy(RuntimeError):
     """Another load has held the store for longer than this one would wait."""
 
 
+# Tables that are compacted, and the generations that stay for readers that have begun.
+COMPACTED = ("dim_customer", "pipeline_run_log", "tier_runs", "customer_days")
+GENERATIONS_KEPT = 2
+
 _TEXT_KEYS = [c for c in KEY_COLUMNS if c != "incident_date"]
 
 
@@ -134,7 +139,7 @@ class IncidentStore:
         ):
             empty = small_frame(self.spark, [], schema)
             empty.write.mode("ignore").partitionBy(*parts).parquet(self.path(table))
-        system, days = self._file("customer_days")
+        system, days = self._file(self._folder("customer_days"))
         if not system.exists(days):
             # also the loads of a store that is older than this table
             self._write_days(self.incidents(), 0)
@@ -142,7 +147,20 @@ class IncidentStore:
         return self
 
     def _table(self, table: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.path(table))
+        return self.spark.read.schema(schema).parquet(self.path(self._folder(table)))
+
+    def _generations(self, table: str) -> list[int]:
+        """The published generations of a table, oldest first; one that is being written has no number."""
+        system, folder = self._file(f"generations/{table}")
+        if not system.exists(folder):
+            return []
+        names = (status.getPath().getName() for status in system.listStatus(folder))
+        return sorted(int(name) for name in names if name.isdecimal())
+
+    def _folder(self, table: str) -> str:
+        """The folder of a table's newest generation; its first one has the table's name."""
+        numbers = self._generations(table) if table in COMPACTED else []
+        return f"generations/{table}/{numbers[-1]}" if numbers else table
 
     def incidents(self) -> DataFrame:
         return self._table("quality_incidents", FACT)
@@ -180,7 +198,7 @@ class IncidentStore:
         )
 
     def tier_history(self) -> DataFrame:
-        """Every tier that a run has written."""
+        """Every tier that a run has written since the last compaction, and the latest ones of that time."""
         return self._table("dim_customer", schemas.DIM_CUSTOMER)
 
     def runs(self) -> DataFrame:
@@ -378,7 +396,9 @@ class IncidentStore:
         days = rows.dropna(subset=["customer"]).groupBy("customer", "incident_date")
         sums = days.agg(F.sum("credit_requested_usd").cast("decimal(38,6)").alias("credit_usd"))
         numbered = sums.withColumn("load", F.lit(time.time_ns()))
-        numbered.write.mode("overwrite").parquet(f"{self.path('customer_days')}/loaded={loaded}")
+        numbered.write.mode("overwrite").parquet(
+            f"{self.path(self._folder('customer_days'))}/loaded={loaded}"
+        )
 
     def update_risk_tiers(
         self,
@@ -393,9 +413,17 @@ class IncidentStore:
         come into the window or left it. The sums come from the days of customers, so
         neither the history is read nor is a customer without news written again.
         With other limits than the last time all customers count. A customer without
-        incidents in the window keeps the old tier.
+        incidents in the window keeps the old tier. Nobody else loads or compacts the
+        store meanwhile.
         """
-        settings = settings or Settings()
+        with self.lease() as still_ours:
+            self._update_risk_tiers(
+                as_of, run_id, settings or Settings(), updated_at or datetime.now(timezone.utc), still_ours
+            )
+
+    def _update_risk_tiers(
+        self, as_of: date, run_id: str, settings: Settings, updated_at: datetime, still_ours: Callable[[], None]
+    ) -> None:
         days = self.customer_days()
         through = days.agg(F.max("load")).first()[0] or 0
         days = days.where(F.col("load") <= through)
@@ -410,17 +438,67 @@ class IncidentStore:
             news = days.where(moved | (F.col("load") > last["through_load"])).select("customer").distinct()
             recent = recent.join(news, "customer", "left_semi")
         tiers = recent.groupBy("customer").agg(F.sum("credit_usd").alias("total"))
+        still_ours()
         tiers.select(
             F.col("customer").alias("customer_name"),
             risk_tier(F.col("total"), *limits).alias("risk_tier"),
-            F.lit(updated_at or datetime.now(timezone.utc)).alias("updated_at"),
+            F.lit(updated_at).alias("updated_at"),
             F.lit(run_id).alias("run_id"),
-        ).write.mode("append").parquet(self.path("dim_customer"))
+        ).write.mode("append").parquet(self.path(self._folder("dim_customer")))
         done = (start, *limits, through, time.time_ns(), run_id)
         small_frame(self.spark, [done], schemas.TIER_RUNS).coalesce(1).write.mode("append").parquet(
-            self.path("tier_runs")
+            self.path(self._folder("tier_runs"))
         )
 
+    # -- compaction --------------------------------------------------------
+
+    def _compacted(self, table: str) -> DataFrame:
+        """The rows of a table that its views and the next run need, in the table's columns."""
+        if table == "dim_customer":
+            latest = F.max(F.struct("updated_at", "run_id", "risk_tier")).alias("latest")
+            rows = self.tier_history().groupBy("customer_name").agg(latest)
+            return rows.select("customer_name", "latest.risk_tier", "latest.updated_at", "latest.run_id")
+        if table == "pipeline_run_log":
+            return self.runs()
+        last = self._table("tier_runs", schemas.TIER_RUNS).orderBy(F.desc("at")).limit(1)
+        if table == "tier_runs":
+            return last
+        # sums that tiers were made of have the number of the newest of them; later ones stay news
+        used = last.first()
+        load = F.greatest("load", F.lit(used["through_load"] if used else 0)).alias("load")
+        days = self.customer_days().groupBy("customer", "incident_date", load)
+        sums = days.agg(F.sum("credit_usd").cast("decimal(38,6)").alias("credit_usd"))
+        return sums.select("customer", "incident_date", "credit_usd", "load")
+
+    def compact(self, tables: Sequence[str] = COMPACTED) -> None:
+        """Write the current state of tables into new generations and publish each by a rename.
+
+        Views give the same before and after. A job that dies leaves a folder without
+        a number, which nobody reads and the next one overwrites. Readers that have
+        begun find their files: the generation before stays until the next compaction.
+        """
+        with self.lease() as still_ours:
+            # sums of a load that has died are written before others are merged
+            self._add_pending_days()
+            for table in tables:
+                self._publish(table, self._compacted(table), still_ours)
+
+    def _publish(self, table: str, rows: DataFrame, still_ours: Callable[[], None]) -> None:
+        numbers = self._generations(table)
+        system, new = self._file(f"generations/{table}/_new")
+        part = "/loaded=0" if table == "customer_days" else ""
+        system.delete(new, True)
+        rows.write.mode("overwrite").parquet(f"{self.path(f'generations/{table}/_new')}{part}")
+        still_ours()
+        _, target = self._file(f"generations/{table}/{numbers[-1] + 1 if numbers else 1}")
+        if system.exists(target) or not system.rename(new, target):
+            raise OSError(f"cannot publish {target}")
+        # the table's own folder is its first generation
+        older = [table, *(f"generations/{table}/{number}" for number in numbers)]
+        for folder in older[: len(older) + 1 - GENERATIONS_KEPT]:
+            _, old = self._file(folder)
+            system.delete(old, True)
+
     def log_run(
         self,
         run_id: str,
@@ -442,9 +520,10 @@ class IncidentStore:
             ",".join(sources_loaded),
             error_message,
         )
-        small_frame(self.spark, [row], schemas.RUN_LOG).coalesce(1).write.mode(
-            "append"
-        ).parquet(self.path("pipeline_run_log"))
+        with self.lease():
+            small_frame(self.spark, [row], schemas.RUN_LOG).coalesce(1).write.mode("append").parquet(
+                self.path(self._folder("pipeline_run_log"))
+            )
 
     def write_arrivals(self, rows: Sequence[tuple]) -> None:
         small_frame(self.spark, rows, schemas.ARRIVALS).coalesce(1).write.mode("append").parquet(

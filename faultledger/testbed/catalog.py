@@ -136,6 +136,18 @@ def tier_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.customers().select("customer_name", "risk_tier")
 
 
+def tier_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tier_latest`` with a compaction after each run; ``versions`` counts the rows that are stored for a customer."""
+    store = star.new_store(spark)
+    ingest(store, star.extracts(spark, sf_dir), "run-1", star.SETTINGS, as_of=date(9999, 12, 31))
+    for run_id, as_of in (("tiers-1", date(2001, 8, 4)), ("tiers-2", AS_OF)):
+        store.compact()
+        store.update_risk_tiers(as_of, run_id, WINDOW_TIERS)
+    store.compact()
+    versions = store.tier_history().groupBy("customer_name").agg(F.count(F.lit(1)).alias("versions"))
+    return store.customers().select("customer_name", "risk_tier").join(versions, "customer_name")
+
+
 def tier_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with an even key, then everything: each run writes the tiers of customers with news only."""
     store = star.new_store(spark)
@@ -610,6 +622,7 @@ QUERIES = {
     "kpi_from_snapshot": kpi_from_snapshot,
     "tier_90d": _view(scorecard.rolling_tiers, AS_OF, WINDOW_TIERS),
     "tier_latest": tier_latest,
+    "tier_compacted": tier_compacted,
     "tier_news": tier_news,
     "kpi": _view(overview.kpi),
     "summary_row": _view(alerting.summary_row, "run-1"),

@@ -254,6 +254,11 @@ from dirty where (rf = 'R' or (rf = 'A' and ls = 'F')) and ok % 11 = 3 group by
     "tier_latest": _on_facts(
         f"""select coalesce(n.customer, o.customer) customer_name,
   {_tier("coalesce(n.total, o.total)", 3000, 1000)} risk_tier
+from ({_recent('2001-08-04')}) o full join ({_recent('2001-11-04')}) n on o.customer = n.customer"""
+    ),
+    "tier_compacted": _on_facts(
+        f"""select coalesce(n.customer, o.customer) customer_name,
+  {_tier("coalesce(n.total, o.total)", 3000, 1000)} risk_tier, 1 as versions
 from ({_recent('2001-08-04')}) o full join ({_recent('2001-11-04')}) n on o.customer = n.customer"""
     ),
     "tier_news": _on_facts(

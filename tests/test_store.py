@@ -258,6 +258,64 @@ def test_the_sums_of_a_load_that_died_are_made_up_for(store, incidents, monkeypa
     assert {r["customer_name"]: r["risk_tier"] for r in store.customers().collect()} == {"a": "Medium", "b": "Low"}
 
 
+def _views(store):
+    days = store.customer_days().groupBy("customer", "incident_date").agg(F.sum("credit_usd").alias("t"))
+    return [sorted(map(tuple, view.collect())) for view in (store.customers(), store.runs(), days)]
+
+
+def test_compaction_keeps_the_views_and_one_row_per_key(store, incidents):
+    store.compact()
+    assert _views(store) == [[], [], []]
+    for i in range(3):
+        _load(store, incidents(("s", "p", "a", f"2025-06-1{i}", "d", 40_000, 1), ("s", "p", "b", f"2025-06-1{i}", "d", 5, 1)), f"r{i}")
+    _load(store, _three(incidents, "r0"), "r0")
+    before = _views(store)
+    assert store.tier_history().count() > store.customers().count()
+    store.compact()
+    assert _views(store) == before
+    assert store.tier_history().count() == store.customers().count() == 5
+    assert store._table("pipeline_run_log", store.runs().schema).count() == 3
+    # 3 days of a and of b, and one of each other customer
+    assert store.customer_days().count() == 9
+    # what was used is no news, what comes later is
+    store.update_risk_tiers(date(2025, 7, 1), "r5")
+    assert store.tier_history().where("run_id = 'r5'").count() == 0
+    _load(store, incidents(("s", "p", "b", "2025-06-20", "d", 90_000, 1)), "r6")
+    assert [r["customer_name"] for r in store.tier_history().where("run_id = 'r6'").collect()] == ["b"]
+    assert {r["customer_name"]: r["risk_tier"] for r in store.customers().collect()} == _full_tiers(store, date(2025, 7, 1))
+    before = _views(store)
+    for _ in range(3):
+        store.compact()
+        store.create()
+    assert _views(store) == before
+    assert len(store._generations("dim_customer")) == store_module.GENERATIONS_KEPT
+
+
+def test_news_since_the_last_tiers_stay_news_after_a_compaction(store, incidents):
+    _load(store, incidents(("s", "p", "a", "2025-06-10", "d", 5, 1)), "r1")
+    store.insert_new(incidents(("s", "p", "a", "2025-06-11", "d", 60_000, 1)))
+    store.compact()
+    store.update_risk_tiers(date(2025, 7, 1), "r2")
+    assert {r["customer_name"]: r["risk_tier"] for r in store.customers().collect()} == _full_tiers(store, date(2025, 7, 1))
+
+
+def test_a_compaction_that_dies_changes_nothing(store, incidents, monkeypatch):
+    for i in range(2):
+        _load(store, incidents(("s", "p", "a", f"2025-06-1{i}", "d", 40_000, 1)), f"r{i}")
+    before, old = _views(store), store.customers()
+
+    def overtaken():
+        raise store_module.StoreBusy("gone")
+
+    with pytest.raises(store_module.StoreBusy):
+        store._publish("dim_customer", store._compacted("dim_customer"), overtaken)
+    assert _views(store) == before and store._generations("dim_customer") == []
+    store.compact()
+    assert _views(store) == before
+    # a reader that has begun before finds its files
+    assert sorted(map(tuple, old.collect())) == before[0]
+
+
 def test_alerts_of_a_repeated_run_are_replaced(store, incidents):
     rows = incidents(("s", "p", "c", "2025-06-10", "d", 50_000, 1), ("s", "p", "c", "2025-06-11", "d", 49_999, 1))
     for run_id in ("r1", "r1", "r2"):
