@@ -61,6 +61,9 @@ class StoreBusy(RuntimeError):
 COMPACTED = ("dim_customer", "pipeline_run_log", "tier_runs", "customer_days")
 GENERATIONS_KEPT = 2
 
+# 2 to this power registers in a sketch of distinct names; the standard error is 0.8 %.
+SKETCH_LOG_REGISTERS = 14
+
 _TEXT_KEYS = [c for c in KEY_COLUMNS if c != "incident_date"]
 
 
@@ -389,7 +392,10 @@ class IncidentStore:
             mark = self.spark.read.schema(_MARK).parquet(self.path(f"pending_days/loaded={loaded}"))
             months = [row["month"] for row in mark.collect()]
             at = F.col("loaded_at") == F.timestamp_micros(F.lit(loaded))
-            self._write_days(self.incidents().where(F.col(MONTH).isin(*months) & at), loaded)
+            added = self.incidents().where(F.col(MONTH).isin(*months) & at)
+            self._write_days(added, loaded)
+            if self.has_sketches():
+                self._write_sketches(added, loaded)
             system.delete(status.getPath(), True)
 
     def _write_days(self, rows: DataFrame, loaded: int) -> None:
@@ -400,6 +406,35 @@ class IncidentStore:
             f"{self.path(self._folder('customer_days'))}/loaded={loaded}"
         )
 
+    # -- sketches of distinct names ----------------------------------------
+
+    def has_sketches(self) -> bool:
+        system, done = self._file("month_sketches/loaded=0/_SUCCESS")
+        return system.exists(done)
+
+    def start_sketches(self) -> None:
+        """Keep sketches of the distinct customers and plants of each month from now on.
+
+        The history is read once; after that each load adds the sketches of its own
+        rows. A sketch that is merged twice counts once, so a repeated load does no harm.
+        """
+        with self.lease():
+            self._add_pending_days()
+            if not self.has_sketches():
+                self._write_sketches(self.incidents(), 0)
+
+    def _write_sketches(self, rows: DataFrame, loaded: int) -> None:
+        sketches = [
+            F.hll_sketch_agg(name, SKETCH_LOG_REGISTERS).alias(alias)
+            for name, alias in (("customer", "customers"), ("plant", "plants"))
+        ]
+        by_month = rows.groupBy(MONTH).agg(*sketches)
+        by_month.write.mode("overwrite").parquet(f"{self.path('month_sketches')}/loaded={loaded}")
+
+    def month_sketches(self) -> DataFrame:
+        """The sketches of each load and month; only after ``start_sketches``."""
+        return self._table("month_sketches", schemas.MONTH_SKETCHES)
+
     def update_risk_tiers(
         self,
         as_of: date,

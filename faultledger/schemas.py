@@ -93,6 +93,16 @@ CUSTOMER_DAYS = T.StructType(
     ]
 )
 
+# Sketches of the distinct names that each load has added to a month.
+MONTH_SKETCHES = T.StructType(
+    [
+        T.StructField(MONTH, T.StringType()),
+        T.StructField("customers", T.BinaryType()),
+        T.StructField("plants", T.BinaryType()),
+        T.StructField("loaded", T.LongType()),
+    ]
+)
+
 # Up to which load, and for which window and limits, the tiers are made.
 TIER_RUNS = T.StructType(
     [

@@ -21,6 +21,7 @@ from faultledger.operators.mapping import normalize
 from faultledger.plans import alerting, detail, overview, report, root_cause, scorecard
 from faultledger.plans.ingest import clean_batch, ingest, run_pipeline
 from faultledger.plans.store import IncidentStore
+from faultledger.schemas import MONTH
 from faultledger.sources.extracts import Extract, prepare, quoted, read_extracts
 from faultledger.sources.facts import load_incidents
 from faultledger.streaming import changes
@@ -148,6 +149,20 @@ def tier_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.customers().select("customer_name", "risk_tier").join(versions, "customer_name")
 
 
+def distinct_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per month, and whether the sketches of two loads tell them within three standard errors."""
+    store = star.new_store(spark)
+    ingest(store, star.extracts(spark, sf_dir, F.col("order_key") % 2 == 0), "batch-1", star.SETTINGS, as_of=AS_OF)
+    store.start_sketches()
+    ingest(store, star.extracts(spark, sf_dir), "batch-2", star.SETTINGS, as_of=AS_OF)
+    about = overview.distinct_names(store.month_sketches(), MONTH)
+    exact = store.incidents().groupBy(MONTH).agg(F.count_distinct("customer").alias("exact"))
+    near = F.abs(F.col("customers") - F.col("exact")) <= 3 * 0.0081 * F.col("exact") + 1
+    return exact.join(about, MONTH, "left").select(
+        F.col(MONTH).alias("month"), F.col("exact").alias("customers"), F.coalesce(near, F.lit(False)).alias("is_near")
+    )
+
+
 def tier_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with an even key, then everything: each run writes the tiers of customers with news only."""
     store = star.new_store(spark)
@@ -623,6 +638,7 @@ QUERIES = {
     "tier_90d": _view(scorecard.rolling_tiers, AS_OF, WINDOW_TIERS),
     "tier_latest": tier_latest,
     "tier_compacted": tier_compacted,
+    "distinct_by_month": distinct_by_month,
     "tier_news": tier_news,
     "kpi": _view(overview.kpi),
     "summary_row": _view(alerting.summary_row, "run-1"),

@@ -261,6 +261,10 @@ from ({_recent('2001-08-04')}) o full join ({_recent('2001-11-04')}) n on o.cust
   {_tier("coalesce(n.total, o.total)", 3000, 1000)} risk_tier, 1 as versions
 from ({_recent('2001-08-04')}) o full join ({_recent('2001-11-04')}) n on o.customer = n.customer"""
     ),
+    "distinct_by_month": _on_facts(
+        "select strftime(incident_date, '%Y-%m') as month, count(distinct customer) customers, true is_near "
+        "from fact group by all"
+    ),
     "tier_news": _on_facts(
         f"""select 'batch-1' run_id, count(distinct customer) customers from inc
 where ok % 2 = 0 and incident_date >= date '2001-11-04' - interval 90 day

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from faultledger.config import Settings
 from faultledger.fixed_values import PLANTS
 from faultledger.operators.dedup import first_per_incident, not_in_history, with_key
+from faultledger.plans import overview
 from faultledger.plans import store as store_module
 from faultledger.plans.alerting import alert_rows
 from faultledger.plans.scorecard import rolling_tiers
@@ -258,6 +259,26 @@ def test_the_sums_of_a_load_that_died_are_made_up_for(store, incidents, monkeypa
     assert {r["customer_name"]: r["risk_tier"] for r in store.customers().collect()} == {"a": "Medium", "b": "Low"}
 
 
+def test_sketches_of_months(store, incidents):
+    def counts(*keys):
+        return sorted(tuple(r) for r in overview.distinct_names(store.month_sketches(), *keys).collect())
+
+    store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 1, 1), ("s", "p", None, "2025-05-10", "d", 1, 1)))
+    assert not store.has_sketches()
+    store.start_sketches()
+    store.start_sketches()
+    assert counts(MONTH) == [("2025-05", 1, 0), ("2025-06", 1, 1)]
+    rows = incidents(("s", "p", "a", "2025-06-11", "d", 1, 1), ("s", "q", "b", "2025-07-10", "d", 1, 1))
+    store.insert_new(rows)
+    store.insert_new(rows)
+    assert counts(MONTH) == [("2025-05", 1, 0), ("2025-06", 1, 1), ("2025-07", 1, 1)]
+    assert counts() == [(2, 2)]
+    many = rows.sparkSession.range(20_000).select(F.concat(F.lit("c"), "id").alias("customer"), F.lit("p").alias("plant"), F.lit("2025-08").alias(MONTH))
+    store._write_sketches(many, 7)
+    (found,) = [c for month, _, c in counts(MONTH) if month == "2025-08"]
+    assert abs(found - 20_000) <= 3 * 0.0081 * 20_000
+
+
 def _views(store):
     days = store.customer_days().groupBy("customer", "incident_date").agg(F.sum("credit_usd").alias("t"))
     return [sorted(map(tuple, view.collect())) for view in (store.customers(), store.runs(), days)]
