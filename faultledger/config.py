@@ -30,3 +30,7 @@ class Settings:
     # By default each file is looked through; a stream, which cannot, takes them
     # as possible.
     csv_multi_line: bool | None = None
+    # Keep the sums of each load, so that a run's report reads no facts but its own.
+    keep_sums: bool = True
+    # Whether a run's report has a copy of all facts, or the bound up to which they are read.
+    report_copies_raw: bool = False

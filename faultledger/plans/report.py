@@ -1,71 +1,43 @@
 """The ten report tables of a run.
 
 Nine of them are small sums of the same facts. They are taken from one rollup
-over grouping sets, so that the fact table is scanned once for all of them and
-once more for the raw rows.
+over grouping sets, so that the fact table is scanned once for all of them, or
+from the sums that a store keeps, without the facts. The raw rows are a copy of
+the facts, or a bound up to which they are read.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultledger.fixed_values import REPORT_CUSTOMERS, REPORT_DEFECTS, REPORT_PAIRS
-from faultledger.functions.dates import quarter_label, quarter_start
+from faultledger.functions.dates import quarter_label
 from faultledger.functions.money import as_double
 from faultledger.functions.text import currency_text, joined_set
-from faultledger.operators.ranking import CREDIT, by_credit, top
+from faultledger.operators.ranking import by_credit, top
 from faultledger.plans.detail import CSV_OPTIONS
+from faultledger.plans.sums import is_set, rollup
 from faultledger.schemas import MONTH
 
-_KEYS = ("source", "plant", "defect_category", "customer", "quarter")
-_SETS = (
-    ("source",),
-    ("plant",),
-    ("defect_category",),
-    ("customer",),
-    ("source", "quarter"),
-    ("customer", "plant"),
-    ("plant", "defect_category"),
-)
-
-
-def rollup(incidents: DataFrame) -> DataFrame:
-    """Counts, sums and date spans for every key of the report tables."""
-    rows = incidents.withColumn("quarter", quarter_start(F.col("incident_date")))
-    return rows.groupingSets([list(s) for s in _SETS], *_KEYS).agg(
-        F.grouping_id().alias("gid"),
-        F.count(F.lit(1)).alias("incidents"),
-        F.sum(CREDIT).alias("credit_usd"),
-        F.min("incident_date").alias("earliest_date"),
-        F.max("incident_date").alias("latest_date"),
-    )
-
-
-def _is_set(*keys: str) -> Column:
-    # In the grouping id, the bit of a column that is in the set is 0.
-    bits = [0 if k in keys else 1 for k in _KEYS]
-    return F.col("gid") == int("".join(map(str, bits)), 2)
-
-
 def tables(
     rolled: DataFrame, run_id: str, generated_at: str, sources: Sequence[str]
 ) -> dict[str, DataFrame]:
     """The nine summed tables from a rollup."""
 
     def totals(*keys: str) -> DataFrame:
-        return rolled.where(_is_set(*keys)).dropna(subset=list(keys))
+        return rolled.where(is_set(*keys)).dropna(subset=list(keys))
 
     def shown(ranked: DataFrame, *columns: str) -> DataFrame:
         return ranked.select(*columns, as_double(F.col("credit_usd")).alias("credit_usd"))
 
-    of_source = _is_set("source")
+    of_source = is_set("source")
     summary = rolled.agg(
         F.sum(F.when(of_source, F.col("incidents"))).alias("incidents"),
         F.sum(F.when(of_source, F.col("credit_usd"))).alias("credit"),
         joined_set(F.when(of_source, F.col("source"))).alias("sources"),
-        F.count(F.when(_is_set("plant"), F.col("plant"))).alias("plants"),
-        F.count(F.when(_is_set("customer"), F.col("customer"))).alias("customers"),
+        F.count(F.when(is_set("plant"), F.col("plant"))).alias("plants"),
+        F.count(F.when(is_set("customer"), F.col("customer"))).alias("customers"),
     ).select(
         F.lit(run_id).alias("run_id"),
         F.lit(generated_at).alias("generated_at"),
@@ -113,12 +85,36 @@ def raw_export(incidents: DataFrame) -> DataFrame:
     return incidents.drop("id", MONTH)
 
 
+def _write(table: DataFrame, target: str, name: str, fmt: str) -> None:
+    options = CSV_OPTIONS if fmt == "csv" else {}
+    table.write.mode("overwrite").options(**options).format(fmt).save(f"{target}/{name}")
+
+
+def raw_of_report(incidents: DataFrame, target: str) -> DataFrame:
+    """The raw rows of a written report: its copy, or the facts up to its bound.
+
+    Facts are only ever added, so later loads change neither.
+    """
+    reader = incidents.sparkSession.read
+    bound = reader.parquet(f"{target}/raw_through").first()["loaded_through"]
+    return raw_export(incidents.where(F.col("loaded_at") <= F.lit(bound)))
+
+
 def write_report(
-    incidents: DataFrame, out_dir: str, run_id: str, generated_at: str, fmt: str = "parquet"
+    incidents: DataFrame,
+    out_dir: str,
+    run_id: str,
+    generated_at: str,
+    fmt: str = "parquet",
+    sums: DataFrame | None = None,
+    copy_raw: bool = True,
 ) -> str:
     """One directory per table under ``run_id=...``; "" and nothing written if there are no rows.
 
-    A repeated run replaces its own tables.
+    A repeated run replaces its own tables. With ``sums``, those
+    that a store keeps, the summed tables come from there. Without ``copy_raw`` the
+    bundle has ``raw_through`` in place of ``raw``: the time of the last load in it,
+    with which ``raw_of_report`` reads the same rows from the facts.
     """
     if incidents.isEmpty():
         return ""
@@ -126,17 +122,23 @@ def write_report(
     spark = incidents.sparkSession
     # written once for the nine small tables, beside the bundle, and removed after them
     rolled_path = f"{out_dir.rstrip('/')}/_rollup/run_id={run_id}"
-    rollup(incidents).write.mode("overwrite").parquet(rolled_path)
+    (rollup(incidents) if sums is None else sums).write.mode("overwrite").parquet(rolled_path)
     rolled = spark.read.parquet(rolled_path)
     sources = [
         r["source"]
-        for r in rolled.where(_is_set("source")).select("source").orderBy("source").collect()
+        for r in rolled.where(is_set("source")).select("source").orderBy("source").collect()
         if r["source"] is not None
     ]
-    bundle = tables(rolled, run_id, generated_at, sources) | {"raw": raw_export(incidents)}
+    bundle = tables(rolled, run_id, generated_at, sources)
+    if copy_raw:
+        bundle["raw"] = raw_export(incidents)
     for name, table in bundle.items():
-        options = CSV_OPTIONS if fmt == "csv" else {}
-        table.write.mode("overwrite").options(**options).format(fmt).save(f"{target}/{name}")
+        _write(table, target, name, fmt)
+    if not copy_raw:
+        last = incidents.agg(F.max("loaded_at").alias("loaded_through"))
+        if sums is not None:
+            last = rolled.agg(F.timestamp_micros(F.max("through")).alias("loaded_through"))
+        _write(last, target, "raw_through", "parquet")
     scratch = spark._jvm.org.apache.hadoop.fs.Path(rolled_path)
     scratch.getFileSystem(spark._jsc.hadoopConfiguration()).delete(scratch, True)
     return target

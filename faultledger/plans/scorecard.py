@@ -12,6 +12,7 @@ from faultledger.functions.money import as_double, mean, risk_tier
 from faultledger.functions.text import currency_text, joined_set
 from faultledger.operators.filters import in_dates, in_tiers
 from faultledger.operators.ranking import CREDIT, credit_sum, grouped, incident_count
+from faultledger.plans.sums import SCORECARD_SETS, is_set, rollup
 
 
 def _tier(total: Column, settings: Settings | None) -> Column:
@@ -27,31 +28,26 @@ def scorecard(incidents: DataFrame, settings: Settings | None = None) -> DataFra
     customer that holds a large part of all rows arrives as a few rows per
     task, and the most frequent defect needs no list of the incidents.
     """
-    customer, defect, plant, source = keys = ("customer", "defect_category", "plant", "source")
-    counted = (
-        incidents.dropna(subset=[customer])
-        .groupingSets([[customer, defect], [customer, plant], [customer, source]], *keys)
-        .agg(
-            F.grouping_id().alias("gid"),
-            F.count(F.lit(1)).alias("n"),
-            F.sum(CREDIT).alias("credit"),
-            F.max(CREDIT).alias("largest"),
-        )
-    )
-    # In the grouping id, the bit of a column that is in the set is 0.
-    of_defect, of_plant, of_source = (F.col("gid") == g for g in (0b0011, 0b0101, 0b0110))
+    return scorecard_of_sums(rollup(incidents.dropna(subset=["customer"]), SCORECARD_SETS), settings)
+
+
+def scorecard_of_sums(sums: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """``scorecard`` from one row of sums per set and key, as of all loads of a store that keeps them."""
+    customer, defect, plant, source = "customer", "defect_category", "plant", "source"
+    counted = sums.where(F.col(customer).isNotNull())
+    of_defect, of_plant, of_source = (is_set(customer, other) for other in (defect, plant, source))
     # Most incidents first, then the name.
     lead = F.when(
-        of_defect & F.col(defect).isNotNull(), F.struct(-F.col("n"), F.col(defect).alias("name"))
+        of_defect & F.col(defect).isNotNull(), F.struct(-F.col("incidents"), F.col(defect).alias("name"))
     )
     # This aggregate holds texts and sets, so it sorts; the hash, first among its
     # keys, settles the order of nearly every two names without reading them.
     return (
         counted.groupBy(F.xxhash64(customer).alias("_customer_hash"), customer)
         .agg(
-            F.sum(F.when(of_defect, F.col("n"))).alias("incidents"),
-            F.sum(F.when(of_defect, F.col("credit"))).alias("total"),
-            F.max("largest").alias("largest"),
+            F.sum(F.when(of_defect, F.col("incidents"))).alias("incidents"),
+            F.sum(F.when(of_defect, F.col("credit_usd"))).alias("total"),
+            F.max(F.when(of_defect, F.col("max_credit_usd"))).alias("largest"),
             F.min(lead)["name"].alias("top_defect"),
             joined_set(F.when(of_source, F.col(source))).alias("sources"),
             F.count(F.when(of_plant, F.col(plant))).alias("plants"),

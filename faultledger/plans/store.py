@@ -28,6 +28,7 @@ from faultledger.operators.cleaning import is_rejected
 from faultledger.operators.dedup import first_per_incident, has_whole_key, not_in_history
 from faultledger.functions.money import risk_tier
 from faultledger.operators.filters import in_dates
+from faultledger.plans import sums
 from faultledger.schemas import FACT, KEY_COLUMNS, MONTH
 from faultledger.sources.local import small_frame
 
@@ -58,7 +59,9 @@ class StoreBusy(RuntimeError):
 
 
 # Tables that are compacted, and the generations that stay for readers that have begun.
-COMPACTED = ("dim_customer", "pipeline_run_log", "tier_runs", "customer_days")
+COMPACTED = ("dim_customer", "pipeline_run_log", "tier_runs", "customer_days", "incident_sums")
+# Those of them whose folder has a part for each load.
+_BY_LOAD = ("customer_days", "incident_sums")
 GENERATIONS_KEPT = 2
 
 # 2 to this power registers in a sketch of distinct names; the standard error is 0.8 %.
@@ -310,7 +313,7 @@ class IncidentStore:
         fit are staged beside the others, and are told apart by their marks.
         """
         target = f"{self.path('staging')}/run_id={run_id}"
-        facts = Observation("facts")
+        facts = Observation()
         batch.observe(facts, *BatchFacts.columns(~is_rejected(batch))).write.mode("overwrite").parquet(target)
         staged = self.spark.read.schema(batch.schema).parquet(target)
         return staged, BatchFacts.of(facts.get)
@@ -365,7 +368,7 @@ class IncidentStore:
         self._add_pending_days()
         self._mark_pending(loaded, facts.months)
         still_ours()
-        written = Observation("inserted")
+        written = Observation()
         (
             new.observe(written, F.count(F.lit(1)).alias("rows"))
             .write.mode("append")
@@ -396,12 +399,14 @@ class IncidentStore:
             self._write_days(added, loaded)
             if self.has_sketches():
                 self._write_sketches(added, loaded)
+            if self.has_sums():
+                self._write_sums(added, loaded)
             system.delete(status.getPath(), True)
 
     def _write_days(self, rows: DataFrame, loaded: int) -> None:
         days = rows.dropna(subset=["customer"]).groupBy("customer", "incident_date")
-        sums = days.agg(F.sum("credit_requested_usd").cast("decimal(38,6)").alias("credit_usd"))
-        numbered = sums.withColumn("load", F.lit(time.time_ns()))
+        totals = days.agg(F.sum("credit_requested_usd").cast("decimal(38,6)").alias("credit_usd"))
+        numbered = totals.withColumn("load", F.lit(time.time_ns()))
         numbered.write.mode("overwrite").parquet(
             f"{self.path(self._folder('customer_days'))}/loaded={loaded}"
         )
@@ -435,6 +440,41 @@ class IncidentStore:
         """The sketches of each load and month; only after ``start_sketches``."""
         return self._table("month_sketches", schemas.MONTH_SKETCHES)
 
+    # -- sums of incidents -------------------------------------------------
+
+    def has_sums(self) -> bool:
+        system, done = self._file(f"{self._folder('incident_sums')}/loaded=0/_SUCCESS")
+        return system.exists(done)
+
+    def start_sums(self) -> None:
+        """Keep the sums behind reports and scorecards from now on.
+
+        The history is read once; after that each load adds the sums of its own rows,
+        before the next load or compaction begins, also for a load that has died.
+        """
+        if self.has_sums():
+            return
+        with self.lease():
+            self._add_pending_days()
+            if not self.has_sums():
+                self._write_sums(self.incidents(), 0)
+
+    def _write_sums(self, rows: DataFrame, loaded: int) -> None:
+        # nothing is known of the loads of the history but the last one's time
+        last = rows.agg(F.max(F.unix_micros("loaded_at"))).first()[0] or 0 if loaded == 0 else loaded
+        of_load = sums.rollup(rows, sums.ALL_SETS).withColumn("through", F.lit(last))
+        of_load.write.mode("overwrite").parquet(
+            f"{self.path(self._folder('incident_sums'))}/loaded={loaded}"
+        )
+
+    def incident_sums(self) -> DataFrame:
+        """One row per grouping set and key over all loads; only after ``start_sums``.
+
+        A load that has died between its rows and its sums is in neither a report nor
+        a scorecard that is made of these until the next load has made up for it.
+        """
+        return sums.merged(self._table("incident_sums", schemas.INCIDENT_SUMS))
+
     def update_risk_tiers(
         self,
         as_of: date,
@@ -495,6 +535,8 @@ class IncidentStore:
             return rows.select("customer_name", "latest.risk_tier", "latest.updated_at", "latest.run_id")
         if table == "pipeline_run_log":
             return self.runs()
+        if table == "incident_sums":
+            return self.incident_sums()
         last = self._table("tier_runs", schemas.TIER_RUNS).orderBy(F.desc("at")).limit(1)
         if table == "tier_runs":
             return last
@@ -502,8 +544,8 @@ class IncidentStore:
         used = last.first()
         load = F.greatest("load", F.lit(used["through_load"] if used else 0)).alias("load")
         days = self.customer_days().groupBy("customer", "incident_date", load)
-        sums = days.agg(F.sum("credit_usd").cast("decimal(38,6)").alias("credit_usd"))
-        return sums.select("customer", "incident_date", "credit_usd", "load")
+        totals = days.agg(F.sum("credit_usd").cast("decimal(38,6)").alias("credit_usd"))
+        return totals.select("customer", "incident_date", "credit_usd", "load")
 
     def compact(self, tables: Sequence[str] = COMPACTED) -> None:
         """Write the current state of tables into new generations and publish each by a rename.
@@ -516,12 +558,14 @@ class IncidentStore:
             # sums of a load that has died are written before others are merged
             self._add_pending_days()
             for table in tables:
+                if table == "incident_sums" and not self.has_sums():
+                    continue
                 self._publish(table, self._compacted(table), still_ours)
 
     def _publish(self, table: str, rows: DataFrame, still_ours: Callable[[], None]) -> None:
         numbers = self._generations(table)
         system, new = self._file(f"generations/{table}/_new")
-        part = "/loaded=0" if table == "customer_days" else ""
+        part = "/loaded=0" if table in _BY_LOAD else ""
         system.delete(new, True)
         rows.write.mode("overwrite").parquet(f"{self.path(f'generations/{table}/_new')}{part}")
         still_ours()

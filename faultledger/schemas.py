@@ -93,6 +93,25 @@ CUSTOMER_DAYS = T.StructType(
     ]
 )
 
+# What each load has added per grouping set and key; ``through`` is the time of the load.
+INCIDENT_SUMS = T.StructType(
+    [
+        T.StructField("gid", T.LongType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("plant", T.StringType()),
+        T.StructField("defect_category", T.StringType()),
+        T.StructField("customer", T.StringType()),
+        T.StructField("quarter", T.DateType()),
+        T.StructField("incidents", T.LongType()),
+        T.StructField("credit_usd", T.DecimalType(38, 6)),
+        T.StructField("max_credit_usd", MONEY),
+        T.StructField("earliest_date", T.DateType()),
+        T.StructField("latest_date", T.DateType()),
+        T.StructField("through", T.LongType()),
+        T.StructField("loaded", T.LongType()),
+    ]
+)
+
 # Sketches of the distinct names that each load has added to a month.
 MONTH_SKETCHES = T.StructType(
     [

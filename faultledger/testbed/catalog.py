@@ -435,7 +435,10 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ranked table of the report, as written, in one long table."""
     store = star.store(spark, sf_dir)
-    bundle = report.write_report(store.incidents(), star.shared_dir(spark), "run-1", "now")
+    return _report_totals(spark, report.write_report(store.incidents(), star.shared_dir(spark), "run-1", "now"))
+
+
+def _report_totals(spark: SparkSession, bundle: str) -> DataFrame:
     parts = []
     for name, key in (
         ("by_source", F.col("source")),
@@ -457,7 +460,10 @@ def report_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's tables that are not rankings, as written, in one long table."""
     store = star.store(spark, sf_dir)
     bundle = report.write_report(store.incidents(), star.shared_dir(spark), "run-1", "now")
+    return _report_rest(spark, bundle, spark.read.parquet(f"{bundle}/raw"))
 
+
+def _report_rest(spark: SparkSession, bundle: str, raw: DataFrame) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{bundle}/{name}")
 
@@ -470,7 +476,7 @@ def report_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts += [part(quarters, "quarter_pivot", F.concat_ws("|", "quarter", F.lit(s)), F.col(s)) for s in quarters.columns[1:]]
     spans = table("source_span")
     parts.append(part(spans, "source_span", F.concat_ws("|", *spans.columns), F.lit(0)))
-    raw = table("raw").groupBy("source", "incident_date").agg(F.sum("credit_requested_usd").alias("total"))
+    raw = raw.groupBy("source", "incident_date").agg(F.sum("credit_requested_usd").alias("total"))
     parts.append(part(raw, "raw", F.concat_ws("|", "source", "incident_date"), as_double(F.col("total"))))
     whole = parts[0]
     for one in parts[1:]:
@@ -478,6 +484,21 @@ def report_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
+def report_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report from the sums of two loads; its raw rows are read from the facts up to its bound."""
+    store = star.summed_store(spark, sf_dir)
+    bundle = report.write_report(
+        store.incidents(), star.shared_dir(spark), "run-1", "now", sums=store.incident_sums(), copy_raw=False
+    )
+    rest = _report_rest(spark, bundle, report.raw_of_report(store.incidents(), bundle))
+    return _report_totals(spark, bundle).unionByName(rest.withColumnRenamed("value", "credit_usd"))
+
+
+def scorecard_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorecard of the whole history from the sums of two loads."""
+    return scorecard.scorecard_of_sums(star.summed_store(spark, sf_dir).incident_sums())
+
+
 # -- streams -----------------------------------------------------------------------
 
 
@@ -676,6 +697,8 @@ QUERIES = {
     "facets": facets,
     "report_totals": report_totals,
     "report_rest": report_rest,
+    "report_of_sums": report_of_sums,
+    "scorecard_of_sums": scorecard_of_sums,
     "stream_incidents": stream_incidents,
     "stream_alerts": stream_alerts,
     "stream_tiers": stream_tiers,

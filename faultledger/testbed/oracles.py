@@ -203,6 +203,31 @@ def _report_part(name: str, item: str, keys: str, n: int | None = None) -> str:
 _EVENT_WEEKS = """select strftime(date_trunc('week', ts), '%Y-%m-%d') week_start, count(*) incidents,
   cast(sum(cast("value" as decimal(18,6))) as double) credit_usd from events group by 1"""
 
+_REPORT_TOTALS = " union all ".join(
+    [
+        _report_part("by_source", "source", "source"),
+        _report_part("by_plant", "plant", "plant"),
+        _report_part("by_defect", "defect_category", "defect_category", 15),
+        _report_part("by_customer", "customer", "customer", 20),
+        _report_part("customer_plant", "concat(customer, '|', plant)", "customer, plant", 15),
+        _report_part("plant_defect", "concat(plant, '|', defect_category)", "plant, defect_category", 15),
+    ]
+)
+
+_REPORT_REST = f"""select 'summary' report_table, concat('run-1|$', format('{{:,.2f}}', cast(sum(credit) as double)), '|',
+    string_agg(distinct source, ', ' order by source)) item, cast(count(*) as double) "value" from fact
+union all select 'summary', 'plants', count(distinct plant) from fact
+union all select 'summary', 'customers', count(distinct customer) from fact
+union all select 'quarter_pivot', concat(q.name, '|', s.source), coalesce(t.credit_usd, 0)
+  from (select distinct {_QUARTER} as name from fact) q cross join (select distinct source from fact) s
+  left join (select {_QUARTER} as name, source, {_SUM} from fact group by 1, 2) t
+    on t.name = q.name and t.source = s.source
+union all select 'source_span', concat(source, '|', min(incident_date), '|', max(incident_date)), 0
+  from fact group by source
+union all select 'raw', concat(source, '|', incident_date), cast(sum(credit) as double)
+  from fact group by source, incident_date"""
+
+
 ORACLES = {
     "raw_by_source": _on_extracts("select source, count(*) incidents from uni group by source"),
     "normalized": _on_extracts(f"select {_ROW} from fx"),
@@ -363,34 +388,10 @@ group by risk_tier"""
         + " union all select 'first_date', cast(min(incident_date) as string) from fact"
         + " union all select 'last_date', cast(max(incident_date) as string) from fact"
     ),
-    "report_totals": _on_facts(
-        " union all ".join(
-            [
-                _report_part("by_source", "source", "source"),
-                _report_part("by_plant", "plant", "plant"),
-                _report_part("by_defect", "defect_category", "defect_category", 15),
-                _report_part("by_customer", "customer", "customer", 20),
-                _report_part("customer_plant", "concat(customer, '|', plant)", "customer, plant", 15),
-                _report_part(
-                    "plant_defect", "concat(plant, '|', defect_category)", "plant, defect_category", 15
-                ),
-            ]
-        )
-    ),
-    "report_rest": _on_facts(
-        f"""select 'summary' report_table, concat('run-1|$', format('{{:,.2f}}', cast(sum(credit) as double)), '|',
-    string_agg(distinct source, ', ' order by source)) item, cast(count(*) as double) "value" from fact
-union all select 'summary', 'plants', count(distinct plant) from fact
-union all select 'summary', 'customers', count(distinct customer) from fact
-union all select 'quarter_pivot', concat(q.name, '|', s.source), coalesce(t.credit_usd, 0)
-  from (select distinct {_QUARTER} as name from fact) q cross join (select distinct source from fact) s
-  left join (select {_QUARTER} as name, source, {_SUM} from fact group by 1, 2) t
-    on t.name = q.name and t.source = s.source
-union all select 'source_span', concat(source, '|', min(incident_date), '|', max(incident_date)), 0
-  from fact group by source
-union all select 'raw', concat(source, '|', incident_date), cast(sum(credit) as double)
-  from fact group by source, incident_date"""
-    ),
+    "report_totals": _on_facts(_REPORT_TOTALS),
+    "report_rest": _on_facts(_REPORT_REST),
+    "report_of_sums": _on_facts(f"({_REPORT_TOTALS}) union all {_REPORT_REST}"),
+    "scorecard_of_sums": _on_facts("select * from card", _CARD),
     "stream_incidents": _on_facts(f"select {_ROW} from fact"),
     "stream_alerts": _on_extracts(
         "select cast(credit as double) credit_requested_usd, plant, customer, defect_category, "

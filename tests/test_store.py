@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from faultledger.config import Settings
 from faultledger.fixed_values import PLANTS
 from faultledger.operators.dedup import first_per_incident, not_in_history, with_key
-from faultledger.plans import overview
+from faultledger.plans import overview, report, scorecard, sums
 from faultledger.plans import store as store_module
 from faultledger.plans.alerting import alert_rows
 from faultledger.plans.scorecard import rolling_tiers
@@ -346,3 +346,62 @@ def test_alerts_of_a_repeated_run_are_replaced(store, incidents):
 
 def test_settings_of_the_fixture_cover_every_source():
     assert list(star.HEADERS) == list(star.SETTINGS.contracts)
+
+
+def _summed(store):
+    return {tuple(r) for r in store.incident_sums().drop("through").collect()}
+
+
+def _plain_sums(store):
+    whole = sums.merged(sums.rollup(store.incidents(), sums.ALL_SETS).withColumn("through", F.lit(0)))
+    return {tuple(r) for r in whole.drop("through").collect()}
+
+
+def test_sums_of_loads_are_those_of_the_facts(store, incidents):
+    store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 1, 1), ("s", None, None, "2025-05-10", "d", 2, 1)))
+    assert not store.has_sums()
+    store.start_sums()
+    store.start_sums()
+    assert _summed(store) == _plain_sums(store)
+    rows = incidents(("s", "p", "a", "2025-07-11", "e", 5, 1), ("t", "q", "b", "2024-07-10", "d", 7.25, 1))
+    for _ in range(2):
+        store.insert_new(rows)
+        assert _summed(store) == _plain_sums(store)
+        store.compact()
+        assert _summed(store) == _plain_sums(store)
+    assert store.incident_sums().agg(F.max("through")).first()[0] == store.incidents().agg(F.max(F.unix_micros("loaded_at"))).first()[0]
+
+
+def test_sums_of_a_load_that_died_come_with_the_next(store, incidents, monkeypatch):
+    store.start_sums()
+    assert _summed(store) == set()
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_write_sums", die)
+        with pytest.raises(RuntimeError):
+            store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 1, 1)))
+    assert _summed(store) == set()
+    store.compact()
+    assert _summed(store) == _plain_sums(store) != set()
+    store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 1, 1), ("s", "p", "a", "2025-06-11", "d", 1, 1)))
+    assert _summed(store) == _plain_sums(store)
+
+
+def test_report_of_sums_stays_what_it_was(spark, store, incidents, tmp_path):
+    store.start_sums()
+    store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 1, 1), ("s", "p", "a", "2025-06-11", "e", 3, 1)))
+    args = (store.incidents(), str(tmp_path / "out"), "r", "now")
+    target = report.write_report(*args, sums=store.incident_sums(), copy_raw=False)
+    old = report.write_report(store.incidents(), str(tmp_path / "old"), "r", "now")
+    for name in ("summary", "by_source", "quarter_pivot", "customer_plant", "plant_defect", "source_span"):
+        got, want = (spark.read.parquet(f"{folder}/{name}").collect() for folder in (target, old))
+        assert got == want
+    store.insert_new(incidents(("s", "p", "b", "2025-06-12", "d", 1, 1)))
+    raw = report.raw_of_report(store.incidents(), target)
+    assert sorted(raw.collect()) == sorted(spark.read.parquet(f"{old}/raw").collect()) and raw.count() == 2
+    assert not (tmp_path / "out" / "run_id=r" / "raw").exists()
+    cards = [scorecard.scorecard(store.incidents()), scorecard.scorecard_of_sums(store.incident_sums())]
+    assert cards[0].collect() == cards[1].collect()
