@@ -2,11 +2,13 @@
 
 import logging
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timezone
 from functools import reduce
 from uuid import uuid4
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 from faultledger.config import Settings
@@ -20,6 +22,9 @@ from faultledger.sources.extracts import Extract, read_extracts
 
 log = logging.getLogger(__name__)
 
+# Sources that are staged at the same time.
+SOURCES_AT_ONCE = 8
+
 
 @dataclass(frozen=True)
 class RunResult:
@@ -53,7 +58,7 @@ class _Staged:
 def _stage(
     store: IncidentStore, extracts: Mapping[str, Extract], run_id: str, settings: Settings, folder: str
 ) -> _Staged:
-    counted = Observation("rules")
+    counted = Observation()
     unified = normalize(
         store.spark, extracts, run_id, settings.contracts, settings.fx_rates, settings.strict_nulls, True
     )
@@ -68,24 +73,32 @@ def _stage(
 def _stage_sources(
     store: IncidentStore, extracts: Mapping[str, Extract], run_id: str, settings: Settings
 ) -> tuple[list[_Staged], dict[str, str]]:
-    """All sources in one job; if that fails each by itself, and those that fail again are left out."""
-    try:
-        return [_stage(store, extracts, run_id, settings, run_id)], {}
-    except Exception as error:  # noqa: BLE001 - a page or row of one source can break in many ways
-        log.error("cannot stage all sources at once: %s", error)
-        store.unstage(run_id)
-        if len(extracts) == 1:
-            return [], {key: str(error) for key in extracts}
-    staged, failures = [], {}
-    for key, extract in extracts.items():
+    """Each source in a job of its own, several at once; those that fail are left out.
+
+    No source is parsed again because another one is broken, and the executors that
+    a small source leaves idle work on the next.
+    """
+
+    context = store.spark.sparkContext
+
+    def one(key: str) -> _Staged | str:
+        # names the jobs of a source and, with the FAIR scheduler, gives each source its share
+        context.setLocalProperty("spark.job.description", f"stage {key}")
+        context.setLocalProperty("spark.scheduler.pool", key)
         folder = f"{run_id}-{key}"
         try:
-            staged.append(_stage(store, {key: extract}, run_id, settings, folder))
-        except Exception as error:  # noqa: BLE001
+            return _stage(store, {key: extracts[key]}, run_id, settings, folder)
+        except Exception as error:  # noqa: BLE001 - a page or row of one source can break in many ways
             log.error("cannot read source %s: %s", key, error)
-            failures[key] = str(error)
             store.unstage(folder)
-    return staged, failures
+            return str(error)
+
+    with ThreadPoolExecutor(max(1, min(len(extracts), SOURCES_AT_ONCE))) as pool:
+        # wrapped for each source: the properties of a wrapper are shared by its threads
+        jobs = {key: pool.submit(inheritable_thread_target(store.spark)(one), key) for key in extracts}
+        done = {key: job.result() for key, job in jobs.items()}
+    failures = {key: found for key, found in done.items() if isinstance(found, str)}
+    return [found for found in done.values() if not isinstance(found, str)], failures
 
 
 def ingest(
@@ -146,6 +159,8 @@ def run_pipeline(
     settings = settings or Settings()
     run_id = run_id or str(uuid4())
     store = IncidentStore(spark, root).create(settings)
+    if settings.keep_sums:
+        store.start_sums()
     result = None
     failures: Mapping[str, str] = {}
     if not report_only:
@@ -163,7 +178,10 @@ def run_pipeline(
         if result is None or result.status == "FAILED" and not result.counts:
             return result and replace(result, failures={**failures, **result.failures})
     now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M")
-    report = write_report(store.incidents(), store.path("report"), run_id, now, report_format)
+    kept = store.incident_sums() if store.has_sums() else None
+    report = write_report(
+        store.incidents(), store.path("report"), run_id, now, report_format, kept, settings.report_copies_raw
+    )
     return RunResult(
         run_id,
         result.inserted if result else 0,

@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 
 from faultledger.config import Settings
+from faultledger.plans import ingest as ingest_module
 from faultledger.plans.ingest import ingest, run_pipeline
 from faultledger.plans.store import IncidentStore
 from faultledger.sources.contracts import CONTRACTS
@@ -92,8 +93,10 @@ def test_no_source_that_can_be_mapped(spark, tmp_path):
     assert store.runs().count() == 0
 
 
-def test_a_source_that_breaks_while_it_is_read(spark, data_dir, tmp_path):
-    """The cells of a row with too many of them can't be told apart; the other sources go on."""
+def test_a_source_that_breaks_while_it_is_read(spark, data_dir, tmp_path, monkeypatch):
+    """The cells of a row with too many of them can't be told apart; the other sources go on, staged once each."""
+    stage, staged = ingest_module._stage, []
+    monkeypatch.setattr(ingest_module, "_stage", lambda store, found, *rest: staged.append(*found) or stage(store, found, *rest))
     (data_dir / "Vision OAK.parquet").unlink()
     longer = "<tr>" + "<td>1</td>" * 8 + "</tr></table>"
     (data_dir / "Feedback_Report_01QUALC009.xls").write_text(OBI_HTML.replace("</table>", longer))
@@ -102,6 +105,7 @@ def test_a_source_that_breaks_while_it_is_read(spark, data_dir, tmp_path):
     log = IncidentStore(spark, str(tmp_path / "store")).runs().first()
     assert (log["status"], log["sources_loaded"]) == ("SUCCESS", "Radius,Fusion")
     assert "more cells than its header" in log["error_message"]
+    assert sorted(staged) == ["Fusion", "OBI", "Radius"]
 
 
 def test_a_run_in_which_every_source_breaks_is_logged(spark, tmp_path):
