@@ -5,8 +5,8 @@ target holds its size, and for the rest of the target those documents whose hash
 at most a threshold. The threshold is found without sorting: a histogram sums the
 words by source and hash bucket, running sums give the bucket in which the budget
 runs out, and only the documents of that bucket go into the next, finer histogram.
-After the last digit of the hash the boundary holds equal hashes only, and is taken
-if that brings the source nearer to its target.
+After the last digit of the hash the boundary holds equal hashes only, of rows with
+one id and text. As many of them are taken as bring the source nearest to its target.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(words, F.lit(0)).cast("bigint")
 
 
-def hash_of(key: Column) -> Column:
-    """48 bits of a hash that other engines have too; null keys share one value."""
-    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
-    return F.conv(digits, 16, 10).cast("bigint")
+def hash_of(key: Column, text: Column) -> Column:
+    """48 bits of a hash that other engines have too, of a row's id and whole text; null is empty."""
+    whole = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, DIGITS), 16, 10).cast("bigint")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -82,9 +82,10 @@ def _with_budgets(docs: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """source, full, threshold: take all documents ``full`` times, and once more where h <= threshold.
+    """source, full, threshold, edge, more: take all documents ``full`` times, and once more where h <= threshold.
 
-    ``sized`` has source, size, h; ``budgets`` source, source_size, target.
+    Where rows with one hash can't all be taken, ``edge`` is that hash and ``more`` of
+    its rows are taken once more; otherwise both are null. ``sized`` has source, size, h; ``budgets`` source, source_size, target.
     """
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(0).cast("bigint")
     state = budgets.select("source", full.alias("full"), (F.col("target") - full * F.col("source_size")).alias("budget"))
@@ -94,13 +95,13 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         shift = 4 * (DIGITS - STEP * level)
         boundary = _with_budgets(sized, state.where("prefix is not null").select("source", "prefix"))
         boundary = boundary.where(F.shiftright("h", shift + 4 * STEP) == F.col("prefix"))
-        histogram = boundary.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        histogram = boundary.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
         running = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-        sums = histogram.select("source", "bucket", "words", running.alias("through"))
+        sums = histogram.select("source", "bucket", "words", "rows", running.alias("through"))
         joined = sums.join(state.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         over = joined.where(F.col("used") + F.col("through") > F.col("budget"))
-        nearest = over.groupBy("source").agg(F.min(F.struct("bucket", "words", "through")).alias("b"))
-        found = nearest.select(F.col("source").alias("of"), F.col("b.bucket").alias("bucket"), (F.col("b.through") - F.col("b.words")).alias("below"), F.col("b.words").alias("last"))
+        nearest = over.groupBy("source").agg(F.min(F.struct("bucket", "words", "rows", "through")).alias("b"))
+        found = nearest.select(F.col("source").alias("of"), F.col("b.bucket").alias("bucket"), (F.col("b.through") - F.col("b.words")).alias("below"), F.col("b.words").alias("last"), F.col("b.rows").alias("rows"))
         met = state.join(found, F.col("source").eqNullSafe(F.col("of")), "left")
         state = checkpoint(
             met.select(
@@ -110,43 +111,74 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
                 F.col("bucket").alias("prefix"),
                 (F.col("used") + F.coalesce("below", F.lit(0))).alias("used"),
                 "last",
+                "rows",
             )
         )
         if level < DIGITS // STEP:
-            state = state.drop("last")
+            state = state.drop("last", "rows")
+    nearest = F.ceil((F.col("budget") - F.col("used")) * F.col("rows") / F.col("last") - 0.5)
+    more = F.greatest(F.lit(0), F.least(nearest, "rows")).cast("bigint")
     # no boundary: the budget is never exceeded, which takes everything
-    nearer = F.col("used") + F.col("last") - F.col("budget") < F.col("budget") - F.col("used")
-    threshold = F.when(F.col("prefix").isNull(), F.lit(2 ** (4 * DIGITS))).when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1)
-    return state.select("source", "full", threshold.alias("threshold"))
+    threshold = F.when(F.col("prefix").isNull(), F.lit(2 ** (4 * DIGITS))).when(more == F.col("rows"), F.col("prefix")).otherwise(F.col("prefix") - 1)
+    parted = (more > 0) & (more < F.col("rows"))
+    return state.select("source", "full", threshold.alias("threshold"), F.when(parted, F.col("prefix")).alias("edge"), F.when(parted, more).alias("more"))
+
+
+def _with_times(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` (source, h and others) with the columns of ``limits`` and ``times``, how often each is taken.
+
+    Of rows at an edge, which are equal, the first ``more`` are taken once more. They
+    are written with a number that rises within a partition; a place is the rows of
+    the partitions before and the place in its own, so no task sees all of them.
+    """
+    met = _with_budgets(rows, limits)
+    plain = met.withColumn("times", F.col("full") + (F.col("h") <= F.col("threshold")).cast("bigint"))
+    if limits.where("edge is not null").isEmpty():
+        return plain
+    at_edge = F.coalesce(F.col("h") == F.col("edge"), F.lit(False))
+    number = F.monotonically_increasing_id()
+    edge = checkpoint(met.where(at_edge).withColumn("number", number)).withColumn("part", F.shiftright("number", 33))
+    counts = edge.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("source", "part").orderBy("number"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))
+    placed = edge.withColumn("own", own).join(offsets, same)
+    once_more = (F.col("before") + F.col("own") <= F.col("more")).cast("bigint")
+    parted = placed.withColumn("times", F.col("full") + once_more).select(*plain.columns)
+    return plain.where(~at_edge).unionByName(parted)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """key, size, source_size, target, taken of every row of ``docs``.
 
     ``taken`` is a whole number of times the document's size, at most three. A null
-    source is a source; a null text has size 0; rows with one key share their hash
-    and are taken together; a source without words has target 0. Reruns agree, as
-    hashes are of the key alone. An empty table gives an empty result.
+    source is a source; a null text has size 0; a source without words has target 0.
+    Hashes are of id and text, so rows that share an id, or have none, are told apart
+    by their texts, and of equal rows as many are taken as the target asks for.
+    Reruns agree. An empty table gives an empty result.
     """
-    sized = checkpoint(docs.select(quoted(key).alias("key"), quoted(source).alias("source"), size_of(quoted(text)).alias("size"), hash_of(quoted(key)).alias("h")))
+    h = hash_of(quoted(key), quoted(text))
+    sized = checkpoint(docs.select(quoted(key).alias("key"), quoted(source).alias("source"), size_of(quoted(text)).alias("size"), h.alias("h")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     budgets = checkpoint(targets(sizes, weights))
     limits = thresholds(sized, budgets).withColumnRenamed("source", "of")
-    plan = budgets.join(limits, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    taken = F.col("size") * (F.col("full") + (F.col("h") <= F.col("threshold")).cast("bigint"))
-    return _with_budgets(sized, checkpoint(plan)).select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"))
+    plan = checkpoint(budgets.join(limits, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
+    met = _with_times(sized, plan)
+    return met.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns.
 
-    A row without words is never taken: it adds nothing to any target.
+    A row without words is never taken: it adds nothing to any target. Of rows that
+    differ only in columns other than id and text, which ones are taken is open.
     """
-    sized = checkpoint(docs.select(quoted(source).alias("source"), size_of(quoted(text)).alias("size"), hash_of(quoted(key)).alias("h")))
+    h = hash_of(quoted(key), quoted(text)).alias("h")
+    sized = checkpoint(docs.select(quoted(source).alias("source"), size_of(quoted(text)).alias("size"), h))
     budgets = checkpoint(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
-    limits = checkpoint(thresholds(sized, budgets).select(F.col("source").alias("of"), "full", "threshold"))
-    packed = docs.select(quoted(source).alias("source"), hash_of(quoted(key)).alias("h"), F.struct(*(quoted(c) for c in docs.columns)).alias("row"), size_of(quoted(text)).alias("size"))
-    joined = _with_budgets(packed, limits.withColumnRenamed("of", "source"))
-    copies = F.when(F.col("size") > 0, F.col("full") + (F.col("h") <= F.col("threshold")).cast("bigint")).otherwise(0)
-    times = joined.select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("taken"))
+    limits = checkpoint(thresholds(sized, budgets))
+    packed = docs.select(quoted(source).alias("source"), h, F.struct(*(quoted(c) for c in docs.columns)).alias("row"), size_of(quoted(text)).alias("size"))
+    copies = F.when(F.col("size") > 0, F.col("times")).otherwise(0).cast("int")
+    times = _with_times(packed, limits).select("row", F.explode(F.array_repeat(F.lit(True), copies)).alias("taken"))
     return times.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

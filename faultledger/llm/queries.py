@@ -160,7 +160,7 @@ ORACLES: dict[str, str] = {
     "op4_mixing": r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) as h
+    cast('0x' || substr(md5(concat(coalesce(cast(doc_id as varchar), ''), ' ', coalesce(text, ''))), 1, 12) as bigint) as h
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 r as (
@@ -180,18 +180,19 @@ t as (
 x as (
   select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end as f_times from t),
 b as (select *, target - f_times * source_size as budget from x),
-g as (select source, h, sum(size) as words from d group by source, h),
+g as (select source, h, sum(size) as words, count(*) as n from d group by source, h),
 c as (select *, sum(words) over (partition by source order by h) as through from g),
 e as (
   select c.source, min(c.h) as h from c join b on c.source is not distinct from b.source
   where c.through > b.budget group by c.source),
 k as (
-  select e.source, e.h, c.through - b.budget < b.budget - (c.through - c.words) as nearer
+  select e.source, e.h, ceil((b.budget - (c.through - c.words)) * c.n / c.words - 0.5) as more
   from e join c on c.source is not distinct from e.source and c.h = e.h
-  join b on b.source is not distinct from e.source)
+  join b on b.source is not distinct from e.source),
+p as (select *, row_number() over (partition by source, h order by doc_id) as place from d)
 select d.doc_id, d.size, b.source_size, b.target,
-  cast(d.size * (b.f_times + case when k.h is null or d.h < k.h or (d.h = k.h and k.nearer) then 1 else 0 end) as bigint) as taken
-from d join b on b.source is not distinct from d.source left join k on k.source is not distinct from d.source""",
+  cast(d.size * (b.f_times + case when k.h is null or d.h < k.h or (d.h = k.h and d.place <= k.more) then 1 else 0 end) as bigint) as taken
+from p d join b on b.source is not distinct from d.source left join k on k.source is not distinct from d.source""",
     "op5_exact_topk": r"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v

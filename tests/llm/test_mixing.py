@@ -2,6 +2,7 @@
 
 import pytest
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 from faultledger.llm import mixing, queries
 
@@ -60,3 +61,19 @@ def test_edge_rows(spark):
         words[r.doc_id, n] = words.get((r.doc_id, n), 0) + n
     assert {k: v for k, v in taken.items() if v} == {k: v // (2 if k[0] == 4 else 1) for k, v in words.items()}
     assert mixing.mix(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_equal_ids_and_equal_rows_are_parted(spark, tmp_path):
+    """A source of one row repeated, and one of rows without an id; each comes near its target."""
+    rows = [(None, "w x y", "a", None)] * 100 + [(None, f"w x {i}", "b", None) for i in range(100)] + [(7, "w x y", None, str(i)) for i in range(50)]
+    docs = spark.createDataFrame(rows, DOC).repartition(7)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = assert_same(mixing.mix(docs), queries.ORACLES["op4_mixing"], str(tmp_path))
+    assert len(got) == 250 and sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=repr) == sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
+    want = plain_targets({"a": 300, "b": 300, None: 150})
+    out = mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("words")).collect()
+    assert {r.source for r in out} == set(want)
+    for r in out:
+        assert abs(r.words - want[r.source]) <= 1.5
+    of_a = {row[3] for row in got if row[4] == want["a"]}
+    assert of_a == {3, 6}
