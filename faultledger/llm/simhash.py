@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultledger.llm.shared import checkpoint, free_name, quoted, schema_with, without
+from faultledger.llm.shared import broadcast_if_small, checkpoint, free_name, quoted, schema_with, without, written
 
 #: Fingerprints of a posting that one row holds.
 BLOCK = 1024
 SEED = 42
 #: Links among distinct fingerprints (16 bytes each) that one task labels.
 EDGES_OF_A_TASK = 200_000
+#: Rows that go whose numbers (some 30 bytes each) are broadcast.
+FEW_LOSERS = 1_000_000
 
 
 def fingerprint_of(text: str | None, size: int) -> int:
@@ -217,14 +219,22 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     """One row of ``docs`` of each component: that with its smallest id.
 
     Of repeated rows with that id one stays; where rows with one id differ, that
-    with the smallest fingerprint. Columns are those of ``docs``.
+    with the smallest fingerprint. Columns are those of ``docs``. The rows that go
+    are found by number: up to ``FEW_LOSERS`` of them are broadcast and no text is
+    shuffled, beyond that rows meet by their numbers, of which none is hot.
     """
-    groups = simhash_groups(_prints(docs, text, doc_id, size), max_bits=max_bits)
-    fp, key = free_name(docs, "simhash"), free_name(docs, "keeper_key")
+    fp, number = free_name(docs, "simhash"), free_name(docs, "row_number")
+    # every text is hashed once; from here on a row is its number
+    whole = written(fingerprints(docs, text, size, fp).withColumn(number, F.monotonically_increasing_id()))
+    prints = whole.select(quoted(doc_id).alias("doc_id"), quoted(fp).alias("simhash"), quoted(number).alias("number"))
+    groups = simhash_groups(prints, max_bits=max_bits)
     # joined on the id as well: the copies of a hot fingerprint spread over all tasks
-    kept = groups.where("fp = keeper").select(F.col("fp").alias(fp), _id_key(F.col("component_id")).alias(key))
-    whole = fingerprints(docs, text, size, fp).withColumn(key, _id_key(quoted(doc_id)))
-    return whole.join(kept, [fp, key]).dropDuplicates([fp, key]).select(*(quoted(c) for c in docs.columns))
+    best = groups.where("fp = keeper").select(F.col("fp").alias("simhash"), _id_key(F.col("component_id")).alias("key"))
+    found = prints.withColumn("key", _id_key(F.col("doc_id"))).join(best, ["simhash", "key"])
+    kept = found.groupBy("simhash", "key").agg(F.min("number").alias("number"))
+    losers = checkpoint(prints.join(kept, "number", "left_anti").select(F.col("number").alias(number)))
+    left = whole.join(broadcast_if_small(losers, FEW_LOSERS), number, "left_anti")
+    return left.select(*(quoted(c) for c in docs.columns))
 
 
 def _id_key(value: Column) -> Column:

@@ -94,7 +94,9 @@ def test_long_chain(spark, monkeypatch, few):
     assert {r.label for r in simhash.components(chain).collect()} == {0}
 
 
-def test_edge_rows(spark):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_edge_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_LOSERS", few)
     long = "Lorem ipsum dolor " * 20000
     rows = [
         (5, None, "a"), (7, "", "a"), (3, " \t", "b"), (4, "one two", "c"), (4, "one two", "c"), (8, "ONE two", "d"),
