@@ -119,3 +119,11 @@ def test_forms_of_a_date(spark, text, day):
 def test_day_first(spark):
     got = spark.sql("select '1/2/25' t").select(dates.parse_date(F.col("t"), dates.DAY_FIRST_FORMATS).cast("string"))
     assert got.first()[0] == "2025-02-01"
+
+
+def test_date_formats_share_the_stripped_text(spark):
+    rows = spark.createDataFrame([("3/4/99 10:00",), ("20010203",)], "v string").select(dates.parse_date(F.col("v")).alias("d"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # one for the zone and one for each century, not again for every format
+    assert plan.count("regexp_replace") == 3
+    assert [str(r["d"]) for r in rows.collect()] == ["1999-03-04", "2001-02-03"]
