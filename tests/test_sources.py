@@ -1,4 +1,5 @@
 import os
+import re
 from dataclasses import replace
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from faultledger.fixed_values import NA_TOKENS, SOURCE_PATTERNS
 from faultledger.operators.mapping import to_unified
 from faultledger.schemas import FACT
+from faultledger.sources import html_table
 from faultledger.sources.contracts import CONTRACTS, FUSION, OBI, RADIUS, Field, vision
 from faultledger.sources.detect import detect_source_files, find_latest_file, name_regex
 from faultledger.sources.extracts import (
@@ -383,3 +385,32 @@ def test_snapshot_stands_in_for_an_absent_or_empty_fact_table(spark, tmp_path):
     assert load_incidents(spark, fact, snapshot).columns == ["source", "plant"]
     spark.range(2).select(F.lit("s").alias("source")).write.mode("append").parquet(fact)
     assert load_incidents(spark, fact, snapshot).count() == 2
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<table><thead><tr><td>a</td></tr></thead><tr><td>1 &amp; 2</td><td>x</td></tr>\n<tr><td>&#62;</td><td></td></tr></table>",
+        "<table><tr><th>a</th><th>b</th></tr><tr><td rowspan=3>A</td><td>0</td></tr><tr><td>1</td></tr><tr><td>2</td></tr><tr><td>3</td><td>4</td></tr></table>",
+        "<table><tr><td>a<table><tr><td>in</td></tr></table></td></tr><tr><td>1</td></tr></table><table><tr><td>no</td></tr></table>",
+        "<table><tr><th>a<tr><td>1</td></tr><tr><td>2</td></tr><!-- <tr><td>no</td></tr> --><tr><td>3</td></tr></table>",
+        "<table><tr><th>a</th></tr><script><tr><td>no</td></tr></script><tr><td>1</td></tr></table>",
+        "<tr><td>no</td></tr><table><tr><td>&am<tr><td>p;</td></tr></table><tr><td>no</td></tr>",
+        "<table><thead><tr><td>a</td></tr><tr><td>b</td></tr><tbody><tr><td>1</td></tr></table>",
+    ],
+)
+def test_plain_html_rows_are_split_as_the_parser_reads_them(html, monkeypatch):
+    found = parse_first_table(html)
+    monkeypatch.setattr(html_table, "_PLAIN_ROWS", re.compile("(?!)"))
+    assert found == parse_first_table(html)
+
+
+def test_html_rows_are_parsed_once(spark, tmp_path):
+    table = "<table><tr><th>a</th></tr><tr><td>{}</td></tr></table>"
+    for at in range(3):
+        _file(tmp_path, f"x{at}.xls", table.format(at))
+    rows = read_html_table(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert sorted(r["a"] for r in rows.collect()) == ["0", "1", "2"]
+    assert len(parse_first_table(table.format(1) + table, head_only=True)) == 2
