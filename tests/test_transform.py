@@ -2,14 +2,18 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from faultledger.config import Settings
-from faultledger.operators.cleaning import validate, validation_counts
+from faultledger.functions.dates import parse_date
+from faultledger.operators.cleaning import rule_counts, validate, validation_counts, value_counts
 from faultledger.operators.currency import convert_to_usd
-from faultledger.operators.mapping import normalize
+from faultledger.operators.mapping import DateRule, normalize
 from faultledger.schemas import UNIFIED
 from faultledger.sources.contracts import CONTRACTS
 from faultledger.sources.extracts import Extract, prepare
+from faultledger.testbed import star_extracts
 
 RADIUS_ROW = {
     "Report#": "Q-4417", "Plant Name": "Harborside", "Customer": "Tern Bottling", "ReportDate": "2024-03-09",
@@ -214,3 +218,44 @@ def test_rule_counts(spark):
         "total_rows": 5, "dropped_no_date": 1, "dropped_old_date": 1, "clipped_credit": 1,
         "filled_credit": 1, "oversized_credit": 0, "filled_quantity": 1, "kept_rows": 3,
     }
+
+
+def test_rows_are_dropped_by_date_before_their_cells_are_mapped(spark):
+    cells = [("c1", "2025-04-01", "-5"), ("c2", "1999-12-31", "-7"), ("c3", None, "1"), ("c4", "2001-1-4 ", None)]
+    frame = spark.createDataFrame(cells, "Customer string, `Create Date` string, `Total Credit Requested` string")
+    extracts = {"Fusion": Extract(frame, "f.json")}
+    dates, values = DateRule(), Observation()
+    unified = normalize(spark, extracts, "r", CONTRACTS, dates=dates)
+    got = sorted(r["customer"] for r in validate(unified.observe(values, *value_counts())).collect())
+    assert got == ["c1", "c4"]
+    whole = normalize(spark, extracts, "r", CONTRACTS)
+    assert {**dates.counts(), **values.get} == whole.agg(*rule_counts()).first().asDict()
+    # the mapping of the other cells stands above the filter, which stands above the parsing of the date
+    plan = normalize(spark, extracts, "r", CONTRACTS, dates=DateRule())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS credit_requested_usd") < plan.index("Filter") < plan.index("CollectMetrics")
+    assert plan.index("CollectMetrics") < plan.index("AS _incident_date")
+
+
+def test_dates_of_a_source_that_cannot_be_mapped_are_not_waited_for(spark):
+    frame = spark.createDataFrame([("c1", "2025-04-01")], "Customer string, `Create Date` string")
+    dates = DateRule()
+    rows = normalize(spark, {"Fusion": Extract(frame, F.col("absent"))}, "r", CONTRACTS, dates=dates)
+    assert rows.count() == 0
+    assert dates.counts() == {"total_rows": 0, "dropped_no_date": 0, "dropped_old_date": 0}
+
+
+def test_plain_dates_are_what_the_whole_parser_makes_of_them(spark):
+    texts = ["2025-04-01", "2025-13-01", "2025-1-4 ", "2025-1-4T1", "20255-1-04", "+202-01-01", " 025-01-01", "2025--1-01"]
+    # white space around them keeps texts from the short way
+    both = [(t, f"\t{t}\t") for t in texts]
+    found = spark.createDataFrame(both, "a string, b string").select(parse_date(F.col("a")), parse_date(F.col("b")))
+    rows = [tuple(r) for r in found.collect()]
+    assert [a for a, _ in rows] == [b for _, b in rows]
+    assert str(rows[0][0]) == "2025-04-01" and rows[1][0] is None
+
+
+def test_lines_are_not_joined_to_customers(spark, sf_dir):
+    plan = star_extracts.raw_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    depth = {name: len(line) - len(line.lstrip(" :+-")) for line in joins for name in ("o_custkey", "l_orderkey") if name in line}
+    assert depth["o_custkey"] > depth["l_orderkey"]
