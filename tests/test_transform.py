@@ -259,3 +259,18 @@ def test_lines_are_not_joined_to_customers(spark, sf_dir):
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     depth = {name: len(line) - len(line.lstrip(" :+-")) for line in joins for name in ("o_custkey", "l_orderkey") if name in line}
     assert depth["o_custkey"] > depth["l_orderkey"]
+
+
+def test_landing_keeps_a_file_open_for_each_source(spark, monkeypatch):
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    default = spark.conf.get(name, None)
+    rows = [(str(n), (*star_extracts.HEADERS, None)[n % 6]) for n in range(60)]
+
+    def lines(session, _sf_dir):
+        seen.append(session.conf.get(name, None))
+        return session.createDataFrame(rows, "cust string, extract string")
+
+    monkeypatch.setattr(star_extracts, "raw_lines", lines)
+    landed = spark.read.parquet(star_extracts.landing(spark, "tables of this test"))
+    assert sorted(tuple(r) for r in landed.fillna("", "extract").collect()) == sorted((c, e or "") for c, e in rows)
+    assert seen == ["6"] and spark.conf.get(name, None) == default
