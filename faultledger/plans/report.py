@@ -17,7 +17,7 @@ from faultledger.functions.money import as_double
 from faultledger.functions.text import currency_text, joined_set
 from faultledger.operators.ranking import by_credit, top
 from faultledger.plans.detail import CSV_OPTIONS
-from faultledger.plans.sums import is_set, rollup
+from faultledger.plans.sums import REPORT_SETS, is_any_set, is_set, rollup
 from faultledger.schemas import MONTH
 
 def tables(
@@ -122,7 +122,8 @@ def write_report(
     spark = incidents.sparkSession
     # written once for the nine small tables, beside the bundle, and removed after them
     rolled_path = f"{out_dir.rstrip('/')}/_rollup/run_id={run_id}"
-    (rollup(incidents) if sums is None else sums).write.mode("overwrite").parquet(rolled_path)
+    kept = rollup(incidents) if sums is None else sums.where(is_any_set(REPORT_SETS))
+    kept.write.mode("overwrite").parquet(rolled_path, compression="zstd")
     rolled = spark.read.parquet(rolled_path)
     sources = [
         r["source"]

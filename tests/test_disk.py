@@ -1,0 +1,213 @@
+"""What a run keeps on disk while it goes on."""
+
+import time
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from faultledger.plans import report, sums
+from faultledger.plans import store as store_module
+from faultledger.plans.ingest import run_pipeline
+from faultledger.plans.store import IncidentStore
+from faultledger.sources.shuffles import CLEANUP, released_shuffles
+from faultledger.testbed import catalog
+from faultledger.testbed import star_extracts as star
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(n).getName() for n in range(files.size()))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def _left(spark, before, seconds=10):
+    """The shuffle files that are still there; they go in the background."""
+    until = time.monotonic() + seconds
+    while (left := _shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    return left
+
+
+def test_shuffle_files_go_with_their_action(spark, tmp_path):
+    default, before = spark.conf.get(CLEANUP, None), _shuffle_files(spark)
+    rows = spark.range(1000).orderBy(F.rand(1))
+    with released_shuffles(spark):
+        rows.write.parquet(str(tmp_path / "a"))
+        with pytest.raises(ZeroDivisionError), released_shuffles(spark):
+            raise ZeroDivisionError
+        # still on after a block within
+        assert spark.conf.get(CLEANUP) == "true"
+        groups = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+        assert groups.collect() == groups.collect()
+    assert _left(spark, before) == set()
+    assert spark.conf.get(CLEANUP, None) == default
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 1000
+
+
+def test_a_run_leaves_no_shuffle_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "Fusion Quality.json").write_text('{"Customer": "Acme", "Create Date": "2025-06-17", "Total Credit Requested": 12.5}\n')
+    before = _shuffle_files(spark)
+    assert run_pipeline(spark, str(folder), str(tmp_path / "store"), run_id="r").inserted == 1
+    assert _left(spark, before) == set()
+
+
+def test_a_large_load_writes_its_rows_before_they_are_dealt_by_month(spark, incidents, tmp_path, monkeypatch):
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    rows = [("s", "p", f"c{n % 5}", f"2025-0{n % 3 + 1}-10", "d", n, 1) for n in range(30)]
+    staging = tmp_path / "store" / "staging"
+    monkeypatch.setattr(store_module, "BROADCAST_KEY_BYTES", 0)
+    seen, mark = [], store._mark_pending
+
+    def marked(loaded, months):
+        seen.extend(path.name for path in staging.iterdir())
+        # the chosen rows are there, the facts are not
+        assert store.incidents().count() == len(seen) // 2 * 30
+        mark(loaded, months)
+
+    monkeypatch.setattr(store, "_mark_pending", marked)
+    assert store.insert_new(incidents(*rows, *rows[:7])) == 30
+    assert store.insert_new(incidents(*rows)) == 0
+    assert store.incidents().count() == 30
+    assert len(seen) == 2 and all(name.startswith("run_id=new-") for name in seen) and not list(staging.iterdir())
+
+
+def test_a_load_that_dies_leaves_no_chosen_rows(spark, incidents, tmp_path, monkeypatch):
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    monkeypatch.setattr(store_module, "BROADCAST_KEY_BYTES", 0)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "_mark_pending", die)
+    with pytest.raises(RuntimeError):
+        store.insert_new(incidents(("s", "p", "c", "2025-06-10", "d", 1, 1)))
+    assert not list((tmp_path / "store" / "staging").iterdir()) and store.incidents().count() == 0
+
+
+def test_sums_are_seen_when_all_their_groups_are_written(spark, incidents, tmp_path, monkeypatch):
+    assert sorted(s for group in sums.SET_GROUPS for s in group) == sorted(sums.ALL_SETS)
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 1, 1), ("s", None, None, "2025-05-10", "d", 2, 1)))
+    asked, rollup = [], sums.rollup
+
+    def second_dies(rows, sets):
+        asked.append(sets)
+        if len(asked) == 2:
+            raise RuntimeError("lost")
+        return rollup(rows, sets)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(sums, "rollup", second_dies)
+        with pytest.raises(RuntimeError):
+            store.start_sums()
+    assert len(asked) == 2 and not store.has_sums()
+    assert store._table("incident_sums", store_module.schemas.INCIDENT_SUMS).count() == 0
+    store.start_sums()
+    whole = rollup(store.incidents(), sums.ALL_SETS)
+    got = store.incident_sums().select(*whole.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_report_copies_no_sums_that_it_does_not_read(spark, incidents, tmp_path, monkeypatch):
+    store = IncidentStore(spark, str(tmp_path / "store")).create()
+    store.start_sums()
+    store.insert_new(incidents(("s", "p", "a", "2025-06-10", "d", 1, 1)))
+    seen, tables = [], report.tables
+
+    def watched(rolled, *rest):
+        seen.extend(r["gid"] for r in rolled.collect())
+        return tables(rolled, *rest)
+
+    monkeypatch.setattr(report, "tables", watched)
+    report.write_report(store.incidents(), str(tmp_path / "out"), "r", "now", sums=store.incident_sums(), copy_raw=False)
+    assert len(seen) == len(sums.REPORT_SETS) < len(sums.ALL_SETS)
+
+
+# -- the extracts ---------------------------------------------------------------
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """A few lines, two of them of no order, and one that comes twice."""
+    root = str(tmp_path / "tables")
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/{name}.parquet")
+
+    put("nation", [(1, "NATION_1"), (2, "NATION_2")], "n_nationkey int, n_name string")
+    put("supplier", [(1, 1), (2, 2), (3, 9)], "s_suppkey bigint, s_nationkey int")
+    put("customer", [(1, "Ada"), (2, "Bob")], "c_custkey bigint, c_name string")
+    put("orders", [(n, n % 2 + 1) for n in range(1, 13)], "o_orderkey bigint, o_custkey bigint")
+    put("part", [(1, "SMALL", "B1"), (2, "LARGE", None)], "p_partkey bigint, p_type string, p_brand string")
+    marks = [("R", "F"), ("A", "F"), ("A", "O"), ("N", "F"), ("N", "O"), ("X", "F"), (None, "O")]
+    lines = [(n, n % 2 + 1, n % 3 + 1, 1, 3.0, 100.25, 0.1, *marks[n % 7], f"2000-01-{n + 1:02} 10:00:00") for n in range(1, 15)]
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double"
+    columns += ", l_discount double, l_returnflag string, l_linestatus string, l_shipdate string"
+    put("lineitem", [*lines, lines[0], (None, *lines[1][1:])], columns)
+    return root
+
+
+def _lines(frame):
+    return sorted(map(str, frame.select("order_key", "plant", "cust", "d", "t", "b", "credit", "qty", "file", "line_no", "extract").collect()))
+
+
+def test_lines_of_extracts(spark, tables):
+    rows = star.raw_lines(spark, tables).orderBy("order_key", "file").collect()
+    # supplier 3 has no nation, orders 13 and 14 are not there; order 7 is sent twice, order 1 has its line twice
+    assert [r["order_key"] for r in rows] == [1, 1, 3, 4, 6, 7, 7, 9, 10, 12]
+    assert [r["extract"] for r in rows] == [
+        "Fusion", "Fusion", "Vision_MAS", "OBI", None, "Radius", "Radius", "Vision_OAK", "Vision_MAS", None,
+    ]
+    seventh = rows[5]
+    assert (seventh["plant"], seventh["cust"], seventh["d"], seventh["t"], seventh["b"], seventh["credit"], seventh["qty"]) == (
+        "NATION_2", "Bob", "2000-01-08", "LARGE", None, "10.03", "3",
+    )
+    assert (rows[6]["qty"], rows[6]["line_no"], rows[6]["report_no"]) == ("999", 1, "R7")
+
+
+def test_lines_come_to_their_joins_narrow(spark, tables):
+    plan = star.raw_lines(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    # the names of customers, the widest cell, come last
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    depth = {name: len(line) - len(line.lstrip(" :+-")) for line in joins for name in ("l_orderkey", "l_partkey", "l_suppkey") if name in line}
+    assert depth["l_orderkey"] < depth["l_suppkey"] < depth["l_partkey"]
+
+
+def test_slices_of_lines_are_the_lines(spark, tables, monkeypatch):
+    whole = star.raw_lines(spark, tables)
+    assert len(star._slices(whole)) == 1
+    monkeypatch.setattr(star, "SLICE_BYTES", 1)
+    slices = star._slices(whole)
+    assert len(slices) == star.MOST_SLICES
+    keys = [{r["order_key"] for r in one.collect()} for one in slices]
+    assert sum(map(len, keys)) == len(set().union(*keys)) and sum(map(bool, keys)) > 1
+    assert sorted(text for one in slices for text in _lines(one)) == _lines(whole)
+    for one in slices:
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        # both sides of the join on orders, below their shuffles
+        assert plan.count("xxhash64(l_orderkey") == 1 and plan.count("xxhash64(o_orderkey") == 1
+    assert _lines(spark.read.parquet(star.landing(spark, tables))) == _lines(whole)
+
+
+def test_extracts_are_packed_and_read_whole(spark, tables, monkeypatch):
+    seen = {}
+
+    def watched(spark, folder, root, *args, **kwargs):
+        seen["folder"] = folder
+        seen["result"] = run_pipeline(spark, folder, root, *args, **kwargs)
+        return seen["result"]
+
+    monkeypatch.setattr(catalog, "run_pipeline", watched)
+    monkeypatch.setitem(catalog.PACKED, "maxRecordsPerFile", 1)
+    found = {(r["source"], r["customer"], r["incident_date"], r["qty_affected"]) for r in catalog.run_from_files(spark, tables).collect()}
+    # of the line that is sent twice the first row stays, as of the line that comes twice
+    assert found == {
+        ("radius", "Bob", "2000-01-08", 3.0), ("fusion", "Bob", "2000-01-02", 3.0), ("vision_a", "Bob", "2000-01-10", 3.0),
+        ("vision_b", "Bob", "2000-01-04", 3.0), ("vision_b", "Ada", "2000-01-11", 3.0), ("obi", "Ada", "2000-01-05", 3.0),
+    }
+    assert not seen["result"].failures
+    paths = [p for p in Path(seen["folder"]).rglob("part-*") if not p.parent.name.startswith("old ") and ".parquet" not in p.name]
+    assert len(paths) > 4 and all(path.suffix == ".gz" for path in paths)
